@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, packing, pieces, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op5_extendible_shards": sharding.op5_extendible_shards,
+        "op7_token_counts": token_counts.op7_token_counts,
+        "op9_sentence_pieces": pieces.op9_sentence_pieces,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
