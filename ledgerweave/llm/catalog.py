@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pieces, sharding, token_counts
+from . import embeddings, exact_dedup, language, near_dedup, packing, pieces, quality, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_language_id": language.op2_language_id,
+        "op3_quality": quality.op3_quality,
+        "op4_embedding_near_dedup": embeddings.op4_embedding_near_dedup,
         "op5_extendible_shards": sharding.op5_extendible_shards,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
         "op9_sentence_pieces": pieces.op9_sentence_pieces,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
