@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, language, near_dedup, packing, pieces, quality, sharding, token_counts
+import corpus_pipeline
+
+from . import embeddings, exact_dedup, language, near_dedup, packing, pieces, private_data, quality, sharding, token_counts
 
 
 def queries() -> dict:
@@ -12,10 +14,12 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_embedding_near_dedup": embeddings.op4_embedding_near_dedup,
         "op5_extendible_shards": sharding.op5_extendible_shards,
+        "op6_private_data": private_data.op6_private_data,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
         "op9_sentence_pieces": pieces.op9_sentence_pieces,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
