@@ -1,5 +1,5 @@
 """The modules whose QUERIES are registered in __spark_entry__.py."""
 
-from .operators import transactions
+from .operators import descriptions, lines, segments, transactions
 
-MODULES = (transactions,)
+MODULES = (transactions, lines, descriptions, segments)

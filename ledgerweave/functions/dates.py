@@ -150,12 +150,25 @@ def period_year(text: Column) -> Column:
 def find_date(line: Column) -> Column:
     """The earliest token of a line that reads as a date and is no part of a number; null if there is none."""
 
+    # What can still be wrong with a token of each pattern is less than normalize_date checks.
+    def sound(order: int, token: Column) -> Column:
+        if order == 0:
+            return F.lit(True)
+        if order == 1:
+            part = F.split(token, "[/-]")
+            a, b, long = _int(part[0]), _int(part[1]), F.length(part[2]) == 4
+            swap = long & (a > 12) & (b <= 12)
+            month, day = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+            return (long | (F.length(part[2]) == 2)) & month.between(1, 12) & day.between(1, 31)
+        name, day = F.regexp_extract(token, "[A-Za-z]{3}", 0), _int(F.regexp_extract(token, r"\d+", 0))
+        return month_number(name).isNotNull() & day.between(1, 31)
+
     def hits(order: int, pattern: str) -> Column:
         found = F.regexp_extract_all(line, F.lit(pattern if order == 2 else rf"(?<![.,\d]){pattern}"), F.lit(0))
         return F.transform(
-            F.filter(found, lambda t: normalize_date(t).isNotNull()),
+            F.filter(found, lambda t: sound(order, t)),
             lambda t: F.struct(F.position(t, line).alias("at"), F.lit(order).alias("order"), t.alias("token")),
         )
 
-    every = F.flatten(F.array(*[hits(k, p) for k, p in enumerate(DATE_PATTERNS)]))
+    every = F.concat(*[hits(k, p) for k, p in enumerate(DATE_PATTERNS)])
     return F.array_min(every)["token"]

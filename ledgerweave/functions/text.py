@@ -142,4 +142,4 @@ def safe_count(x: Column) -> Column:
 
 def safe_code(x: Column) -> Column:
     """An identifier of letters, digits, dash, dot, colon and underscore up to 64 characters, else null."""
-    return F.when(x.rlike(r"^[A-Za-z0-9_.:-]{1,64}$"), x)
+    return F.when(x.rlike(r"^[A-Za-z0-9_.:-]{1,64}\z"), x)
