@@ -7,6 +7,8 @@ at most 2 (1 - s ** ROWS) ** GROUPS: 5.5e-6 at 0.85.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,14 +23,14 @@ PERCENT = 85
 GROUPS = 10
 ROWS = 2
 SEED = 20240229
-#: Differing bits of two 128-bit sketches beyond which a pair isn't verified. At similarity 0.85 a bit differs with
-#: probability 0.075 at most, and more than 32 of 128 differ with probability below 1e-9.
-SKETCH_BITS = 32
+#: Bits of a parity sketch: each shingle flips one, so two sketches differ in at most as many bits as their sets in elements.
+SKETCH_BITS = 1024
 #: Word hashes that a Python worker remembers.
 MEMO_WORDS = 500_000
 
 SUB = [f"{side}{k}" for side in "ab" for k in range(GROUPS)]
-SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch_hi long, sketch_lo long, " + ", ".join(f"{c} long" for c in SUB)
+SKETCH = [f"p{k}" for k in range(SKETCH_BITS // 64)]
+SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, " + ", ".join(f"{c} long" for c in SKETCH + SUB)
 
 
 class WordHashes(dict):
@@ -66,20 +68,16 @@ def seeds(n: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def signature(shingles: np.ndarray, multipliers: np.ndarray) -> tuple[list[int], int, int]:
-    """(sub-keys, two sketch words): one bit of the smallest hash in each of 128 bins makes the sketch."""
+def signature(shingles: np.ndarray, multipliers: np.ndarray) -> list[int]:
+    """The words of the parity sketch, then the sub-keys."""
     minhash = np.array([mixed(shingles * m).min() for m in multipliers])
     parts = minhash.reshape(2 * GROUPS, ROWS)
     keys = parts[:, 0]
     for k in range(1, ROWS):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
-    one = np.sort(mixed(shingles ^ np.uint64(SEED)))
-    bins = one >> np.uint64(57)
-    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
-    bits = np.zeros(128, dtype=np.uint8)
-    bits[bins[first].astype(np.int64)] = (one[first] & np.uint64(1)).astype(np.uint8)
-    high, low = np.packbits(bits).view(">u8").astype(np.uint64).view(np.int64).tolist()
-    return keys.view(np.int64).tolist(), high, low
+    at = (mixed(shingles ^ np.uint64(SEED)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    parity = (np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return [*np.packbits(parity).view(">i8").tolist(), *keys.view(np.int64).tolist()]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -92,12 +90,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shingles = shingle_set(text, hashes)
                 if not len(shingles):
-                    rows.append((doc, 0, 0, 0, 0, 0, *[0] * len(SUB)))
+                    rows.append((doc, 0, 0, 0, *[0] * len(SKETCH + SUB)))
                     continue
                 whole = xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
                 high, low = np.frombuffer(whole, dtype=">i8").tolist()
-                keys, *sketch = signature(shingles, multipliers)
-                rows.append((doc, len(shingles), high, low, *sketch, *keys))
+                rows.append((doc, len(shingles), high, low, *signature(shingles, multipliers)))
             if rows:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in SIGNATURE.split(", ")])
@@ -122,10 +119,18 @@ def shared_keys(classes: DataFrame) -> DataFrame:
 
 
 def likely(a: str, b: str):
-    """Whether two classes' sizes and sketches let them be similar enough."""
-    differing = F.bit_count(F.col(f"{a}_hi").bitwiseXOR(F.col(f"{b}_hi"))) + F.bit_count(F.col(f"{a}_lo").bitwiseXOR(F.col(f"{b}_lo")))
+    """Whether two classes' sizes and sketches let them be similar enough.
+
+    Linked sets of n and m elements differ in at most d = (100 - PERCENT) (n + m) / (100 + PERCENT) elements, and their
+    sketches in no more bits, so nothing linked is lost by that bound. Where sets are large against the sketch, the bits
+    expected at d plus six standard deviations are a lower bound still.
+    """
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in SKETCH])
     small, large = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    return (differing <= SKETCH_BITS) & (small * 100 >= large * PERCENT)
+    most = F.floor((small + large) * (100 - PERCENT) / (100 + PERCENT))
+    odd = (1 - F.exp(-2.0 * most / SKETCH_BITS)) / 2
+    usual = SKETCH_BITS * odd + 6 * F.sqrt(SKETCH_BITS * odd * (1 - odd))
+    return (small * 100 >= large * PERCENT) & (bits <= F.least(most, usual))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -164,8 +169,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents with equal shingle sets form a class, which its smallest doc_id represents; only representatives are
     compared. In a table's bucket all are first compared with the smallest one; the links found are contracted, and then
     only members of different components are compared with each other, so that no link between components is lost and
-    a bucket of copies makes as many pairs as it has members. Sketches and sizes rule out most unlike pairs before the
-    full sets confirm the rest.
+    a bucket of copies makes as many pairs as it has members. Sketches and sizes rule out unlike pairs inside the
+    joins, before the full sets confirm the rest.
 
     Defined cases: null and empty texts and such without words have an empty set and are their own component; a text of
     fewer than five words is one shingle; equal rows link; rows of one doc_id with different texts link through that id;
@@ -173,12 +178,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marks = written(signatures(docs), "signatures")
     full = marks.where("n_shingles > 0 and doc_id is not null")
-    same = [F.min(c).alias(c) for c in ("n_shingles", "sketch_hi", "sketch_lo", *SUB)]  # equal within a class
+    same = [F.min(c).alias(c) for c in ("n_shingles", *SKETCH, *SUB)]  # equal within a class
     classes = written(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), *same), "classes")
     keys = written(shared_keys(classes), "keys")
     heads = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "center")
     buckets = written(keys.join(heads, "key"), "buckets")
-    facts = classes.select("rep", F.col("n_shingles").alias("n"), F.col("sketch_hi").alias("hi"), F.col("sketch_lo").alias("lo"))
+    facts = classes.select("rep", F.col("n_shingles").alias("n"), *SKETCH)
     facts = facts.dropDuplicates(["rep"])
     named = lambda p: facts.select(*[F.col(c).alias(p if c == "rep" else f"{p}_{c}") for c in facts.columns])
     star = buckets.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
@@ -190,8 +195,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = member.join(facts, "rep")
     mixed_keys = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "low")
     member = written(member.join(written(mixed_keys, "mixed"), "key"), "members")
-    other = member.where("part <> low").select("key", F.col("part").alias("a_part"), F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"))
-    every = member.select("key", "low", F.col("part").alias("b_part"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
+    side = lambda p: [F.col(c).alias(p if c == "rep" else f"{p}_{c}") for c in ("rep", "part", "n", *SKETCH)]
+    other = member.where("part <> low").select("key", *side("a"))
+    every = member.select("key", "low", *side("b"))
     once = (F.col("b_part") == F.col("low")) | (F.col("a") < F.col("b"))
     cross = other.join(every, (other["key"] == every["key"]) & (F.col("a_part") != F.col("b_part")) & once & likely("a", "b"))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
