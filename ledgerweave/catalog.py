@@ -1,5 +1,5 @@
 """The modules whose QUERIES are registered in __spark_entry__.py."""
 
-from .operators import descriptions, lines, segments, statements, transactions
+from .operators import descriptions, ledger, lines, segments, statements, transactions
 
-MODULES = (transactions, lines, descriptions, segments, statements)
+MODULES = (transactions, lines, descriptions, segments, statements, ledger)
