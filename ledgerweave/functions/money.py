@@ -110,7 +110,7 @@ def amount_line(line: Column) -> Column:
 def card_amount(rest: Column) -> Column:
     """struct(cents, credit): the dollar amount of a card line's rest, else its last amount; credit if negative or before CR."""
     dollar, last = inline_dollar(rest), last_of(scan_money(rest))
-    tail = F.substring_index(rest, last["text"], -1)
+    tail = F.split_part(rest, last["text"], F.lit(-1))
     plain = F.struct(last["cents"].alias("cents"), ((last["cents"] < 0) | tail.rlike(r"(?i)\bcr\b")).alias("credit"))
     return F.when(dollar.isNotNull(), F.struct(dollar.alias("cents"), (dollar < 0).alias("credit"))).when(last.isNotNull(), plain)
 

@@ -245,7 +245,7 @@ def parse_line(rows: DataFrame) -> DataFrame:
     end = F.position(F.col("token"), line) + F.length("token")
     after = F.substr(line, end, F.length(line))
     first_after = F.size(money.scan_money(after))
-    head = F.when(first_after > 0, F.substring_index(after, F.element_at(money.scan_money(after), 1)["text"], 1)).otherwise(after)
+    head = F.when(first_after > 0, F.split_part(after, F.element_at(money.scan_money(after), 1)["text"], F.lit(1))).otherwise(after)
     several = F.size("m") >= 2
     amount = F.when(several, F.element_at("m", -2)["cents"]).otherwise(F.element_at("m", 1)["cents"])
     direction = F.when(amount < 0, "debit").otherwise(text.direction_from_words(line))
