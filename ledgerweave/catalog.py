@@ -1,5 +1,5 @@
 """The modules whose QUERIES are registered in __spark_entry__.py."""
 
-from .operators import builders, descriptions, ledger, lines, segments, statements, transactions
+from .operators import builders, descriptions, layout, ledger, lines, segments, statements, transactions
 
-MODULES = (transactions, lines, descriptions, segments, statements, ledger, builders)
+MODULES = (transactions, lines, descriptions, segments, statements, ledger, builders, layout)
