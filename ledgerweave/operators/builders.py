@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import dates, money, text
 from ..functions import patterns as P
+from ..session import materialised
 from ..sources.derived import CREDIT_TYPES, TX_SQL, sql, transactions
 from .lines import balance_line, bank_balances, bank_classes, card_balances, card_classes, card_section
 from .segments import sign_rows
@@ -362,12 +363,12 @@ def card_statement(tx: DataFrame) -> DataFrame:
 
 
 def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = transactions(spark, sf_dir)
-    return bank_rows(bank_statement(tx)).select("statement_id", "seq", "date", "description", "debit_c", "credit_c", "balance_c", "solved")
+    body = materialised(bank_statement(transactions(spark, sf_dir)), "body")
+    return bank_rows(body).select("statement_id", "seq", "date", "description", "debit_c", "credit_c", "balance_c", "solved")
 
 
 def _card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = card_rows(card_statement(transactions(spark, sf_dir)))
+    rows = card_rows(materialised(card_statement(transactions(spark, sf_dir)), "body"))
     seq = F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no"))
     return rows.select("statement_id", seq.alias("seq"), "date", "description", "debit_c", "credit_c")
 

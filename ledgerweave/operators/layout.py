@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..session import materialised
 from ..sources.derived import TX_SQL, sql, transactions
 from .builders import amount_text
 from .ledger import fold
@@ -173,7 +174,7 @@ def region_rows(grid: DataFrame, year: int | None) -> DataFrame:
 
 def coordinate_rows(items: DataFrame, year: int | None = None) -> DataFrame:
     """Transactions of all headed tables of positioned statements."""
-    lines = visual_lines(items)
+    lines = materialised(visual_lines(items), "visual")
     heads = header_columns(lines)
     order = Window.partitionBy("statement_id").orderBy("line_no")
     heads = heads.withColumn("region", F.row_number().over(order).cast("long"))

@@ -11,6 +11,7 @@ from ..functions import dates, text
 from ..functions import patterns as P
 from ..operators import builders, layout, lines, statements
 from ..operators.transactions import carry_forward
+from ..session import materialised
 from ..sources.derived import TX_SQL, sql, transactions
 
 ROW = ("statement_id", "seq", "date", "description", "debit_c", "credit_c", "balance_c", "confidence")
@@ -40,7 +41,7 @@ def facts_of(body: DataFrame) -> DataFrame:
 
 def candidates(body: DataFrame, facts: DataFrame, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of all readings, balances of all readings). Only statements with a layout's signals are read that way."""
-    full = body.join(facts, "statement_id")
+    full = materialised(body.join(facts, "statement_id"), "lines")  # every reading scans it
     card, bank = full.where("looks_card"), full.where("looks_bank")
     card_ends, bank_ends = lines.card_balances(card), lines.bank_balances(bank)
     scoped = lines.scope_block(bank.select("statement_id", "line_no", "line", "year")).where("scoped").select("statement_id", "line_no", "line", "year")
@@ -57,6 +58,7 @@ def candidates(body: DataFrame, facts: DataFrame, items: DataFrame | None = None
         readings.insert(0, (layout.coordinate_rows(items), 0, "coordinate-table", "coordinate-table", "bank-account", bank_ends))
     rows = reduce(DataFrame.unionByName, [_rows(*r[:5]) for r in readings])
     ends = reduce(DataFrame.unionByName, [r[5].withColumn("cand_no", F.lit(r[1])) for r in readings])
+    rows = materialised(rows, "readings")
     last = rows.where("cand_no in (0, 3, 4)").groupBy("statement_id", "cand_no").agg(F.max_by("balance_c", F.when(F.col("balance_c").isNotNull(), F.col("seq"))).alias("last_c"))
     ends = ends.join(last, ["statement_id", "cand_no"], "left")
     return rows, ends.withColumn("closing_c", F.coalesce("closing_c", "last_c")).drop("last_c")
@@ -68,8 +70,10 @@ def parse_statements(body: DataFrame, items: DataFrame | None = None) -> tuple[D
     Every reading is reconciled and scored; the best is kept, dates are carried forward on bank rows, categories and
     reference codes leave the descriptions, and the result is validated.
     """
-    facts = facts_of(body)
+    body = materialised(body.select("statement_id", "line_no", "line"), "body")
+    facts = materialised(facts_of(body), "facts")
     rows, ends = candidates(body, facts, items)
+    ends = materialised(ends, "balances")
     sums = rows.groupBy("statement_id", "cand_no", "name", "source", "mode").agg(
         F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("credit_c"), F.lit(0)).alias("total_credits_c"), F.coalesce(F.sum("debit_c"), F.lit(0)).alias("total_debits_c"),
         F.count_if((F.trim("date") == "") | (F.trim("description") == "") | (F.col("debit_c").isNull() & F.col("credit_c").isNull())).alias("junk"), F.count_if(F.col("confidence") < statements.LOW_CONFIDENCE).alias("low_confidence"),
@@ -77,8 +81,8 @@ def parse_statements(body: DataFrame, items: DataFrame | None = None) -> tuple[D
     scored = statements.score(sums.join(ends, ["statement_id", "cand_no"]).join(facts.select("statement_id", "sectioned"), "statement_id"))
     best = statements.pick(scored)
     kept = rows.join(best.select("statement_id", "cand_no"), ["statement_id", "cand_no"])
-    carried = carry_forward(kept)
-    kept = carried.withColumn("date", F.when(F.col("mode") == "bank-account", F.col("date")).otherwise(F.col("date")))
+    bank = carry_forward(kept.where("mode = 'bank-account'")).drop("inherited")
+    kept = bank.unionByName(kept.where("mode <> 'bank-account'"))
     transfer = text.normalize_transfer(F.col("description"))
     split = text.split_category(transfer["description"])
     final = kept.select("statement_id", "seq", "date", F.when(F.col("mode") == "credit-card", split["description"]).otherwise(transfer["description"]).alias("description"), F.when(F.col("mode") == "credit-card", split["category"]).otherwise("").alias("category"), "debit_c", "credit_c", "balance_c", "confidence", F.lit(None).cast("string").alias("warning"))

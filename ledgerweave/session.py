@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the session names, else a temporary one (tests, local mode)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        folder = f"file://{tempfile.mkdtemp(prefix='ledgerweave-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again, for a result that several branches of a plan read."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

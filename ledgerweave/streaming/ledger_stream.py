@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import CONVERSIONS, PREVIEW_HOURS, WINDOWS
-from ..session import table
+from ..session import shared_folder, table
 from ..sources.derived import sql
 
 OUT = "event_id long, window_start timestamp, window_attempts int, window_pages long"
@@ -49,8 +49,7 @@ def charges_once(requests: DataFrame, delay: str = "30 days") -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream yields from what is there now, as a table in the shared folder."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streams"
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
