@@ -1,8 +1,8 @@
 """The modules whose QUERIES are registered in __spark_entry__.py."""
 
-from .operators import builders, descriptions, layout, ledger, lines, segments, statements, transactions
+from .operators import builders, descriptions, evidence, layout, ledger, lines, segments, statements, transactions
 from .plans import statement
 from .sources import sinks
 from .streaming import ledger_stream
 
-MODULES = (transactions, lines, descriptions, segments, statements, ledger, builders, layout, statement, sinks, ledger_stream)
+MODULES = (transactions, lines, descriptions, segments, statements, ledger, builders, layout, evidence, statement, sinks, ledger_stream)
