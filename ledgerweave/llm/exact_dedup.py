@@ -50,7 +50,8 @@ def exact_duplicates(
         live = written(live, "digests")
         full = live
     groups = live.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.where("group_size > 1")
+    # written, so that the join below has an exchange of its own on either side and a hot hash can be split
+    groups = written(groups.where("group_size > 1"), "groups")
     answer = full.join(groups, "sha", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
