@@ -39,6 +39,13 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in slices of few rows, so that a task turns only these into Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def with_package(spark: SparkSession) -> None:
     """Let Python workers import this package where neither PYTHONPATH nor the working directory has it."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(ledgerweave.__file__)))

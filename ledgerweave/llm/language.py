@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_package, written
+from .common import slices, with_package, written
 
 DIM = 1024
 #: Letter codes: 0 stands for anything but letters, 1 to 26 for a to z; other letters share the rest by a hash.
@@ -103,7 +103,7 @@ def fit_prototypes(texts: DataFrame) -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(sums[grams])], ["lang", "gram", "weight"])
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = trigrams(text)
                 if len(grams):
@@ -147,21 +147,19 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     matrix = matrix / np.where(norms > 0, norms, 1)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for lo in range(0, len(texts), 256):
-                grams = [trigrams(t) for t in texts[lo : lo + 256]]
-                bundled = vectors().bundle(grams).astype(np.float64)
-                lengths = np.linalg.norm(bundled, axis=1)
-                cosine = bundled @ matrix.T / np.where(lengths > 0, lengths, 1)[:, None]
-                found = np.array([len(g) > 0 for g in grams]) & (len(names) > 0)
-                best = cosine.argmax(axis=1) if names else np.zeros(len(grams), int)
-                lang = [names[k] if ok else UNKNOWN for k, ok in zip(best, found, strict=True)]
-                score = np.where(found, np.clip(cosine[np.arange(len(grams)), best] if names else 0.0, 0.0, 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(grams)), batch.column(1).slice(lo, len(grams)), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    ["doc_id", "held_out", "lang_pred", "score"],
-                )
+        for batch in slices(batches, 256):
+            grams = [trigrams(t) for t in batch.column(2).to_pylist()]
+            bundled = vectors().bundle(grams).astype(np.float64)
+            lengths = np.linalg.norm(bundled, axis=1)
+            cosine = bundled @ matrix.T / np.where(lengths > 0, lengths, 1)[:, None]
+            found = np.array([len(g) > 0 for g in grams]) & (len(names) > 0)
+            best = cosine.argmax(axis=1) if names else np.zeros(len(grams), int)
+            lang = [names[k] if ok else UNKNOWN for k, ok in zip(best, found, strict=True)]
+            score = np.where(found, np.clip(cosine[np.arange(len(grams)), best] if names else 0.0, 0.0, 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                ["doc_id", "held_out", "lang_pred", "score"],
+            )
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 

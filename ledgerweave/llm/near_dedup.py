@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, connected_components, with_package, written
+from .common import BROADCAST_ROWS, broadcast_if_small, connected_components, slices, with_package, written
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -26,7 +26,7 @@ SEED = 20240229
 #: Bits of a parity sketch: each shingle flips one, so two sketches differ in at most as many bits as their sets in elements.
 SKETCH_BITS = 1024
 #: Word hashes that a Python worker remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 SUB = [f"{side}{k}" for side in "ab" for k in range(GROUPS)]
 SKETCH = [f"p{k}" for k in range(SKETCH_BITS // 64)]
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes, multipliers = WordHashes(), seeds(2 * GROUPS * ROWS)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shingles = shingle_set(text, hashes)
@@ -142,7 +142,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             made = [shingle_set(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "shingles"])
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_package, written
+from .common import slices, with_package, written
 from .tokens import packed_ids, word_ids
 
 LIMIT = 2048
@@ -33,21 +33,20 @@ def cut(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> Da
 
     def pieces(batches):
         memo, separator = word_ids(vocabulary), np.asarray([SEPARATOR], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1024):
-                memo.fill([t for t in texts[at : at + 1024] if t])
-                out = []
-                for doc, text in zip(ids[at : at + 1024], texts[at : at + 1024], strict=True):
-                    packed = packed_ids(text, memo) + separator
-                    for k, lo in enumerate(range(0, len(packed), 4 * limit)):
-                        part = packed[lo : lo + 4 * limit]
-                        out.append((doc, k, lo // 4, len(part) // 4, zlib.crc32(part)))
-                columns = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
-                )
+            memo.fill([t for t in texts if t])
+            out = []
+            for doc, text in zip(ids, texts, strict=True):
+                packed = packed_ids(text, memo) + separator
+                for k, lo in enumerate(range(0, len(packed), 4 * limit)):
+                    part = packed[lo : lo + 4 * limit]
+                    out.append((doc, k, lo // 4, len(part) // 4, zlib.crc32(part)))
+            columns = list(zip(*out, strict=True))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(pieces, PIECES)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_package
+from .common import slices, with_package
 
 MODEL = "piece_bpe_32k.model"
 #: Units (a word with the spaces before it) whose ids a worker remembers.
@@ -241,31 +241,29 @@ def encode_pieces(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids"
 
     def run(batches):
         held = pieces(model)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                part = texts[lo : lo + 512]
-                columns: dict[str, list] = {name: [] for name in outputs}
-                for text, (ids, decimal) in zip(part, held.encode([t or b"" for t in part]), strict=True):
-                    begins, ends = held.spans(text or b"", ids)
-                    decoded = held.library.decode(ids.tolist()) if "decoded" in columns or "decoded_sha256" in columns else ""
-                    row = {
-                        "n_tokens": len(ids),
-                        "ids": ids,
-                        "begins": begins,
-                        "ends": ends,
-                        "decoded": decoded,
-                        "covered_bytes": int((ends - begins).sum()),
-                    }
-                    if "ids_sha256" in columns:
-                        row["ids_sha256"] = hashlib.sha256(decimal).hexdigest()
-                    if "decoded_sha256" in columns:
-                        row["decoded_sha256"] = hashlib.sha256(decoded.encode()).hexdigest()
-                    for name in outputs:
-                        columns[name].append(row[name])
-                arrays = [batch.column(0).slice(lo, len(part))]
-                arrays += [pa.array(columns[name], kind) for name, (_, kind) in zip(outputs, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *outputs])
+        for batch in slices(batches, 512):
+            part = batch.column(1).to_pylist()
+            columns: dict[str, list] = {name: [] for name in outputs}
+            for text, (ids, decimal) in zip(part, held.encode([t or b"" for t in part]), strict=True):
+                begins, ends = held.spans(text or b"", ids)
+                decoded = held.library.decode(ids.tolist()) if "decoded" in columns or "decoded_sha256" in columns else ""
+                row = {
+                    "n_tokens": len(ids),
+                    "ids": ids,
+                    "begins": begins,
+                    "ends": ends,
+                    "decoded": decoded,
+                    "covered_bytes": int((ends - begins).sum()),
+                }
+                if "ids_sha256" in columns:
+                    row["ids_sha256"] = hashlib.sha256(decimal).hexdigest()
+                if "decoded_sha256" in columns:
+                    row["decoded_sha256"] = hashlib.sha256(decoded.encode()).hexdigest()
+                for name in outputs:
+                    columns[name].append(row[name])
+            arrays = [batch.column(0)]
+            arrays += [pa.array(columns[name], kind) for name, (_, kind) in zip(outputs, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *outputs])
 
     schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} {k}" for n, (k, _) in zip(outputs, kinds, strict=True))])
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_package, written
+from .common import slices, with_package, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters before and after a span that the context labeler reads.
@@ -151,7 +151,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         names = [f.name for f in item]
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[dict(zip(names, c, strict=True)) for c in candidates(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(item))], ["doc_id", "found"])
 
@@ -278,7 +278,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return "".join([*out, text[done:]])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [clean(t) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             if counted is not None:

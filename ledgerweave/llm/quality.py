@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_package, written
+from .common import slices, with_package, written
 
 #: Labelled rows that the model is fitted on at most; the rest have larger hashes of their doc_id.
 MAX_ROWS = 40_000
@@ -75,7 +75,7 @@ def with_features(docs: DataFrame) -> DataFrame:
     with_package(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "held_out", "x"])
 

@@ -11,13 +11,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_package
+from .common import slices, with_package
 from .transducer import CLOSING, Transducer, transducer
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 #: Words whose counts a worker remembers.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 550_000
 #: A word of more symbols is read in chunks.
 CHUNK = 4096
 # Fixed values of the vocabulary's file: its special strings, its splitting pattern.
@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, limit: int = TOKEN_LIMIT, vocabulary: str = VO
 
     def count(batches):
         counts = word_counts(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             tokens = []
             for text in batch.column(1).to_pylist():
                 counts.machine.trim()

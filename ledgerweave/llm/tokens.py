@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 
 #: Words whose ids a Python worker remembers; the memo starts afresh when it is full.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 550_000
 #: Words given to the library at once.
 CALL_WORDS = 1024
 
