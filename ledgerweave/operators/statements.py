@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..session import table
-from ..sources.derived import HEAD_SQL, TX_SQL, headers, sql, transactions
+from ..sources.derived import HEAD_SQL, LINES_SQL, TX_SQL, headers, sql, text_lines, transactions
 from .transactions import EDITED, LOW_CONFIDENCE, edited_rows, reconcile, warnings_of
 
 #: Cents from which a printed total means activity. Fixed value.
@@ -372,8 +372,6 @@ def section_tokens(labels: Column) -> Column:
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.derived import text_lines
-
     rows = text_lines(transactions(spark, sf_dir)).groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return rows.select("statement_id", F.array_join(section_tokens(F.col("l.line")), ",").alias("sections"))
 
@@ -501,7 +499,12 @@ FROM (SELECT *, CASE WHEN statement_id % 2 = 0 THEN closing_c ELSE opening_c END
     ),
     "section_tokens": (
         _sections,
-        None,
+        sql(TX_SQL, LINES_SQL, select="""
+, t AS (SELECT statement_id, line_no, CASE WHEN regexp_matches(low, 'payment') AND NOT regexp_matches(low, 'due|minimum|coupon|option|enclosed|slip') THEN 'payments' """
+            + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{n}'" for n, p in TRANSACTION_SECTIONS)
+            + """ END AS tok FROM (SELECT *, lower(line) AS low FROM lines WHERE line_no <= 30)),
+f AS (SELECT statement_id, tok, min(line_no) AS at_ FROM t GROUP BY ALL)
+SELECT statement_id, coalesce(string_agg(tok, ',' ORDER BY at_) FILTER (WHERE tok IS NOT NULL), '') AS sections FROM f GROUP BY statement_id"""),
     ),
     "sanitize_rows": (
         _answers,
