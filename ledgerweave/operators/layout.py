@@ -336,7 +336,7 @@ SELECT key, CAST(zone AS INT) AS zone, CAST(max(total) AS BIGINT) AS total, CAST
 p AS (SELECT *, lag(page) OVER w AS ppage, lag(bank) OVER w AS pbank, lag(cat) OVER w AS pcat, lag(deb) OVER w AS pdeb, lag(dc) OVER w AS pdc FROM t WINDOW w AS (PARTITION BY statement_id ORDER BY pos)),
 r AS (SELECT *, CASE WHEN ppage IS NULL THEN 'first' WHEN bank <> pbank THEN 'kind-mismatch' WHEN deb <> pdeb THEN 'columns-mismatch'
   WHEN NOT (cat = pcat AND abs(dc - pdc) <= 30) AND abs(dc - pdc) > 50 THEN 'centers-misaligned' WHEN page < ppage OR page - ppage > 1 THEN 'page-gap' WHEN row_no % 23 = 0 THEN 'hard-stop' WHEN bank AND row_no % 29 = 0 THEN 'new-account' END AS reason FROM p)
-SELECT row_no, nullif(reason, 'first') AS reason, sum(CAST(reason IS NOT NULL AS INT)) OVER (PARTITION BY statement_id ORDER BY pos) AS team FROM r"""),
+SELECT row_no, nullif(reason, 'first') AS reason, CAST(sum(CAST(reason IS NOT NULL AS INT)) OVER (PARTITION BY statement_id ORDER BY pos) AS BIGINT) AS team FROM r"""),
     ),
     "column_kinds": (
         _kinds,
