@@ -85,6 +85,56 @@ def diagnostics(raw: DataFrame) -> DataFrame:
     return raw.select("id", n.alias("rows"), code.alias("code"), ((n == 0) | code.isNull()).alias("flagged"))
 
 
+# Wordings of sections that hold no transactions, the first that matches wins.
+OTHER_SECTIONS = (
+    ("minimum-payment", "minimum payment"),
+    ("amount-due", "amount due|amount past due|new balance"),
+    ("payment-due", "payment due|due date"),
+    ("remittance", r"remittance|payment slip|tear[\s-]?off"),
+    ("payment-coupon", "coupon"),
+    ("payment-options", "payment option"),
+    ("account-summary", "account summary|statement summary"),
+    ("rewards", "reward|points"),
+    ("spend-report", "spend report|spend categor"),
+    ("cashback", "cash ?back|gift certificate|certificate"),
+    ("legal", "legal|disclosure|terms"),
+    ("message", "message|notice"),
+    ("marketing", "marketing|promo|offer"),
+    ("summary", "summary|total"),
+)
+
+
+def other_section(label: Column) -> Column:
+    """The fixed name of a section without transactions, or null."""
+    low = F.lower(label)
+    out = F.when(low.rlike(OTHER_SECTIONS[0][1]), OTHER_SECTIONS[0][0])
+    for name, pattern in OTHER_SECTIONS[1:]:
+        out = out.when(low.rlike(pattern), name)
+    return out
+
+
+def day_first(texts: DataFrame, key: str, body: str) -> DataFrame:
+    """key, day_first: true or false where the numeric dates of a key's texts are evidence for one order only, else null."""
+    token = r"\b(\d{1,2})[/-](\d{1,2})\b"
+    pair = F.arrays_zip(F.regexp_extract_all(body, F.lit(token), F.lit(1)).alias("a"), F.regexp_extract_all(body, F.lit(token), F.lit(2)).alias("b"))
+    each = texts.select(key, F.explode(pair).alias("p")).select(key, F.col("p.a").cast("int").alias("a"), F.col("p.b").cast("int").alias("b"))
+    votes = each.groupBy(key).agg(F.count_if((F.col("a") > 12) & (F.col("b") <= 12)).alias("day"), F.count_if((F.col("b") > 12) & (F.col("a") <= 12)).alias("month"))
+    return votes.select(key, F.when((F.col("day") > 0) & (F.col("month") == 0), True).when((F.col("month") > 0) & (F.col("day") == 0), False).alias("day_first"))
+
+
+def rows_by_page(lines: DataFrame) -> DataFrame:
+    """statement_id, pages: map of page to how many of its lines hold both a date and money."""
+    tx = F.col("line").rlike(P.PAGE_DATE) & F.col("line").rlike(P.PAGE_MONEY)
+    counts = lines.where(tx).groupBy("statement_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("statement_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page", "n")))).alias("pages"))
+
+
+def _day_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_custkey")
+    form = F.when(k % 2 == 0, F.date_format("o_orderdate", "d/M")).otherwise(F.date_format("o_orderdate", "M/d"))
+    return day_first(table(spark, sf_dir, "orders").select((k * 100 + F.month("o_orderdate")).alias("customer"), F.concat(F.lit("on "), form, F.lit(" paid")).alias("body")), "customer", "body")
+
+
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_roles(text_lines(transactions(spark, sf_dir)))
 
@@ -127,6 +177,22 @@ SELECT statement_id, array_to_string(shown_, ',') AS shown, CAST(len(shown_) AS
 , g AS (SELECT statement_id, max(page) AS last, (list_sort(coalesce(list(page) FILTER (WHERE role = 'transactions'), [])))[1:4] AS tx FROM roles GROUP BY 1),
 r AS (SELECT statement_id, CASE WHEN len(tx) > 0 THEN flatten(list_transform(tx, lambda p: ['p' || p || '-top', 'p' || p || '-bottom'])) WHEN last = 1 THEN ['p1-top', 'p1-bottom'] ELSE ['p1-top', 'p1-bottom', 'p' || last || '-bottom'] END AS regs FROM g)
 SELECT statement_id, CAST(i - 1 AS INT) AS rank, regs[i] AS region FROM (SELECT statement_id, regs, unnest(generate_series(1, len(regs))) AS i FROM r)"""),
+    ),
+    "other_sections": (
+        lambda s, d: text_lines(transactions(s, d)).select("statement_id", "line_no", other_section(F.col("line")).alias("section")).where("section is not null"),
+        sql(TX_SQL, LINES_SQL, select="SELECT * FROM (SELECT statement_id, line_no, CASE " + " ".join(f"WHEN regexp_matches(lower(line), '{p}') THEN '{n}'" for n, p in OTHER_SECTIONS) + " END AS section FROM lines) WHERE section IS NOT NULL"),
+    ),
+    "day_first_votes": (
+        _day_first,
+        """WITH t AS (SELECT o_custkey * 100 + month(o_orderdate) AS customer, CASE WHEN o_custkey % 2 = 0 THEN day(o_orderdate) ELSE month(o_orderdate) END AS a, CASE WHEN o_custkey % 2 = 0 THEN month(o_orderdate) ELSE day(o_orderdate) END AS b FROM orders),
+v AS (SELECT customer, count(*) FILTER (WHERE a > 12 AND b <= 12) AS d, count(*) FILTER (WHERE b > 12 AND a <= 12) AS m FROM t GROUP BY customer)
+SELECT customer, CASE WHEN d > 0 AND m = 0 THEN TRUE WHEN m > 0 AND d = 0 THEN FALSE END AS day_first FROM v""",
+    ),
+    "rows_by_page": (
+        lambda s, d: rows_by_page(text_lines(transactions(s, d))).select("statement_id", F.size("pages").alias("n_pages"), F.to_json("pages").alias("pages")),
+        sql(TX_SQL, LINES_SQL, select=f"""
+, c AS (SELECT statement_id, page, count(*) AS n FROM lines WHERE {m(P.PAGE_DATE)} AND {m(P.PAGE_MONEY)} GROUP BY ALL)
+SELECT statement_id, CAST(count(*) AS INT) AS n_pages, '{{' || string_agg('"' || page || '":' || n, ',' ORDER BY page) || '}}' AS pages FROM c GROUP BY statement_id"""),
     ),
     "credit_notes": (
         _notes,

@@ -265,7 +265,7 @@ def _visual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items assigned to the columns of one header, by center."""
-    items = positioned(transactions(spark, sf_dir).where("seq <= 40")).where("y < 745").withColumn("c", F.col("x") + F.col("width") / 2)
+    items = positioned(transactions(spark, sf_dir)).where("y < 745").withColumn("c", F.col("x") + F.col("width") / 2)
     cols = spark.createDataFrame([(m, x + len(TITLES[m]) * 2.6) for m, x in PLACES], "meaning string, center double").withColumn("one", F.lit(1))
     b = bounds(cols, ["one"])
     return items.join(F.broadcast(b), (F.col("c") >= F.col("lo")) & (F.col("c") < F.col("hi"))).groupBy("statement_id", "meaning").agg(F.count(F.lit(1)).alias("n"))  # five fixed columns
@@ -277,13 +277,13 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables derived from events: each tenth event is a table of a user, with the layout its number implies."""
+    """Tables derived from events: each event is a table of a user, with the layout its number implies."""
     n = F.col("row_no")
     col = lambda m, c: F.struct(F.lit(m).alias("meaning"), (c if isinstance(c, Column) else F.lit(c)).cast("double").alias("center"))
     move = F.when(n % 7 == 0, 40.0).when(n % 11 == 0, 60.0).otherwise(0.0)
     base = F.array(col("date", F.lit(40.0) + move), col("description", F.lit(140.0)), col("amount", F.lit(430.0)))
     columns = F.when(n % 5 == 0, F.concat(base, F.array(col("category", F.lit(300.0))))).when(n % 13 == 0, F.array(col("date", 40.0), col("description", 140.0), col("debit", 430.0))).otherwise(base)
-    t = transactions(spark, sf_dir).where("seq % 4 = 0").select("statement_id", "row_no", F.col("seq").alias("pos"), F.floor(F.col("seq") / 6 + (n % 17 == 0).cast("int") * 2).cast("int").alias("page"), F.when(n % 19 == 0, "bank-account").otherwise("credit-card").alias("kind"), columns.alias("columns"), (n % 23 == 0).alias("barrier"), (n % 29 == 0).alias("opening"))
+    t = transactions(spark, sf_dir).select("statement_id", "row_no", F.col("seq").alias("pos"), F.floor(F.col("seq") / 6 + (n % 17 == 0).cast("int") * 2).cast("int").alias("page"), F.when(n % 19 == 0, "bank-account").otherwise("credit-card").alias("kind"), columns.alias("columns"), (n % 23 == 0).alias("barrier"), (n % 29 == 0).alias("opening"))
     return stitch(t).select("row_no", "reason", F.col("group").alias("team"))
 
 
@@ -314,8 +314,8 @@ SELECT statement_id, seq, last_value(own IGNORE NULLS) OVER (PARTITION BY statem
     "assign_cells": (
         _assign,
         sql(TX_SQL, select="""
-, s AS (SELECT *, format('{:,}', amount_c // 100) AS a, format('{:,}', running_c // 100) AS r FROM tx WHERE seq <= 40),
-i AS (SELECT statement_id, 20.0 + greatest(8, 10 * 5.2) / 2 AS c FROM s WHERE seq % 3 = 1 OR seq = 1 UNION ALL SELECT statement_id, 100.0 + greatest(8, length(event_type) * 5.2) / 2 FROM s
+, s AS (SELECT *, format('{:,}', amount_c // 100) AS a, format('{:,}', running_c // 100) AS r FROM tx),
+i AS (SELECT statement_id, 20.0 + greatest(8, 10 * 5.2) / 2 AS c FROM s WHERE seq % 3 = 1 OR (seq - 1) % 40 = 0 UNION ALL SELECT statement_id, 100.0 + greatest(8, length(event_type) * 5.2) / 2 FROM s
   UNION ALL SELECT statement_id, CASE WHEN debit_c IS NOT NULL THEN 330.0 ELSE 425.0 END + greatest(8, (length(a) + 3) * 5.2) / 2 FROM s
   UNION ALL SELECT statement_id, 500.0 + greatest(8, (length(r) + 3) * 5.2) / 2 FROM s WHERE seq % 3 <> 1 UNION ALL SELECT statement_id, 100.0 + 14 * 5.2 / 2 FROM s WHERE seq % 5 = 0)
 SELECT statement_id, CASE """ + " ".join(f"WHEN c < {(_CENTERS[PLACES[k][0]] + _CENTERS[PLACES[k + 1][0]]) / 2} THEN '{PLACES[k][0]}'" for k in range(4)) + " ELSE 'balance' END AS meaning, count(*) AS n FROM i GROUP BY ALL"),
@@ -332,7 +332,7 @@ SELECT key, CAST(zone AS INT) AS zone, CAST(max(total) AS BIGINT) AS total, CAST
         _stitch,
         sql(TX_SQL, select="""
 , t AS (SELECT statement_id, row_no, seq AS pos, CAST(seq // 6 AS INT) + CASE WHEN row_no % 17 = 0 THEN 2 ELSE 0 END AS page, row_no % 19 = 0 AS bank, row_no % 5 = 0 AS cat, row_no % 5 <> 0 AND row_no % 13 = 0 AS deb,
-   CASE WHEN row_no % 5 <> 0 AND row_no % 13 = 0 THEN 40.0 WHEN row_no % 7 = 0 THEN 80.0 WHEN row_no % 11 = 0 THEN 100.0 ELSE 40.0 END AS dc FROM tx WHERE seq % 4 = 0),
+   CASE WHEN row_no % 5 <> 0 AND row_no % 13 = 0 THEN 40.0 WHEN row_no % 7 = 0 THEN 80.0 WHEN row_no % 11 = 0 THEN 100.0 ELSE 40.0 END AS dc FROM tx),
 p AS (SELECT *, lag(page) OVER w AS ppage, lag(bank) OVER w AS pbank, lag(cat) OVER w AS pcat, lag(deb) OVER w AS pdeb, lag(dc) OVER w AS pdc FROM t WINDOW w AS (PARTITION BY statement_id ORDER BY pos)),
 r AS (SELECT *, CASE WHEN ppage IS NULL THEN 'first' WHEN bank <> pbank THEN 'kind-mismatch' WHEN deb <> pdeb THEN 'columns-mismatch'
   WHEN NOT (cat = pcat AND abs(dc - pdc) <= 30) AND abs(dc - pdc) > 50 THEN 'centers-misaligned' WHEN page < ppage OR page - ppage > 1 THEN 'page-gap' WHEN row_no % 23 = 0 THEN 'hard-stop' WHEN bank AND row_no % 29 = 0 THEN 'new-account' END AS reason FROM p)

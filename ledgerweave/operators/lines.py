@@ -310,6 +310,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(transactions(spark, sf_dir))
 
 
+def _sheets(spark: SparkSession, sf_dir: str, pages: int = 1) -> DataFrame:
+    """Each page (or run of pages) of the statements as a statement of its own, so that kinds and profiles vary."""
+    number = F.col("statement_id") * 1000 + F.floor((F.col("page") - 1) / pages)
+    return _lines(spark, sf_dir).withColumn("statement_id", number.cast("long"))
+
+
 def _flags(classes) -> object:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _lines(spark, sf_dir).select("statement_id", "line_no", *[c.alias(n) for n, c in classes(F.col("line")).items()])
@@ -331,6 +337,8 @@ def _shape_list(test) -> str:
     return ", ".join(str(k) for k, s in enumerate(SHAPES) if test(s)) or "-1"
 
 
+SHEETS = "sheets AS (SELECT * REPLACE (CAST(statement_id * 1000 + page - 1 AS BIGINT) AS statement_id) FROM lines)"
+SHEETS3 = "sheets AS (SELECT * REPLACE (CAST(statement_id * 1000 + (page - 1) // 3 AS BIGINT) AS statement_id) FROM lines)"
 TEXTS = "txt AS (SELECT statement_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY statement_id)"
 PAGES = "pg AS (SELECT statement_id, page, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY statement_id, page)"
 KIND = f"CASE WHEN {m(P.CARD_STRONG, 'lower(text)')} OR {count_sql('lower(text)', P.CARD_WEAK)} >= 2 THEN 'credit-card' WHEN {m(P.BANK_WORDS, 'lower(text)')} THEN 'bank-account' ELSE 'unknown' END"
@@ -356,8 +364,8 @@ FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos)
 GROUP BY doc_id""",
     ),
     "statement_kind": (
-        lambda s, d: whole_text(_lines(s, d).where("line_no <= 6")).select("statement_id", statement_kind(F.col("text")).alias("kind")),
-        sql(*LINES_ALL, TEXTS.replace("FROM lines", "FROM lines WHERE line_no <= 6"), select=f"SELECT statement_id, {KIND} AS kind FROM txt"),
+        lambda s, d: whole_text(_sheets(s, d)).select("statement_id", statement_kind(F.col("text")).alias("kind")),
+        sql(*LINES_ALL, SHEETS, TEXTS.replace("FROM lines", "FROM sheets"), select=f"SELECT statement_id, {KIND} AS kind FROM txt"),
     ),
     "document_kind": (
         lambda s, d: table(s, d, "documents").groupBy(statement_kind(F.col("text")).alias("kind"), layout_family(F.col("text")).alias("family")).agg(F.count(F.lit(1)).alias("n")),
@@ -365,15 +373,15 @@ GROUP BY doc_id""",
  WHEN {count_sql('lower(text)', P.CARD_FAMILY)} >= 2 THEN 'credit-card-table' WHEN {count_sql('lower(text)', P.BANK_FAMILY)} >= 1 THEN 'bank-account-table' ELSE 'unknown' END AS family, count(*) AS n FROM documents GROUP BY ALL""",
     ),
     "layout_family": (
-        lambda s, d: whole_text(_lines(s, d).where("line_no <= 5")).select("statement_id", layout_family(F.col("text")).alias("family")),
-        sql(*LINES_ALL, TEXTS.replace("FROM lines", "FROM lines WHERE line_no <= 5"), select=f"""
+        lambda s, d: whole_text(_sheets(s, d)).select("statement_id", layout_family(F.col("text")).alias("family")),
+        sql(*LINES_ALL, SHEETS, TEXTS.replace("FROM lines", "FROM sheets"), select=f"""
 , sc AS (SELECT statement_id, lower(text) AS low, {count_sql('lower(text)', P.CARD_FAMILY)} AS card, {count_sql('lower(text)', P.BANK_FAMILY)} AS bank FROM txt)
 SELECT statement_id, CASE WHEN ({m('withdrawals?', 'low')} AND {m('deposits?', 'low')}) OR (bank >= 2 AND bank >= card) THEN 'bank-account-table'
   WHEN card >= 2 THEN 'credit-card-table' WHEN bank >= 1 THEN 'bank-account-table' ELSE 'unknown' END AS family FROM sc"""),
     ),
     "profile_rank": (
-        lambda s, d: best_profile(whole_text(_lines(s, d).where("line_no <= 4"))),
-        sql(*LINES_ALL, TEXTS.replace("FROM lines", "FROM lines WHERE line_no <= 4"), select=f"""
+        lambda s, d: best_profile(whole_text(_sheets(s, d))),
+        sql(*LINES_ALL, SHEETS, TEXTS.replace("FROM lines", "FROM sheets"), select=f"""
 , k AS (SELECT *, {KIND} AS kind FROM txt), p AS ("""
             + " UNION ALL ".join(f"SELECT statement_id, kind, {pos} AS pos, '{name}' AS name, '{of}' AS of, {count_sql('text', marks)} AS hits FROM k" for pos, (name, of, marks) in enumerate(P.PROFILES))
             + """), r AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY hits DESC, pos) AS n FROM p WHERE kind = 'unknown' OR kind = of)
@@ -402,8 +410,8 @@ SELECT statement_id, line_no, CASE WHEN {m('(new charges|charges and credits|pur
 SELECT * FROM c WHERE section IS NOT NULL"""),
     ),
     "category_context": (
-        lambda s, d: category_context(_lines(s, d).where("line_no <= 20")),
-        sql(*LINES_ALL, select=f"SELECT statement_id, bool_or({m(P.CATEGORY_HEADER)} OR ({m(P.CATEGORY_WORD)} AND {m('(?i)\\bdescription\\b')} AND {m(P.CATEGORY_BESIDE)})) AS category_column FROM lines WHERE line_no <= 20 GROUP BY statement_id"),
+        lambda s, d: category_context(_sheets(s, d)),
+        sql(*LINES_ALL, SHEETS, select=f"SELECT statement_id, bool_or({m(P.CATEGORY_HEADER)} OR ({m(P.CATEGORY_WORD)} AND {m('(?i)\\bdescription\\b')} AND {m(P.CATEGORY_BESIDE)})) AS category_column FROM sheets GROUP BY statement_id"),
     ),
     "meaningful_pages": (
         lambda s, d: meaningful_pages(_lines(s, d)),
@@ -462,24 +470,24 @@ SELECT statement_id, line_no, abs(({_MONEY_SQL})[-1]) AS amount_c FROM lines
 WHERE {m(P.FEE_ITEM)} AND NOT {m(P.YEAR_TO_DATE)} AND NOT {m('(?i)total (?:fees|interest) (?:for this period|charged)')} AND line NOT LIKE '%\\%%' ESCAPE '\\' AND len({_MONEY_SQL}) > 0 AND amount_c >= 1"""),
     ),
     "section_scope": (
-        lambda s, d: scope_block(_lines(s, d).where("line_no <= 40")).groupBy("statement_id").agg(F.count(F.lit(1)).alias("n_lines"), F.bool_or("scoped").alias("scoped")),
-        sql(*LINES_ALL, select=f"""
+        lambda s, d: scope_block(_sheets(s, d, 3)).groupBy("statement_id").agg(F.count(F.lit(1)).alias("n_lines"), F.bool_or("scoped").alias("scoped")),
+        sql(*LINES_ALL, SHEETS3, select=f"""
 , r AS (SELECT *, sum(CAST({m(P.ANCHOR)} AS INT)) OVER (PARTITION BY statement_id ORDER BY line_no) AS block,
-   CAST(len({_MONEY_SQL}) >= 2 OR (len({_MONEY_SQL}) >= 1 AND shape IN ({_shape_list(lambda s: '{d}' in s or 'APR' in s)})) AS INT) AS tx FROM lines WHERE line_no <= 40),
+   CAST(len({_MONEY_SQL}) >= 2 OR (len({_MONEY_SQL}) >= 1 AND shape IN ({_shape_list(lambda s: '{d}' in s or 'APR' in s)})) AS INT) AS tx FROM sheets),
 c AS (SELECT statement_id, block, sum(tx) AS tx FROM r WHERE block > 0 GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY tx DESC, block) AS n, max(block) OVER (PARTITION BY statement_id) AS blocks FROM c),
 t AS (SELECT a.statement_id, a.block AS chosen FROM k a JOIN k b ON a.statement_id = b.statement_id AND a.n = 1 AND b.n = 2 WHERE a.blocks >= 2 AND a.tx > 0 AND b.tx * 4 <= a.tx)
 SELECT r.statement_id, count(*) AS n_lines, bool_or(chosen IS NOT NULL) AS scoped FROM r LEFT JOIN t USING (statement_id) WHERE chosen IS NULL OR block = chosen GROUP BY r.statement_id"""),
     ),
     "evidence_lines": (
-        lambda s, d: evidence_lines(_lines(s, d), 20).select("statement_id", "line_no", "rank"),
+        lambda s, d: evidence_lines(_lines(s, d)).select("statement_id", "line_no", "rank"),
         sql(*LINES_ALL, select=f"""
 , k AS (SELECT statement_id, line_no, row_number() OVER (PARTITION BY statement_id ORDER BY line_no) AS rank FROM lines
   WHERE len({_MONEY_SQL}) >= 2 OR (len({_MONEY_SQL}) >= 1 AND shape IN ({_shape_list(lambda s: '{d}' in s or 'APR' in s)})))
-SELECT statement_id, line_no, CAST(rank AS INT) AS rank FROM k WHERE rank <= 20"""),
+SELECT statement_id, line_no, CAST(rank AS INT) AS rank FROM k WHERE rank <= 400"""),
     ),
     "fee_formula_roundtrip": (
-        lambda s, d: _lines(s, d).where("shape = 16").select("statement_id", "line_no", money.fee_total(F.col("line")).alias("fee_c"), text.strip_fee_formula(F.regexp_replace("line", r" [\d,]+\.\d{2}$", "")).alias("label")),
+        lambda s, d: _lines(s, d).where(money.fee_total(F.col("line")).isNotNull()).select("statement_id", "line_no", money.fee_total(F.col("line")).alias("fee_c"), text.strip_fee_formula(F.regexp_replace("line", r" [\d,]+\.\d{2}$", "")).alias("label")),
         sql(*LINES_ALL, select="SELECT statement_id, line_no, CAST(250 AS BIGINT) AS fee_c, 'Regular transaction fee' AS label FROM lines WHERE shape = 16"),
     ),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money, text
 from ..session import table
 from ..sources.derived import HEAD_SQL, LINES_SQL, TX_SQL, headers, sql, text_lines, transactions
-from .transactions import EDITED, LOW_CONFIDENCE, edited_rows, reconcile, warnings_of
+from .transactions import EDITED, LOW_CONFIDENCE, edited_rows, reconcile, warnings_of, with_printed_balance
 
 #: Cents from which a printed total means activity. Fixed value.
 MEANINGFUL = 1
@@ -336,7 +336,7 @@ def supported(values: DataFrame, detected: DataFrame, tolerance: int = 1) -> Dat
 
 def _supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
-    return supported(tx.select("statement_id", "row_no", (F.col("running_c") + F.col("row_no") % 4).alias("balance_c")), tx.where("seq % 2 = 0").select("statement_id", F.col("running_c").alias("balance_c")))
+    return supported(tx.select("statement_id", "row_no", (F.col("running_c") + F.col("row_no") % 4).alias("balance_c")), with_printed_balance(tx).where("balance_c is not null").select("statement_id", "balance_c"))
 
 
 def open_close(opening: Column, closing: Column, credits_: Column, debits: Column) -> Column:
@@ -483,7 +483,7 @@ SELECT statement_id, CAST(sum(greatest(l - r, 0)) AS BIGINT) AS dropped, CAST(su
     ),
     "supported_balance": (
         _supported,
-        sql(TX_SQL, select="SELECT statement_id, row_no, running_c + row_no % 4 AS balance_c FROM tx t WHERE EXISTS (SELECT 1 FROM tx o WHERE o.seq % 2 = 0 AND o.statement_id = t.statement_id AND abs(o.running_c - (t.running_c + t.row_no % 4)) <= 1)"),
+        sql(TX_SQL, select="SELECT statement_id, row_no, running_c + row_no % 4 AS balance_c FROM tx t WHERE EXISTS (SELECT 1 FROM tx o WHERE o.seq % 3 = 0 AND o.statement_id = t.statement_id AND abs(o.running_c - (t.running_c + t.row_no % 4)) <= 1)"),
     ),
     "interest_fee_repair": (
         _fee_repair,
