@@ -147,3 +147,18 @@ def test_shards_split_only_what_is_too_large(spark, docs):
             assert sum(n for k, n in size.items() if bits[k].startswith(x.shard[:-1])) > 1000
     same = sharding.assign_shards(docs, limit_bytes=100).collect()
     assert len(same) == len(awkward_rows())
+
+
+def test_same_results_without_broadcasts(spark, docs, monkeypatch):
+    from ledgerweave.llm import common
+
+    for module in (common, exact_dedup, near_dedup):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_exact(spark, docs, True)
+        test_exact(spark, docs, False)
+        test_exact_drop_keeps_columns_and_first_rows(docs)
+        test_near_awkward(docs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
