@@ -16,6 +16,8 @@ from ..session import materialised
 from ..sources.derived import TX_SQL, sql, transactions
 from .builders import amount_text
 from .ledger import fold
+from .lines import balance_line
+from .transactions import delta_direction
 
 # Tolerances in points, and header wordings in order.
 LINE_TOLERANCE, ZONE_TOLERANCE, ALIGN, ANCHOR_ALIGN = 2.2, 18.0, 30.0, 50.0
@@ -196,6 +198,72 @@ def cluster(values: DataFrame, tolerance: float = ZONE_TOLERANCE) -> DataFrame:
     return placed.groupBy("key", "zone").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+# Items that are an amount or a date alone, lines needed, and the shares of them that make a zone a column.
+MONEY_ITEM = r"^\(?\$?\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?-?\)?$|^\(?\$?\s?\d+\.\d{2}-?\)?$"
+DATE_ITEM = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4})$"
+LEAST_LINES, MONEY_SHARE, DATE_SHARE, MOST_ZONES = 4, 0.4, 0.5, 3
+
+
+def transaction_like(lines: DataFrame) -> DataFrame:
+    """Lines before a stop that hold an amount and a date or wording, with the centers of their amounts and date."""
+    order = Window.partitionBy("statement_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    centers = lambda pattern: F.transform(F.filter("items", lambda i: F.trim(i["str"]).rlike(pattern)), lambda i: i["x"] + F.coalesce(i["width"], F.lit(0.0)) / 2)
+    rows = lines.withColumns({"stopped": F.max(F.col("text").rlike(STOP)).over(order), "amounts": centers(MONEY_ITEM), "dated": F.try_element_at(centers(DATE_ITEM), F.lit(1))})
+    worded = F.exists("items", lambda i: i["str"].rlike("[A-Za-z]{3,}"))
+    return rows.where(~F.col("stopped") & (F.size("amounts") > 0) & (F.col("dated").isNotNull() | worded) & balance_line(F.col("text")).isNull())
+
+
+def headerless_columns(lines: DataFrame) -> DataFrame:
+    """statement_id, meaning, center, first and last line of tables without a header, from zones of amounts and dates.
+
+    One zone of amounts is the amount, two are amount and balance, three debit, credit and balance; the wording lies between
+    the dates and the first of them.
+    """
+    like = transaction_like(lines)
+    size = like.groupBy("statement_id").agg(F.count(F.lit(1)).alias("lines_n"), F.min("line_no").alias("first"), F.max("line_no").alias("last")).where(F.col("lines_n") >= LEAST_LINES)
+    key = F.col("statement_id").alias("key")
+    zone = lambda v: cluster(v).select(F.col("key").alias("statement_id"), "n", (F.col("total") / F.col("n")).alias("center")).join(size, "statement_id")
+    amounts = zone(like.select(key, F.explode("amounts").alias("value"))).where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("lines_n") * MONEY_SHARE)))
+    rank = F.row_number().over(Window.partitionBy("statement_id").orderBy("center"))
+    amounts = amounts.withColumns({"rank": rank, "zones": F.count(F.lit(1)).over(Window.partitionBy("statement_id"))}).where(F.col("zones") <= MOST_ZONES)
+    names = F.when(F.col("zones") == 1, F.array(F.lit("amount"))).when(F.col("zones") == 2, F.array(F.lit("amount"), F.lit("balance"))).otherwise(F.array(F.lit("debit"), F.lit("credit"), F.lit("balance")))
+    money_columns = amounts.select("statement_id", F.element_at(names, F.col("rank")).alias("meaning"), "center", "first", "last")
+    days = zone(like.where("dated is not null").select(key, F.col("dated").alias("value"))).where(F.col("n") >= F.col("lines_n") * DATE_SHARE)
+    days = days.groupBy("statement_id").agg(F.min("center").alias("center"))
+    start = money_columns.groupBy("statement_id", "first", "last").agg(F.min("center").alias("money"))
+    words = start.join(days, "statement_id", "left").select("statement_id", F.lit("description").alias("meaning"), F.coalesce((F.col("center") + F.col("money")) / 2, F.col("money") / 2).alias("center"), "first", "last")
+    dated = start.join(days, "statement_id").select("statement_id", F.lit("date").alias("meaning"), "center", "first", "last")
+    return money_columns.unionByName(words).unionByName(dated)
+
+
+def headerless_rows(items: DataFrame, openings: DataFrame) -> DataFrame:
+    """Rows of statements without a header; single amounts are credits where the balance rose above the one before
+    (the opening balance first) and debits otherwise."""
+    lines = materialised(visual_lines(items), "visual")
+    found = materialised(headerless_columns(lines), "columns")
+    span = found.select("statement_id", "first", "last").distinct()
+    body = lines.join(span, "statement_id").where("line_no between first and last").withColumn("region", F.lit(1).cast("long"))
+    columns = found.select("statement_id", F.lit(1).cast("long").alias("region"), "meaning", "center")
+    rows = region_rows(cells(body, columns), None).join(openings, "statement_id", "left")
+    signed = delta_direction(rows)
+    credit = F.col("direction") == "credit"
+    return signed.withColumns(
+        {"debit_c": F.coalesce("debit_c", F.when(~F.coalesce(credit, F.lit(False)), F.col("amount_c"))), "credit_c": F.coalesce("credit_c", F.when(credit, F.col("amount_c")))}
+    )
+
+
+def _headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of four columns (date, wording, amount, balance) without a header."""
+    tx = transactions(spark, sf_dir)
+    y = F.lit(740.0) - 14.0 * ((F.col("seq") - 1) % ROWS_PER_PAGE)
+    item = lambda s, x, k: F.struct(s.alias("str"), F.lit(x).alias("x"), (F.length(s) * 5.2).cast("double").alias("width"), F.lit(k).alias("k"))
+    parts = F.array(item(F.col("date"), 20.0, 0), item(F.col("event_type"), 120.0, 1), item(amount_text(F.col("amount_c")), 330.0, 2), item(amount_text(F.col("running_c")), 500.0, 3))
+    items = tx.select("statement_id", F.floor((F.col("seq") - 1) / ROWS_PER_PAGE + 1).cast("int").alias("page"), F.explode(parts).alias("i"), y.alias("y"), "seq")
+    items = items.select("statement_id", "page", (F.col("seq") * 10 + F.col("i.k")).cast("int").alias("item_seq"), "i.str", "i.x", "y", "i.width")
+    openings = tx.groupBy("statement_id").agg(F.min("opening_c").alias("opening_c"))
+    return headerless_rows(items, openings).select("statement_id", "seq", "date", "description", "debit_c", "credit_c", "balance_c")
+
+
 def stitch(tables: DataFrame) -> DataFrame:
     """reason a table doesn't continue the one before it (null: it does) and the group it belongs to.
 
@@ -311,6 +379,10 @@ SELECT statement_id, count(*) + count(*) FILTER (WHERE seq % 5 = 0) + CAST(ceil(
 SELECT statement_id, seq, last_value(own IGNORE NULLS) OVER (PARTITION BY statement_id, pg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS date,
   event_type || CASE WHEN seq % 5 = 0 THEN ' of the account' ELSE '' END AS description, debit_c, credit_c, CASE WHEN seq % 3 <> 1 THEN running_c END AS balance_c FROM d"""),
     ),
+    "headerless_roundtrip": (
+        _headerless,
+        sql(TX_SQL, select="SELECT statement_id, seq, date, event_type AS description, debit_c, credit_c, running_c AS balance_c FROM tx WHERE statement_id IN (SELECT statement_id FROM tx GROUP BY 1 HAVING count(*) >= 4)"),
+    ),
     "assign_cells": (
         _assign,
         sql(TX_SQL, select="""
