@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,8 +32,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return session
 
 
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where neither PYTHONPATH nor the working directory has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
+    if root in known or os.path.abspath(os.getcwd()) == root or getattr(spark.sparkContext, "_ledgerweave_sent", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "ledgerweave"), "zip", root, "ledgerweave")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._ledgerweave_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder, by any path Spark can read."""
+    with_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
