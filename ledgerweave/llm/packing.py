@@ -34,11 +34,11 @@ def cut(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> Da
     def pieces(batches):
         memo, separator = word_ids(vocabulary), np.asarray([SEPARATOR], dtype="<u4").tobytes()
         for batch in slices(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            memo.fill([t for t in texts if t])
+            ids, texts = batch.column(0).to_pylist(), [t.split() if t else [] for t in batch.column(1).to_pylist()]
+            memo.fill(texts)
             out = []
-            for doc, text in zip(ids, texts, strict=True):
-                packed = packed_ids(text, memo) + separator
+            for doc, words in zip(ids, texts, strict=True):
+                packed = packed_ids(words, memo) + separator
                 for k, lo in enumerate(range(0, len(packed), 4 * limit)):
                     part = packed[lo : lo + 4 * limit]
                     out.append((doc, k, lo // 4, len(part) // 4, zlib.crc32(part)))

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 
 #: Words whose ids a Python worker remembers; the memo starts afresh when it is full.
-MEMO_WORDS = 550_000
+MEMO_WORDS = 700_000
 #: Words given to the library at once.
 CALL_WORDS = 1024
 
@@ -63,15 +63,15 @@ class WordIds(dict):
         packed = self[word] = np.asarray(ids, dtype="<u4").tobytes()
         return packed
 
-    def fill(self, texts: list[bytes]) -> None:
-        """Look up the unknown words of many texts in few library calls.
+    def fill(self, texts: list[list[bytes]]) -> None:
+        """Look up the unknown words of many texts, given as their words, in few library calls.
 
         Many plain words go to the library as one text; each piece of a word ends with the one token that ends a piece,
         so the ids fall apart into words by counting such tokens. Other words go one by one.
         """
         unknown = set()
         for text in texts:
-            unknown.update(text.split())
+            unknown.update(text)
         unknown.difference_update(self)
         if len(self) + len(unknown) > MEMO_WORDS:
             self.clear()
@@ -83,7 +83,8 @@ class WordIds(dict):
                 rest += [w for w, ok in zip(part, sure.tolist(), strict=True) if not ok]
                 part = [w for w, ok in zip(part, sure.tolist(), strict=True) if ok]
                 pieces = pieces[sure]
-            ids = np.asarray(library(self.name).encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ids = library(self.name).encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
+            ids = np.asarray(ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != pieces.sum():
                 rest += part
@@ -105,6 +106,6 @@ def word_ids(name: str) -> WordIds:
     return WordIds(name)
 
 
-def packed_ids(text: bytes | None, memo: WordIds) -> bytes:
-    """All ids of a text, packed."""
-    return b"".join(map(memo.__getitem__, text.split())) if text else b""
+def packed_ids(words: list[bytes], memo: WordIds) -> bytes:
+    """All ids of a text, given as its words, packed."""
+    return b"".join(map(memo.__getitem__, words))
