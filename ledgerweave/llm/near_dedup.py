@@ -1,8 +1,9 @@
 """MinHash near-dedup with tensored banding.
 
 Two small collections of sub-keys are formed, each sub-key from ROWS minhashes; a table's key is a pair of one sub-key of
-either collection. 2 x GROUPS sub-keys thus make GROUPS ** 2 tables. A pair of similarity s shares no key with probability
-at most 2 (1 - s ** ROWS) ** GROUPS: 5.5e-6 at 0.85.
+either collection. 2 x groups sub-keys thus make groups ** 2 tables. A pair of similarity s shares no key with probability
+at most 2 (1 - s ** rows) ** groups; bands() takes as many groups as keep that under MISS: 5.5e-6 at 0.85 with 10 groups of
+2, 3.4e-6 at 0.80 with 13 groups of 2.
 """
 
 from __future__ import annotations
@@ -18,19 +19,40 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, broadcast_if_small, connected_components, slices, with_package, written
 
 WORDS = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union: op8's contract, and what the pipeline's stage uses.
 PERCENT = 85
-GROUPS = 10
-ROWS = 2
+STAGE_PERCENT = 80
+#: Probability of missing a pair at the threshold, at most; where more groups would be needed, sub-keys are of one minhash, not two.
+MISS = 6e-6
+MOST_GROUPS = 13
 SEED = 20240229
 #: Bits of a parity sketch: each shingle flips one, so two sketches differ in at most as many bits as their sets in elements.
 SKETCH_BITS = 1024
 #: Word hashes that a Python worker remembers.
 MEMO_WORDS = 300_000
 
-SUB = [f"{side}{k}" for side in "ab" for k in range(GROUPS)]
 SKETCH = [f"p{k}" for k in range(SKETCH_BITS // 64)]
-SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, " + ", ".join(f"{c} long" for c in SKETCH + SUB)
+
+
+def bands(percent: int) -> tuple[int, int]:
+    """(groups, rows) of the sub-keys for a threshold."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be within 1 and 100, not {percent}")
+    for rows in (2, 1):
+        alike = (percent / 100) ** rows
+        groups = 1
+        while 2 * (1 - alike) ** groups > MISS:
+            groups += 1
+        if groups <= MOST_GROUPS:
+            break
+    return groups, rows
+
+
+GROUPS, ROWS = bands(PERCENT)
+
+
+def sub_keys(groups: int) -> list[str]:
+    return [f"{side}{k}" for side in "ab" for k in range(groups)]
 
 
 class WordHashes(dict):
@@ -68,72 +90,75 @@ def seeds(n: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def signature(shingles: np.ndarray, multipliers: np.ndarray) -> list[int]:
+def signature(shingles: np.ndarray, multipliers: np.ndarray, rows: int = ROWS) -> list[int]:
     """The words of the parity sketch, then the sub-keys."""
     minhash = np.array([mixed(shingles * m).min() for m in multipliers])
-    parts = minhash.reshape(2 * GROUPS, ROWS)
+    parts = minhash.reshape(-1, rows)
     keys = parts[:, 0]
-    for k in range(1, ROWS):
+    for k in range(1, rows):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
     at = (mixed(shingles ^ np.uint64(SEED)) % np.uint64(SKETCH_BITS)).astype(np.int64)
     parity = (np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return [*np.packbits(parity).view(">i8").tolist(), *keys.view(np.int64).tolist()]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
     with_package(docs.sparkSession)
+    groups, size = bands(percent)
+    marks = SKETCH + sub_keys(groups)
+    names = ["doc_id", "n_shingles", "set_hi", "set_lo", *marks]
 
     def run(batches):
-        hashes, multipliers = WordHashes(), seeds(2 * GROUPS * ROWS)
+        hashes, multipliers = WordHashes(), seeds(2 * groups * size)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shingles = shingle_set(text, hashes)
                 if not len(shingles):
-                    rows.append((doc, 0, 0, 0, *[0] * len(SKETCH + SUB)))
+                    rows.append((doc, 0, 0, 0, *[0] * len(marks)))
                     continue
                 whole = xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
                 high, low = np.frombuffer(whole, dtype=">i8").tolist()
-                rows.append((doc, len(shingles), high, low, *signature(shingles, multipliers)))
+                rows.append((doc, len(shingles), high, low, *signature(shingles, multipliers, size)))
             if rows:
                 columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in SIGNATURE.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def shared_keys(classes: DataFrame) -> DataFrame:
+def shared_keys(classes: DataFrame, groups: int) -> DataFrame:
     """(key, rep) of the table keys that a class can share with another: pairs of sub-keys that are both shared."""
     subs = classes.select(
-        "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.col(c).alias("value")) for k, c in enumerate(SUB)])).alias("s")
+        "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.col(c).alias("value")) for k, c in enumerate(sub_keys(groups))])).alias("s")
     ).select("rep", "s.at", "s.value")
     often = subs.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "value")
     often = written(often, "subkeys")
     kept = subs.join(broadcast_if_small(often), ["at", "value"], "left_semi")
-    lists = kept.groupBy("rep").agg(F.collect_list(F.struct("at", "value")).alias("s"))  # at most 2 * GROUPS of them
-    one = F.filter("s", lambda x: x["at"] < GROUPS)
-    two = F.filter("s", lambda x: x["at"] >= GROUPS)
+    lists = kept.groupBy("rep").agg(F.collect_list(F.struct("at", "value")).alias("s"))  # at most 2 * groups of them
+    one = F.filter("s", lambda x: x["at"] < groups)
+    two = F.filter("s", lambda x: x["at"] >= groups)
     return lists.select("rep", F.explode(one).alias("a"), two.alias("two")).select("rep", "a", F.explode("two").alias("b")).select(
         F.xxhash64("a.at", "a.value", "b.at", "b.value").alias("key"), "rep"
     )
 
 
-def likely(a: str, b: str):
+def likely(a: str, b: str, percent: int):
     """Whether two classes' sizes and sketches let them be similar enough.
 
-    Linked sets of n and m elements differ in at most d = (100 - PERCENT) (n + m) / (100 + PERCENT) elements, and their
+    Linked sets of n and m elements differ in at most d = (100 - percent) (n + m) / (100 + percent) elements, and their
     sketches in no more bits, so nothing linked is lost by that bound. Where sets are large against the sketch, the bits
     expected at d plus six standard deviations are a lower bound still.
     """
     bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in SKETCH])
     small, large = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    most = F.floor((small + large) * (100 - PERCENT) / (100 + PERCENT))
+    most = F.floor((small + large) * (100 - percent) / (100 + percent))
     odd = (1 - F.exp(-2.0 * most / SKETCH_BITS)) / 2
     usual = SKETCH_BITS * odd + 6 * F.sqrt(SKETCH_BITS * odd * (1 - odd))
-    return (small * 100 >= large * PERCENT) & (bits <= F.least(most, usual))
+    return (small * 100 >= large * percent) & (bits <= F.least(most, usual))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. Sets are made of the pairs' documents only."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -157,14 +182,14 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for one, two in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
                 common = int((np.searchsorted(x, y, side="right") - np.searchsorted(x, y)).sum())
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; texts link from a similarity of percent / 100.
 
     Documents with equal shingle sets form a class, which its smallest doc_id represents; only representatives are
     compared. In a table's bucket all are first compared with the smallest one; the links found are contracted, and then
@@ -176,19 +201,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fewer than five words is one shingle; equal rows link; rows of one doc_id with different texts link through that id;
     rows with a null doc_id are compared with nothing; other columns are ignored.
     """
-    marks = written(signatures(docs), "signatures")
+    marks = written(signatures(docs, percent), "signatures")
+    groups, _ = bands(percent)
     full = marks.where("n_shingles > 0 and doc_id is not null")
-    same = [F.min(c).alias(c) for c in ("n_shingles", *SKETCH, *SUB)]  # equal within a class
+    same = [F.min(c).alias(c) for c in ("n_shingles", *SKETCH, *sub_keys(groups))]  # equal within a class
     classes = written(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), *same), "classes")
-    keys = written(shared_keys(classes), "keys")
+    keys = written(shared_keys(classes, groups), "keys")
     heads = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "center")
     buckets = written(keys.join(heads, "key"), "buckets")
     facts = classes.select("rep", F.col("n_shingles").alias("n"), *SKETCH)
     facts = facts.dropDuplicates(["rep"])
     named = lambda p: facts.select(*[F.col(c).alias(p if c == "rep" else f"{p}_{c}") for c in facts.columns])
     star = buckets.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    star = written(star.join(named("a"), "a").join(named("b"), "b").where(likely("a", "b")).select("a", "b"), "star")
-    links = written(verified(docs, star), "links")
+    star = written(star.join(named("a"), "a").join(named("b"), "b").where(likely("a", "b", percent)).select("a", "b"), "star")
+    links = written(verified(docs, star, percent), "links")
     parts = connected_components(links)
     member = buckets.join(parts.withColumnRenamed("vertex", "rep"), "rep", "left")
     member = member.select("key", "rep", F.coalesce("component", "rep").alias("part"))
@@ -199,10 +225,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = member.where("part <> low").select("key", *side("a"))
     every = member.select("key", "low", *side("b"))
     once = (F.col("b_part") == F.col("low")) | (F.col("a") < F.col("b"))
-    cross = other.join(every, (other["key"] == every["key"]) & (F.col("a_part") != F.col("b_part")) & once & likely("a", "b"))
+    cross = other.join(every, (other["key"] == every["key"]) & (F.col("a_part") != F.col("b_part")) & once & likely("a", "b", percent))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(written(verified(docs, cross), "links"))
+    links = links.unionByName(written(verified(docs, cross, percent), "links"))
     own = full.select("set_hi", "set_lo", F.col("doc_id").alias("b")).join(classes.select("set_hi", "set_lo", F.col("rep").alias("a")), ["set_hi", "set_lo"])
     # a doc_id with several texts ties their classes together
     several = full.groupBy("doc_id").agg(F.min("set_hi").alias("x"), F.max("set_hi").alias("y")).where("x <> y").select(F.col("doc_id").alias("b"))
@@ -217,12 +243,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """docs with one document of each group of near duplicates; all columns stay as they are."""
-    gone = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = written(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     small = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), PERCENT)

@@ -162,3 +162,31 @@ def test_same_results_without_broadcasts(spark, docs, monkeypatch):
         test_near_awkward(docs)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_near_links_at_other_thresholds(spark, percent):
+    r = random.Random(11)
+    rows = []
+    for group in range(8):
+        base = words(500, 700 + group).split()
+        for n_edits in (0, 7, 10, 12, 14, 20, 30):  # 10 scattered edits leave about 450 / 550
+            copy = list(base)
+            for at in r.sample(range(0, 500, 6), n_edits):
+                copy[at] = f"edit{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, _ = brute_near(rows)
+    alike = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if 100 * len(s & t) >= percent * len(s | t)]
+    want = components([i for i, _ in rows], alike)
+    assert want != brute_near(rows)[1]
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs, percent).collect()} == want
+    left = near_dedup.drop_near_duplicates(docs) if percent == 80 else near_dedup.drop_near_duplicates(docs, percent)
+    assert {x.doc_id for x in left.collect()} == set(want.values())
+
+
+def test_bands_keep_the_chance_of_a_miss():
+    assert near_dedup.bands(85) == (10, 2)
+    for percent in range(30, 101):
+        groups, rows = near_dedup.bands(percent)
+        assert 2 * (1 - (percent / 100) ** rows) ** groups <= 6e-6
