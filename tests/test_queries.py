@@ -43,3 +43,22 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_answers_of_a_hot_account_keep_all_rows(spark, sf_dir, tmp_path):
+    from ledgerweave.operators.statements import QUERIES
+    from pyspark.sql import functions as F
+
+    run, sql = QUERIES["sanitize_rows"]
+    kinds = F.array(F.lit("purchase"), F.lit("view"), F.lit("click"))
+    hot = F.when(F.col("id") < 5000, 7).otherwise(10 + F.col("id") % 5)  # ten's answer is broken JSON
+    spark.range(5050).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_seconds(1700000000 + id)").alias("ts"), hot.cast("long").alias("user_id"),
+        F.get(kinds, (F.col("id") % 3).cast("int")).alias("event_type"), (F.col("id") % 977 / 100).alias("value"), F.lit("{}").alias("props"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    df = run(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+    assert max(r[1] for r in want) > 4000
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
