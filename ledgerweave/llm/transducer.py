@@ -182,7 +182,7 @@ class Transducer:
         return ChunkMap(first.head, state, first.count + count)
 
     def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """All prefix compositions, by recursive halving (a parallel prefix scan)."""
+        """All prefix compositions, by recursive halving (a parallel prefix scan); heads without a closing symbol add up in them."""
         if len(maps) < 2:
             return maps
         pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
@@ -192,9 +192,19 @@ class Transducer:
         return out
 
     def count_symbols(self, symbols, chunk: int = 4096) -> int:
-        """Tokens of a stream of words, cut into chunks at any place."""
-        maps = [self.chunk_map(symbols[lo : lo + chunk]) for lo in range(0, len(symbols), chunk)]
-        return self.enter(self.scan(maps)[-1], 0)[1] if maps else 0
+        """Tokens of a stream of words, cut into chunks at any place.
+
+        A fold: each chunk's map is applied to the state so far, so one head at most is held, of no more than chunk symbols.
+        """
+        state = total = 0
+        for lo in range(0, len(symbols), chunk):
+            state, count = self.enter(self.chunk_map(symbols[lo : lo + chunk]), state)
+            total += count
+            if len(self.table) >= MAX_TRANSITIONS:
+                key = self.states[state]
+                self.restart()
+                state = self.state_of(*key)
+        return total
 
     def count_word(self, word: bytes) -> int:
         """Tokens of one word piece (no splitting inside)."""

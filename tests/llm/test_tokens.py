@@ -49,6 +49,30 @@ def test_composition_is_associative():
     assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
 
 
+@pytest.mark.parametrize(("most", "length"), [(None, 3_000_000), (500, 30_000)])
+def test_a_letter_run_of_3_mb_holds_one_chunk(monkeypatch, most, length):
+    import tracemalloc
+
+    from ledgerweave.llm import transducer
+
+    machine = transducer.Transducer(token_counts.VOCABULARY)
+    if most:  # states are forgotten and made again within the run
+        monkeypatch.setattr(transducer, "MAX_TRANSITIONS", most)
+    r = random.Random(9)
+    word = ("".join(r.choice("acgt") for _ in range(500)) * 6000)[:length]
+    symbols, _ = token_counts.symbols_of(word)
+    tracemalloc.start()
+    got = machine.count_symbols(symbols, token_counts.CHUNK)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(symbols) == length
+    assert got == machine.run(symbols)[1]
+    assert peak < 200_000_000
+    small = word[:20_000]
+    counts = token_counts.WordCounts(machine)
+    assert counts[small.encode()] == len(library(token_counts.VOCABULARY).encode(small, add_special_tokens=False).ids)
+
+
 def test_restarted_transducer_counts_alike():
     machine = token_counts.word_counts(token_counts.VOCABULARY).machine
     before = [machine.count_word(w.encode()) for w in words(40, 6).split()]
