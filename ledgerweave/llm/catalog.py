@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return exact_dedup.ORACLE | sharding.ORACLE
+    return exact_dedup.ORACLE | sharding.ORACLE | embeddings.ORACLE | near_dedup.ORACLE

@@ -1,42 +1,32 @@
-"""What the corpus operators share: written tables, checked broadcasts, connected components."""
+"""What the corpus operators share: checked broadcasts, drops of single rows, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-import ledgerweave
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one or two longs that may be broadcast: 2M rows are at most 64 MB in a hash relation.
-BROADCAST_ROWS = 2_000_000
+from ..session import discard, with_package
+from ..session import materialised as written
 
+__all__ = ["broadcast_if_small", "connected_components", "discard", "few", "slices", "text_mark", "with_package", "without_rows", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A temporary one is set only where the session names none (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = f"file://{tempfile.mkdtemp(prefix='ledgerweave-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+#: Bytes that a table with a broadcast hint may take in a hash relation.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row in a hash relation: its header and pointers, then each column.
+ROW_BYTES, COLUMN_BYTES = 40, 8
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def few(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a table of longs is small enough for a broadcast, counted unless its rows are given."""
+    n = df.count() if rows is None else rows
+    return n * (ROW_BYTES + COLUMN_BYTES * len(df.columns)) <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows (of a few longs each); otherwise df, for a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    """df (of longs) with a broadcast hint if it takes at most BROADCAST_BYTES; otherwise df, for a shuffle join."""
+    return F.broadcast(df) if few(df, rows) else df
 
 
 def slices(batches, rows: int = 1024):
@@ -46,17 +36,30 @@ def slices(batches, rows: int = 1024):
             yield batch.slice(lo, rows)
 
 
-def with_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where neither PYTHONPATH nor the working directory has it."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(ledgerweave.__file__)))
-    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    if root in known or os.path.abspath(os.getcwd()) == root or getattr(spark.sparkContext, "_ledgerweave_sent", False):
-        return
-    import shutil
+def text_mark(text: str | Column) -> Column:
+    """A hash by which rows of one doc_id with different texts are told apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
 
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "ledgerweave"), "zip", root, "ledgerweave")
-    spark.sparkContext.addPyFile(archive)
-    spark.sparkContext._ledgerweave_sent = True
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows named by gone (doc_id, mark, once), all columns as they are; a null doc_id is an id like any other.
+
+    A row is named by its doc_id and text_mark(text), so other texts of the same doc_id stay. Where once is true, one row
+    of those so named stays: which one of them is left open, as they differ in neither id nor text.
+    """
+    gone = written(gone, "gone")
+    tag = uuid.uuid4().hex  # no column of docs has such a name
+    mine, there, mark, once = (f"__{part}_{tag}" for part in ("mark", "id", "there", "once"))
+    names = gone.select(F.col("doc_id").alias(there), F.col("mark").alias(mark), F.col("once").alias(once))
+    marked = docs.withColumn(mine, text_mark(docs[text_col]))
+    same = lambda right: marked[id_col].eqNullSafe(right[there]) & (marked[mine] == right[mark])
+    every = broadcast_if_small(names)
+    left = marked.join(every, same(every), "left_anti")
+    repeated = names.where(F.col(once))
+    if not repeated.isEmpty():
+        repeated = broadcast_if_small(repeated)
+        left = left.unionByName(marked.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, mine]))
+    return left.drop(mine)
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -64,7 +67,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     Every round each vertex hooks to its smallest neighbour, the hooks are shortened by one jump, and the edges are
     rewritten between the hooked-to vertices. A component's smallest vertex always survives, so it is the last root.
-    Only vertices that have an edge are returned; self loops and repeated edges do no harm. Rounds are written tables.
+    Only vertices that have an edge are returned; self loops and repeated edges do no harm. Rounds are written tables,
+    deleted when the next round has been written.
     """
     pairs = lambda e: (
         e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -82,17 +86,20 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
             jump = jump.join(up, "p").select("v", F.col("pp").alias("p"))
         jump = written(jump, label)
         if roots is None:
-            roots = jump.select(F.col("v").alias("vertex"), F.col("p").alias("component"))
+            newer = jump.select(F.col("v").alias("vertex"), F.col("p").alias("component"))
         else:
             step = jump.select(F.col("v").alias("component"), "p")
-            roots = roots.join(step, "component", "left").select("vertex", F.coalesce("p", "component").alias("component"))
-            roots = written(roots, label)
+            newer = roots.join(step, "component", "left").select("vertex", F.coalesce("p", "component").alias("component"))
+        newer = written(newer, label)
         ja = jump.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         jb = jump.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        live = written(
+        rest = written(
             pairs(live.join(ja, "a").join(jb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), label
         )
+        discard(hook, jump, live, roots)
+        live, roots = rest, newer
     if roots is None:
         kind = live.schema["a"].dataType
         return live.select(F.col("a").cast(kind).alias("vertex"), F.col("b").cast(kind).alias("component"))
+    discard(live)
     return roots

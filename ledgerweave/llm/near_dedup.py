@@ -8,6 +8,7 @@ at most 2 (1 - s ** rows) ** groups; bands() takes as many groups as keep that u
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, connected_components, slices, with_package, written
+from .common import broadcast_if_small, connected_components, discard, slices, text_mark, with_package, without_rows, written
 
 WORDS = 5
 #: Links need 100 * intersection >= percent * union: op8's contract, and what the pipeline's stage uses.
@@ -30,6 +31,12 @@ SEED = 20240229
 SKETCH_BITS = 1024
 #: Word hashes that a Python worker remembers.
 MEMO_WORDS = 300_000
+#: A bucket in which more pairs than this would be compared is split on further sub-keys.
+SPLIT_PAIRS = 2_000_000
+#: Times that such a bucket is split at most.
+MOST_SPLITS = 3
+#: Shingles multiplied at once, so that a block stays in a core's cache.
+BLOCK = 1024
 
 SKETCH = [f"p{k}" for k in range(SKETCH_BITS // 64)]
 
@@ -48,6 +55,18 @@ def bands(percent: int) -> tuple[int, int]:
     return groups, rows
 
 
+def splits(percent: int) -> int:
+    """How often a bucket may be split on a further shared sub-key.
+
+    After k splits a pair must share 2 + k sub-keys of all; the most k, up to MOST_SPLITS, for which a pair at the
+    threshold shares fewer with probability under MISS.
+    """
+    groups, rows = bands(percent)
+    alike = (percent / 100) ** rows
+    fewer = lambda n: sum(math.comb(2 * groups, k) * alike**k * (1 - alike) ** (2 * groups - k) for k in range(min(n, 2 * groups + 1)))
+    return max([k for k in range(MOST_SPLITS + 1) if k == 0 or fewer(2 + k) <= MISS])
+
+
 GROUPS, ROWS = bands(PERCENT)
 
 
@@ -90,57 +109,77 @@ def seeds(n: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def signature(shingles: np.ndarray, multipliers: np.ndarray, rows: int = ROWS) -> list[int]:
+def minhashes(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """The smallest value of the set under each multiplier's hash, all multipliers over a block of shingles at once."""
+    least = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(shingles), BLOCK):
+        x = multipliers[:, None] * shingles[None, lo : lo + BLOCK]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(least, x.min(axis=1), out=least)
+    return least
+
+
+def signature(shingles: np.ndarray, multipliers: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """The words of the parity sketch, then the sub-keys."""
-    minhash = np.array([mixed(shingles * m).min() for m in multipliers])
-    parts = minhash.reshape(-1, rows)
+    parts = minhashes(shingles, multipliers).reshape(-1, rows)
     keys = parts[:, 0]
     for k in range(1, rows):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
     at = (mixed(shingles ^ np.uint64(SEED)) % np.uint64(SKETCH_BITS)).astype(np.int64)
     parity = (np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return [*np.packbits(parity).view(">i8").tolist(), *keys.view(np.int64).tolist()]
+    return np.concatenate([np.packbits(parity).view(">i8").astype(np.int64), keys.view(np.int64)])
+
+
+def set_hash(shingles: np.ndarray) -> list[int]:
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes(), SEED), dtype=">i8").tolist()
+
+
+def with_mark(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark("text").alias("mark"), F.col("text").cast("binary").alias("text"))
 
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles, the set's 128-bit hash, its sketch and sub-keys, for every row of docs."""
     with_package(docs.sparkSession)
     groups, size = bands(percent)
     marks = SKETCH + sub_keys(groups)
-    names = ["doc_id", "n_shingles", "set_hi", "set_lo", *marks]
+    names = ["doc_id", "mark", "n_shingles", "set_hi", "set_lo", *marks]
 
     def run(batches):
         hashes, multipliers = WordHashes(), seeds(2 * groups * size)
         for batch in slices(batches):
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = np.zeros((batch.num_rows, 3 + len(marks)), dtype=np.int64)
+            for row, text in zip(out, batch.column(2).to_pylist(), strict=True):
                 shingles = shingle_set(text, hashes)
-                if not len(shingles):
-                    rows.append((doc, 0, 0, 0, *[0] * len(marks)))
-                    continue
-                whole = xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
-                high, low = np.frombuffer(whole, dtype=">i8").tolist()
-                rows.append((doc, len(shingles), high, low, *signature(shingles, multipliers, size)))
-            if rows:
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                if len(shingles):
+                    row[0] = len(shingles)
+                    row[1:3] = set_hash(shingles)
+                    row[3:] = signature(shingles, multipliers, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out.T.copy())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return with_mark(docs).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def shared_keys(classes: DataFrame, groups: int) -> DataFrame:
-    """(key, rep) of the table keys that a class can share with another: pairs of sub-keys that are both shared."""
+def shared_sub_keys(classes: DataFrame, groups: int) -> DataFrame:
+    """(cls, s): the sub-keys (at, value) of each class that another class has too; at most 2 * groups of them."""
     subs = classes.select(
-        "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.col(c).alias("value")) for k, c in enumerate(sub_keys(groups))])).alias("s")
-    ).select("rep", "s.at", "s.value")
+        "cls", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.col(c).alias("value")) for k, c in enumerate(sub_keys(groups))])).alias("s")
+    ).select("cls", "s.at", "s.value")
     often = subs.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "value")
     often = written(often, "subkeys")
     kept = subs.join(broadcast_if_small(often), ["at", "value"], "left_semi")
-    lists = kept.groupBy("rep").agg(F.collect_list(F.struct("at", "value")).alias("s"))  # at most 2 * groups of them
+    lists = written(kept.groupBy("cls").agg(F.collect_list(F.struct("at", "value")).alias("s")), "sublists")
+    discard(often)
+    return lists
+
+
+def table_keys(lists: DataFrame, groups: int) -> DataFrame:
+    """(key, i, j, cls) of the tables' keys that a class can share with another: pairs of sub-keys i and j that are both shared."""
     one = F.filter("s", lambda x: x["at"] < groups)
     two = F.filter("s", lambda x: x["at"] >= groups)
-    return lists.select("rep", F.explode(one).alias("a"), two.alias("two")).select("rep", "a", F.explode("two").alias("b")).select(
-        F.xxhash64("a.at", "a.value", "b.at", "b.value").alias("key"), "rep"
-    )
+    both = lists.select("cls", F.explode(one).alias("a"), two.alias("two")).select("cls", "a", F.explode("two").alias("b"))
+    return both.select(F.xxhash64("a.at", "a.value", "b.at", "b.value").alias("key"), F.col("a.at").alias("i"), F.col("b.at").alias("j"), "cls")
 
 
 def likely(a: str, b: str, percent: int):
@@ -158,23 +197,33 @@ def likely(a: str, b: str, percent: int):
     return (small * 100 >= large * percent) & (bits <= F.least(most, usual))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Sets are made of the pairs' documents only."""
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are similar enough. Sets are made of one row of each class."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    text = text.join(broadcast_if_small(ids), "doc_id", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = classes.select("cls", F.col("best.id").alias("rep"), F.col("best.mark").alias("rep_mark")).join(ids, "cls", "left_semi")
+    wanted = written(wanted, "wanted")
+    text, small = with_mark(docs), broadcast_if_small(wanted)
+    text = text.join(small, text["doc_id"].eqNullSafe(small["rep"]) & (text["mark"] == small["rep_mark"])).select("cls", "text")
 
     def sets(batches):
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in slices(batches):
+            fresh = []
+            for at, cls in enumerate(batch.column(0).to_pylist()):
+                if cls not in seen:  # rows repeated as a whole
+                    fresh.append(at)
+                    seen.add(cls)
+            if len(seen) > 100_000:
+                seen.clear()
+            batch = batch.take(pa.array(fresh, pa.int64()))
             made = [shingle_set(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["cls", "shingles"])
 
-    held = written(text.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
-    held = held.dropDuplicates(["doc_id"])
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    held = written(text.mapInArrow(sets, "cls long, shingles binary"), "sets")
+    once = held.dropDuplicates(["cls"])
+    both = pairs.join(once.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(once.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def compare(batches):
         for batch in batches:
@@ -185,70 +234,135 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "a long, b long")
+    links = written(both.mapInArrow(compare, "a long, b long"), "links")
+    discard(pairs, wanted, held)
+    return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs; texts link from a similarity of percent / 100.
+def cross_pairs(member: DataFrame, lists: DataFrame, groups: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of likely classes of different parts that meet in a bucket; member: key, i, j, last, cls, part, n, sketch.
 
-    Documents with equal shingle sets form a class, which its smallest doc_id represents; only representatives are
-    compared. In a table's bucket all are first compared with the smallest one; the links found are contracted, and then
-    only members of different components are compared with each other, so that no link between components is lost and
-    a bucket of copies makes as many pairs as it has members. Sketches and sizes rule out unlike pairs inside the
-    joins, before the full sets confirm the rest.
+    Members of a bucket's lowest part are compared with those of the others only. Where that would still be many pairs,
+    the bucket is split on a further sub-key that the pair must share: one behind i or j, and behind the last one taken,
+    so a pair takes its shared sub-keys in one order and is in every split of the bucket of its first two.
+    """
+    side = lambda p: [F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in ("cls", "part", "n", *SKETCH)]
+    found = []
+    for depth in range(splits(percent) + 1):
+        sizes = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+        sizes = sizes.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("c").alias("all"), F.min_by("c", "part").alias("own"))
+        sizes = sizes.where("low < high").select("key", "low", ((F.col("all") - F.col("own")) * F.col("all")).alias("work"))
+        sizes = written(sizes, "mixed")
+        member = written(member.join(sizes, "key"), "members")
+        cold = F.lit(True) if depth == splits(percent) else F.col("work") <= SPLIT_PAIRS
+        other = member.where(cold & (F.col("part") != F.col("low"))).select("key", *side("a"))
+        every = member.where(cold).select("key", "low", *side("b"))
+        once = (F.col("b_part") == F.col("low")) | (F.col("a") < F.col("b"))
+        cross = other.join(every, (other["key"] == every["key"]) & (F.col("a_part") != F.col("b_part")) & once & likely("a", "b", percent))
+        found.append(written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross"))
+        hot = member.where(~cold)
+        if depth == splits(percent) or hot.isEmpty():
+            break
+        further = F.filter("s", lambda x: (x["at"] > F.col("last")) & (x["at"] > F.when(x["at"] < groups, F.col("i")).otherwise(F.col("j"))))
+        grown = hot.drop("low", "work").join(lists, "cls").withColumn("x", F.explode(further))
+        member = grown.withColumns({"key": F.xxhash64("key", "x.at", "x.value"), "last": F.col("x.at")}).drop("s", "x")
+    return reduce(DataFrame.unionByName, found).distinct()
 
-    Defined cases: null and empty texts and such without words have an empty set and are their own component; a text of
-    fewer than five words is one shingle; equal rows link; rows of one doc_id with different texts link through that id;
-    rows with a null doc_id are compared with nothing; other columns are ignored.
+
+def near_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, mark, n_shingles, component_id, best, size of every row of docs; the tables it reads).
+
+    best names the row that stays of a component: none (whether its doc_id is null), id, mark. size counts its rows.
     """
     marks = written(signatures(docs, percent), "signatures")
     groups, _ = bands(percent)
-    full = marks.where("n_shingles > 0 and doc_id is not null")
-    same = [F.min(c).alias(c) for c in ("n_shingles", *SKETCH, *sub_keys(groups))]  # equal within a class
-    classes = written(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), *same), "classes")
-    keys = written(shared_keys(classes, groups), "keys")
-    heads = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "center")
+    full = marks.where("n_shingles > 0")
+    same = [F.min(c).alias(c) for c in (*SKETCH, *sub_keys(groups))]  # equal within a class
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
+    classes = full.groupBy("set_hi", "set_lo").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("size"), F.min("n_shingles").alias("n"), *same)
+    # numbered as written: ids of one table never repeat, whichever attempt of a task has written its part
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    lists = shared_sub_keys(classes, groups)
+    keys = written(table_keys(lists, groups), "keys")
+    heads = keys.groupBy("key").agg(F.min("cls").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "center")
     buckets = written(keys.join(heads, "key"), "buckets")
-    facts = classes.select("rep", F.col("n_shingles").alias("n"), *SKETCH)
-    facts = facts.dropDuplicates(["rep"])
-    named = lambda p: facts.select(*[F.col(c).alias(p if c == "rep" else f"{p}_{c}") for c in facts.columns])
-    star = buckets.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    discard(keys)
+    facts = classes.select("cls", "n", *SKETCH)
+    named = lambda p: facts.select(*[F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in facts.columns])
+    star = buckets.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     star = written(star.join(named("a"), "a").join(named("b"), "b").where(likely("a", "b", percent)).select("a", "b"), "star")
-    links = written(verified(docs, star, percent), "links")
+    links = verified(docs, classes, star, percent)
     parts = connected_components(links)
-    member = buckets.join(parts.withColumnRenamed("vertex", "rep"), "rep", "left")
-    member = member.select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    member = member.join(facts, "rep")
-    mixed_keys = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "low")
-    member = written(member.join(written(mixed_keys, "mixed"), "key"), "members")
-    side = lambda p: [F.col(c).alias(p if c == "rep" else f"{p}_{c}") for c in ("rep", "part", "n", *SKETCH)]
-    other = member.where("part <> low").select("key", *side("a"))
-    every = member.select("key", "low", *side("b"))
-    once = (F.col("b_part") == F.col("low")) | (F.col("a") < F.col("b"))
-    cross = other.join(every, (other["key"] == every["key"]) & (F.col("a_part") != F.col("b_part")) & once & likely("a", "b", percent))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    member = buckets.join(parts.withColumnRenamed("vertex", "cls"), "cls", "left")
+    member = member.select("key", "i", "j", F.lit(-1).alias("last"), "cls", F.coalesce("component", "cls").alias("part")).join(facts, "cls")
+    cross = cross_pairs(member, lists, groups, percent)
     cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(written(verified(docs, cross, percent), "links"))
-    own = full.select("set_hi", "set_lo", F.col("doc_id").alias("b")).join(classes.select("set_hi", "set_lo", F.col("rep").alias("a")), ["set_hi", "set_lo"])
-    # a doc_id with several texts ties their classes together
-    several = full.groupBy("doc_id").agg(F.min("set_hi").alias("x"), F.max("set_hi").alias("y")).where("x <> y").select(F.col("doc_id").alias("b"))
-    tied = own.join(several, "b", "left_semi").select("a", "b")
-    parts = connected_components(links.unionByName(tied)).withColumnRenamed("vertex", "rep")
-    parts = classes.select("set_hi", "set_lo", "rep").join(parts, "rep", "left")
-    parts = written(parts.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component")), "parts")
-    found = marks.join(parts, ["set_hi", "set_lo"], "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    parts = connected_components(links.unionByName(verified(docs, classes, cross, percent))).withColumnRenamed("vertex", "cls")
+    parts = written(classes.select("set_hi", "set_lo", "cls", "best", "size").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "parts")
+    least = parts.groupBy("component").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+    parts = written(parts.select("set_hi", "set_lo", "component").join(least, "component"), "components").drop("component")
+    discard(classes, lists, buckets, star, links)
+    found = marks.select("doc_id", "mark", "n_shingles", "set_hi", "set_lo").join(parts, ["set_hi", "set_lo"], "left").drop("set_hi", "set_lo")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("best.id"))
+    return found.withColumn("component_id", component), [marks, parts]
+
+
+def near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; texts link from a similarity of percent / 100.
+
+    Rows with equal shingle sets form a class, which one row of it represents; only classes are compared. In a table's
+    bucket all are first compared with one of them; the links found are contracted, and then only members of different
+    components are compared with each other, so that no link between components is lost and a bucket of copies makes as
+    many pairs as it has members. Buckets of many unlike members are split on further sub-keys. Sketches and sizes rule
+    out unlike pairs inside the joins, before the full sets confirm the rest.
+
+    Defined cases: null and empty texts and such without words have an empty set and are their own component; a text of
+    fewer than five words is one shingle; equal rows link; rows of one doc_id with different texts are documents of their
+    own, each with the component of its text; a null doc_id links like any other but is never the smallest, and a
+    component of null ids alone has a null component_id; other columns are ignored.
+    """
+    found, _ = near_rows(docs, percent)
+    return found.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """docs with one document of each group of near duplicates; all columns stay as they are."""
-    gone = written(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs with one row of each group of near duplicates, that of the smallest doc_id; all columns stay as they are.
+
+    Defined cases: rows are dropped one by one, so a doc_id's other texts stay; of rows equal in doc_id and text one
+    stays; a null doc_id loses to any other and is dropped like any other; texts without words are never dropped.
+    """
+    found, tables = near_rows(docs, percent)
+    best = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
+    texts = found.where("size > 1").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("once"))
+    left = without_rows(docs, texts.where("not once or n > 1").select("doc_id", "mark", "once"))
+    discard(*tables)
+    return left
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), PERCENT)
+
+
+ORACLE = {
+    "op8_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 4), lambda k: array_to_string(w[k:k + 4], ' ')) END)) AS s
+  FROM w
+), c AS (
+  SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s
+), e AS (SELECT rep, n, unnest(s) AS x FROM c
+), p AS (
+  SELECT a.rep AS a, b.rep AS b, a.n + b.n AS n, count(*) AS both_n FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p WHERE 100 * both_n >= 85 * (n - both_n) UNION ALL SELECT b, a FROM p WHERE 100 * both_n >= 85 * (n - both_n)
+), reach AS (
+  SELECT rep AS a, rep AS b FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), part AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
+FROM s LEFT JOIN c USING (s) LEFT JOIN part USING (rep)"""
+}

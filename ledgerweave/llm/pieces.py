@@ -96,8 +96,8 @@ class Normaliser:
         """Whether spaces alone are rewritten."""
         return not self.map.units and self.prefix and not self.squeeze and self.escape
 
-    def __call__(self, text: bytes) -> tuple[bytes, list[int]]:
-        """(normalised bytes, source offset of each of them and of the end)."""
+    def __call__(self, text: bytes, prefix: bool | None = None) -> tuple[bytes, list[int]]:
+        """(normalised bytes, source offset of each of them and of the end); prefix: whether a space is put in front."""
         out, source, at = bytearray(), [], 0
         space = SPACE.encode() if self.escape else b" "
         parts = []  # (replacement, from, to)
@@ -113,7 +113,7 @@ class Normaliser:
                 parts.pop(0)
         if not parts:
             return b"", [len(text)]
-        if self.prefix:
+        if self.prefix if prefix is None else prefix:
             out += space
             source += [parts[0][1]] * len(space)
         blank = self.squeeze
@@ -152,25 +152,38 @@ class Pieces:
         self.lengths = np.asarray(lengths, dtype=np.int64)  # in normalised bytes
         inner = (self.library.id_to_piece(i) for i in range(len(lengths)))
         self.by_unit = self.normalise.plain and not any(SPACE in p.lstrip(SPACE) for p in inner)
-        spaces = [self.library.id_to_piece(i).count(SPACE) for i in range(len(lengths))]
-        self.source_lengths = self.lengths - 2 * np.asarray(spaces)  # a space is three bytes when escaped
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.memo: dict[bytes, tuple[bytes, bytes, bytes]] = {}
+
+    def projected(self, ids: np.ndarray, normal: bytes, source: list[int], text: str) -> np.ndarray:
+        """Where each id's piece ends in the source of the normalised bytes."""
+        ends = np.cumsum(self.lengths[ids])
+        if len(ends) and ends[-1] != len(normal):  # unknown pieces: the library tells their surfaces
+            surfaces = self.library.encode(text, out_type=str)
+            ends = np.cumsum([1 if self.library.is_byte(i) else len(p.encode()) for i, p in zip(ids.tolist(), surfaces, strict=True)])
+        return np.asarray(source, dtype=np.int64)[ends]
 
     def fill(self, units: set[bytes]) -> None:
+        """Encode the unknown ones of many units: each is normalised with its alignment, and its normal form encoded.
+
+        The library puts the first space back that it is not given, and takes the others as spaces again.
+        """
         unknown = list(units.difference(self.memo))
         if len(self.memo) + len(unknown) > MEMO_UNITS:
             self.memo.clear()
             unknown = list(units)
+        space = self.library.piece_to_id(SPACE)
         for lo in range(0, len(unknown), 4096):
             part = unknown[lo : lo + 4096]
-            found = self.library.encode([u[1:].decode("utf-8", "replace") for u in part], num_threads=1)
-            for unit, ids in zip(part, found, strict=True):
-                # the library adds the space that was cut off; a lone space has no text to add it to
-                ids = ids or [self.library.piece_to_id(SPACE)]
-                self.memo[unit] = np.asarray(ids, dtype="<u4").tobytes(), ",".join(map(str, ids)).encode()
-
-    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
-        """(ids, their decimal form) of each text."""
+            normal = [self.normalise(u, prefix=False) for u in part]
+            given = [n.decode("utf-8", "replace").replace(SPACE, " ")[1:] for n, _ in normal]
+            found = self.library.encode(given, num_threads=1)
+            for unit, ids, (form, source), text in zip(part, found, normal, given, strict=True):
+                ids = np.asarray(ids or [space], dtype="<u4")  # a lone space leaves the library nothing
+                ends = self.projected(ids, form, source, text)
+                self.memo[unit] = ids.tobytes(), ",".join(map(str, ids.tolist())).encode(), ends.astype("<i8").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, bytes, np.ndarray]]:
+        """(ids, their decimal form, the ends of their pieces in the text's bytes) of each text; a piece begins where the one before ends."""
         out, cut = [], []
         for text in texts:
             if not text:
@@ -182,33 +195,24 @@ class Pieces:
         self.fill({unit for units in cut if units for unit in units})
         for text, units in zip(texts, cut, strict=True):
             if units is None:
-                ids = self.library.encode(text.decode("utf-8", "replace"))
-                out.append((np.asarray(ids, dtype=np.int64), ",".join(map(str, ids)).encode()))
-            else:
-                known = [self.memo.get(u) or self.one(u) for u in units]
-                ids = np.frombuffer(b"".join([k[0] for k in known]), dtype="<u4")
-                out.append((ids, b",".join([k[1] for k in known])))
+                plain = text.decode("utf-8", "replace")
+                ids = np.asarray(self.library.encode(plain), dtype=np.int64)
+                out.append((ids, ",".join(map(str, ids.tolist())).encode(), self.projected(ids, *self.normalise(text), plain)))
+                continue
+            known = [self.memo.get(u) or self.one(u) for u in units]
+            ids = np.frombuffer(b"".join([k[0] for k in known]), dtype="<u4")
+            ends = np.frombuffer(b"".join([k[2] for k in known]), dtype="<i8")
+            if units:
+                sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+                many = np.fromiter([len(k[0]) // 4 for k in known], dtype=np.int64, count=len(units))
+                # the space in front of the first unit has no source
+                ends = np.maximum(ends + np.repeat(np.cumsum(sizes) - sizes - 1, many), 0)
+            out.append((ids, b",".join([k[1] for k in known]), ends))
         return out
 
-    def one(self, unit: bytes) -> tuple[bytes, bytes]:
-        ids = self.library.encode(unit[1:].decode("utf-8", "replace")) or [self.library.piece_to_id(SPACE)]
-        return np.asarray(ids, dtype="<u4").tobytes(), ",".join(map(str, ids)).encode()
-
-    def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, end) in the original bytes of each id's piece."""
-        if not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.normalise.plain and SPACE.encode() not in text:
-            ends = np.cumsum(self.source_lengths[ids]) - 1  # the added prefix has no source
-            if ends[-1] == len(text):
-                return np.concatenate(([0], ends[:-1])), ends
-        normal, source = self.normalise(text)
-        ends = np.cumsum(self.lengths[ids])
-        if ends[-1] != len(normal):  # unknown pieces: the library tells their surfaces
-            surfaces = self.library.encode(text.decode("utf-8", "replace"), out_type=str)
-            ends = np.cumsum([1 if self.library.is_byte(i) else len(p.encode()) for i, p in zip(ids.tolist(), surfaces, strict=True)])
-        source = np.asarray(source, dtype=np.int64)
-        return source[np.concatenate(([0], ends[:-1]))], source[ends]
+    def one(self, unit: bytes) -> tuple[bytes, bytes, bytes]:
+        self.fill({unit})
+        return self.memo[unit]
 
 
 @functools.lru_cache(maxsize=2)
@@ -224,7 +228,7 @@ OUTPUTS = {
     "ids_sha256": ("string", pa.string()),
     "decoded": ("string", pa.string()),
     "decoded_sha256": ("string", pa.string()),
-    "covered_bytes": ("long", pa.int64()),
+    "spans_sha256": ("string", pa.string()),
 }
 
 
@@ -232,7 +236,8 @@ def encode_pieces(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids"
     """doc_id and the asked-for outputs for every row of docs.
 
     ids are the model's ids of the whole text; begins and ends are the original byte spans of their pieces, projected
-    through the normalisation's alignment; decoded is the text of the ids; covered_bytes counts bytes inside spans.
+    through the normalisation's alignment; decoded is the text of the ids; spans_sha256 is the hash of all begins, then
+    all ends, as little-endian 64-bit numbers.
 
     Defined cases: null and empty texts have no ids, no spans and the empty decoded text; other columns are ignored.
     """
@@ -244,8 +249,8 @@ def encode_pieces(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids"
         for batch in slices(batches, 512):
             part = batch.column(1).to_pylist()
             columns: dict[str, list] = {name: [] for name in outputs}
-            for text, (ids, decimal) in zip(part, held.encode([t or b"" for t in part]), strict=True):
-                begins, ends = held.spans(text or b"", ids)
+            for ids, decimal, ends in held.encode([t or b"" for t in part]):
+                begins = np.concatenate(([0], ends[:-1]))[: len(ends)]
                 decoded = held.library.decode(ids.tolist()) if "decoded" in columns or "decoded_sha256" in columns else ""
                 row = {
                     "n_tokens": len(ids),
@@ -253,12 +258,13 @@ def encode_pieces(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids"
                     "begins": begins,
                     "ends": ends,
                     "decoded": decoded,
-                    "covered_bytes": int((ends - begins).sum()),
                 }
                 if "ids_sha256" in columns:
                     row["ids_sha256"] = hashlib.sha256(decimal).hexdigest()
                 if "decoded_sha256" in columns:
                     row["decoded_sha256"] = hashlib.sha256(decoded.encode()).hexdigest()
+                if "spans_sha256" in columns:
+                    row["spans_sha256"] = hashlib.sha256(np.concatenate((begins, ends)).astype("<i8").tobytes()).hexdigest()
                 for name in outputs:
                     columns[name].append(row[name])
             arrays = [batch.column(0)]
@@ -271,4 +277,4 @@ def encode_pieces(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids"
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_pieces(docs, ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"))
+    return encode_pieces(docs, ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))

@@ -1,27 +1,31 @@
 """Personal data by weak supervision: labelers vote on candidate spans, their reliabilities are estimated by expectation
-maximisation, and a span classifier is trained on the resulting soft labels.
+maximisation, and a span classifier is trained on the resulting soft labels, from features of the span and its context.
 
-Only counts of vote patterns reach the driver: their number is bounded by the labelers and kinds, whatever the corpus.
+Only counts of vote patterns and a bounded sample of feature patterns reach the driver, whatever the corpus.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, with_package, written
+from .common import discard, slices, with_package, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters before and after a span that the context labeler reads.
 WINDOW = 40
 THRESHOLD = 0.9
 EM_STEPS = 100
-LOGIT_STEPS = 300
+LOGIT_STEPS = 60
+RIDGE = 0.5
+#: Distinct patterns (kind, votes, features) that the classifier is fitted on at most, those of the smallest hashes.
+MAX_PATTERNS = 20_000
 
 # Base patterns, fixed by the contract.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,8 +52,17 @@ FOR = {
     "phone": re.compile(r"phone|call|tel\b|tel[.:]|mobile|cell|fax|dial|whatsapp|sms|téléphone|telefon|teléfono", re.I),
 }
 AGAINST = re.compile(r"version|release|\bv$|build|isbn|issn|order|invoice|serial|model|page|section|figure|total|\bsku\b|tracking", re.I)
-LABELERS = ("pattern", "checksum", "gazetteer", "context", "edges")
+LABELERS = ("form", "checksum", "gazetteer", "context", "edges")
 ABSTAIN, NO, YES = 0, 1, 2
+# How a span is usually written, and forms that are rather something else.
+FORM = {
+    "email": (re.compile(r"[^\s@()\[\]]+@[^\s@()\[\]]+"), re.compile(r".* at .* dot .*")),
+    "ip": (re.compile(r"[1-9][0-9]{0,2}(\.[0-9]{1,3}){3}|[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4}){7}"), re.compile(r"[01](\.[0-9]){3}")),
+    "card": (re.compile(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -]?)[0-9]{6}\2[0-9]{5}"), re.compile(r"[0-9]{4}[._/].*")),
+    "phone": (re.compile(r"(\+|00|\().*"), re.compile(r"[0-9]{3}\.[0-9]{3}\.[0-9]{4}")),
+}
+#: Sizes of the features' fields: length, share of digits, separators, the characters before and after, hashes of the words before and after.
+FIELDS = (6, 4, 5, 5, 5, 64, 32)
 
 
 def luhn(digits: str) -> bool:
@@ -95,7 +108,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def votes_of(text: str, start: int, end: int, kind: int, base: bool) -> list[int]:
+def edge(char: str) -> int:
+    """Class of a character beside a span: none or space, opening or quoting, letter, digit, other."""
+    return 0 if not char or char.isspace() else 1 if char in "(<[{:;,.\"'=" else 2 if char.isalpha() else 3 if char.isdigit() else 4
+
+
+def features_of(text: str, start: int, end: int) -> int:
+    """The span's features as one number, in the mixed base of FIELDS."""
+    span = text[start:end] if end - start <= 200 else text[start : start + 200]
+    digits = len(digits_of(span))
+    marks = {c for c in span if c in ".- ()/:_"}
+    kinds = 0 if not marks else 4 if len(marks) > 1 else 1 if "." in marks else 2 if "-" in marks else 3
+    before, after = text[max(0, start - WINDOW) : start].split()[-1:], text[end : end + WINDOW].split()[:1]
+    hashed = lambda words, size: 1 + zlib.crc32(words[0].lower().encode()) % (size - 1) if words else 0
+    values = (
+        min(5, (end - start) // 6), min(3, 4 * digits // max(1, len(span))), kinds, edge(text[start - 1 : start] if start else ""), edge(text[end : end + 1]),
+        hashed(before, FIELDS[5]), hashed(after, FIELDS[6]),
+    )
+    code = 0
+    for size, value in zip(FIELDS, values, strict=True):
+        code = code * size + value
+    return code
+
+
+def votes_of(text: str, start: int, end: int, kind: int) -> list[int]:
     """One vote of each labeler on a candidate."""
     span, name = text[start:end], KINDS[kind]
     number = digits_of(span)
@@ -118,36 +154,54 @@ def votes_of(text: str, start: int, end: int, kind: int, base: bool) -> list[int
         gazetteer = YES if area[:1] not in ("", "0", "1") and number[-7:-6] not in ("0", "1") else NO
     context = YES if FOR[name].search(before) or FOR[name].search(after) else NO if AGAINST.search(before) else ABSTAIN
     joined = start > 0 and (text[start - 1].isalnum() or text[start - 1] in "._-/") or end < len(text) and (text[end].isalnum() or text[end : end + 1] in "_-/")
-    return [YES if base else ABSTAIN, checksum, gazetteer, context, NO if joined else YES]
+    usual, other = FORM[name]
+    form = YES if usual.fullmatch(span) else NO if other.fullmatch(span) else ABSTAIN
+    return [form, checksum, gazetteer, context, NO if joined else YES]
 
 
-def candidates(text: str | None) -> list[tuple[int, int, int, bool, int]]:
-    """(start, end, kind, base, votes as one number to the base 3) of the candidates of a text, by start, then kind."""
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def candidates(text: str | None) -> list[tuple[int, int, int, bool, int, int]]:
+    """(start, end, kind, base, votes as one number to the base 3, features) of the candidates of a text, by start, then kind.
+
+    No further candidate lies where a base span already is.
+    """
     if not text or not HINT.search(text):
         return []
     base = base_spans(text)
+    starts, ends = merged([s[:2] for s in base])
     found = [(*s, True) for s in base]
     for kind, name in enumerate(KINDS):
-        taken = [(a, b) for a, b, k in base]  # no candidate where a base span already is
         for hit in MORE[name].finditer(text):
-            if not any(a < hit.end() and hit.start() < b for a, b in taken):
+            at = bisect_left(starts, hit.end()) - 1  # the last base span that starts before the candidate ends
+            if at < 0 or ends[at] <= hit.start():
                 found.append((hit.start(), hit.end(), kind, False))
     out = []
     for start, end, kind, own in sorted(found, key=lambda s: (s[0], s[2], s[1])):
         code = 0
-        for vote in votes_of(text, start, end, kind, own):
+        for vote in votes_of(text, start, end, kind):
             code = 3 * code + vote
-        out.append((start, end, kind, own, code))
+        out.append((start, end, kind, own, code, features_of(text, start, end)))
     return out
 
 
-FOUND = "array<struct<start:int,end:int,kind:int,base:boolean,votes:int>>"
+FOUND = "array<struct<start:int,end:int,kind:int,base:boolean,votes:int,features:int>>"
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
     """doc_id, found: the candidate spans of the whole text, in code points."""
     with_package(docs.sparkSession)
-    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32())])
+    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32()), ("features", pa.int32())])
 
     def run(batches):
         names = [f.name for f in item]
@@ -187,49 +241,98 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS)
     return table, float(prior), post
 
 
-def design(kinds: np.ndarray, votes: np.ndarray) -> np.ndarray:
-    """The classifier's inputs: kind, and each labeler's yes and no."""
-    return np.concatenate([np.eye(len(KINDS))[kinds], votes == YES, votes == NO], axis=1).astype(float)
+#: Where each field begins among the classifier's inputs: a yes and a no of each labeler, then the features, then a constant.
+OFFSETS = [2 * len(LABELERS) + sum(FIELDS[:k]) for k in range(len(FIELDS))]
+INPUTS = 2 * len(LABELERS) + sum(FIELDS) + 1
 
 
-def fit_spans(patterns: list[tuple[int, int, int]]) -> dict[tuple[int, int], float]:
-    """Probability of each (kind, votes) pattern from their counts: soft labels by EM for each kind, then one classifier."""
-    if not patterns:
-        return {}
-    kinds, codes, counts = (np.array(c) for c in zip(*sorted(patterns), strict=True))
-    votes = np.array([unpack(int(c)) for c in codes])
-    soft = np.zeros(len(codes))
-    for kind in range(len(KINDS)):
-        mine = kinds == kind
-        if mine.any():
-            soft[mine] = reliabilities(votes[mine], counts[mine].astype(float))[2]
-    x, weight = design(kinds, votes), np.log1p(counts)  # frequent patterns must not drown rare ones
-    w = np.zeros(x.shape[1])
-    for _ in range(LOGIT_STEPS):  # Newton steps of a ridge-regularised logistic regression
-        p = 1 / (1 + np.exp(-(x @ w)))
-        grad = x.T @ (weight * (soft - p)) - 0.1 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w += step
-        if np.abs(step).max() < 1e-10:
-            break
-    every = [(k, c) for k in range(len(KINDS)) for c in range(3 ** len(LABELERS))]
-    score = 1 / (1 + np.exp(-(design(np.array([k for k, _ in every]), np.array([unpack(c) for _, c in every])) @ w)))
-    return dict(zip(every, score.tolist(), strict=True))
+def inputs_of(votes: int, features: int) -> list[int]:
+    """The classifier's inputs that are 1."""
+    out = [2 * j + (vote == YES) for j, vote in enumerate(unpack(votes)) if vote != ABSTAIN]
+    for size, offset in zip(FIELDS[::-1], OFFSETS[::-1], strict=True):
+        features, value = divmod(features, size)
+        out.append(offset + value)
+    return [*out, INPUTS - 1]
+
+
+class SpanClassifier:
+    """Logistic regression of each kind on the votes and the features of a span and its context."""
+
+    def __init__(self, weights: dict[int, np.ndarray]):
+        self.weights = weights
+        self.known: dict[tuple[int, int, int], float] = {}
 
+    def score(self, kind: int, votes: int, features: int) -> float:
+        key = kind, votes, features
+        value = self.known.get(key)
+        if value is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            w = self.weights.get(kind)
+            value = self.known[key] = 0.0 if w is None else float(1 / (1 + np.exp(-w[inputs_of(votes, features)].sum())))
+        return value
 
-def fit_classifier(found: DataFrame) -> dict[tuple[int, int], float]:
-    """The span classifier as a table of its scores, learned from all candidates of found."""
-    each = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").agg(F.count(F.lit(1)).alias("n"))
-    return fit_spans([(r["kind"], r["votes"], r["n"]) for r in each.collect()])  # at most kinds x 3 ** labelers rows
+
+def soft_labels(votes: list[tuple[int, int, int]]) -> dict[tuple[int, int], float]:
+    """P(true) of each (kind, votes) of the patterns (kind, votes, count), by EM for each kind."""
+    soft = {}
+    for kind in range(len(KINDS)):
+        mine = sorted((c, n) for k, c, n in votes if k == kind)
+        if mine:
+            post = reliabilities(np.array([unpack(c) for c, _ in mine]), np.array([n for _, n in mine], dtype=float))[2]
+            soft |= {(kind, c): float(p) for (c, _), p in zip(mine, post, strict=True)}
+    return soft
 
 
-def accepted(spans: list[tuple[int, int, int, bool, int]], scores: dict[tuple[int, int], float]) -> list[tuple[int, int, int, bool]]:
+def fit_spans(votes: list[tuple[int, int, int]], patterns: list[tuple[int, int, int, int]]) -> SpanClassifier:
+    """The classifier from counts of (kind, votes) of all candidates and of patterns (kind, votes, features, count)."""
+    soft, weights = soft_labels(votes), {}
+    for kind in range(len(KINDS)):
+        mine = sorted(p for p in patterns if p[0] == kind)
+        if not mine:
+            continue
+        x = np.zeros((len(mine), INPUTS))
+        for row, (_, code, features, _) in zip(x, mine, strict=True):
+            row[inputs_of(code, features)] = 1.0
+        y = np.array([soft[kind, code] for _, code, _, _ in mine])
+        each = np.log1p([n for *_, n in mine])  # frequent patterns must not drown rare ones
+        w = np.zeros(INPUTS)
+        for _ in range(LOGIT_STEPS):  # Newton steps of a ridge-regularised logistic regression
+            p = 1 / (1 + np.exp(-(x @ w)))
+            grad = x.T @ (each * (y - p)) - RIDGE * w
+            hess = (x * (each * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(INPUTS)
+            step = np.linalg.solve(hess, grad)
+            w += step
+            if np.abs(step).max() < 1e-8:
+                break
+        weights[kind] = w
+    return SpanClassifier(weights)
+
+
+def fit_classifier(found: DataFrame, max_patterns: int = MAX_PATTERNS) -> SpanClassifier:
+    """The span classifier, with reliabilities learned from all candidates of found."""
+    each = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
+    each = written(each.withColumn("h", F.xxhash64("kind", "votes", "features")), "patterns")
+    counts = each.groupBy("kind", "votes").agg(F.sum("n").alias("n"))
+    votes = [(r["kind"], r["votes"], r["n"]) for r in counts.collect()]  # at most kinds x 3 ** labelers rows
+    total = each.count()
+    if total > max_patterns:  # a bound on the hash that leaves at most about max_patterns rows before the limit
+        each = each.where(F.col("h") <= int(-(2**63) + min(1.0, 1.1 * max_patterns / total) * (2**64 - 1)))
+    rows = each.orderBy("h", "kind", "votes", "features").limit(max_patterns)
+    return fit_spans(votes, [(r["kind"], r["votes"], r["features"], r["n"]) for r in rows.collect()])
+
+
+def accepted(spans: list[tuple[int, int, int, bool, int, int]], model: SpanClassifier) -> list[tuple[int, int, int, bool]]:
     """Base spans, and the candidates above the threshold that overlap nothing better."""
     keep = [s[:4] for s in spans if s[3]]
-    more = sorted((-scores.get((s[2], s[4]), 0.0), s) for s in spans if not s[3])
-    for negative, span in more:
-        if -negative >= THRESHOLD and not any(a < span[1] and span[0] < b for a, b, _, _ in keep):
+    good = sorted((-model.score(s[2], s[4], s[5]), s) for s in spans if not s[3])
+    taken: list[tuple[int, int]] = []  # disjoint; candidates don't overlap base spans
+    for negative, span in good:
+        if -negative < THRESHOLD:
+            break
+        at = bisect_left(taken, (span[1],)) - 1
+        if at < 0 or taken[at][1] <= span[0]:
+            insort(taken, (span[0], span[1]))
             keep.append(span[:4])
     return sorted(keep, key=lambda s: (s[0], s[2], s[1]))
 
@@ -241,14 +344,14 @@ def find_private(docs: DataFrame) -> DataFrame:
     nothing is learned and nothing added; other columns are ignored.
     """
     found = written(with_candidates(docs), "candidates")
-    table = found.sparkSession.sparkContext.broadcast(fit_classifier(found))
+    model = found.sparkSession.sparkContext.broadcast(fit_classifier(found))
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(batches):
         for batch in batches:
             rows = []
             for spans in batch.column(1).to_pylist():
-                kept = accepted([tuple(s.values()) for s in spans], table.value)
+                kept = accepted([tuple(s.values()) for s in spans], model.value)
                 rows.append([{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, b, k, own in kept])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(item))], ["doc_id", "spans"])
 
@@ -261,13 +364,15 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Candidates are found twice, once to learn from and once to replace, so that no text is shuffled.
     """
-    scores = docs.sparkSession.sparkContext.broadcast(fit_classifier(written(with_candidates(docs), "candidates")))
+    found = written(with_candidates(docs), "candidates")
+    model = docs.sparkSession.sparkContext.broadcast(fit_classifier(found))
+    discard(found)
     names = docs.columns
     at = names.index("text")
     counted = names.index("n_chars") if "n_chars" in names else None
 
     def clean(text: str | None) -> str | None:
-        spans = accepted(candidates(text), scores.value)
+        spans = accepted(candidates(text), model.value)
         if not spans:
             return text
         out, done = [], 0

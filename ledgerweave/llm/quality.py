@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, with_package, written
+from .common import discard, slices, text_mark, with_package, without_rows, written
 
 #: Labelled rows that the model is fitted on at most; the rest have larger hashes of their doc_id.
 MAX_ROWS = 40_000
@@ -71,16 +71,16 @@ def features(text: str | None) -> list[float]:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, held_out, text) -> doc_id, held_out, x: the features of the whole text."""
+    """docs (doc_id, held_out, mark, text) -> doc_id, held_out, mark, x: the features of the whole text."""
     with_package(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
-            rows = [features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "held_out", "x"])
+            rows = [features(t) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "held_out", "mark", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, x array<double>")
+    return docs.select("doc_id", "held_out", "mark", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, mark long, x array<double>")
 
 
 def best_cuts(g: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -189,37 +189,52 @@ class AdditiveModel:
 
 
 def fit_model(scored: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AdditiveModel:
-    """The model of at most max_rows labelled rows of scored (doc_id, held_out, x), those of the smallest hashes."""
+    """The model of at most max_rows labelled rows of scored (doc_id, held_out, x), those of the smallest hashes.
+
+    Rows of large hashes are left out before the sort, by a bound that the number of labelled rows gives.
+    """
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     marks = marks.where("y <> 0.5").select(F.col("doc_id").alias("__id"), F.col("y"))
     rows = scored.where("not held_out").join(marks, scored["doc_id"] == F.col("__id"))
     rows = rows.select("x", F.when(F.col("y") > 0.5, 1.0).otherwise(0.0).alias("y"), F.xxhash64("doc_id").alias("h"))
-    rows = rows.orderBy("h", "x", "y").limit(max_rows).select("x", "y").toArrow()  # bounded by max_rows
-    x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return AdditiveModel(x, np.array(rows.column("y").to_pylist(), dtype=float))
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text), learned from the labels of rows not held out.
+    rows = written(rows, "labelled")
+    total, share = rows.count(), 1.0
+    part = rows
+    if total > max_rows:
+        share = min(1.0, 1.1 * max_rows / total)
+        while True:
+            part = rows.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+            if share >= 1 or part.count() >= max_rows:
+                break
+            share = min(1.0, 2 * share)
+    found = part.orderBy("h", "x", "y").limit(max_rows).select("x", "y").toArrow()  # bounded by max_rows
+    discard(rows)
+    x = np.array(found.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
+    return AdditiveModel(x, np.array(found.column("y").to_pylist(), dtype=float))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = MAX_ROWS, marks: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted (and the text's mark) for every row of docs (doc_id, text), learned from the labels of rows not held out.
 
     Defined cases: null and empty texts have zero features and a score like any other; without usable labels (both
     classes) every score is the labels' smoothed share of ones; null labels teach nothing, and neither does a doc_id
     labelled 0 as often as 1; a null doc_id isn't held out; repeated rows are scored each; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), text_mark("text").alias("mark"))
     scored = written(with_features(docs), "features")
     model = scored.sparkSession.sparkContext.broadcast(fit_model(scored, labels, max_rows))
 
     def run(batches):
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             score = model.value.score(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
+                [*batch.columns[:3], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "mark", "score", "predicted"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return scored.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    out = scored.mapInArrow(run, f"doc_id {kind}, held_out boolean, mark long, score double, predicted int")
+    return out if marks else out.drop("mark")
 
 
 def held_out_third() -> Column:
@@ -227,12 +242,9 @@ def held_out_third() -> Column:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted 0; all columns stay as they are."""
-    from .common import BROADCAST_ROWS
-
-    gone = written(score_quality(docs, labels, held_out_third()).where("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs without the rows predicted 0, each judged by its own text; all columns stay as they are."""
+    bad = score_quality(docs, labels, held_out_third(), marks=True).where("predicted = 0")
+    return without_rows(docs, bad.select("doc_id", "mark", F.lit(False).alias("once")).distinct())
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

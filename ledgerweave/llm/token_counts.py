@@ -1,75 +1,136 @@
-"""Token counts from a compiled finite-state tokenizer."""
+"""Token counts from a compiled finite-state tokenizer.
+
+Texts become one stream of symbols (the bytes of their pieces, the last of each marked as closing). The stream is cut into
+chunks at any place, the chunks' state maps are worked out side by side and composed, and a text's count is the sum of the
+count's changes at its symbols.
+"""
 
 from __future__ import annotations
 
-import functools
 import re
-import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, with_package
-from .transducer import CLOSING, Transducer, transducer
+from .tokens import library
+from .transducer import CLOSING, transducer
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: Words whose counts a worker remembers.
-MEMO_WORDS = 550_000
-#: A word of more symbols is read in chunks.
-CHUNK = 4096
+#: Bytes of texts that a task turns into symbols at once; a longer text is cut at white space, where it has any.
+BLOCK = 1 << 20
 # Fixed values of the vocabulary's file: its special strings, its splitting pattern.
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# Words of Latin letters, digits and common marks fall apart by this simpler pattern, without the normaliser's rarer rules.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9" + re.escape(".,!?*$%&#;:|+-_()=/@") + "]+")
-PLAIN_SPLIT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-
-
-def lowered(text: str) -> str:
-    """Composed and lower-cased letter by letter, as the vocabulary's normaliser does (no final sigma)."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-
-def symbols_of(text: str) -> tuple[list[int], int]:
-    """The transducer's input for a text, and how many special strings it holds."""
+# Words of Latin letters, digits and common marks fall apart where the kind of the bytes changes; a digit stands alone.
+MARKS = b".,!?*$%&#;:|+-_()=/@"
+BLANK, LETTER, MARK, DIGIT, OTHER = 0, 1, 2, 3, 4
+KINDS = np.full(256, OTHER, dtype=np.uint8)
+KINDS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = LETTER
+KINDS[0xC3] = KINDS[0x80:0xC0] = LETTER  # the letters from U+00C0 to U+00FF
+KINDS[[*MARKS]] = MARK
+KINDS[[*b"0123456789"]] = DIGIT
+KINDS[[*b"\t\n\v\f\r "]] = BLANK
+LOWER = np.arange(256, dtype=np.int16)
+LOWER[65:91] += 32
+def odd_symbols(word: str) -> tuple[list[int], int]:
+    """(symbols, special strings) of any word, by the vocabulary's own normaliser and pattern."""
     out: list[int] = []
-    if PLAIN.fullmatch(text):
-        parts, split, special = [text.lower()], PLAIN_SPLIT, 0
-    else:
-        parts, split, special = SPECIAL.split(text), SPLIT, len(SPECIAL.findall(text))
-        parts = [lowered(p) for p in parts]
-    for part in parts:
-        for piece in split.findall(part):
+    normal = library(VOCABULARY).normalizer
+    for part in SPECIAL.split(word):
+        for piece in SPLIT.findall(normal.normalize_str(part)):
             out += piece.encode("utf-8", "replace")
             out[-1] += CLOSING
-    return out, special
-
+    return out, len(SPECIAL.findall(word))
 
-class WordCounts(dict):
-    """Word (UTF-8 bytes without ASCII white space) -> tokens; white space always leads the transducer back to its start."""
 
-    def __init__(self, machine: Transducer):
-        self.machine = machine
+def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the transducer's input for texts in a row, where each text begins in it, how many special strings each holds).
 
-    def __missing__(self, word: bytes) -> int:
-        symbols, special = symbols_of(word.decode("utf-8", "replace"))
-        if len(symbols) > CHUNK:
-            return self.machine.count_symbols(symbols, CHUNK) + special
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        n = self[word] = self.machine.run(symbols)[1] + special
-        return n
-
-
-@functools.lru_cache(maxsize=2)
-def word_counts(name: str) -> WordCounts:
-    return WordCounts(transducer(name))
-
-
-def count_tokens(docs: DataFrame, limit: int = TOKEN_LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
+    The vocabulary's normaliser and pattern never look across ASCII white space, so words may be treated apart: plain ones
+    all at once, the others each by odd_symbols.
+    """
+    joined = b" ".join([*texts, b""])
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    special = np.zeros(len(texts), dtype=np.int64)
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    kinds, symbols = KINDS[raw], LOWER[raw]
+    odd = kinds == OTHER
+    follows = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    if len(follows):
+        second = raw[follows]
+        odd[follows[(second == 0x97) | (second == 0xB7)]] = True  # the multiplication and division signs
+        symbols[follows[second <= 0x9E]] += 32  # capitals from U+00C0 to U+00DE
+    closing = np.ones(len(raw), dtype=bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=closing[:-1])
+    symbols[closing | (kinds == DIGIT)] += CLOSING
+    plain = kinds != BLANK
+    sizes = np.add.reduceat(plain, starts, dtype=np.int64)
+    found, at = [], 0
+    if odd.any():
+        blanks = np.flatnonzero(kinds == BLANK)
+        place = np.unique(np.searchsorted(blanks, np.flatnonzero(odd)))  # one entry for each odd word
+        for lo, hi in zip(np.where(place > 0, blanks[place - 1] + 1, 0).tolist(), blanks[place].tolist(), strict=True):
+            made, n = odd_symbols(joined[lo:hi].decode("utf-8", "replace"))
+            found += [symbols[at:lo][plain[at:lo]], np.array(made, dtype=np.int16)]
+            text = np.searchsorted(starts, lo, side="right") - 1
+            sizes[text] += len(made) - (hi - lo)
+            special[text] += n
+            at = hi
+    found.append(symbols[at:][plain[at:]])
+    return np.concatenate(found), np.cumsum(sizes) - sizes, special
+
+
+def blocks(text: bytes):
+    """The text in blocks of about BLOCK bytes that end before white space."""
+    at = 0
+    while len(text) - at > BLOCK:
+        cut = max(text.rfind(c, at + 1, at + BLOCK) for c in (b" ", b"\n"))
+        if cut < 0:  # one long word: up to its end
+            ends = [e for c in (b" ", b"\n") if (e := text.find(c, at + BLOCK)) >= 0]
+            cut = min(ends, default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def token_counts(texts: list[bytes | None], vocabulary: str = VOCABULARY) -> np.ndarray:
+    """Tokens of whole texts."""
+    machine, totals = transducer(vocabulary), np.zeros(len(texts), dtype=np.int64)
+    held: list[bytes] = []
+    rows: list[int] = []
+
+    def flush() -> None:
+        machine.trim()
+        symbols, starts, special = symbols_of(held)
+        some = np.append(starts[1:], len(symbols)) > starts
+        if some.any():
+            special[some] += np.add.reduceat(machine.changes(symbols), starts[some], dtype=np.int64)
+        np.add.at(totals, rows, special)
+        held.clear()
+        rows.clear()
+
+    size = 0
+    for row, text in enumerate(texts):
+        for block in blocks(text or b""):
+            held.append(block)
+            rows.append(row)
+            size += len(block)
+            if size >= BLOCK:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return totals
+
+
+def count_tokens(docs: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs.
 
     Defined cases: null and empty texts have no tokens; special strings inside texts count as one token, as the library
@@ -78,15 +139,11 @@ def count_tokens(docs: DataFrame, limit: int = TOKEN_LIMIT, vocabulary: str = VO
     with_package(docs.sparkSession)
 
     def count(batches):
-        counts = word_counts(vocabulary)
         for batch in slices(batches):
-            tokens = []
-            for text in batch.column(1).to_pylist():
-                counts.machine.trim()
-                tokens.append(sum(map(counts.__getitem__, text.split())) if text else 0)
-            sizes = pa.array([len(t) if t else 0 for t in batch.column(1).to_pylist()], pa.int64())
+            texts = batch.column(1).to_pylist()
+            tokens = token_counts(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])],
+                [batch.column(0), pa.array([len(t) if t else 0 for t in texts], pa.int64()), pa.array(tokens), pa.array(tokens > limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

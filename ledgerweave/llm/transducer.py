@@ -5,22 +5,27 @@ tokens. Let count(n) be the number of tokens of the word's first n symbols as th
 last of these tokens. The tokens of a prefix are those of a shorter prefix plus last(n), and last(n + 1) is the one token
 ending there that stands unmerged beside the token before it. So what can still matter of a prefix is bounded: the longest
 suffix that begins some token, and last and the relative count at each position of that suffix. That is a state.
-States are made when a text first reaches them; a transition gives the next state and count(n + 1) - count(n).
+States are compiled when a text first reaches them; a transition gives the next state and count(n + 1) - count(n).
 """
 
 from __future__ import annotations
 
 import functools
 import json
-from dataclasses import dataclass
 
+import numpy as np
 import public_tokenizers
 
-#: Transitions a worker keeps; beyond it trim() has the transducer compiled afresh.
-MAX_TRANSITIONS = 1_500_000
+#: Transitions a worker keeps; beyond it the transducer is compiled afresh.
+MAX_TRANSITIONS = 600_000
 CLOSING = 256
-#: A transition is packed as next state << SHIFT | change of the count + OFFSET.
+#: A transition is packed as next state << SHIFT | change of the count + OFFSET, its key as state << 9 | symbol.
 SHIFT, OFFSET = 12, 2048
+#: The table's copy in arrays has 2 ** SLOT_BITS slots at first and twice as many when it is half full.
+SLOT_BITS = 20
+MIX = 0x9E3779B97F4A7C15
+#: Symbols of a chunk.
+CHUNK = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -30,15 +35,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """head: symbols to read from the entry state; then state (None: wherever head leads) and count more tokens."""
-
-    head: tuple[int, ...]
-    state: int | None
-    count: int
-
-
 class Transducer:
     """State 0 is the start of a word; a closing symbol leads back to it."""
 
@@ -65,18 +61,35 @@ class Transducer:
         self.token = {symbols(p): i for p, i in pieces.items()}
         self.length = {i: len(s) for s, i in self.token.items()}
         self.begins = {s[:k] for s in self.token for k in range(len(s) + 1)}
+        self.sound: dict[int, bool] = {}
+        self.beside: dict[tuple[int, int], bool] = {}
         self.restart()
 
     def restart(self) -> None:
-        self.sound: dict[int, bool] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
+        """Forget all states; the numbers of states that a caller holds end with them."""
+        self.beside.clear()
         self.keys: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.table: dict[int, int] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}  # one object for equal entries of histories
+        self.set_slots(SLOT_BITS)
         self.state_of("", ((-1, 0),))
 
+    def set_slots(self, bits: int) -> None:
+        self.slot_bits, self.slot_mask = bits, (1 << bits) - 1
+        self.slot_keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.slot_steps = np.zeros(1 << bits, dtype=np.int64)
+        for key, step in self.table.items():
+            self.fill_slot(key, step)
+
+    def fill_slot(self, key: int, step: int) -> None:
+        slot = (key * MIX & (1 << 64) - 1) >> 64 - self.slot_bits
+        while self.slot_keys[slot] >= 0:
+            slot = slot + 1 & self.slot_mask
+        self.slot_keys[slot], self.slot_steps[slot] = key, step
+
     def trim(self) -> None:
-        """Forget the compiled states if they are many; states held by the caller end with them."""
+        """Start afresh if there are many transitions."""
         if len(self.table) >= MAX_TRANSITIONS:
             self.restart()
 
@@ -124,87 +137,128 @@ class Transducer:
             known = self.beside[left, right] = self.apart(left, right)
         return known
 
-    def make(self, state: int, symbol: int) -> int:
-        """Compile one transition."""
+    def last_token(self, state: int, symbol: int) -> int:
+        """The token that ends with a symbol read in a state."""
         suffix, history = self.states[state]
         text = suffix + chr(symbol)
         for size in range(len(text), 0, -1):
             token = self.token.get(text[-size:])
-            if token is None or not self.whole(token):
-                continue
-            before, count = history[size - 1]
-            if self.pair_stands(before, token):
-                break
-        else:
-            raise ValueError(f"no token ends with symbol {symbol}")
-        change = count + 1
+            if token is not None and self.whole(token) and self.pair_stands(history[size - 1][0], token):
+                return token
+        raise ValueError(f"no token ends with symbol {symbol}")
+
+    def compile(self, key: int) -> int:
+        """One transition."""
+        state, symbol = key >> 9, key & 511
+        suffix, history = self.states[state]
+        token = self.last_token(state, symbol)
+        change = history[self.length[token] - 1][1] + 1
         if symbol >= CLOSING:
             step = OFFSET + change
         else:
+            text = suffix + chr(symbol)
             keep = next(k for k in range(len(text), -1, -1) if text[len(text) - k :] in self.begins)
-            newer = ((token, 0), *((t, c - change) for t, c in history[:keep]))
+            shared = self.pairs.setdefault
+            newer = tuple([shared(e, e) for e in ((token, 0), *((t, c - change) for t, c in history[:keep]))])
             step = self.state_of(text[len(text) - keep :], newer) << SHIFT | OFFSET + change
-        self.table[state << 9 | symbol] = step
+        self.table[key] = step
+        if 2 * len(self.table) > self.slot_mask:
+            self.set_slots(self.slot_bits + 1)
+        else:
+            self.fill_slot(key, step)
         return step
 
-    def run(self, symbols, state: int = 0) -> tuple[int, int]:
-        """(last state, count) of reading symbols from a state."""
-        get, make, total = self.table.get, self.make, 0
+    def steps(self, keys: np.ndarray) -> np.ndarray:
+        """The transitions of many keys; unknown ones are compiled."""
+        mixed = keys.view(np.uint64) * np.uint64(MIX)
+        slots = (mixed >> np.uint64(64 - self.slot_bits)).view(np.int64)
+        found, out = self.slot_keys[slots], self.slot_steps[slots]
+        open_ = np.flatnonzero(found != keys)
+        while len(open_):
+            empty, bits = found[open_] < 0, self.slot_bits
+            for key in np.unique(keys[open_[empty]]).tolist():
+                if key not in self.table:
+                    self.compile(key)
+            if self.slot_bits != bits:
+                return self.steps(keys)
+            further = open_[~empty]
+            slots[further] = slots[further] + 1 & self.slot_mask
+            found[open_], out[open_] = self.slot_keys[slots[open_]], self.slot_steps[slots[open_]]
+            open_ = open_[found[open_] != keys[open_]]
+        return out
+
+    def run(self, symbols, state: int = 0, changes: list[int] | None = None) -> tuple[int, int]:
+        """(last state, tokens) of reading symbols from a state; changes takes the count's change at each symbol."""
+        get, compile_, total = self.table.get, self.compile, 0
         for symbol in symbols:
-            step = get(state << 9 | symbol)
+            key = state << 9 | symbol
+            step = get(key)
             if step is None:
-                step = make(state, symbol)
-                get = self.table.get
+                step = compile_(key)
             state = step >> SHIFT
-            total += (step & 4095) - OFFSET
+            change = (step & 4095) - OFFSET
+            total += change
+            if changes is not None:
+                changes.append(change)
         return state, total
 
-    def chunk_map(self, symbols) -> ChunkMap:
-        """What a chunk does to any state it may be entered in.
-
-        A closing symbol leads every state to 0, so the map is one state and count behind the first of them; before it,
-        and in a chunk without one, the symbols are kept to be read from the entry state once that is known.
-        """
-        first = next((k for k, s in enumerate(symbols) if s >= CLOSING), None)
-        if first is None:
-            return ChunkMap(tuple(symbols), None, 0)
-        return ChunkMap(tuple(symbols[: first + 1]), *self.run(symbols[first + 1 :]))
-
-    def enter(self, chunk: ChunkMap, state: int) -> tuple[int, int]:
-        after, count = self.run(chunk.head, state)
-        return (after, count) if chunk.state is None else (chunk.state, count + chunk.count)
-
-    def compose(self, first: ChunkMap, then: ChunkMap) -> ChunkMap:
-        """The map of two chunks in a row; associative, so chunks may be combined in any grouping."""
-        if first.state is None:
-            return ChunkMap(first.head + then.head, then.state, then.count)
-        state, count = self.enter(then, first.state)
-        return ChunkMap(first.head, state, first.count + count)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """All prefix compositions, by recursive halving (a parallel prefix scan); heads without a closing symbol add up in them."""
-        if len(maps) < 2:
-            return maps
-        pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
-        out = [maps[0]]
-        for k in range(1, len(maps)):
-            out.append(pairs[k // 2] if k % 2 else self.compose(pairs[k // 2 - 1], maps[k]))
-        return out
-
-    def count_symbols(self, symbols, chunk: int = 4096) -> int:
-        """Tokens of a stream of words, cut into chunks at any place.
+    def changes(self, symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+        """The count's change at each symbol of a stream of whole words, which is cut into chunks at any place.
 
-        A fold: each chunk's map is applied to the state so far, so one head at most is held, of no more than chunk symbols.
+        A chunk's map leads each entry state to an exit state. Behind its first closing symbol all entries are in the
+        start, so there the maps of all chunks are worked out at once, a symbol of every chunk in a step. A chunk with a
+        closing symbol thus has one exit for all entries, and the composition of all chunks before another is known from
+        the nearest such chunk: the heads, up to the first closing symbols, are then read from these exits, again all at
+        once. Chunks without a closing symbol pass their entry on; they are read in order from the exit before them.
         """
-        state = total = 0
-        for lo in range(0, len(symbols), chunk):
-            state, count = self.enter(self.chunk_map(symbols[lo : lo + chunk]), state)
-            total += count
-            if len(self.table) >= MAX_TRANSITIONS:
-                key = self.states[state]
-                self.restart()
-                state = self.state_of(*key)
-        return total
+        n = len(symbols)
+        if not n:
+            return np.zeros(0, np.int16)
+        count = -(-n // chunk)
+        grid = np.full(count * chunk, CLOSING, dtype=np.int16)  # padded behind the last closing symbol
+        grid[:n] = symbols
+        grid = grid.reshape(count, chunk)
+        closing = grid >= CLOSING
+        closed = closing.any(axis=1)
+        first = np.where(closed, closing.argmax(axis=1), chunk)
+        out = np.zeros((count, chunk), dtype=np.int16)
+        exits = np.zeros(count, dtype=np.int64)
+        order = np.argsort(first, kind="stable")  # chunks that start early come first
+        begins = first[order]
+        for t in range(1, chunk):
+            live = order[: np.searchsorted(begins, t)]
+            if len(live):
+                step = self.steps(exits[live] << 9 | grid[live, t])
+                exits[live] = step >> SHIFT
+                out[live, t] = (step & 4095) - OFFSET
+        known = np.concatenate(([True], closed[:-1]))  # the entry is the start or an exit found above
+        entries = np.concatenate(([0], exits[:-1]))
+        order = np.flatnonzero(known & closed)
+        order = order[np.argsort(-first[order], kind="stable")]
+        ends = -first[order]
+        state = entries[order]
+        for t in range(chunk):
+            live = np.searchsorted(ends, -t, side="right")
+            if not live:
+                break
+            step = self.steps(state[:live] << 9 | grid[order[:live], t])
+            state[:live] = step >> SHIFT
+            out[order[:live], t] = (step & 4095) - OFFSET
+        # runs of chunks without a closing symbol, up to the first closing symbol behind them
+        heads = np.flatnonzero(known & ~closed)
+        held = [self.states[k] for k in entries[heads].tolist()]
+        flat, line = out.reshape(-1), grid.reshape(-1)
+        for at, key in zip(heads.tolist(), held, strict=True):
+            while True:
+                self.trim()
+                state, got = self.state_of(*key), []
+                end = at * chunk + min(first[at] + 1, chunk)
+                state, _ = self.run(line[at * chunk : end].tolist(), state, got)
+                flat[at * chunk : end] = got
+                if closed[at] or at + 1 == count:
+                    break
+                key, at = self.states[state], at + 1  # noqa: PLW2901  the run goes on
+        return flat[:n]
 
     def count_word(self, word: bytes) -> int:
         """Tokens of one word piece (no splitting inside)."""
@@ -213,21 +267,12 @@ class Transducer:
 
     def word_tokens(self, word: bytes) -> list[int]:
         """Tokens of one word piece: the last tokens are read back along the states."""
-        get, state, path = self.table.get, 0, []
+        state, path = 0, []
         for symbol in word[:-1]:
-            step = get(state << 9 | symbol)
-            if step is None:
-                step = self.make(state, symbol)
-                get = self.table.get
-            state = step >> SHIFT
+            state = self.run((symbol,), state)[0]
             path.append(self.states[state][1][0][0])
-        text = self.states[state][0] + chr(word[-1] + CLOSING)
-        history = self.states[state][1]
-        for size in range(len(text), 0, -1):
-            token = self.token.get(text[-size:])
-            if token is not None and self.whole(token) and self.pair_stands(history[size - 1][0], token):
-                break
-        out, at = [token], len(word) - size
+        token = self.last_token(state, word[-1] + CLOSING)
+        out, at = [token], len(word) - self.length[token]
         while at:
             token = path[at - 1]
             out.append(token)

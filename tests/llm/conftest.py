@@ -15,7 +15,7 @@ def awkward_rows() -> list[tuple]:
     """Nulls, empty and very long texts, ties, repeated rows; the columns after n_chars clash with inner names."""
     base = words(60, 1)
     texts = [
-        None, "", "   \t\n", "one two", base, base, base.replace(" ", "  \n"), base.upper(), base + " tail", words(60, 2), "x" * 5000, words(4000, 3), "<|endoftext|> a@b.c", "日本語 ééé ß", base,
+        None, "", "   \t\n", "one two", base, base, base.replace(" ", "  \n"), base.upper(), base + " tail", words(60, 2), "x" * 5000, words(60_000, 3), "<|endoftext|> a@b.c", "日本語 ééé ß", base,
     ]
     rows = [(k, t, ["en", None, "de"][k % 3], "s", len(t) if t else 0) for k, t in enumerate(texts)]
     rows += [rows[4], (None, base, None, None, None)]

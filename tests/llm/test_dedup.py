@@ -44,29 +44,76 @@ def test_exact(spark, docs, digests):
     assert Counter(tuple(r) for r in got) == Counter(want)
 
 
+def rank(row):
+    return row[0] is None, row[0] or 0
+
+
 def test_exact_drop_keeps_columns_and_first_rows(docs):
     left = exact_dedup.drop_exact_duplicates(docs)
     assert left.columns == docs.columns
-    ids = [r.doc_id for r in left.collect()]
-    assert 5 not in ids and 6 not in ids and ids.count(4) == 2 and 7 in ids and 1 not in ids
+    groups = {}
+    for row in sorted(awkward_rows(), key=rank):
+        groups.setdefault(re.sub(r"[ \t-\r]+", " ", row[1] or ""), row[0])
+    assert Counter(r.doc_id for r in left.collect()) == Counter(groups.values())
+
+
+#: (doc_id, text): ids with several texts, rows repeated as a whole, null ids, texts that differ in white space alone.
+ROWS_OF_ONE_ID = [
+    (1, "same text"), (2, "same text"), (2, "unique other text"), (3, "twice"), (3, "twice"), (None, "same text"), (None, "of no id"), (None, "of no id"),
+    (4, "a  b"), (4, "a b"), (5, None), (5, ""), (6, "twice"), (7, "unique"),
+]
+CLASHING = "doc_id long, text string, __gone long, __id long, shard string, mark long, once boolean, cls long, best string"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, k, k, "mine", k, True, k, "b") for k, (i, t) in enumerate(rows)], CLASHING)
 
 
-def brute_near(rows):
+def test_exact_drop_decides_row_by_row(spark):
+    left = exact_dedup.drop_exact_duplicates(clashing(spark, ROWS_OF_ONE_ID))
+    assert left.columns == [c.split()[0] for c in CLASHING.split(", ")]
+    got = Counter((r.doc_id, re.sub(" +", " ", r.text or "")) for r in left.collect())
+    assert got == Counter([(1, "same text"), (2, "unique other text"), (3, "twice"), (None, "of no id"), (4, "a b"), (5, ""), (7, "unique")])
+
+
+def brute_near(rows, percent=85):
+    """The set of each row, and the number of each row's component."""
     sets = []
     for i, t in rows:
         w = re.findall(r"[^ \t-\r]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
         sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
-    links = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if s and t and a is not None and b is not None and 100 * len(s & t) >= 85 * len(s | t)]
-    return sets, components({i for i, _ in sets if i is not None}, links)
+    links = [(a, b) for a, (_, s) in enumerate(sets) for b, (_, t) in enumerate(sets[:a]) if s and t and 100 * len(s & t) >= percent * len(s | t)]
+    return sets, components(range(len(rows)), links)
+
 
+def smallest_ids(rows, percent=85):
+    sets, part = brute_near(rows, percent)
+    least = {}
+    for k in range(len(rows)):
+        if rows[k][0] is not None:
+            least[part[k]] = min(rows[k][0], least.get(part[k], rows[k][0]))
+    return [(i, len(s), least.get(part[k])) for k, (i, s) in enumerate(sets)], part
 
-def test_near_awkward(docs):
-    got = near_dedup.near_duplicates(docs).collect()
-    sets, part = brute_near([r[:2] for r in awkward_rows()])
-    want = [(i, len(s), part.get(i) if i is not None else None, i is None or part[i] == i) for i, s in sets]
+
+@pytest.mark.parametrize("rows", [[r[:2] for r in awkward_rows()], ROWS_OF_ONE_ID])
+def test_near_awkward(spark, rows):
+    got = near_dedup.near_duplicates(clashing(spark, rows), 85).collect()
+    want = [(i, n, least, i == least) for i, n, least in smallest_ids(rows)[0]]
     assert Counter(tuple(r) for r in got) == Counter(want)
 
 
+def test_near_drop_decides_row_by_row(spark):
+    rows = [(i, t and " ".join(f"{t} {w}" for w in "a b c d e f g h".split())) for i, t in ROWS_OF_ONE_ID]
+    left = near_dedup.drop_near_duplicates(clashing(spark, rows))
+    assert left.columns == [c.split()[0] for c in CLASHING.split(", ")]
+    part = brute_near(rows, 80)[1]
+    best = {}
+    for k in sorted(range(len(rows)), key=lambda k: rank(rows[k])):
+        best.setdefault(part[k] if rows[k][1] else -k - 1, k)  # texts without words all stay
+    want = Counter((rows[k][0], " ".join((rows[k][1] or "").split())) for k in best.values())
+    assert Counter((r.doc_id, " ".join((r.text or "").split())) for r in left.collect()) == want
+
+
 def test_near_chains_and_groups(spark):
     r = random.Random(5)
     rows, n = [], 0
@@ -79,8 +126,34 @@ def test_near_chains_and_groups(spark):
             rows.append((n, " ".join(copy)))
             n += 1
             base = copy if r.random() < 0.3 else base  # chains: ends need not be alike
-    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_near(rows)[1]
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {i: least for i, _, least in smallest_ids(rows)[0]}
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_hot_buckets_are_split(spark, monkeypatch, percent):
+    """Many documents share half of their shingles, and so buckets, without being alike; some have a near copy."""
+    r = random.Random(8)
+    common = words(90, 1)
+    rows = []
+    for k in range(120):
+        own = words(70, 1000 + k).split()
+        rows.append((k, f"{common} {' '.join(own)}"))
+        if k % 3 == 0:
+            own[r.randrange(70)] = "edited"
+            rows.append((1000 + k, f"{common} {' '.join(own)}"))
+    monkeypatch.setattr(near_dedup, "SPLIT_PAIRS", 5)
+    calls = []
+    plain = near_dedup.cross_pairs
+    monkeypatch.setattr(near_dedup, "cross_pairs", lambda *a: calls.append(plain(*a)) or calls[-1])
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert got == {i: least for i, _, least in smallest_ids(rows, percent)[0]}
+    assert len(set(got.values())) == 120 and calls
+
+
+def test_splits_keep_the_chance_of_a_miss():
+    assert near_dedup.splits(85) == near_dedup.splits(80) == 3
+    assert near_dedup.splits(100) == 0  # two sub-keys in all
 
 
 def test_parity_sketch_never_exceeds_the_difference():
@@ -124,6 +197,30 @@ def test_embeddings(spark):
     assert got == {i: (degree[i], part[i]) for i, _, _ in rows}
 
 
+@pytest.mark.parametrize("size", [1e-200, 1e200, 5e-324, 1.7e308, 1.0])
+def test_embeddings_of_extreme_sizes(spark, size):
+    rows = [(1, [size, size], 1), (2, [size, 0.0], 1), (3, [size, size * 0.999], 1), (4, [1.0, 1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (0, 2), 3: (2, 1), 4: (2, 1)}
+
+
+def test_first_shared_table(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(4)
+    tables = embeddings.tables_for(embeddings.THRESHOLD)
+    x = r.standard_normal((200, 8))
+    y = x + 0.6 * r.standard_normal((200, 8))
+    p, q = embeddings.packed_keys(x, tables), embeddings.packed_keys(y, tables)
+    each = lambda v: np.stack([v.view("<u2").reshape(len(v), -1)[:, k // 3 * 4 + k % 3] for k in range(tables)], axis=1)
+    same = each(p) == each(q)
+    want = [int(row.argmax()) if row.any() else None for row in same]
+    df = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(p, q, strict=True))], "k int, a array<long>, b array<long>")
+    got = df.select("k", embeddings.first_shared("a", "b", tables).alias("t"), *[embeddings.key_at("a", t).alias(f"k{t}") for t in range(tables)]).orderBy("k").collect()
+    assert [row.t for row in got] == want and None in want and len(set(want)) > 10
+    assert [[row[f"k{t}"] for t in range(tables)] for row in got] == each(p).tolist()
+
+
 def test_embedding_copies_share_a_repeated_id(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 2)]
     got = sorted(tuple(r) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
@@ -149,17 +246,43 @@ def test_shards_split_only_what_is_too_large(spark, docs):
     assert len(same) == len(awkward_rows())
 
 
+def test_written_shards(spark, tmp_path):
+    rows = [(k, "x" * (50 + k % 100)) for k in range(300)] + [(1000, "y" * 5000)] + [(7, f"row {k} " * 20) for k in range(60)] + [(None, None)]
+    docs = clashing(spark, rows)
+    name = sharding.write_shards(docs, f"file://{tmp_path}/out", limit_bytes=1000)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert name == "shard_" and set(back.columns) == {*docs.columns, name}
+    assert Counter((r.doc_id, r.text, r.shard) for r in back.collect()) == Counter((i, t, "mine") for i, t in rows)
+    sizes, folder = defaultdict(int), {}
+    for r in back.collect():
+        sizes[r[name]] += len(r.text or "")
+        assert folder.setdefault(r.doc_id, r[name]) == r[name]
+    assert {k for k, v in sizes.items() if v > 1000} <= {folder[1000], folder[7]}
+    hot = [p for p in (tmp_path / "out" / f"{name}={folder[7]}").iterdir() if p.suffix == ".parquet"]
+    assert hot  # as many files as tasks: a table this small makes one
+
+
+def test_shards_of_a_skewed_table(spark):
+    rows = [(k, "x" * 10) for k in range(64)] + [(500, "y" * 100_000)]
+    got = {x.doc_id: x for x in sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), limit_bytes=100).collect()}
+    assert len(got) == 65 and got[500].over_limit and got[500].depth == sharding.HASH_BITS
+    sums = defaultdict(int)
+    for x in got.values():
+        sums[x.shard] += x.n_bytes
+    assert all(x.shard_bytes == sums[x.shard] and (x.over_limit or x.shard_bytes <= 100) for x in got.values())
+
+
 def test_same_results_without_broadcasts(spark, docs, monkeypatch):
     from ledgerweave.llm import common
 
-    for module in (common, exact_dedup, near_dedup):
-        monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         test_exact(spark, docs, True)
         test_exact(spark, docs, False)
         test_exact_drop_keeps_columns_and_first_rows(docs)
-        test_near_awkward(docs)
+        test_exact_drop_decides_row_by_row(spark)
+        test_near_awkward(spark, ROWS_OF_ONE_ID)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -176,10 +299,8 @@ def test_near_links_at_other_thresholds(spark, percent):
                 copy[at] = f"edit{r.randint(0, 10**6)}"
             rows.append((len(rows), " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets, _ = brute_near(rows)
-    alike = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if 100 * len(s & t) >= percent * len(s | t)]
-    want = components([i for i, _ in rows], alike)
-    assert want != brute_near(rows)[1]
+    want = {i: least for i, _, least in smallest_ids(rows, percent)[0]}
+    assert want != {i: least for i, _, least in smallest_ids(rows)[0]}
     assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs, percent).collect()} == want
     left = near_dedup.drop_near_duplicates(docs) if percent == 80 else near_dedup.drop_near_duplicates(docs, percent)
     assert {x.doc_id for x in left.collect()} == set(want.values())

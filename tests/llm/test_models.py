@@ -111,6 +111,52 @@ def test_base_spans_equal_the_patterns():
 def test_long_texts_take_linear_time():
     for t in ("a" * 300_000 + "@", "1" * 300_000, "@" * 50_000, "a@" * 50_000):
         private_data.base_spans(t)
+    many = " ".join(f"call 319-555-{k % 10000:04d} or a{k}@mail.com, ip 1.2.3.4" for k in range(30_000))
+    spans = private_data.candidates(many)
+    assert len(spans) == 90_000
+    model = private_data.fit_spans([(k, v, 1) for k, v in {(s[2], s[4]) for s in spans}], [(s[2], s[4], s[5], 1) for s in spans[:300]])
+    assert len(private_data.accepted(spans, model)) > 50_000
+
+
+def test_candidates_leave_base_spans_alone_and_accepted_ones_don_t_overlap():
+    r = random.Random(6)
+    for _ in range(400):
+        t = "".join(r.choice(["a@b.c", " ", "1.2.3.4", "+1 319 555 1234", "319-555-1234", " at ", "x", "4111 1111 1111 1111", ".", "de"]) for _ in range(12))
+        spans = private_data.candidates(t)
+        base = [s for s in spans if s[3]]
+        assert [s[:3] for s in base] == brute_spans(t)
+        others = [s for s in spans if not s[3]]
+        assert not any(a[0] < b[1] and b[0] < a[1] for a in others for b in base)
+        model = private_data.SpanClassifier({k: np.append(np.zeros(private_data.INPUTS - 1), 9.0) for k in range(4)})
+        kept = [s for s in private_data.accepted(spans, model) if not s[3]]
+        assert not any(a[0] < b[1] and b[0] < a[1] for k, a in enumerate(kept) for b in kept[:k])
+        assert all(any(a[0] < b[1] and b[0] < a[1] for b in kept) for a in others)
+
+
+def test_span_classifier_learns_from_the_context():
+    """Two contexts with equal votes but for one labeler: features carry the difference to spans on which it abstains."""
+    code = lambda *votes: sum(v * 3 ** (4 - k) for k, v in enumerate(votes))
+    text = {True: "client 4485-2751-7423-1235 on file", False: "parcel 4485-2751-7423-1235 on file"}
+    feats = {k: private_data.features_of(t, 7, 26) for k, t in text.items()}
+    assert feats[True] != feats[False]
+    good, bad, open_ = code(2, 2, 2, 2, 2), code(0, 1, 1, 1, 2), code(0, 0, 0, 0, 2)
+    votes = [(2, good, 500), (2, bad, 500)]
+    model = private_data.fit_spans(votes, [(2, good, feats[True], 500), (2, bad, feats[False], 500)])
+    assert model.score(2, open_, feats[True]) > 0.55 > 0.45 > model.score(2, open_, feats[False])
+    assert model.score(0, good, feats[True]) == 0.0  # nothing was learned of this kind
+
+
+def test_pattern_bound_samples_by_hash(spark):
+    found = spark.createDataFrame([(k, [(0, 5, k % 4, True, k % 243, k)]) for k in range(3000)], f"doc_id long, found {private_data.FOUND}")
+    seen = []
+    plain = private_data.fit_spans
+    try:
+        private_data.fit_spans = lambda votes, patterns: seen.append((votes, patterns)) or plain(votes, patterns)
+        private_data.fit_classifier(found, max_patterns=100)
+    finally:
+        private_data.fit_spans = plain
+    votes, patterns = seen[0]
+    assert sum(n for *_, n in votes) == 3000 and 50 < len(patterns) <= 100
 
 
 def test_reliabilities_find_the_good_labelers():
