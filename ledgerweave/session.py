@@ -50,19 +50,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one the session names, else a temporary one (tests, local mode)."""
+    """The folder that all executors share: the one the session names.
+
+    In local mode (tests, benchmarks) a temporary one is set where none is named; on a cluster that is an error, as a
+    folder of one machine would scatter the tables.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='ledgerweave-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again, for a result that several branches of a plan read."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: lineage ends there, and a lost executor costs no more than its tasks."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that no unfinished plan reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            df._written_at = None
