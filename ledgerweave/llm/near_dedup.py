@@ -347,13 +347,15 @@ ORACLE = {
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), s AS (
-  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(generate_series(1, len(w) - 4), lambda k: array_to_string(w[k:k + 4], ' ')) END)) AS s
-  FROM w
-), c AS (
-  SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s
-), e AS (SELECT rep, n, unnest(s) AS x FROM c
+), u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w
+), g AS (
+  SELECT doc_id, n, i, concat_ws(' ', x, lead(x, 1) OVER d, lead(x, 2) OVER d, lead(x, 3) OVER d, lead(x, 4) OVER d) AS x
+  FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), f AS (SELECT DISTINCT doc_id, x FROM g WHERE i <= greatest(1, n - 4)
+), k AS (SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY x)) AS s, count(*) AS n FROM f GROUP BY doc_id
+), s AS (SELECT doc_id, s, coalesce(n, 0) AS n FROM documents LEFT JOIN k USING (doc_id)
+), c AS (SELECT min(doc_id) AS rep, s, min(n) AS n FROM k GROUP BY s
+), e AS (SELECT rep, n, x FROM c JOIN f ON f.doc_id = c.rep
 ), p AS (
   SELECT a.rep AS a, b.rep AS b, a.n + b.n AS n, count(*) AS both_n FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
     AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
@@ -363,6 +365,6 @@ WITH RECURSIVE w AS (
 ), reach AS (
   SELECT rep AS a, rep AS b FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
 ), part AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
 FROM s LEFT JOIN c USING (s) LEFT JOIN part USING (rep)"""
 }
