@@ -162,24 +162,29 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_sub_keys(classes: DataFrame, groups: int) -> DataFrame:
-    """(cls, s): the sub-keys (at, value) of each class that another class has too; at most 2 * groups of them."""
+    """(cls, rank, s): the sub-keys (at, value) of each class that another class has too; at most 2 * groups of them.
+
+    rank orders classes by the likelihood that others were copied from them: most rows first, then the smallest doc_id.
+    """
+    rank = F.struct((-F.col("size")).alias("size"), F.col("best.none").alias("none"), F.col("best.id").alias("id"), "cls").alias("rank")
     subs = classes.select(
-        "cls", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.col(c).alias("value")) for k, c in enumerate(sub_keys(groups))])).alias("s")
-    ).select("cls", "s.at", "s.value")
+        rank, F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.col(c).alias("value")) for k, c in enumerate(sub_keys(groups))])).alias("s")
+    ).select("rank", "s.at", "s.value")
     often = subs.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "value")
     often = written(often, "subkeys")
     kept = subs.join(broadcast_if_small(often), ["at", "value"], "left_semi")
-    lists = written(kept.groupBy("cls").agg(F.collect_list(F.struct("at", "value")).alias("s")), "sublists")
+    lists = kept.groupBy("rank").agg(F.collect_list(F.struct("at", "value")).alias("s"))
+    lists = written(lists.select("rank.cls", "rank", "s"), "sublists")
     discard(often)
     return lists
 
 
 def table_keys(lists: DataFrame, groups: int) -> DataFrame:
-    """(key, i, j, cls) of the tables' keys that a class can share with another: pairs of sub-keys i and j that are both shared."""
+    """(key, i, j, rank, cls) of the tables' keys that a class can share with another: pairs of sub-keys i and j that are both shared."""
     one = F.filter("s", lambda x: x["at"] < groups)
     two = F.filter("s", lambda x: x["at"] >= groups)
-    both = lists.select("cls", F.explode(one).alias("a"), two.alias("two")).select("cls", "a", F.explode("two").alias("b"))
-    return both.select(F.xxhash64("a.at", "a.value", "b.at", "b.value").alias("key"), F.col("a.at").alias("i"), F.col("b.at").alias("j"), "cls")
+    both = lists.select("rank", F.explode(one).alias("a"), two.alias("two")).select("rank", "a", F.explode("two").alias("b"))
+    return both.select(F.xxhash64("a.at", "a.value", "b.at", "b.value").alias("key"), F.col("a.at").alias("i"), F.col("b.at").alias("j"), "rank", "rank.cls")
 
 
 def likely(a: str, b: str, percent: int):
@@ -264,7 +269,7 @@ def cross_pairs(member: DataFrame, lists: DataFrame, groups: int, percent: int)
         if depth == splits(percent) or hot.isEmpty():
             break
         further = F.filter("s", lambda x: (x["at"] > F.col("last")) & (x["at"] > F.when(x["at"] < groups, F.col("i")).otherwise(F.col("j"))))
-        grown = hot.drop("low", "work").join(lists, "cls").withColumn("x", F.explode(further))
+        grown = hot.drop("low", "work").join(lists.select("cls", "s"), "cls").withColumn("x", F.explode(further))
         member = grown.withColumns({"key": F.xxhash64("key", "x.at", "x.value"), "last": F.col("x.at")}).drop("s", "x")
     return reduce(DataFrame.unionByName, found).distinct()
 
@@ -284,8 +289,9 @@ def near_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     lists = shared_sub_keys(classes, groups)
     keys = written(table_keys(lists, groups), "keys")
-    heads = keys.groupBy("key").agg(F.min("cls").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "center")
-    buckets = written(keys.join(heads, "key"), "buckets")
+    heads = keys.groupBy("key").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = heads.select("key", F.col("first.cls").alias("center"))
+    buckets = written(keys.drop("rank").join(heads, "key"), "buckets")
     discard(keys)
     facts = classes.select("cls", "n", *SKETCH)
     named = lambda p: facts.select(*[F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in facts.columns])
@@ -311,7 +317,7 @@ def near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; texts link from a similarity of percent / 100.
 
     Rows with equal shingle sets form a class, which one row of it represents; only classes are compared. In a table's
-    bucket all are first compared with one of them; the links found are contracted, and then only members of different
+    bucket all are first compared with the likeliest original; the links found are contracted, and then only members of different
     components are compared with each other, so that no link between components is lost and a bucket of copies makes as
     many pairs as it has members. Buckets of many unlike members are split on further sub-keys. Sketches and sizes rule
     out unlike pairs inside the joins, before the full sets confirm the rest.
