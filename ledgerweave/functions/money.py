@@ -58,28 +58,31 @@ def estimate_pages(n: Column) -> Column:
 
 
 def _digits_to_cents(digits: Column, decimals: Column) -> Column:
-    whole = F.regexp_replace(digits, ",", "").try_cast("long") * 100
-    return whole + F.coalesce(F.regexp_replace(decimals, r"\.", "").try_cast("long"), F.lit(0))
+    whole = F.translate(digits, ",", "").try_cast("long") * 100
+    return whole + F.coalesce(F.translate(decimals, ".", "").try_cast("long"), F.lit(0))
 
 
 def scan_money(text: Column, require_dollar: bool = False) -> Column:
-    """Array of the amounts in a line, in order, as struct(cents, text).
+    """Array of the amounts in a line, in order, as struct(cents, text, dollar).
 
     An amount needs a dollar sign, two decimals or a thousands comma; percentages and parts of longer digit runs are none.
-    Negative by parentheses or by a minus on either side.
+    Negative by parentheses or by a minus on either side. One pass marks each match with its groups, which are then cut out.
     """
-    groups = F.arrays_zip(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)).alias("raw"), *[F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(k)).alias(f"g{k}") for k in range(1, 10)])
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", "  "), AMOUNT, "\x01" + "\x02".join(f"${k}" for k in range(10)) + "\x01")
+    parts = F.filter(F.split(marked, "\x01"), lambda p: F.contains(p, F.lit("\x02")))
+    groups = F.transform(parts, lambda p: F.split(p, "\x02"))
 
     def money(g: Column) -> Column:
-        signal = (g["g3"] != "") if require_dollar else (g["g3"] != "") | (g["g6"] != "") | F.contains(g["g5"], F.lit(","))
-        return ~g["g4"].rlike("[0-9]") & (g["g7"] == "") & signal
+        signal = (g[3] != "") if require_dollar else (g[3] != "") | (g[6] != "") | F.contains(g[5], F.lit(","))
+        return signal & (g[7] == "") & ~g[4].rlike("[0-9]")
 
     def value(g: Column) -> Column:
-        amount = _digits_to_cents(g["g5"], g["g6"])
-        negative = ((g["g1"] != "") & (g["g9"] != "")) | (g["g2"] != "") | (g["g8"] != "")
-        return F.struct(F.when(negative, -amount).otherwise(amount).alias("cents"), g["raw"].alias("text"))
+        amount = _digits_to_cents(g[5], g[6])
+        negative = ((g[1] != "") & (g[9] != "")) | (g[2] != "") | (g[8] != "")
+        return F.struct(F.when(negative, -amount).otherwise(amount).alias("cents"), g[0].alias("text"), (g[3] != "").alias("dollar"))
 
-    return F.transform(F.filter(groups, money), value)
+    none = F.array().cast("array<struct<cents:bigint,text:string,dollar:boolean>>")
+    return F.when(text.rlike("[0-9]"), F.transform(F.filter(groups, money), value)).when(text.isNotNull(), none)
 
 
 def money_values(text: Column, require_dollar: bool = False) -> Column:

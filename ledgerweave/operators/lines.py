@@ -157,17 +157,18 @@ def ladder(lines: DataFrame, ladders: dict[str, list[tuple[str, str | None]]]) -
     """One column per name: the first label of its ladder that has an amount. All labels are read in one pass."""
     order = Window.partitionBy("statement_id").orderBy("line_no")
     line = F.col("line")
-    own = F.coalesce(money.last_of(money.money_values(line, require_dollar=True)), money.last_of(money.money_values(line)))
-    rows = lines.withColumns({"own": own, "alone": money.amount_line(line)})
-    rows = rows.withColumn("found", F.coalesce("own", F.lead("alone", 1).over(order), F.lead("alone", 2).over(order)))
-    aggregates, columns = [], []
-    for name, steps in ladders.items():
-        parts = []
-        for k, (pattern, but) in enumerate(steps):
-            match = line.rlike(pattern) & F.col("found").isNotNull() & (F.lit(True) if but is None else ~line.rlike(but))
-            aggregates.append(F.min_by("found", F.when(match, F.col("line_no"))).alias(f"{name}_{k}"))
-            parts.append(f"{name}_{k}")
-        columns.append(F.coalesce(*parts).alias(name))
+    flags = {
+        f"{name}_{k}": line.rlike(pattern) & (F.lit(True) if but is None else ~line.rlike(but))
+        for name, steps in ladders.items()
+        for k, (pattern, but) in enumerate(steps)
+    }
+    hit = reduce(lambda x, y: x | y, [F.col(f) for f in flags])
+    rows = lines.withColumns(flags).withColumn("hit", hit)
+    rows = rows.withColumns({"scan": F.when(F.col("hit"), money.scan_money(line)), "alone": money.amount_line(line)})
+    own = F.coalesce(money.last_of(F.filter("scan", lambda m: m["dollar"]))["cents"], money.last_of(F.col("scan"))["cents"])
+    rows = rows.withColumn("found", F.when(F.col("hit"), F.coalesce(own, F.lead("alone", 1).over(order), F.lead("alone", 2).over(order))))
+    aggregates = [F.min_by("found", F.when(F.col(f) & F.col("found").isNotNull(), F.col("line_no"))).alias(f) for f in flags]
+    columns = [F.coalesce(*[f"{name}_{k}" for k in range(len(steps))]).alias(name) for name, steps in ladders.items()]
     return rows.groupBy("statement_id").agg(*aggregates).select("statement_id", *columns)
 
 
