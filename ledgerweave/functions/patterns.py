@@ -116,3 +116,13 @@ PAGE_WARNING = r"(?i)rewards?|points|interest rate chart|annual interest rate|me
 CATEGORY_HEADER = r"(?i)\b(?:spend|merchant|transaction|purchase)\s+categor(?:y|ies)\b"
 CATEGORY_WORD = r"(?i)\bcategor(?:y|ies)\b"
 CATEGORY_BESIDE = r"(?i)\b(?:amount|debit|credit|balance|trans(?:action)?\.?\s*date|post(?:ing)?\.?\s*date|date)\b"
+
+# Positioned tables: lines that are never rows, and wording by which an unsigned card amount is a credit.
+TABLE_IGNORE = (
+    r"(?i)credit limit|available credit|minimum payment|amount past due|payment due|payment slip|payment options|remittance|please pay|total payment enclosed"
+    r"|new balance|previous (?:account |statement )?balance|opening balance|closing balance|balance forward|beginning balance|ending balance|total (?:account )?balance"
+    r"|statement balance|total (?:debits?|credits?|withdrawals?|deposits?|purchases?|charges?|payments?|fees?|interest)|amounts? (?:debited|credited)|number of items"
+    r"|no\.? of items|monthly (?:aver|min|average|minimum)|average (?:cr|dr|daily)?\.? ?bal|next statement|statement date|subtotal of monthly activity"
+    r"|total fees for this period|total interest for this period|interest charged|fees charged|page \d+ of \d+"
+)
+TABLE_CREDIT = r"(?i)\bpayment\b|thank ?you|paiement|\bmerci\b|\brefund\b|\breturn(?:ed)?\b|credit voucher|\breversal\b|\brebate\b|cash ?back|\badjustment\b|\bcredit\b"

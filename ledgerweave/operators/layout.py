@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..functions import patterns as P
 from ..session import materialised
 from ..sources.derived import TX_SQL, sql, transactions
 from .builders import amount_text
 from .ledger import fold
-from .lines import balance_line
-from .transactions import delta_direction
+from .lines import balance_line, is_foreign, is_reference
 
 # Tolerances in points, and header wordings in order.
 LINE_TOLERANCE, ZONE_TOLERANCE, ALIGN, ANCHOR_ALIGN = 2.2, 18.0, 30.0, 50.0
@@ -34,6 +34,8 @@ HEADERS = (
     ("type", r"transaction type|trans\.? type|tran\.? type|type"),
     ("metadata", r"rewards?|reward (?:points?|indicator)|points?|points? earned|card\s*(?:number|no\.?|#)|account\s*(?:number|no\.?|#)|budget|difference|year[-\s]?to[-\s]?date|ytd"),
 )
+#: A word that some heading has: a line without any is no header.
+HEADING = "date|description|details|particulars|merchant|payee|cheque|chq|withdraw|debit|deposit|credit|payment|charge|amount|balance|categor|ref|type|reward|point|card|account|budget|difference|year|ytd"
 OPTIONAL = ("category", "postDate", "reference", "type", "metadata")
 MAX_HEADER_ITEMS = 4
 STOP = r"(?i)important (?:information about your account|account information)|how to (?:reach|contact) us|trade ?-?marks?|closing notice|protecting your|interest rate chart|time to pay"
@@ -80,9 +82,11 @@ def header_meaning(label: str) -> str | None:
 
 
 def header_columns(lines: DataFrame) -> DataFrame:
-    """Lines that head a table, with columns (meaning, x0, x1, center) by x; one column per meaning.
+    """Lines that head a table, with columns (meaning, center) by x; one column per meaning.
 
     Up to four neighbouring items are read together, the most first. A header has a date or description and a value column.
+    A header may be stacked on two lines of a page: where a line and the next have headings each, and both together more
+    than either, the lower line heads the table with the headings of both.
     """
     item = pa.struct([("center", pa.float64()), ("meaning", pa.string())])
 
@@ -102,13 +106,27 @@ def header_columns(lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = [columns_of(i) for i in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(item))], ["statement_id", "line_no", "columns"])
-
-    likely = lines.where(F.lower("text").rlike("date|description|details|particulars|merchant|payee"))
-    out = likely.select("statement_id", "line_no", "items").mapInArrow(run, "statement_id long, line_no int, columns array<struct<center:double,meaning:string>>")
-    has = lambda *names: F.arrays_overlap(F.col("columns.meaning"), F.array(*map(F.lit, names)))
-    return out.where((F.size("columns") >= 2) & has("date", "description") & has("amount", "debit", "credit", "balance"))
+            made = [[columns_of(i or []) for i in column.to_pylist()] for column in batch.columns[2:4]]
+            both = [columns_of(sorted([*a, *b], key=lambda i: i["x"])) if a and one and two else [] for a, b, one, two in zip(*[c.to_pylist() for c in batch.columns[2:4]], *made, strict=True)]
+            columns = [pa.array(m, pa.list_(item)) for m in (*made, both)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["statement_id", "line_no", "above", "columns", "both"])
+
+    word = F.lower("text").rlike(HEADING)
+    order = Window.partitionBy("statement_id", "page").orderBy("line_no")
+    before = F.when(F.lag(word).over(order), F.lag("items").over(order))
+    likely = lines.select("statement_id", "line_no", before.alias("above"), "items", word.alias("word")).where("word").drop("word")
+    kind = "array<struct<center:double,meaning:string>>"
+    out = likely.mapInArrow(run, f"statement_id long, line_no int, above {kind}, columns {kind}, both {kind}")
+    has = lambda c, *names: F.arrays_overlap(F.col(c)["meaning"], F.array(*map(F.lit, names)))
+    heads = lambda c: (F.size(c) >= 2) & has(c, "date", "description") & has(c, "amount", "debit", "credit", "balance")
+    order = Window.partitionBy("statement_id").orderBy("line_no")
+    stacked = heads("both") & (F.size("both") > F.size("columns")) & (F.size("both") > F.size("above"))
+    out = out.withColumn("stacked", F.coalesce(stacked, F.lit(False)))
+    # the lower line of a pair heads the table, and a line already taken as a lower one is no upper one
+    out = out.withColumn("stacked", F.col("stacked") & ~((F.lag("line_no").over(order) == F.col("line_no") - 1) & F.coalesce(F.lag("stacked").over(order), F.lit(False))))
+    upper = (F.lead("line_no").over(order) == F.col("line_no") + 1) & F.lead("stacked").over(order)
+    out = out.withColumn("upper", F.coalesce(upper, F.lit(False)))
+    return out.where(F.col("stacked") | (~F.col("upper") & heads("columns"))).select("statement_id", "line_no", F.when(F.col("stacked"), F.col("both")).otherwise(F.col("columns")).alias("columns"))
 
 
 def kind_of(meanings: Column) -> Column:
@@ -136,52 +154,135 @@ def regions(lines: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def cells(lines: DataFrame, columns: DataFrame) -> DataFrame:
-    """One row per line with the text of each meaning: an item belongs to the column its center falls into.
+    """One row per line with its text and the text of each meaning: an item belongs to the column its center falls into.
 
-    A range join within (statement_id, region).
+    A range join within (statement_id, region). columns: statement_id, region, kind, meaning, center.
     """
-    items = lines.select("statement_id", "region", "line_no", F.explode("items").alias("i")).select("*", (F.col("i.x") + F.coalesce("i.width", F.lit(0.0)) / 2).alias("c"))
+    items = lines.select("statement_id", "region", "line_no", "text", F.explode("items").alias("i")).select("*", (F.col("i.x") + F.coalesce("i.width", F.lit(0.0)) / 2).alias("c"))
     b = bounds(columns, ["statement_id", "region"])
     inside = items.join(b, ["statement_id", "region"]).where("c >= lo and c < hi")
-    each = inside.groupBy("statement_id", "region", "line_no", "meaning").agg(text.clean_space(F.array_join(F.array_sort(F.collect_list(F.struct("i.x", "i.item_seq", "i.str"))).getField("str"), " ")).alias("cell"))
-    return each.groupBy("statement_id", "region", "line_no").pivot("meaning", [m for m, _ in HEADERS]).agg(F.first("cell"))
+    keys = ["statement_id", "region", "kind", "line_no", "text"]
+    each = inside.groupBy(*keys, "meaning").agg(text.clean_space(F.array_join(F.array_sort(F.collect_list(F.struct("i.x", "i.item_seq", "i.str"))).getField("str"), " ")).alias("cell"))
+    return each.groupBy(*keys).pivot("meaning", [m for m, _ in HEADERS]).agg(F.first("cell"))
+
+
+def with_cell_money(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """For each new name a struct(cents, negative) of a cell's last amount: its size, and whether it has a minus, parentheses or CR behind it."""
+    last = {f"last_{new}": money.last_of(money.scan_money(F.col(cell))) for new, cell in columns.items()}
+    rows = rows.withColumns(last)
+
+    def read(new: str, cell: str) -> Column:
+        found = F.col(f"last_{new}")
+        behind = F.split_part(F.col(cell), found["text"], F.lit(-1))
+        return F.when(found.isNotNull(), F.struct(F.abs(found["cents"]).alias("cents"), ((found["cents"] < 0) | behind.rlike(r"(?i)\bcr\b")).alias("negative")))
+
+    return rows.withColumns({new: read(new, cell) for new, cell in columns.items()}).drop(*last)
+
+
+def with_cell_date(rows: DataFrame, cell: str, new: str) -> DataFrame:
+    """new: the first date of a cell: a whole date, else a date in it, else its first day and month in the statement's order
+    and year (year, context and day_first are columns of rows)."""
+    raw, year, context = F.col(cell), F.col("year"), F.col("context")
+    rows = rows.withColumns({"token": dates.find_date(raw), "pair": F.nullif(F.regexp_extract(raw, r"\b(\d{1,2}[/-]\d{1,2})\b", 1), F.lit(""))})
+    known = context.isNotNull() | F.col("day_first").isNotNull()
+    order = F.coalesce("day_first", context["day_first"], F.lit(False))
+    bare = F.when(known, dates.resolve_day_month(F.col("pair"), context, order, year)).otherwise(dates.day_month_date(F.col("pair"), year))
+    return rows.withColumn(new, F.coalesce(dates.normalize_date(raw, year), dates.normalize_date(F.col("token"), year), bare)).drop("token", "pair")
+
 
+#: What is known of a statement beside its positioned items.
+CONTEXT = "struct<start_year:int,start_month:int,end_year:int,end_month:int,crosses_year:boolean,day_first:boolean>"
+FACTS = f"statement_id long, year int, context {CONTEXT}, day_first boolean, opening_c long"
 
-def region_rows(grid: DataFrame, year: int | None) -> DataFrame:
-    """Rows of a headed table: date carried forward, wording of lines without amounts added to the row above, sides by
-    column, and by the change of the balance where there is one amount column only."""
-    order = Window.partitionBy("statement_id", "region").orderBy("line_no")
-    value = lambda c: F.abs(money.last_of(money.money_values(F.col(c))))
-    year = F.lit(year).cast("int")
-    rows = grid.withColumns(
+
+def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Rows of tables, from the cells of their lines (statement_id, region, kind, line_no, text, one column per meaning).
+
+    A line with an amount in a money column is a row. Wording before it belongs to it if it starts with a date (or nothing
+    was built yet), else to the row above. Furniture and summaries are passed over and end such wording; details of foreign
+    amounts and reference numbers are left out, as are amounts outside the money columns. Single amounts are credits by
+    sign or CR, on bank tables by a rise of the balance (the opening balance first), on card tables by payment wording.
+    A fee formula's total replaces its rate. Bank rows take the last date; card rows need a date or wording of their own.
+    """
+    year = grid.sparkSession.createDataFrame([], FACTS) if facts is None else facts
+    rows = grid.join(year, "statement_id", "left")
+    flat = Window.partitionBy("statement_id", "region").orderBy("line_no")
+    upto, before = flat.rowsBetween(Window.unboundedPreceding, 0), flat.rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy("statement_id", "region", "group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    card, line = F.col("kind") == "credit-card", F.col("text")
+    rows = with_cell_date(with_cell_money(rows, {"d": "debit", "c": "credit", "a": "amount", "b": "balance"}), "date", "own")
+    rows = rows.withColumns(
         {
-            "own": F.coalesce(dates.normalize_date(F.col("date"), year), dates.day_month_date(F.col("date"), year)),
-            "debit_c": money.normalize_money(value("debit")),
-            "credit_c": money.normalize_money(value("credit")),
-            "amount_c": money.normalize_money(value("amount")),
-            "balance_c": money.last_of(money.money_values(F.col("balance"))),
+            "ignored": line.rlike(P.TABLE_IGNORE) | balance_line(line).isNotNull(),
+            "words": F.coalesce("description", F.lit("")),
+            "money": F.size(money.scan_money(line)) > 0,
+            "fee_c": money.fee_total(line),
         }
     )
-    posts = F.coalesce("debit_c", "credit_c", "amount_c").isNotNull()
-    rows = rows.withColumns({"posts": posts, "row": F.sum(posts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    words = rows.where(F.coalesce("description", F.lit("")) != "").where("row > 0").groupBy("statement_id", "region", "row").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "description"))).getField("description"), " ").alias("words")
+    # written: the windows below read these columns again and again
+    rows = materialised(rows.drop("date", "description", "debit", "credit", "amount", "balance"), "cells")
+    rows = rows.withColumn("has", ~F.col("ignored") & F.coalesce("d", "c", "a").isNotNull())
+    rows = rows.where(F.col("has") | F.col("ignored") | ~(is_foreign(line) | is_reference(line, 8)))
+    rows = rows.withColumn("group", F.coalesce(F.sum((F.col("has") | F.col("ignored")).cast("int")).over(before), F.lit(0)))
+    loose, stray = ~F.col("has") & ~F.col("ignored"), F.col("money") & F.col("fee_c").isNull()
+    built_before = F.coalesce(F.max(F.col("has") & (F.col("own").isNotNull() | ~card)).over(before), F.lit(False))
+    starts = loose & (F.col("words") != "") & ~stray & (F.col("own").isNotNull() | ~built_before | F.col("fee_c").isNotNull())
+    rows = rows.withColumns({"built_before": built_before, "starts": starts})
+    rows = rows.withColumn("open", F.max("starts").over(group))
+    pending = loose & F.col("open") & (F.col("words") != "")
+    dated = loose & F.col("own").isNotNull() & (F.col("open") | ~stray)
+    rows = rows.withColumns({"ahead": F.collect_list(F.when(pending, F.col("words"))).over(group), "ahead_date": F.last(F.when(dated, F.col("own")), ignorenulls=True).over(group)})
+    alone = F.col("own").isNull() & F.col("ahead_date").isNull() & (F.size("ahead") == 0)
+    rows = rows.withColumn("posts", F.col("has") & ~(card & alone))
+    carried = F.last(F.when(F.col("posts"), F.col("own")), ignorenulls=True).over(before)
+    last_c = F.last(F.when(F.col("posts"), F.col("b.cents")), ignorenulls=True).over(before)
+    rows = rows.withColumns({"day": F.coalesce("own", "ahead_date", F.when(~card, carried), F.lit("")), "before_c": F.coalesce(last_c, "opening_c")})
+    head = text.clean_description(F.concat_ws(" ", "ahead", F.nullif("words", F.lit(""))))
+    rows = rows.withColumn("head", head).withColumn("split", F.when(card & (F.coalesce("category", F.lit("")) == ""), text.split_category(F.col("head"))))
+    rows = rows.withColumn("head", F.coalesce("split.description", "head"))
+    by_balance = ~card & F.col("b").isNotNull() & F.col("before_c").isNotNull()
+    credit = F.when(by_balance, F.col("b.cents") > F.col("before_c")).otherwise(F.col("a.negative") | (card & F.col("head").rlike(P.TABLE_CREDIT)))
+    sides = (~card & F.coalesce("d", "c").isNotNull()) | F.col("a").isNull()
+    debit_c = F.when(sides, F.when(~card | F.col("d").isNotNull(), F.col("d.cents"))).when(~credit, F.col("a.cents"))
+    credit_c = F.when(sides, F.when(~card | F.col("d").isNull(), F.col("c.cents"))).when(credit, F.col("a.cents"))
+    rows = rows.withColumns({"debit_c": debit_c, "credit_c": credit_c})
+    size = F.greatest(F.coalesce("debit_c", F.lit(0)), F.coalesce("credit_c", F.lit(0)))
+    rates = F.transform(F.regexp_extract_all(line, F.lit(money.FEE_CLAUSE), F.lit(2)), lambda r: money.cents(r.try_cast("double")))
+    fee = ~card & F.coalesce(F.col("fee_c") > 0, F.lit(False))
+    fixed = fee & ((size == 0) | (F.array_contains(rates, size) & (size != F.col("fee_c"))))
+    plain = text.strip_fee_formula(F.col("head"))
+    rows = rows.withColumns(
+        {
+            "debit_c": F.when(fixed, F.col("fee_c")).otherwise(money.normalize_money(F.col("debit_c"))),
+            "credit_c": F.when(~fixed, money.normalize_money(F.col("credit_c"))),
+            "head": F.when(fee & (plain != ""), plain).otherwise(F.col("head")),
+        }
     )
-    rows = rows.withColumn("day", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("posts")
-    return rows.join(words, ["statement_id", "region", "row"], "left").select(
-        "statement_id", "region", F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no")).alias("seq"), F.coalesce("day", F.lit("")).alias("date"),
-        text.clean_description(F.coalesce("words", F.lit(""))).alias("description"), "debit_c", "credit_c", "amount_c", "balance_c",
+    rows = rows.withColumn("built", F.col("posts") & F.coalesce("debit_c", "credit_c").isNotNull())
+    rows = rows.withColumn("row", F.sum(F.col("built").cast("int")).over(upto))
+    wraps = loose & ~F.col("open") & F.col("built_before") & (F.col("words") != "") & F.col("own").isNull() & ~stray
+    within = Window.partitionBy("statement_id", "region", "row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("behind", F.collect_list(F.when(wraps, F.col("words"))).over(within)).where("built")
+    rows = rows.withColumn("described", text.clean_description(F.concat_ws(" ", F.nullif("head", F.lit("")), "behind")))
+    described = F.col("described")
+    sure = F.lit(0.92) - F.when(F.col("day") == "", 0.1).otherwise(0.0) - F.when(described == "", 0.2).otherwise(0.0)
+    return rows.select(
+        "statement_id", "region", F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no")).alias("seq"), F.col("day").alias("date"),
+        described.alias("description"), "debit_c", "credit_c", F.col("b.cents").alias("balance_c"), F.round(sure, 2).alias("confidence"), "kind",
     )
 
 
-def coordinate_rows(items: DataFrame, year: int | None = None) -> DataFrame:
-    """Transactions of all headed tables of positioned statements."""
-    lines = materialised(visual_lines(items), "visual")
+def coordinate_rows(items: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Transactions of all headed tables of positioned statements; facts (see FACTS) where they are known."""
+    return table_rows(materialised(visual_lines(items), "visual"), facts)
+
+
+def table_rows(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     heads = header_columns(lines)
     order = Window.partitionBy("statement_id").orderBy("line_no")
-    heads = heads.withColumn("region", F.row_number().over(order).cast("long"))
-    columns = heads.select("statement_id", "region", F.explode("columns").alias("k")).select("statement_id", "region", "k.meaning", "k.center")
-    return region_rows(cells(regions(lines, heads).withColumn("region", F.col("region").cast("long")), columns), year)
+    heads = heads.withColumns({"region": F.row_number().over(order).cast("long"), "kind": kind_of(F.col("columns.meaning"))})
+    columns = heads.select("statement_id", "region", "kind", F.explode("columns").alias("k")).select("statement_id", "region", "kind", "k.meaning", "k.center")
+    return region_rows(cells(regions(lines, heads).withColumn("region", F.col("region").cast("long")), columns), facts)
 
 
 def cluster(values: DataFrame, tolerance: float = ZONE_TOLERANCE) -> DataFrame:
@@ -243,13 +344,11 @@ def headerless_rows(items: DataFrame, openings: DataFrame) -> DataFrame:
     found = materialised(headerless_columns(lines), "columns")
     span = found.select("statement_id", "first", "last").distinct()
     body = lines.join(span, "statement_id").where("line_no between first and last").withColumn("region", F.lit(1).cast("long"))
-    columns = found.select("statement_id", F.lit(1).cast("long").alias("region"), "meaning", "center")
-    rows = region_rows(cells(body, columns), None).join(openings, "statement_id", "left")
-    signed = delta_direction(rows)
-    credit = F.col("direction") == "credit"
-    return signed.withColumns(
-        {"debit_c": F.coalesce("debit_c", F.when(~F.coalesce(credit, F.lit(False)), F.col("amount_c"))), "credit_c": F.coalesce("credit_c", F.when(credit, F.col("amount_c")))}
-    )
+    balance = F.max(F.col("meaning") == "balance").over(Window.partitionBy("statement_id"))
+    kind = F.when(balance, "bank-account").otherwise("credit-card").alias("kind")
+    columns = found.select("statement_id", F.lit(1).cast("long").alias("region"), kind, "meaning", "center")
+    known = {c: F.lit(None).cast(t) for c, t in (("year", "int"), ("context", CONTEXT), ("day_first", "boolean"))}
+    return region_rows(cells(body, columns), openings.select("statement_id", *[v.alias(c) for c, v in known.items()], "opening_c"))
 
 
 def _headerless(spark: SparkSession, sf_dir: str) -> DataFrame:

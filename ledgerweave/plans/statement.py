@@ -14,6 +14,9 @@ from ..operators.transactions import carry_forward
 from ..session import materialised
 from ..sources.derived import TX_SQL, sql, transactions
 
+#: Lines that print the statement's period.
+PERIOD_LINE = r"(?i)[^\n]*(?:statement (?:from|period)|period)[^\n]*"
+
 ROW = ("statement_id", "seq", "date", "description", "debit_c", "credit_c", "balance_c", "confidence")
 
 
@@ -36,6 +39,7 @@ def facts_of(body: DataFrame) -> DataFrame:
     return whole.select(
         "statement_id", lines.statement_kind(t).alias("kind"), lines.layout_family(t).alias("family"), card.alias("looks_card"), bank.alias("looks_bank"),
         t.rlike(P.SECTIONED).alias("sectioned"), dates.period_year(t).alias("year"), dates.statement_period(t).alias("period"),
+        F.regexp_extract(t, PERIOD_LINE, 0).alias("period_text"),
     )
 
 
@@ -55,7 +59,14 @@ def candidates(body: DataFrame, facts: DataFrame, items: DataFrame | None = None
         (fallback, 5, "fallback", "fallback", "bank-account", lines.bank_balances(full).select("statement_id", "opening_c", "closing_c", F.lit(None).cast("long").alias("sum_credits_c"), F.lit(None).cast("long").alias("sum_debits_c"))),
     ]
     if items is not None:
-        readings.insert(0, (layout.coordinate_rows(items), 0, "coordinate-table", "coordinate-table", "bank-account", bank_ends))
+        visual = materialised(layout.visual_lines(items), "visual")
+        seen = visual.select("statement_id", "line_no", F.col("text").alias("line"))
+        placed_bank, placed_card = lines.bank_balances(seen), lines.card_balances(seen)
+        known = facts.select("statement_id", "year", dates.date_context(F.col("period_text")).alias("context"), F.lit(None).cast("boolean").alias("day_first"))
+        known = known.join(placed_bank.select("statement_id", "opening_c"), "statement_id", "left")
+        found = materialised(layout.table_rows(visual, known), "placed")
+        readings.insert(0, (found.where("kind = 'bank-account'"), 0, "coordinate-table", "coordinate-table", "bank-account", placed_bank))
+        readings.insert(1, (found.where("kind = 'credit-card'"), -1, "coordinate-table-card", "coordinate-table", "credit-card", placed_card))
     rows = reduce(DataFrame.unionByName, [_rows(*r[:5]) for r in readings])
     ends = reduce(DataFrame.unionByName, [r[5].withColumn("cand_no", F.lit(r[1])) for r in readings])
     rows = materialised(rows, "readings")
@@ -102,6 +113,65 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("statement_id", "name", "status", "n_rows", "total_credits_c", "total_debits_c", "difference_c")
 
 
+def _placed(spark: SparkSession, sf_dir: str, kind: str, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(text lines, items) of positioned statements: a title, a printed opening balance, a heading and one line per event.
+
+    Card tables print one amount, with a minus or CR for credits by turns; bank tables one amount and a balance, or two sides.
+    """
+    tx = transactions(spark, sf_dir)
+    place = {"date": 20.0, "description": 110.0, "debit": 330.0, "credit": 420.0, "amount": 400.0, "balance": 510.0}
+    titles = {"date": "Date", "description": "Description", "debit": "Withdrawals", "credit": "Deposits", "amount": "Amount ($)", "balance": "Balance"}
+    sign = F.when(F.col("credit_c").isNull(), F.lit("")).when(F.col("seq") % 2 == 0, F.lit(" CR")).otherwise(F.lit(""))
+    lead = F.when(F.col("credit_c").isNotNull() & (F.col("seq") % 2 == 1), F.lit("-")).otherwise(F.lit(""))
+    money_text = {
+        "date": F.col("date"), "description": F.concat(F.lit("Entry "), F.element_at(F.split("event_type", "_"), 1)), "debit": builders.amount_text(F.col("debit_c")), "credit": builders.amount_text(F.col("credit_c")),
+        "amount": F.concat(lead, builders.amount_text(F.col("amount_c")), sign) if kind == "card" else builders.amount_text(F.col("amount_c")), "balance": builders.amount_text(F.col("running_c")),
+    }
+    cell = lambda s, x, k: F.struct(s.alias("str"), F.lit(x).alias("x"), F.lit(k).alias("k"))
+    body = tx.select("statement_id", (F.col("seq") + 2).alias("n"), F.explode(F.array(*[cell(money_text[c], place[c], k) for k, c in enumerate(columns)])).alias("i")).where("i.str is not null")
+    first = tx.groupBy("statement_id").agg(F.min("opening_c").alias("opening_c"), F.max_by("running_c", "seq").alias("closing_c"), F.count(F.lit(1)).alias("rows_n"))
+    owed = F.col("opening_c") * 2 - F.col("closing_c") if kind == "card" else F.col("closing_c")  # what a card's balance comes to
+    names = ("Previous Balance", "New Balance") if kind == "card" else ("Opening Balance", "Closing Balance")
+    ends = F.array(
+        F.struct(F.lit(1).alias("n"), F.concat(F.lit(f"{names[0]} $"), builders.amount_text(F.col("opening_c"))).alias("str"), F.lit(20.0).alias("x"), F.lit(0).alias("k")),
+        *[F.struct(F.lit(2).alias("n"), F.lit(titles[c]).alias("str"), F.lit(place[c]).alias("x"), F.lit(k).alias("k")) for k, c in enumerate(columns)],
+        F.struct((F.col("rows_n") + 3).cast("int").alias("n"), F.concat(F.lit(f"{names[1]} $"), builders.amount_text(owed)).alias("str"), F.lit(20.0).alias("x"), F.lit(0).alias("k")),
+    )
+    frame = first.select("statement_id", F.explode(ends).alias("e")).select("statement_id", "e.n", F.struct("e.str", "e.x", "e.k").alias("i"))
+    every = body.select("statement_id", "n", "i").unionByName(frame)
+    page = F.floor((F.col("n") - 1) / 45 + 1).cast("int")
+    y = (F.lit(780.0) - 14 * ((F.col("n") - 1) % 45)).cast("double")
+    items = every.select("statement_id", page.alias("page"), (F.col("n") * 10 + F.col("i.k")).cast("int").alias("item_seq"), "i.str", "i.x", y.alias("y"), (F.length("i.str") * 5.0).cast("double").alias("width"))
+    text_lines = every.groupBy("statement_id", F.col("n").cast("int").alias("line_no")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("i.k", "i.str"))).getField("str"), " ").alias("line"))
+    return text_lines, items
+
+
+#: The positioned variants: kind, columns.
+PLACED = {
+    "parse_placed_amounts": ("bank", ("date", "description", "amount", "balance")),
+    "parse_placed_sides": ("bank", ("date", "description", "debit", "credit", "balance")),
+    "parse_placed_cards": ("card", ("date", "description", "amount")),
+}
+
+
+def _parse_placed(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        body, items = _placed(spark, sf_dir, *PLACED[name])
+        found, rows = parse_statements(body.withColumn("line", F.when(F.col("line").rlike("(?i)balance \\$"), F.col("line")).otherwise("")), items)
+        ends = rows.groupBy("statement_id").agg(F.min("description").alias("first_words"), F.min("date").alias("first_date"))
+        kept = found.select("statement_id", F.col("mode"), "status", "n_rows", "total_credits_c", "total_debits_c", "difference_c")
+        return kept.join(ends, "statement_id")
+
+    return run
+
+
+def _placed_sql(name: str) -> str:
+    kind = "credit-card" if PLACED[name][0] == "card" else "bank-account"
+    return sql(TX_SQL, select=f"""
+SELECT statement_id, '{kind}' AS mode, 'passed' AS status, count(*) AS n_rows, CAST(coalesce(sum(credit_c), 0) AS BIGINT) AS total_credits_c, CAST(coalesce(sum(debit_c), 0) AS BIGINT) AS total_debits_c,
+  CAST(0 AS BIGINT) AS difference_c, min('Entry ' || event_type) AS first_words, min(date) AS first_date FROM tx GROUP BY statement_id""")
+
+
 QUERIES = {
     "parse_statements": (
         _parsed,
@@ -109,4 +179,5 @@ QUERIES = {
 SELECT statement_id, CASE WHEN statement_id % 2 = 0 THEN 'bank-account' ELSE 'credit-card-sectioned' END AS name, 'passed' AS status, count(*) AS n_rows,
   CAST(coalesce(sum(credit_c), 0) AS BIGINT) AS total_credits_c, CAST(coalesce(sum(debit_c), 0) AS BIGINT) AS total_debits_c, CAST(0 AS BIGINT) AS difference_c FROM tx GROUP BY statement_id"""),
     ),
+    **{name: (_parse_placed(name), _placed_sql(name)) for name in PLACED},
 }
