@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, with_package
+from ..session import discard
 from ..session import materialised as written
+from ..session import with_package as package_sent
 
 __all__ = ["broadcast_if_small", "connected_components", "discard", "few", "slices", "text_mark", "with_package", "without_rows", "written"]
 
@@ -29,11 +32,35 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if few(df, rows) else df
 
 
+#: Rows of an Arrow batch: whole texts make batches large, in the JVM and in the Python worker at once.
+BATCH_ROWS = 2000
+
+
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, and have texts sent to them in small batches unless the session asks for some size."""
+    package_sent(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":  # Spark's default
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batches, rows: int = 1024):
-    """Arrow batches in slices of few rows, so that a task turns only these into Python objects at a time."""
+    """Arrow batches in slices of few rows, so that a task turns only these into Python objects at a time.
+
+    At the end of a task its memory goes back to the system, as the worker stays for tasks of later stages.
+    """
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def text_mark(text: str | Column) -> Column:

@@ -30,7 +30,7 @@ SEED = 20240229
 #: Bits of a parity sketch: each shingle flips one, so two sketches differ in at most as many bits as their sets in elements.
 SKETCH_BITS = 1024
 #: Word hashes that a Python worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: A bucket in which more pairs than this would be compared is split on further sub-keys.
 SPLIT_PAIRS = 2_000_000
 #: Times that such a bucket is split at most.
