@@ -195,8 +195,8 @@ FROM (SELECT row_no, CASE row_no % 3 WHEN 0 THEN 'e-Transfer sent' WHEN 1 THEN '
             s.createDataFrame([("Customer#000000003@example.com; CUSTOMER#000000010@example.com, x@y.z",)], "raw string").select(F.explode(text.email_list(F.col("raw"))).alias("allowed")), F.lower("email") == F.col("allowed"), "left_semi").select("c_custkey"),
         "SELECT c_custkey FROM customer WHERE lower(c_name) IN ('customer#000000003', 'customer#000000010')",
     ),
-    "safe_values": (
-        lambda s, d: table(s, d, "documents").select("doc_id", text.safe_count(F.substring("text", 1, 3)).alias("n"), text.safe_code(F.substring("text", 1, 4)).alias("code"), text.safe_count((F.col("doc_id") * 1.5 - 3).cast("string")).alias("m")),
-        "SELECT doc_id, greatest(0, coalesce(CAST(floor(try_cast(substr(text, 1, 3) AS DOUBLE)) AS BIGINT), 0)) AS n, CASE WHEN regexp_full_match(substr(text, 1, 4), '[A-Za-z0-9_.:-]{1,64}') THEN substr(text, 1, 4) END AS code, greatest(0, CAST(floor(doc_id * 1.5 - 3) AS BIGINT)) AS m FROM documents",
+    "safe_values": (  # every word of a text as an untrusted code
+        lambda s, d: table(s, d, "documents").withColumn("words", F.split("text", " ")).select("doc_id", F.size(F.filter("words", lambda w: text.safe_code(w).isNotNull())).cast("long").alias("accepted"), F.size(F.filter("words", lambda w: text.safe_code(w).isNull())).cast("long").alias("refused"), text.safe_count((F.col("doc_id") * 1.5 - 3).cast("string")).alias("m")),
+        "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[A-Za-z0-9_.:-]{1,64}'))) AS accepted, len(list_filter(string_split(text, ' '), lambda w: NOT regexp_full_match(w, '[A-Za-z0-9_.:-]{1,64}'))) AS refused, greatest(0, CAST(floor(doc_id * 1.5 - 3) AS BIGINT)) AS m FROM documents",
     ),
 }
