@@ -73,6 +73,37 @@ def credit_note(mode: Column, status: Column, charged: Column) -> Column:
     )
 
 
+# The review screen's banner by what an assisted reading came to: variant, title, body.
+BANNERS = (
+    ("reconciled", "success", "AI-assisted review completed", "Balance check passed — please review the rows before export."),
+    ("improved", "warning", "AI-assisted review improved this conversion", "It still needs review — check the highlighted rows before export."),
+    ("no-improvement", "warning", "AI-assisted review completed", "This conversion still needs review. Check the highlighted rows before export."),
+)
+FAILED_STATES = ("call-failed", "invalid-response", "no-usable-result")
+FAILED_BANNER = ("warning", "Automatic review could not fully repair this conversion", "Please review the highlighted rows before export.")
+REVIEW_BANNER = ("warning", "This conversion needs review", "Check the highlighted rows before export.")
+PASSED_BANNER = ("success", "Balance check passed", "Please review the rows before export.")
+
+
+def review_message(status: Column, needs_review: Column) -> Column:
+    """The banner (variant, title, body); states in which no assisted reading was used say nothing of one."""
+    banner = lambda b: F.struct(*[F.lit(v).alias(n) for n, v in zip(("variant", "title", "body"), b, strict=True)])
+    out = F.when(status.isin(*FAILED_STATES), banner(FAILED_BANNER))
+    for name, *shown in BANNERS:
+        out = out.when(status == name, banner(shown))
+    return out.when(needs_review, banner(REVIEW_BANNER)).otherwise(banner(PASSED_BANNER))
+
+
+def image_summary(images: DataFrame) -> DataFrame:
+    """Per statement of images (statement_id, kind, bytes, height): how many, which kinds are among them, the largest, the lowest."""
+    kind = F.col("kind")
+    most = F.max("bytes")
+    return images.groupBy("statement_id").agg(
+        F.count(F.lit(1)).alias("images"), F.bool_or(F.coalesce(kind.isin("table-header", "table-body", "final-rows"), F.lit(False))).alias("has_transactions"),
+        F.bool_or(F.coalesce(kind.isin("summary", "totals"), F.lit(False))).alias("has_summary"), F.when(most > 0, most).alias("max_bytes"), F.min("height").alias("min_height"),
+    )
+
+
 def review_reasons(warnings: Column, issues: Column, low: Column) -> Column:
     """Warnings and issues in order without repeats, then how many rows are doubtful."""
     count = F.when(low > 0, F.array(F.concat(low.cast("string"), F.lit(" low-confidence rows")))).otherwise(F.array().cast("array<string>"))
@@ -150,6 +181,21 @@ def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics(raw)
 
 
+def _banners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    states = [name for name, *_ in BANNERS] + list(FAILED_STATES) + ["not-eligible", "disabled", None]
+    status = F.element_at(F.array(*[F.lit(s).cast("string") for s in states]), (k % len(states) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", review_message(status, F.col("o_orderstatus") == "O").alias("m")).select("o_orderkey", "m.*")
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as images of their user's statement."""
+    n, kinds = F.col("event_id"), ["page", "table-header", "totals", "page", "final-rows", "summary", "table-body", "page", None]
+    kind = F.element_at(F.array(*[F.lit(k).cast("string") for k in kinds]), (n * 31 % 97 % len(kinds) + 1).cast("int"))
+    images = table(spark, sf_dir, "events").where(n % 5 == 0).select(F.col("user_id").alias("statement_id"), kind.alias("kind"), (n % 3 * (n % 1000)).alias("bytes"), (n % 640).alias("height"))
+    return image_summary(images)
+
+
 def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a user sees: remaining pages of a plan, or the preview's state without one."""
     a = accounts(spark, sf_dir)
@@ -198,6 +244,22 @@ SELECT statement_id, CAST(count(*) AS INT) AS n_pages, '{{' || string_agg('"' ||
         _notes,
         """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Free preview used ' || p || '.' WHEN o_orderstatus = 'F' THEN 'Used ' || p || '.' WHEN o_orderstatus = 'O' THEN 'Exporting will use ' || p || '.' ELSE 'No page credits were used.' END AS note
 FROM (SELECT *, CAST(o_orderkey % 3 + 1 AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN ' page' ELSE ' pages' END AS p FROM orders)""",
+    ),
+    "review_messages": (
+        _banners,
+        """SELECT o_orderkey, variant, title, body FROM orders JOIN (VALUES
+  (0, 'success', 'AI-assisted review completed', 'Balance check passed — please review the rows before export.'),
+  (1, 'warning', 'AI-assisted review improved this conversion', 'It still needs review — check the highlighted rows before export.'),
+  (2, 'warning', 'AI-assisted review completed', 'This conversion still needs review. Check the highlighted rows before export.'),
+  (3, 'warning', 'Automatic review could not fully repair this conversion', 'Please review the highlighted rows before export.'),
+  (4, 'warning', 'This conversion needs review', 'Check the highlighted rows before export.'),
+  (5, 'success', 'Balance check passed', 'Please review the rows before export.')) b(k, variant, title, body)
+ON k = CASE WHEN o_orderkey % 9 < 3 THEN o_orderkey % 9 WHEN o_orderkey % 9 < 6 THEN 3 WHEN o_orderstatus = 'O' THEN 4 ELSE 5 END""",
+    ),
+    "image_summary": (
+        _images,
+        """SELECT statement_id, count(*) AS images, coalesce(bool_or(k IN (1, 4, 6)), FALSE) AS has_transactions, coalesce(bool_or(k IN (2, 5)), FALSE) AS has_summary, nullif(max(bytes), 0) AS max_bytes, min(height) AS min_height
+FROM (SELECT user_id AS statement_id, event_id * 31 % 97 % 9 AS k, event_id % 3 * (event_id % 1000) AS bytes, event_id % 640 AS height FROM events WHERE event_id % 5 = 0) GROUP BY statement_id""",
     ),
     "safe_diagnostics": (
         _diagnostics,

@@ -21,6 +21,15 @@ PREVIEW_PAGES, PREVIEW_HOURS, PREVIEW_ATTEMPTS = 6, 12, 5
 TESTER_ALLOWANCE = 100000
 # A payment provider's states -> the account's.
 STATUS = (("active", "active"), ("trialing", "active"), ("past_due", "past_due"), ("unpaid", "past_due"), ("canceled", "canceled"), ("incomplete_expired", "canceled"))
+# A payment provider's event types that change an account -> how.
+EVENT_KINDS = (
+    ("checkout.session.completed", "update"),
+    ("customer.subscription.created", "update"),
+    ("customer.subscription.updated", "update"),
+    ("customer.subscription.deleted", "delete"),
+    ("invoice.payment_succeeded", "update"),
+    ("invoice.payment_failed", "fail"),
+)
 
 
 def allowance(plan: Column) -> Column:
@@ -117,26 +126,34 @@ def charge(requests: DataFrame) -> DataFrame:
     """charged pages and used_after of requests (user_id, conversion_id, at, pages, allowance, used), in order of time.
 
     A conversion is charged once; a repeated request is answered without a charge. A request that the remaining pages
-    can't serve is refused and changes nothing.
+    can't serve is refused and changes nothing. A conversion is remembered from its charge to its last request only, so
+    a user's state holds the repeats still to come, not all that was charged before.
     """
+    repeats = Window.partitionBy("user_id", "conversion_id").orderBy("at", "request_id")
 
     def step(state: dict, row: dict) -> tuple[dict, dict]:
-        if row["conversion_id"] in state["done"]:
+        if row["conversion_id"] in state["open"]:
+            if not row["_again"]:
+                state["open"].remove(row["conversion_id"])
             return state, {"outcome": "already-charged", "charged": 0, "used_after": state["used"]}
         if max(0, row["allowance"] - state["used"]) < row["pages"]:
             return state, {"outcome": "insufficient", "charged": 0, "used_after": state["used"]}
         state["used"] += row["pages"]
-        state["done"].add(row["conversion_id"])
+        if row["_again"]:
+            state["open"].add(row["conversion_id"])
         return state, {"outcome": "charged", "charged": row["pages"], "used_after": state["used"]}
 
-    return fold(requests, "user_id", ["at", "request_id"], lambda r: {"used": r["used"], "done": set()}, step, "outcome string, charged long, used_after long")
+    rows = requests.withColumn("_again", F.lead(F.lit(True)).over(repeats).isNotNull())
+    return fold(rows, "user_id", ["at", "request_id"], lambda r: {"used": r["used"], "open": set()}, step, "outcome string, charged long, used_after long").drop("_again")
 
 
 def _charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth conversion is requested again after some 500 days, with others' requests in between."""
     c = conversions(spark, sf_dir).where("status <> 'failed'")
     twice = c.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("try")).where("try = 0 or conversion_id % 4 = 0")
+    at = F.date_add(F.col("created").cast("date"), F.col("try") * 500)
     reqs = twice.join(accounts(spark, sf_dir).select("user_id", "allowance", "used"), "user_id").select(
-        "user_id", "conversion_id", (F.col("conversion_id") * 2 + F.col("try")).alias("request_id"), F.col("created").alias("at"), "pages", "allowance", "used"
+        "user_id", "conversion_id", (F.col("conversion_id") * 2 + F.col("try")).alias("request_id"), at.alias("at"), "pages", "allowance", "used"
     )
     return charge(reqs).select("user_id", "request_id", "outcome", "charged", "used_after")
 
@@ -164,14 +181,16 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subscription_fold(events: DataFrame) -> DataFrame:
     """Per subscription event (user_id, event_id, plan, kind, period_start): the account's state after it, and a ledger
-    credit where the period advances. Updates set plan and period, failures mark past due, deletions fall back to free."""
+    credit where the period advances. Updates set plan and period, failures mark past due, deletions fall back to free.
+    An update sets the status to what its provider's state (column state) means, or to active where there is no such column."""
     order = Window.partitionBy("user_id").orderBy("event_id")
     until = order.rowsBetween(Window.unboundedPreceding, 0)
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     update = F.col("kind") == "update"
     start = F.when(update, F.col("period_start"))
     plan = F.when(update, F.col("plan")).when(F.col("kind") == "delete", "free")
-    state = F.when(update, "active").when(F.col("kind") == "fail", "past_due").otherwise("canceled")
+    updated = status_map(F.col("state")) if "state" in events.columns else F.lit("active")
+    state = F.when(update, updated).when(F.col("kind") == "fail", "past_due").otherwise("canceled")
     before = F.last(start, ignorenulls=True).over(past)  # an account's start is its last update's
     advanced = update & F.coalesce(F.col("period_start") > before, F.lit(True))
     now = F.coalesce(F.last(plan, ignorenulls=True).over(until), F.lit("free"))
@@ -183,6 +202,28 @@ def _subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", plan_of(F.col("event_id")).alias("plan"), kind.alias("kind"), F.date_trunc("week", "ts").cast("timestamp_ntz").alias("period_start"))
 
 
+def subscription_changes(events: DataFrame) -> DataFrame:
+    """Provider events (event_id, type, user_id, plan, period_start, state) as subscription_fold takes them.
+
+    Left out are types that change no account, events of no known user, and updates without a plan or a period.
+    """
+    kind = F.lit(None).cast("string")
+    for theirs, ours in EVENT_KINDS:
+        kind = F.when(F.col("type") == theirs, ours).otherwise(kind)
+    usable = F.col("user_id").isNotNull() & ((F.col("kind") != "update") | F.col("plan").isNotNull() & F.col("period_start").isNotNull())
+    return events.withColumn("kind", kind).where(F.col("kind").isNotNull() & usable)
+
+
+def _provider_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    one_of = lambda names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    raw = table(spark, sf_dir, "events").select(
+        "event_id", one_of([t for t, _ in EVENT_KINDS] + ["customer.updated"]).alias("type"), F.when(n % 17 != 0, F.col("user_id")).alias("user_id"),
+        F.when(n % 11 != 0, plan_of(n)).alias("plan"), F.date_trunc("week", "ts").cast("timestamp_ntz").alias("period_start"), one_of([s for s, _ in STATUS[:5]]).alias("state"),
+    )
+    return subscription_fold(subscription_changes(raw))
+
+
 def status_map(state: Column) -> Column:
     out = F.lit("free")
     for theirs, ours in STATUS:
@@ -277,17 +318,18 @@ SELECT conversion_id, CASE WHEN status = 'verified' OR (status = 'review' AND ex
         _charges,
         sql(CONVERSIONS, ACCOUNTS, select="""
 , t AS (SELECT *, unnest([0, 1]) AS try FROM conv WHERE status <> 'failed'),
-r AS (SELECT t.user_id, conversion_id, conversion_id * 2 + try AS request_id, pages, allowance, used, row_number() OVER (PARTITION BY t.user_id ORDER BY created, conversion_id * 2 + try) AS n
+r AS (SELECT t.user_id, conversion_id, conversion_id * 2 + try AS request_id, pages, allowance, used,
+    row_number() OVER (PARTITION BY t.user_id ORDER BY CAST(created AS DATE) + CAST(try * 500 AS INTEGER), conversion_id * 2 + try) AS n
   FROM t JOIN acc USING (user_id) WHERE try = 0 OR conversion_id % 4 = 0),
 f AS (
-  SELECT user_id, request_id, n, conversion_id, allowance, CASE WHEN greatest(0, allowance - used) >= pages THEN 'charged' ELSE 'insufficient' END AS outcome,
-    CASE WHEN greatest(0, allowance - used) >= pages THEN pages ELSE 0 END AS charged, used + CASE WHEN greatest(0, allowance - used) >= pages THEN pages ELSE 0 END AS used_after FROM r WHERE n = 1
+  SELECT user_id, request_id, n, CASE WHEN e THEN 'charged' ELSE 'insufficient' END AS outcome, CASE WHEN e THEN pages ELSE 0 END AS charged,
+    used + CASE WHEN e THEN pages ELSE 0 END AS used_after, CASE WHEN e THEN [conversion_id] ELSE [] END AS done
+  FROM (SELECT *, greatest(0, allowance - used) >= pages AS e FROM r WHERE n = 1)
   UNION ALL
-  SELECT r.user_id, r.request_id, r.n, r.conversion_id, r.allowance,
-    CASE WHEN f.conversion_id = r.conversion_id AND f.outcome <> 'insufficient' THEN 'already-charged' WHEN greatest(0, r.allowance - f.used_after) >= r.pages THEN 'charged' ELSE 'insufficient' END,
-    CASE WHEN f.conversion_id = r.conversion_id AND f.outcome <> 'insufficient' THEN 0 WHEN greatest(0, r.allowance - f.used_after) >= r.pages THEN r.pages ELSE 0 END,
-    f.used_after + CASE WHEN f.conversion_id = r.conversion_id AND f.outcome <> 'insufficient' THEN 0 WHEN greatest(0, r.allowance - f.used_after) >= r.pages THEN r.pages ELSE 0 END
-  FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1
+  SELECT user_id, request_id, n, CASE WHEN d THEN 'already-charged' WHEN e THEN 'charged' ELSE 'insufficient' END, CASE WHEN e AND NOT d THEN pages ELSE 0 END,
+    had + CASE WHEN e AND NOT d THEN pages ELSE 0 END, CASE WHEN e AND NOT d THEN list_append(done, conversion_id) ELSE done END
+  FROM (SELECT r.user_id, r.request_id, r.n, r.conversion_id, r.pages, f.used_after AS had, f.done, list_contains(f.done, r.conversion_id) AS d, greatest(0, r.allowance - f.used_after) >= r.pages AS e
+    FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
 )
 SELECT user_id, request_id, outcome, CAST(charged AS BIGINT) AS charged, CAST(used_after AS BIGINT) AS used_after FROM f""").replace("WITH ", "WITH RECURSIVE ", 1),
     ),
@@ -306,6 +348,17 @@ FROM w WHERE at_ <= TIMESTAMP '2024-01-20 12:00:00' AND window_start + INTERVAL
 t AS (SELECT *, last_value(CASE WHEN kind = 'update' THEN period_start END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
   coalesce(last_value(CASE WHEN kind = 'update' THEN plan WHEN kind = 'delete' THEN 'free' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'free') AS now FROM s)
 SELECT user_id, event_id, now AS plan, CASE kind WHEN 'update' THEN 'active' WHEN 'fail' THEN 'past_due' ELSE 'canceled' END AS status,
+  CAST({PAGES_ARRAY}[list_position({PLAN_ARRAY}, now)] AS INT) AS allowance, CAST(CASE WHEN kind = 'update' AND coalesce(period_start > b, TRUE) THEN pages ELSE 0 END AS INT) AS credit_pages,
+  kind = 'update' AND coalesce(period_start > b, TRUE) AS reset FROM t""",
+    ),
+    "subscription_events": (
+        _provider_events,
+        f"""WITH s AS (SELECT user_id, event_id, {PLAN_ARRAY}[event_id % 6 + 1] AS plan, {PAGES_ARRAY}[event_id % 6 + 1] AS pages, ['update', 'update', 'update', 'delete', 'update', 'fail', NULL][event_id % 7 + 1] AS kind,
+    ['active', 'active', 'past_due', 'past_due', 'canceled'][event_id % 5 + 1] AS state, CAST(date_trunc('week', ts) AS TIMESTAMP) AS period_start FROM events WHERE event_id % 17 <> 0 AND user_id IS NOT NULL),
+u AS (SELECT * FROM s WHERE kind IN ('delete', 'fail') OR (kind = 'update' AND event_id % 11 <> 0 AND period_start IS NOT NULL)),
+t AS (SELECT *, last_value(CASE WHEN kind = 'update' THEN period_start END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+  coalesce(last_value(CASE WHEN kind = 'update' THEN plan WHEN kind = 'delete' THEN 'free' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'free') AS now FROM u)
+SELECT user_id, event_id, now AS plan, CASE kind WHEN 'update' THEN state WHEN 'fail' THEN 'past_due' ELSE 'canceled' END AS status,
   CAST({PAGES_ARRAY}[list_position({PLAN_ARRAY}, now)] AS INT) AS allowance, CAST(CASE WHEN kind = 'update' AND coalesce(period_start > b, TRUE) THEN pages ELSE 0 END AS INT) AS credit_pages,
   kind = 'update' AND coalesce(period_start > b, TRUE) AS reset FROM t""",
     ),

@@ -288,12 +288,35 @@ def beats(p: str, q: str) -> Column:
     return F.when(c(q, "status") == "passed", (c(p, "status") != "passed") | (c(q, "confidence") > c(p, "confidence") + 1e-9)).otherwise(closer | nearer | surer)
 
 
-def _beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Cents that a candidate may be off and still be adopted if it keeps all rows; rows more that it needs where the parser found one at most. Fixed values.
+STRICT_RESIDUAL, MANY_MORE = 100, 3
+
+
+def adoption(p: str, q: str, dropped: Column) -> Column:
+    """(adopted, reason) of candidate q against the parser's result p, dropped being how many of p's amounts q lacks.
+
+    A better candidate is adopted only if it reconciles, or is nearly there and keeps all rows, or rebuilds a table that the
+    parser missed; and never if it drops rows without bringing the balance back.
+    """
+    c = lambda side, name: F.col(f"{side}_{name}")
+    better = F.coalesce(beats(p, q), F.lit(False))
+    full = c(q, "status") == "passed"
+    near = F.coalesce(F.abs(c(q, "difference_c")) <= STRICT_RESIDUAL, F.lit(False))
+    missed = c(p, "n_rows") <= 1
+    rebuilt = missed & (c(q, "n_rows") >= c(p, "n_rows") + MANY_MORE)
+    unexplained = (dropped > 0) & ~full & ~near & ~missed
+    adopted = better & (full | near & (c(q, "n_rows") >= c(p, "n_rows")) | rebuilt) & ~unexplained
+    why = F.when(full, "ai-full-reconstruction-reconciled").when(missed, "parser-missed-table-ai-rebuilt").otherwise("ai-nearly-reconciled-keeps-rows")
+    why_not = F.when(~better, "candidate-worse-than-parser").when(unexplained, "ai-drops-parser-rows-without-reconciling").otherwise("ai-unreconciled-not-adopted")
+    return F.struct(adopted.alias("adopted"), F.when(adopted, why).otherwise(why_not).alias("reason"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validated statement against the next one's figures, as a candidate for it."""
     v = validate(_facts(spark, sf_dir)).select("statement_id", "status", "confidence", "n_rows", "difference_c", F.size("issues").alias("n_issues"), "sum_credits_c", "sum_debits_c", "total_credits_c", "total_debits_c")
     left = v.select(*[F.col(c).alias(f"p_{c}") for c in v.columns])
     right = v.select((F.col("statement_id") - 1).alias("key"), *[F.col(c).alias(f"q_{c}") for c in v.columns])
-    return left.join(right, F.col("p_statement_id") == F.col("key")).select(F.col("p_statement_id").alias("statement_id"), beats("p", "q").alias("better"))
+    return left.join(right, F.col("p_statement_id") == F.col("key"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,7 +480,7 @@ SELECT statement_id, CASE WHEN diff IS NULL OR diff = 0 THEN NULL WHEN (mode = '
         sql(*V, select="SELECT statement_id, CAST(row_number() OVER (PARTITION BY statement_id // 4 ORDER BY status <> 'passed', abs(diff) ASC NULLS LAST, conf DESC, statement_id) AS INT) AS rank FROM va"),
     ),
     "candidate_beats": (
-        _beats,
+        lambda s, d: _pairs(s, d).select(F.col("p_statement_id").alias("statement_id"), beats("p", "q").alias("better")),
         sql(*V, select="""
 , m AS (SELECT *, CASE WHEN mc THEN abs(tc - sum_credits_c) ELSE 0 END + CASE WHEN md THEN abs(td - sum_debits_c) ELSE 0 END AS apart FROM va)
 SELECT p.statement_id, CASE WHEN q.status = 'passed' THEN p.status <> 'passed' OR q.conf > p.conf + 1e-9
@@ -465,6 +488,20 @@ SELECT p.statement_id, CASE WHEN q.status = 'passed' THEN p.status <> 'passed' O
     OR coalesce(abs(q.diff) < abs(p.diff) AND q.n_issues <= p.n_issues AND q.n_rows >= p.n_rows, FALSE)
     OR (q.conf > p.conf + 1e-9 AND coalesce(abs(q.diff), 1152921504606846976) <= coalesce(abs(p.diff), 1152921504606846976)) END AS better
 FROM m p JOIN m q ON q.statement_id = p.statement_id + 1"""),
+    ),
+    "candidate_adoption": (
+        lambda s, d: _pairs(s, d).select(F.col("p_statement_id").alias("statement_id"), adoption("p", "q", F.col("p_statement_id") % 3).alias("a")).select("statement_id", "a.*"),
+        sql(*V, select="""
+, m AS (SELECT *, CASE WHEN mc THEN abs(tc - sum_credits_c) ELSE 0 END + CASE WHEN md THEN abs(td - sum_debits_c) ELSE 0 END AS apart FROM va),
+k AS (SELECT p.statement_id, p.n_rows AS pn, q.n_rows AS qn, q.status = 'passed' AS whole, coalesce(abs(q.diff) <= 100, FALSE) AS near, coalesce(CASE WHEN q.status = 'passed' THEN p.status <> 'passed' OR q.conf > p.conf + 1e-9
+  ELSE ((p.mc OR p.md) AND q.n_rows > p.n_rows AND q.apart < p.apart - 50 AND q.apart * 2 < p.apart)
+    OR coalesce(abs(q.diff) < abs(p.diff) AND q.n_issues <= p.n_issues AND q.n_rows >= p.n_rows, FALSE)
+    OR (q.conf > p.conf + 1e-9 AND coalesce(abs(q.diff), 1152921504606846976) <= coalesce(abs(p.diff), 1152921504606846976)) END, FALSE) AS better
+  FROM m p JOIN m q ON q.statement_id = p.statement_id + 1),
+j AS (SELECT *, statement_id % 3 > 0 AND NOT whole AND NOT near AND pn > 1 AS lost FROM k),
+a AS (SELECT *, better AND (whole OR (near AND qn >= pn) OR (pn <= 1 AND qn >= pn + 3)) AND NOT lost AS adopted FROM j)
+SELECT statement_id, adopted, CASE WHEN adopted AND whole THEN 'ai-full-reconstruction-reconciled' WHEN adopted AND pn <= 1 THEN 'parser-missed-table-ai-rebuilt' WHEN adopted THEN 'ai-nearly-reconciled-keeps-rows'
+  WHEN NOT better THEN 'candidate-worse-than-parser' WHEN lost THEN 'ai-drops-parser-rows-without-reconciling' ELSE 'ai-unreconciled-not-adopted' END AS reason FROM a"""),
     ),
     "multiset_compare": (
         _compare,

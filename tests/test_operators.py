@@ -1,6 +1,6 @@
 """Operators on small hand-made statements."""
 
-from ledgerweave.operators import builders, layout, segments
+from ledgerweave.operators import builders, layout, ledger, segments, statements
 from ledgerweave.plans.statement import parse_statements
 from ledgerweave.sources.sinks import workbooks
 from pyspark.sql import functions as F
@@ -71,3 +71,34 @@ def test_workbook_is_the_same_every_time(spark):
     one, two = (workbooks(rows).first()["content"] for _ in range(2))
     assert bytes(one) == bytes(two)
     assert bytes(one)[:2] == b"PK"
+
+
+def test_a_conversion_is_charged_once_however_far_its_repeats_are(spark):
+    asked = [("a", 5), ("b", 9), ("a", 5), ("c", 3), ("b", 4), ("a", 5), ("b", 4), ("d", 2), ("a", 5)]
+    rows = [(1, c, k, k, pages, 12, 0) for k, (c, pages) in enumerate(asked)] + [(2, "a", 0, 0, 5, 12, 0)]
+    df = spark.createDataFrame(rows, "user_id long, conversion_id string, request_id long, at long, pages long, allowance long, used long")
+    found = ledger.charge(df).orderBy("user_id", "request_id").collect()
+    assert [(r.outcome, r.used_after) for r in found] == [
+        ("charged", 5), ("insufficient", 5), ("already-charged", 5), ("charged", 8), ("charged", 12), ("already-charged", 12),
+        ("already-charged", 12), ("insufficient", 12), ("already-charged", 12), ("charged", 5),
+    ]
+    assert "_again" not in found[0].asDict()
+
+
+def test_adoption_takes_only_safe_candidates(spark):
+    names = "status string, confidence double, n_rows long, difference_c long, n_issues int, sum_credits_c long, sum_debits_c long, total_credits_c long, total_debits_c long"
+    schema = ", ".join(f"{side}_{part}" for side in "pq" for part in names.split(", ")) + ", k int, dropped long"
+    side = lambda status, rows, off: (status, 0.5, rows, off, 1, None, None, 0, 0)
+    poor = side("needs-review", 5, 900)
+    cases = [
+        (poor, side("passed", 2, 0), 3, (True, "ai-full-reconstruction-reconciled")),
+        (poor, side("needs-review", 5, 100), 1, (True, "ai-nearly-reconciled-keeps-rows")),
+        (poor, side("needs-review", 5, 101), 0, (False, "ai-unreconciled-not-adopted")),
+        (poor, side("needs-review", 6, 101), 1, (False, "ai-drops-parser-rows-without-reconciling")),
+        (poor, side("needs-review", 4, 100), 0, (False, "candidate-worse-than-parser")),
+        (side("needs-review", 1, 900), side("needs-review", 4, 500), 1, (True, "parser-missed-table-ai-rebuilt")),
+        (side("needs-review", 1, 900), side("needs-review", 3, 500), 1, (False, "ai-unreconciled-not-adopted")),
+    ]
+    df = spark.createDataFrame([(*p, *q, k, dropped) for k, (p, q, dropped, _) in enumerate(cases)], schema)
+    found = df.orderBy("k").select(statements.adoption("p", "q", F.col("dropped")).alias("a")).collect()
+    assert [tuple(r.a) for r in found] == [want for *_, want in cases]
