@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import struct
 
@@ -135,6 +136,14 @@ class Normaliser:
         return bytes(out), [*source, end]
 
 
+    def spaces(self, text: bytes) -> tuple[bytes, np.ndarray]:
+        """What calling this without a prefix gives, for many units at once, where spaces alone are rewritten (plain)."""
+        space, data = SPACE.encode(), np.frombuffer(text, dtype=np.uint8)
+        # bytes inside a character come from where it begins
+        begins = np.maximum.accumulate(np.where(data & 0xC0 == 0x80, 0, np.arange(len(data))))
+        return text.replace(b" ", space), np.append(np.repeat(begins, np.where(data == 0x20, len(space), 1)), len(text))
+
+
 class Pieces:
     """A model: ids of a text, the original byte span of each, and the text of ids."""
 
@@ -160,7 +169,8 @@ class Pieces:
         if len(ends) and ends[-1] != len(normal):  # unknown pieces: the library tells their surfaces
             surfaces = self.library.encode(text, out_type=str)
             ends = np.cumsum([1 if self.library.is_byte(i) else len(p.encode()) for i, p in zip(ids.tolist(), surfaces, strict=True)])
-        return np.asarray(source, dtype=np.int64)[ends]
+        # bytes that are no UTF-8 are longer to the library, as U+FFFD: there, spans are only held within the text
+        return np.asarray(source, dtype=np.int64)[np.minimum(ends, len(normal))]
 
     def fill(self, units: set[bytes]) -> None:
         """Encode the unknown ones of many units: each is normalised with its alignment, and its normal form encoded.
@@ -172,15 +182,33 @@ class Pieces:
             self.memo.clear()
             unknown = list(units)
         space = self.library.piece_to_id(SPACE)
-        for lo in range(0, len(unknown), 4096):
-            part = unknown[lo : lo + 4096]
-            normal = [self.normalise(u, prefix=False) for u in part]
-            given = [n.decode("utf-8", "replace").replace(SPACE, " ")[1:] for n, _ in normal]
-            found = self.library.encode(given, num_threads=1)
-            for unit, ids, (form, source), text in zip(part, found, normal, given, strict=True):
-                ids = np.asarray(ids or [space], dtype="<u4")  # a lone space leaves the library nothing
-                ends = self.projected(ids, form, source, text)
-                self.memo[unit] = ids.tobytes(), ",".join(map(str, ids.tolist())).encode(), ends.astype("<i8").tobytes()
+        for lo in range(0, len(unknown), 16384):
+            part = unknown[lo : lo + 16384]
+            stream = b"\0".join(part)  # no unit holds a zero byte, and each begins with a space
+            normal, source = self.normalise.spaces(stream)
+            given = ("\0" + normal.decode("utf-8", "replace").replace(SPACE, " ")).split("\0 ")[1:]
+            found = [ids or [space] for ids in self.library.encode(given, num_threads=1)]  # a lone space leaves the library nothing
+            decimals = repr(found)[2:-2].replace(", ", ",").encode().split(b"],[")
+            many = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            last = np.cumsum(many)
+            first = last - many
+            flat = np.fromiter(itertools.chain.from_iterable(found), dtype="<u4", count=int(last[-1]))
+            # where each unit lies in the stream and in its normal form, then where each piece ends in both
+            sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+            begin = np.cumsum(sizes + 1) - sizes - 1
+            cut = np.flatnonzero(np.frombuffer(normal, dtype=np.uint8) == 0)
+            start, stop = np.append(0, cut + 1), np.append(cut, len(normal))
+            reach = np.cumsum(self.lengths[flat])
+            before = np.append(0, reach)[first]
+            odd = np.flatnonzero(reach[last - 1] - before != stop - start)  # unknown pieces
+            inside = np.minimum(reach + np.repeat(start - before, many), len(normal))
+            ends = (source[inside] - np.repeat(begin, many)).astype("<i8")
+            for k in odd.tolist():
+                form, of = self.normalise(part[k], prefix=False)
+                ends[first[k] : last[k]] = self.projected(flat[first[k] : last[k]], form, of, given[k])
+            ids_held, ends_held = flat.tobytes(), ends.tobytes()
+            for unit, decimal, x, y in zip(part, decimals, first.tolist(), last.tolist(), strict=True):
+                self.memo[unit] = ids_held[4 * x : 4 * y], decimal, ends_held[8 * x : 8 * y]
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, bytes, np.ndarray]]:
         """(ids, their decimal form, the ends of their pieces in the text's bytes) of each text; a piece begins where the one before ends."""
