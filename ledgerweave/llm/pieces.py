@@ -106,7 +106,8 @@ class Normaliser:
             hit = self.map.longest(text, at)
             if hit is None:
                 size = 1 if text[at] < 0xC0 else 2 if text[at] < 0xE0 else 3 if text[at] < 0xF0 else 4
-                hit = size, text[at : at + size]
+                same = text[at : at + size]
+                hit = len(same), same  # shorter where the text breaks off inside a character
             parts.append((hit[1], at, at + hit[0]))
             at += hit[0]
         if self.squeeze:

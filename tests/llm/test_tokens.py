@@ -195,6 +195,28 @@ def test_normaliser_records_sources():
     assert held(b"   ") == (b"", [3])
 
 
+def test_units_side_by_side_normalise_as_one_by_one():
+    held = pieces.pieces(pieces.MODEL)
+    units = [b" " + t.encode() for t in ("", "a", "naïve", "日本", "🙂x", "  two", "\n\t", "<s>")]
+    stream = b"\0".join(units)
+    normal, source = held.normalise.spaces(stream)
+    begin = at = 0
+    for unit in units:
+        form, of = held.normalise(unit, prefix=False)
+        assert normal[at : at + len(form)] == form
+        assert [begin + o for o in of] == source[at : at + len(form) + 1].tolist()
+        begin, at = begin + len(unit) + 1, at + len(form) + 1
+
+
+def test_pieces_of_bytes_that_are_no_utf8():
+    held = pieces.pieces(pieces.MODEL)
+    for raw in (b"\xff\xfe a", b"a \xe6 b", b"\x80", b"a\xf0\x9f b \xc3"):
+        ids, _, ends = held.encode([raw])[0]
+        assert ids.tolist() == held.library.encode(raw.decode("utf-8", "replace"))
+        assert (np.diff(ends) >= 0).all()
+        assert 0 <= ends[0] and ends[-1] <= len(raw)
+
+
 def check_packing(rows, limit):
     by_sequence = defaultdict(list)
     for r in rows:
