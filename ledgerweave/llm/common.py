@@ -13,7 +13,7 @@ from ..session import discard
 from ..session import materialised as written
 from ..session import with_package as package_sent
 
-__all__ = ["broadcast_if_small", "connected_components", "discard", "few", "slices", "text_mark", "with_package", "without_rows", "written"]
+__all__ = ["broadcast_if_short", "broadcast_if_small", "connected_components", "discard", "few", "slices", "text_mark", "with_package", "without_rows", "written"]
 
 #: Bytes that a table with a broadcast hint may take in a hash relation.
 BROADCAST_BYTES = 64 << 20
@@ -32,6 +32,12 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if few(df, rows) else df
 
 
+def broadcast_if_short(df: DataFrame, text_col: str) -> DataFrame:
+    """As broadcast_if_small, for a table of longs and one column of texts, whose longest counts for all."""
+    n, longest = df.agg(F.count(F.lit(1)), F.max(F.octet_length(text_col))).first()
+    return F.broadcast(df) if n * (ROW_BYTES + COLUMN_BYTES * len(df.columns) + (longest or 0)) <= BROADCAST_BYTES else df
+
+
 #: Rows of an Arrow batch: whole texts make batches large, in the JVM and in the Python worker at once.
 BATCH_ROWS = 2000
 
