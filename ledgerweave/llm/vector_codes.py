@@ -80,7 +80,7 @@ def refined(vectors: DataFrame, shape: Shape, books: np.ndarray) -> np.ndarray:
             x = shape.split(batch.column(2))
             flat = (nearest(x, books)[0] + np.arange(parts)[:, None] * entries).ravel()
             counts += np.bincount(flat, minlength=parts * entries)
-            np.add.at(sums, flat, x.reshape(-1, each))
+            np.add.at(sums, flat, x.reshape(len(flat), each))
         at = np.repeat(np.flatnonzero(counts), each)
         place = np.tile(np.arange(each), len(at) // max(1, each))
         yield pa.RecordBatch.from_pydict({"entry": pa.array(at, pa.int32()), "place": pa.array(place, pa.int32()), "n": counts[at], "total": sums[at, place]})
