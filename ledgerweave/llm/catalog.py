@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embeddings, exact_dedup, language, near_dedup, packing, pieces, private_data, quality, sharding, token_counts, vector_codes, whitening
+from . import embeddings, exact_dedup, language, mixing, near_dedup, packing, pieces, private_data, quality, sharding, token_counts, vector_codes, whitening
 
 
 def queries() -> dict:
@@ -20,10 +20,11 @@ def queries() -> dict:
         "op9_sentence_pieces": pieces.op9_sentence_pieces,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_source_mixing": mixing.op12_source_mixing,
         "op13_vector_codes": vector_codes.op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return exact_dedup.ORACLE | sharding.ORACLE | embeddings.ORACLE | near_dedup.ORACLE | vector_codes.ORACLE
+    return exact_dedup.ORACLE | sharding.ORACLE | embeddings.ORACLE | near_dedup.ORACLE | mixing.ORACLE | vector_codes.ORACLE
