@@ -144,13 +144,14 @@ def other_section(label: Column) -> Column:
     return out
 
 
-def day_first(texts: DataFrame, key: str, body: str) -> DataFrame:
+def day_first(texts: DataFrame, key: str | list[str], body: str) -> DataFrame:
     """key, day_first: true or false where the numeric dates of a key's texts are evidence for one order only, else null."""
+    keys = [key] if isinstance(key, str) else key
     token = r"\b(\d{1,2})[/-](\d{1,2})\b"
     pair = F.arrays_zip(F.regexp_extract_all(body, F.lit(token), F.lit(1)).alias("a"), F.regexp_extract_all(body, F.lit(token), F.lit(2)).alias("b"))
-    each = texts.select(key, F.explode(pair).alias("p")).select(key, F.col("p.a").cast("int").alias("a"), F.col("p.b").cast("int").alias("b"))
-    votes = each.groupBy(key).agg(F.count_if((F.col("a") > 12) & (F.col("b") <= 12)).alias("day"), F.count_if((F.col("b") > 12) & (F.col("a") <= 12)).alias("month"))
-    return votes.select(key, F.when((F.col("day") > 0) & (F.col("month") == 0), True).when((F.col("month") > 0) & (F.col("day") == 0), False).alias("day_first"))
+    each = texts.select(*keys, F.explode(pair).alias("p")).select(*keys, F.col("p.a").cast("int").alias("a"), F.col("p.b").cast("int").alias("b"))
+    votes = each.groupBy(*keys).agg(F.count_if((F.col("a") > 12) & (F.col("b") <= 12)).alias("day"), F.count_if((F.col("b") > 12) & (F.col("a") <= 12)).alias("month"))
+    return votes.select(*keys, F.when((F.col("day") > 0) & (F.col("month") == 0), True).when((F.col("month") > 0) & (F.col("day") == 0), False).alias("day_first"))
 
 
 def rows_by_page(lines: DataFrame) -> DataFrame:

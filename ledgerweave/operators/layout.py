@@ -17,7 +17,7 @@ from ..session import materialised
 from ..sources.derived import TX_SQL, sql, transactions
 from .builders import amount_text
 from .ledger import fold
-from .lines import balance_line, is_foreign, is_reference
+from .lines import balance_line
 
 # Tolerances in points, and header wordings in order.
 LINE_TOLERANCE, ZONE_TOLERANCE, ALIGN, ANCHOR_ALIGN = 2.2, 18.0, 30.0, 50.0
@@ -40,9 +40,24 @@ OPTIONAL = ("category", "postDate", "reference", "type", "metadata")
 MAX_HEADER_ITEMS = 4
 STOP = r"(?i)important (?:information about your account|account information)|how to (?:reach|contact) us|trade ?-?marks?|closing notice|protecting your|interest rate chart|time to pay"
 BARRIER = STOP + r"|payment slip|remittance|please pay|amount past due|total payment enclosed"
+# Details of foreign amounts under a row of a positioned table. Any currency code counts beside a rate or a digit.
+FOREIGN_DETAIL = r"(?i)foreign currenc|exchange rate|currency conversion|conversion rate"
+FOREIGN_NAME, FOREIGN_BESIDE = r"(?i)\b(usd|eur|gbp|aud|jpy|mxn|cad)\b", r"(?i)@|exchange|rate|\d"
 CURRENCY_TAIL = re.compile(r"\s*[:•·]+\s*$|\s*\(\s*(?:\$|cad|usd|c\$|us\$)\s*\)\s*$|\s+(?:cad|usd|c\$|us\$)\s*$")
 
 
+def line_classes(line: Column) -> dict[str, Column]:
+    """Flags of a positioned line: a stop ends its table, a barrier parts two tables, ignored lines are furniture or summaries,
+    foreign and reference lines are details of the row above."""
+    return {
+        "stop": line.rlike(STOP),
+        "barrier": line.rlike(BARRIER),
+        "ignored": line.rlike(P.TABLE_IGNORE) | balance_line(line).isNotNull(),
+        "foreign": line.rlike(FOREIGN_DETAIL) | (line.rlike(FOREIGN_NAME) & line.rlike(FOREIGN_BESIDE)),
+        "reference": F.regexp_replace(line, r"\s", "").rlike(r"^\d{8,}$"),
+    }
+
+
 def structured(items: DataFrame) -> DataFrame:
     """Items with text and a place."""
     return items.where((F.trim("str") != "") & F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -143,14 +158,19 @@ def bounds(columns: DataFrame, keys: list[str]) -> DataFrame:
     return columns.withColumns({"lo": F.coalesce(lo, F.lit(float("-inf"))), "hi": F.coalesce(hi, F.lit(float("inf")))})
 
 
-def regions(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """Lines below a header up to the next one or a stop line, with their region's number."""
+def marked_regions(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lines with their region's number (0 before the first header), whether they head it, and whether a stop came before or on them."""
     order = Window.partitionBy("statement_id").orderBy("line_no")
-    marked = lines.join(headers.select("statement_id", "line_no", F.lit(1).alias("heads")), ["statement_id", "line_no"], "left")
-    marked = marked.withColumn("region", F.coalesce(F.sum("heads").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    marked = lines.join(headers.select("statement_id", "line_no", F.lit(True).alias("heads")), ["statement_id", "line_no"], "left")
+    marked = marked.withColumn("heads", F.coalesce("heads", F.lit(False)))
+    marked = marked.withColumn("region", F.coalesce(F.sum(F.col("heads").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     within = Window.partitionBy("statement_id", "region").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("stopped", F.max(F.col("text").rlike(STOP)).over(within))
-    return marked.where("region > 0 and heads is null and not stopped")
+    return marked.withColumn("stopped", F.max(F.col("text").rlike(STOP) & ~F.col("heads")).over(within))
+
+
+def regions(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lines below a header up to the next one or a stop line, with their region's number."""
+    return marked_regions(lines, headers).where("region > 0 and not heads and not stopped")
 
 
 def cells(lines: DataFrame, columns: DataFrame) -> DataFrame:
@@ -192,7 +212,7 @@ def with_cell_date(rows: DataFrame, cell: str, new: str) -> DataFrame:
 
 #: What is known of a statement beside its positioned items.
 CONTEXT = "struct<start_year:int,start_month:int,end_year:int,end_month:int,crosses_year:boolean,day_first:boolean>"
-FACTS = f"statement_id long, year int, context {CONTEXT}, day_first boolean, opening_c long"
+FACTS = f"statement_id long, year int, context {CONTEXT}, day_first boolean, opening_c long, category_column boolean"
 
 
 def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -203,17 +223,21 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     amounts and reference numbers are left out, as are amounts outside the money columns. Single amounts are credits by
     sign or CR, on bank tables by a rise of the balance (the opening balance first), on card tables by payment wording.
     A fee formula's total replaces its rate. Bank rows take the last date; card rows need a date or wording of their own.
+    A card row's category is its cell, else a spend category at the end of its wording (an ambiguous one only where the table
+    has a category column). facts are given by statement, or by statement and region.
     """
-    year = grid.sparkSession.createDataFrame([], FACTS) if facts is None else facts
-    rows = grid.join(year, "statement_id", "left")
+    known = grid.sparkSession.createDataFrame([], FACTS) if facts is None else facts
+    rows = grid.join(known, ["statement_id", *(["region"] if "region" in known.columns else [])], "left")
     flat = Window.partitionBy("statement_id", "region").orderBy("line_no")
     upto, before = flat.rowsBetween(Window.unboundedPreceding, 0), flat.rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy("statement_id", "region", "group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     card, line = F.col("kind") == "credit-card", F.col("text")
     rows = with_cell_date(with_cell_money(rows, {"d": "debit", "c": "credit", "a": "amount", "b": "balance"}), "date", "own")
+    classes = line_classes(line)
     rows = rows.withColumns(
         {
-            "ignored": line.rlike(P.TABLE_IGNORE) | balance_line(line).isNotNull(),
+            "ignored": classes["ignored"],
+            "detail": classes["foreign"] | classes["reference"],
             "words": F.coalesce("description", F.lit("")),
             "money": F.size(money.scan_money(line)) > 0,
             "fee_c": money.fee_total(line),
@@ -222,7 +246,7 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     # written: the windows below read these columns again and again
     rows = materialised(rows.drop("date", "description", "debit", "credit", "amount", "balance"), "cells")
     rows = rows.withColumn("has", ~F.col("ignored") & F.coalesce("d", "c", "a").isNotNull())
-    rows = rows.where(F.col("has") | F.col("ignored") | ~(is_foreign(line) | is_reference(line, 8)))
+    rows = rows.where(F.col("has") | F.col("ignored") | ~F.col("detail"))
     rows = rows.withColumn("group", F.coalesce(F.sum((F.col("has") | F.col("ignored")).cast("int")).over(before), F.lit(0)))
     loose, stray = ~F.col("has") & ~F.col("ignored"), F.col("money") & F.col("fee_c").isNull()
     built_before = F.coalesce(F.max(F.col("has") & (F.col("own").isNotNull() | ~card)).over(before), F.lit(False))
@@ -231,15 +255,22 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("open", F.max("starts").over(group))
     pending = loose & F.col("open") & (F.col("words") != "")
     dated = loose & F.col("own").isNotNull() & (F.col("open") | ~stray)
-    rows = rows.withColumns({"ahead": F.collect_list(F.when(pending, F.col("words"))).over(group), "ahead_date": F.last(F.when(dated, F.col("own")), ignorenulls=True).over(group)})
+    # a group is the wording before one line with an amount: gathered once and joined to that line
+    rows = materialised(rows.withColumn("wording", F.when(pending, F.col("words"))).withColumn("dated", F.when(dated, F.col("own"))), "wording")
+    keys = ["statement_id", "region", "group"]
+    gathered = rows.where("wording is not null or dated is not null").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("wording").isNotNull(), F.struct("line_no", "wording"))))["wording"].alias("ahead"),
+        F.max_by("dated", F.when(F.col("dated").isNotNull(), F.col("line_no"))).alias("ahead_date"), F.lit(True).alias("has"),
+    )
+    rows = rows.join(gathered, [*keys, "has"], "left").withColumn("ahead", F.coalesce("ahead", F.array().cast("array<string>")))
     alone = F.col("own").isNull() & F.col("ahead_date").isNull() & (F.size("ahead") == 0)
     rows = rows.withColumn("posts", F.col("has") & ~(card & alone))
     carried = F.last(F.when(F.col("posts"), F.col("own")), ignorenulls=True).over(before)
     last_c = F.last(F.when(F.col("posts"), F.col("b.cents")), ignorenulls=True).over(before)
     rows = rows.withColumns({"day": F.coalesce("own", "ahead_date", F.when(~card, carried), F.lit("")), "before_c": F.coalesce(last_c, "opening_c")})
     head = text.clean_description(F.concat_ws(" ", "ahead", F.nullif("words", F.lit(""))))
-    rows = rows.withColumn("head", head).withColumn("split", F.when(card & (F.coalesce("category", F.lit("")) == ""), text.split_category(F.col("head"))))
-    rows = rows.withColumn("head", F.coalesce("split.description", "head"))
+    rows = rows.withColumn("head", head).withColumn("split", F.when(card & (F.coalesce("category", F.lit("")) == ""), text.split_category(F.col("head"), F.coalesce("category_column", F.lit(False)))))
+    rows = rows.withColumns({"head": F.coalesce("split.description", "head"), "label": F.coalesce(F.nullif("category", F.lit("")), "split.category", F.lit(""))})
     by_balance = ~card & F.col("b").isNotNull() & F.col("before_c").isNotNull()
     credit = F.when(by_balance, F.col("b.cents") > F.col("before_c")).otherwise(F.col("a.negative") | (card & F.col("head").rlike(P.TABLE_CREDIT)))
     sides = (~card & F.coalesce("d", "c").isNotNull()) | F.col("a").isNull()
@@ -261,14 +292,16 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("built", F.col("posts") & F.coalesce("debit_c", "credit_c").isNotNull())
     rows = rows.withColumn("row", F.sum(F.col("built").cast("int")).over(upto))
     wraps = loose & ~F.col("open") & F.col("built_before") & (F.col("words") != "") & F.col("own").isNull() & ~stray
-    within = Window.partitionBy("statement_id", "region", "row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("behind", F.collect_list(F.when(wraps, F.col("words"))).over(within)).where("built")
-    rows = rows.withColumn("described", text.clean_description(F.concat_ws(" ", F.nullif("head", F.lit("")), "behind")))
+    # so are the lines that go on with a row's wording
+    rows = materialised(rows.withColumn("wrap", F.when(wraps, F.col("words"))), "built")
+    behind = rows.where("wrap is not null").groupBy("statement_id", "region", "row").agg(F.array_sort(F.collect_list(F.struct("line_no", "wrap")))["wrap"].alias("behind"))
+    rows = rows.where("built").join(behind, ["statement_id", "region", "row"], "left")
+    rows = rows.withColumn("described", text.clean_description(F.concat_ws(" ", F.nullif("head", F.lit("")), F.coalesce("behind", F.array().cast("array<string>")))))
     described = F.col("described")
     sure = F.lit(0.92) - F.when(F.col("day") == "", 0.1).otherwise(0.0) - F.when(described == "", 0.2).otherwise(0.0)
     return rows.select(
         "statement_id", "region", F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no")).alias("seq"), F.col("day").alias("date"),
-        described.alias("description"), "debit_c", "credit_c", F.col("b.cents").alias("balance_c"), F.round(sure, 2).alias("confidence"), "kind",
+        described.alias("description"), "debit_c", "credit_c", F.col("b.cents").alias("balance_c"), F.round(sure, 2).alias("confidence"), "kind", F.col("label").alias("category"),
     )
 
 
@@ -277,12 +310,19 @@ def coordinate_rows(items: DataFrame, facts: DataFrame | None = None) -> DataFra
     return table_rows(materialised(visual_lines(items), "visual"), facts)
 
 
-def table_rows(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    heads = header_columns(lines)
+def headed(lines: DataFrame) -> DataFrame:
+    """The header of each table: statement_id, line_no, region, kind, columns."""
     order = Window.partitionBy("statement_id").orderBy("line_no")
-    heads = heads.withColumns({"region": F.row_number().over(order).cast("long"), "kind": kind_of(F.col("columns.meaning"))})
-    columns = heads.select("statement_id", "region", "kind", F.explode("columns").alias("k")).select("statement_id", "region", "kind", "k.meaning", "k.center")
-    return region_rows(cells(regions(lines, heads).withColumn("region", F.col("region").cast("long")), columns), facts)
+    return header_columns(lines).withColumns({"region": F.row_number().over(order).cast("long"), "kind": kind_of(F.col("columns.meaning"))})
+
+
+def column_list(tables: DataFrame) -> DataFrame:
+    return tables.select("statement_id", "region", "kind", F.explode("columns").alias("k")).select("statement_id", "region", "kind", "k.meaning", "k.center")
+
+
+def table_rows(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    heads = headed(lines)
+    return region_rows(cells(regions(lines, heads), column_list(heads)), facts)
 
 
 def cluster(values: DataFrame, tolerance: float = ZONE_TOLERANCE) -> DataFrame:
@@ -347,7 +387,7 @@ def headerless_rows(items: DataFrame, openings: DataFrame) -> DataFrame:
     balance = F.max(F.col("meaning") == "balance").over(Window.partitionBy("statement_id"))
     kind = F.when(balance, "bank-account").otherwise("credit-card").alias("kind")
     columns = found.select("statement_id", F.lit(1).cast("long").alias("region"), kind, "meaning", "center")
-    known = {c: F.lit(None).cast(t) for c, t in (("year", "int"), ("context", CONTEXT), ("day_first", "boolean"))}
+    known = {c: F.lit(None).cast(t) for c, t in (("year", "int"), ("context", CONTEXT), ("day_first", "boolean"), ("category_column", "boolean"))}
     return region_rows(cells(body, columns), openings.select("statement_id", *[v.alias(c) for c, v in known.items()], "opening_c"))
 
 

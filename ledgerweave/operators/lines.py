@@ -153,9 +153,9 @@ def labelled(lines: DataFrame, name: str, pattern: str, but: str | None = None)
     return lines.withColumn("found", F.when(match, found)).groupBy("statement_id").agg(F.min_by("found", F.when(F.col("found").isNotNull(), F.col("line_no"))).alias(name))
 
 
-def ladder(lines: DataFrame, ladders: dict[str, list[tuple[str, str | None]]]) -> DataFrame:
-    """One column per name: the first label of its ladder that has an amount. All labels are read in one pass."""
-    order = Window.partitionBy("statement_id").orderBy("line_no")
+def ladder(lines: DataFrame, ladders: dict[str, list[tuple[str, str | None]]], keys: tuple[str, ...] = ("statement_id",)) -> DataFrame:
+    """One column per name: the first label of its ladder that has an amount. All labels are read in one pass over the lines of each key."""
+    order = Window.partitionBy(*keys).orderBy("line_no")
     line = F.col("line")
     flags = {
         f"{name}_{k}": line.rlike(pattern) & (F.lit(True) if but is None else ~line.rlike(but))
@@ -169,7 +169,12 @@ def ladder(lines: DataFrame, ladders: dict[str, list[tuple[str, str | None]]]) -
     rows = rows.withColumn("found", F.when(F.col("hit"), F.coalesce(own, F.lead("alone", 1).over(order), F.lead("alone", 2).over(order))))
     aggregates = [F.min_by("found", F.when(F.col(f) & F.col("found").isNotNull(), F.col("line_no"))).alias(f) for f in flags]
     columns = [F.coalesce(*[f"{name}_{k}" for k in range(len(steps))]).alias(name) for name, steps in ladders.items()]
-    return rows.groupBy("statement_id").agg(*aggregates).select("statement_id", *columns)
+    return rows.groupBy(*keys).agg(*aggregates).select(*keys, *columns)
+
+
+def bank_totals(lines: DataFrame, keys: tuple[str, ...] = ("statement_id",)) -> DataFrame:
+    """sum_credits_c, sum_debits_c: the printed totals of bank lines."""
+    return ladder(lines, {"sum_credits_c": [(p, None) for p in P.BANK_TOTAL_CREDITS], "sum_debits_c": [(p, None) for p in P.BANK_TOTAL_DEBITS]}, keys)
 
 
 def card_balances(lines: DataFrame) -> DataFrame:
@@ -198,8 +203,7 @@ def bank_balances(lines: DataFrame) -> DataFrame:
         F.min_by("b.cents", F.when(F.col("b.kind") == "opening", F.col("line_no"))).alias("opening_c"),
         F.max_by("b.cents", F.when(F.col("b.kind") == "closing", F.col("line_no"))).alias("closing_c"),
     )
-    totals = ladder(lines, {"sum_credits_c": [(p, None) for p in P.BANK_TOTAL_CREDITS], "sum_debits_c": [(p, None) for p in P.BANK_TOTAL_DEBITS]})
-    return ends.join(totals, "statement_id")
+    return ends.join(bank_totals(lines), "statement_id")
 
 
 def interest_and_fees(lines: DataFrame) -> DataFrame:

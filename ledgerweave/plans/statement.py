@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions import patterns as P
-from ..operators import builders, layout, lines, statements
+from ..operators import builders, layout, lines, statements, tables
 from ..operators.transactions import carry_forward
 from ..session import materialised
 from ..sources.derived import TX_SQL, sql, transactions
@@ -26,7 +26,9 @@ def _rows(df: DataFrame, number: int, name: str, source: str, mode: str) -> Data
             df = df.withColumn(column, F.col("line_no") if column == "seq" else F.lit(None).cast("long"))
     if "confidence" not in df.columns:
         df = df.withColumn("confidence", F.lit(0.92))
-    return df.select(*ROW, F.lit(number).alias("cand_no"), F.lit(name).alias("name"), F.lit(source).alias("source"), F.lit(mode).alias("mode"))
+    if "category" not in df.columns:
+        df = df.withColumn("category", F.lit(""))
+    return df.select(*ROW, "category", F.lit(number).alias("cand_no"), F.lit(name).alias("name"), F.lit(source).alias("source"), F.lit(mode).alias("mode"))
 
 
 def facts_of(body: DataFrame) -> DataFrame:
@@ -58,23 +60,39 @@ def candidates(body: DataFrame, facts: DataFrame, items: DataFrame | None = None
         (builders.bank_rows(scoped), 4, "bank-account", "text-parser", "bank-account", lines.bank_balances(scoped)),
         (fallback, 5, "fallback", "fallback", "bank-account", lines.bank_balances(full).select("statement_id", "opening_c", "closing_c", F.lit(None).cast("long").alias("sum_credits_c"), F.lit(None).cast("long").alias("sum_debits_c"))),
     ]
-    if items is not None:
-        visual = materialised(layout.visual_lines(items), "visual")
-        seen = visual.select("statement_id", "line_no", F.col("text").alias("line"))
-        placed_bank, placed_card = lines.bank_balances(seen), lines.card_balances(seen)
-        known = facts.select("statement_id", "year", dates.date_context(F.col("period_text")).alias("context"), F.lit(None).cast("boolean").alias("day_first"))
-        known = known.join(placed_bank.select("statement_id", "opening_c"), "statement_id", "left")
-        found = materialised(layout.table_rows(visual, known), "placed")
-        readings.insert(0, (found.where("kind = 'bank-account'"), 0, "coordinate-table", "coordinate-table", "bank-account", placed_bank))
-        readings.insert(1, (found.where("kind = 'credit-card'"), -1, "coordinate-table-card", "coordinate-table", "credit-card", placed_card))
     rows = reduce(DataFrame.unionByName, [_rows(*r[:5]) for r in readings])
     ends = reduce(DataFrame.unionByName, [r[5].withColumn("cand_no", F.lit(r[1])) for r in readings])
+    if items is not None:
+        visual = materialised(layout.visual_lines(items), "visual")
+        known = facts.select("statement_id", "year", dates.date_context(F.col("period_text")).alias("context"))
+        placed, balances = tables.placed_readings(visual, known)
+        placed = placed.select(*ROW, "category", "cand_no", F.lit("coordinate-table").alias("name"), F.lit("coordinate-table").alias("source"), F.col("kind").alias("mode"))
+        rows, ends = placed.unionByName(rows), balances.unionByName(ends.select(balances.columns))
     rows = materialised(rows, "readings")
-    last = rows.where("cand_no in (0, 3, 4)").groupBy("statement_id", "cand_no").agg(F.max_by("balance_c", F.when(F.col("balance_c").isNotNull(), F.col("seq"))).alias("last_c"))
+    last = rows.where("cand_no in (3, 4)").groupBy("statement_id", "cand_no").agg(F.max_by("balance_c", F.when(F.col("balance_c").isNotNull(), F.col("seq"))).alias("last_c"))
     ends = ends.join(last, ["statement_id", "cand_no"], "left")
     return rows, ends.withColumn("closing_c", F.coalesce("closing_c", "last_c")).drop("last_c")
 
 
+def described(rows: DataFrame, declared: DataFrame) -> DataFrame:
+    """rows with categories off their descriptions, and transfers without reference codes.
+
+    On cards, distinctive categories leave a description anywhere. Ambiguous ones, which may be a merchant's words, do so only
+    where the statement has a category column: one is declared, or two rows have a category of their own or a distinctive one.
+    """
+    card, bare = F.col("mode") == "credit-card", F.col("category") == ""
+    plain = text.split_category(F.col("description"))
+    rows = rows.withColumn("plain", F.when(card & bare, plain))
+    proof = rows.where(card).groupBy("statement_id").agg(F.count_if(~bare | (F.col("plain.category") != "")).alias("proofs"))
+    context = proof.join(declared, "statement_id", "left").select("statement_id", ((F.col("proofs") >= 2) | F.coalesce("declared", F.lit(False))).alias("context"))
+    rows = rows.join(context, "statement_id", "left")
+    wide = text.split_category(F.col("description"), F.lit(True))
+    split = F.when(card & bare, F.when(F.col("context"), wide).otherwise(F.col("plain")))
+    rows = rows.withColumn("split", split)
+    rows = rows.withColumns({"description": F.coalesce("split.description", "description"), "category": F.when(card, F.coalesce("split.category", "category")).otherwise("")})
+    return rows.withColumn("description", text.normalize_transfer(F.col("description"))["description"]).drop("plain", "split", "context")
+
+
 def parse_statements(body: DataFrame, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(statements, transactions) of text lines (statement_id, line_no, line) and, if given, positioned items.
 
@@ -94,9 +112,8 @@ def parse_statements(body: DataFrame, items: DataFrame | None = None) -> tuple[D
     kept = rows.join(best.select("statement_id", "cand_no"), ["statement_id", "cand_no"])
     bank = carry_forward(kept.where("mode = 'bank-account'")).drop("inherited")
     kept = bank.unionByName(kept.where("mode <> 'bank-account'"))
-    transfer = text.normalize_transfer(F.col("description"))
-    split = text.split_category(transfer["description"])
-    final = kept.select("statement_id", "seq", "date", F.when(F.col("mode") == "credit-card", split["description"]).otherwise(transfer["description"]).alias("description"), F.when(F.col("mode") == "credit-card", split["category"]).otherwise("").alias("category"), "debit_c", "credit_c", "balance_c", "confidence", F.lit(None).cast("string").alias("warning"))
+    final = described(kept, lines.category_context(body).withColumnRenamed("category_column", "declared"))
+    final = final.select("statement_id", "seq", "date", "description", "category", "debit_c", "credit_c", "balance_c", "confidence", F.lit(None).cast("string").alias("warning"))
     row_facts = statements.row_facts(final)
     heads = best.select("statement_id", "name", "mode", "opening_c", "closing_c", "sum_credits_c", "sum_debits_c", "score", (F.col("source") == "fallback").alias("fallback"))
     return statements.validate(heads.join(row_facts, "statement_id")), final
