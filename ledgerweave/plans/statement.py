@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -13,6 +13,7 @@ from ..operators import builders, layout, lines, statements, tables
 from ..operators.transactions import carry_forward
 from ..session import materialised
 from ..sources.derived import TX_SQL, sql, transactions
+from ..sources.pages import PAGES_SQL, placed_pages
 
 #: Lines that print the statement's period.
 PERIOD_LINE = r"(?i)[^\n]*(?:statement (?:from|period)|period)[^\n]*"
@@ -189,7 +190,45 @@ SELECT statement_id, '{kind}' AS mode, 'passed' AS status, count(*) AS n_rows, C
   CAST(0 AS BIGINT) AS difference_c, min('Entry ' || event_type) AS first_words, min(date) AS first_date FROM tx GROUP BY statement_id""")
 
 
+def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the positioned pages, as read back by whichever reading wins."""
+    _, rows = parse_statements(*placed_pages(spark, sf_dir))
+    n = F.row_number().over(Window.partitionBy("statement_id").orderBy("seq"))
+    return rows.select("statement_id", n.cast("long").alias("n"), "date", "description", "category", "debit_c", "credit_c", "balance_c")
+
+
+def _page_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings of the positioned pages: how many rows each has, its balances, and whether it is the one kept."""
+    body, items = placed_pages(spark, sf_dir)
+    visual = materialised(layout.visual_lines(items), "visual")
+    facts = facts_of(body)
+    known = facts.select("statement_id", "year", dates.date_context(F.col("period_text")).alias("context"))
+    rows, ends = tables.placed_readings(visual, known)
+    counts = rows.groupBy("statement_id", "cand_no", "kind").agg(F.count(F.lit(1)).alias("n_rows"))
+    run = F.col("cand_no") >= tables.RUN_BASE
+    base = F.when(run, tables.RUN_BASE).otherwise(tables.TABLE_BASE)
+    return counts.join(ends, ["statement_id", "cand_no"]).select("statement_id", run.alias("is_run"), (F.col("cand_no") - base).cast("long").alias("number"), "kind", "n_rows", "opening_c", "closing_c")
+
+
 QUERIES = {
+    "parse_placed_rows": (
+        _page_rows,
+        sql(TX_SQL, PAGES_SQL, select="SELECT * FROM pages"),
+    ),
+    "placed_readings": (
+        _page_readings,
+        sql(TX_SQL, select=f"""
+, p AS (SELECT *, (seq - 1) // 22 + 1 AS page FROM tx WHERE amount_c > 0),
+s AS (SELECT statement_id, max(page) AS pages, min(opening_c) AS o, max_by(running_c, seq) AS c, count(*) AS n FROM p GROUP BY statement_id),
+t AS (SELECT statement_id, page, count(*) AS n, max_by(running_c, seq) FILTER (WHERE seq % 3 <> 1) AS shown_c FROM p GROUP BY ALL)
+SELECT statement_id, FALSE AS is_run, page AS number, 'bank-account' AS kind, t.n AS n_rows, CASE WHEN page = 1 THEN o END AS opening_c, CASE WHEN page = pages THEN c END AS closing_c
+  FROM t JOIN s USING (statement_id) WHERE statement_id % 4 = 0
+UNION ALL SELECT statement_id, TRUE, 1, 'bank-account', n, o, c FROM s WHERE statement_id % 4 = 0 AND pages > 1
+UNION ALL SELECT statement_id, FALSE, page, 'credit-card', t.n, o, 2 * o - c FROM t JOIN s USING (statement_id) WHERE statement_id % 4 = 1
+UNION ALL SELECT statement_id, TRUE, 1, 'credit-card', n, o, 2 * o - c FROM s WHERE statement_id % 4 = 1 AND pages > 1
+UNION ALL SELECT statement_id, FALSE, 1, 'bank-account', n, o, c FROM s WHERE statement_id % 4 >= 2
+UNION ALL SELECT statement_id, FALSE, 2, 'credit-card', 2, o, NULL FROM s WHERE statement_id % 4 = 2"""),
+    ),
     "parse_statements": (
         _parsed,
         sql(TX_SQL, select="""
