@@ -1,8 +1,11 @@
 """Operators on small hand-made statements."""
 
+import json
+
+import pytest
 from ledgerweave.operators import builders, layout, ledger, segments, statements
 from ledgerweave.plans.statement import parse_statements
-from ledgerweave.sources.sinks import workbooks
+from ledgerweave.sources import sinks
 from pyspark.sql import functions as F
 
 
@@ -66,13 +69,64 @@ def test_empty_statements(spark):
     assert rows.count() == 0
 
 
+EXPORT = "statement_id long, seq int, date string, description string, debit_c long, credit_c long, balance_c long"
+
+
 def test_workbook_is_the_same_every_time(spark):
-    rows = spark.createDataFrame([(1, 1, "2024-01-02", "a & b", 100, None, None)], "statement_id long, seq int, date string, description string, debit_c long, credit_c long, balance_c long")
-    one, two = (workbooks(rows).first()["content"] for _ in range(2))
+    rows = spark.createDataFrame([(1, 1, "2024-01-02", "a & b", 100, None, None)], EXPORT)
+    one, two = (sinks.workbooks(rows).first()["content"] for _ in range(2))
     assert bytes(one) == bytes(two)
     assert bytes(one)[:2] == b"PK"
 
 
+def export_rows(spark, n):
+    """n rows of account 1, and a few of two others with what needs escaping."""
+    few = [(2, 1, "2024-01-02", 'a "b" & <c>', 100, None, -5), (2, 2, "", "", None, 0, None), (3, 7, None, None, None, None, None)]
+    hot = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("statement_id"), F.col("id").cast("int").alias("seq"), F.lit("2024-01-02").alias("date"), F.concat(F.lit("row "), "id").alias("description"), (F.col("id") % 999).alias("debit_c"), F.lit(None).cast("long").alias("credit_c"), F.col("id").alias("balance_c"))
+    return hot.unionByName(spark.createDataFrame(few, EXPORT)).repartition(6)
+
+
+def test_chunks_of_a_large_account_make_one_document(spark, tmp_path):
+    rows = export_rows(spark, 30_000)
+    chunks = sinks.csv_chunks(rows, 1000)
+    sizes = chunks.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("content")).alias("longest")).collect()
+    assert {r.statement_id: r.n for r in sizes} == {1: 31, 2: 2, 3: 2} and max(r.longest for r in sizes) < 60_000
+    sinks.write_documents(chunks, f"{tmp_path}/csv")
+    text = lambda k: "".join(f.read_text(newline="") for f in sorted((tmp_path / "csv" / f"statement={k}").iterdir()))
+    assert text(2) == 'Date,Description,Debit,Credit,Amount,Balance\r\n"2024-01-02","a ""b"" & <c>",1.00,,-1.00,-0.05\r\n"","",,0.00,,'
+    assert text(1).count("\r\n") == 30_000 and text(1).endswith('"row 30000",0.30,,-0.30,300.00')
+    assert not [p for p in tmp_path.iterdir() if "staging" in p.name]
+    heads = spark.createDataFrame([(1, 5, None), (2, None, None), (3, 0, 700), (4, 1, 1)], "statement_id long, opening_c long, closing_c long")
+    sinks.write_documents(sinks.json_chunks(rows, heads, 1000), f"{tmp_path}/json", "json")
+    found = {k: json.loads("".join(f.read_text() for f in sorted((tmp_path / "json" / f"statement={k}").iterdir()))) for k in (1, 2, 3)}
+    assert [r["seq"] for r in found[1]["rows"]] == list(range(1, 30_001)) and found[1]["opening"] == "0.05"
+    assert found[2]["rows"][0]["description"] == 'a "b" & <c>' and found[3] == {"opening": "0.00", "closing": "7.00", "rows": [{"seq": 7}]}
+    assert not (tmp_path / "json" / "statement=4").exists()
+
+
+def test_a_failed_export_leaves_nothing_and_an_export_is_replaced_as_a_whole(spark, tmp_path):
+    rows = export_rows(spark, 20)
+    sinks.write_documents(sinks.csv_chunks(rows), f"{tmp_path}/out")
+    with pytest.raises(Exception, match="FileExistsError"):
+        sinks.write_documents(sinks.csv_chunks(rows), f"{tmp_path}/out")
+    bad = sinks.csv_chunks(rows).withColumn("content", F.when(F.col("statement_id") == 2, F.raise_error(F.lit("no"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_documents(bad, f"{tmp_path}/out", mode="overwrite")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"] and len(list((tmp_path / "out").iterdir())) == 3
+    sinks.write_documents(sinks.csv_chunks(rows.where("statement_id = 2")), f"{tmp_path}/out", mode="overwrite")
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["statement=2"]
+
+
+def test_workbooks_past_a_sheet_hold_every_cell(spark):
+    rows = export_rows(spark, 1000)
+    books = sinks.workbooks(rows, 300)
+    assert {(r.statement_id, r.book_no): r.n_rows for r in books.collect()} == {(1, 0): 300, (1, 1): 300, (1, 2): 300, (1, 3): 100, (2, 0): 2, (3, 0): 1}
+    cells = sinks.read_workbooks(books)
+    two = {r.row_no: r.cells for r in cells.where("statement_id = 2").collect()}
+    assert two[0] == list(sinks.HEADERS) and two[1] == ["2024-01-02", 'a "b" & <c>', "1.00", None, "-1.00", "-0.05"] and two[2] == [None] * 6
+    assert cells.where("statement_id = 1 and row_no > 0").select(F.countDistinct(F.col("cells")[1])).first()[0] == 1000
+
+
 def test_a_conversion_is_charged_once_however_far_its_repeats_are(spark):
     asked = [("a", 5), ("b", 9), ("a", 5), ("c", 3), ("b", 4), ("a", 5), ("b", 4), ("d", 2), ("a", 5)]
     rows = [(1, c, k, k, pages, 12, 0) for k, (c, pages) in enumerate(asked)] + [(2, "a", 0, 0, 5, 12, 0)]
