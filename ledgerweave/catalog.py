@@ -3,6 +3,6 @@
 from .operators import builders, descriptions, evidence, layout, ledger, lines, segments, statements, transactions
 from .plans import statement
 from .sources import sinks
-from .streaming import ledger_stream
+from .streaming import ledger_stream, subscription_stream
 
-MODULES = (transactions, lines, descriptions, segments, statements, ledger, builders, layout, evidence, statement, sinks, ledger_stream)
+MODULES = (transactions, lines, descriptions, segments, statements, ledger, builders, layout, evidence, statement, sinks, ledger_stream, subscription_stream)
