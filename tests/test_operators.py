@@ -1,6 +1,7 @@
 """Operators on small hand-made statements."""
 
 import json
+import random
 
 import pytest
 from ledgerweave.operators import builders, layout, ledger, segments, statements
@@ -49,6 +50,41 @@ def test_solver_ties_take_the_lowest_mask_and_long_segments_the_priors(spark):
     assert signs == [[True, False], [True, False], None, [True] * 17, None]
 
 
+def plain_signs(amounts, priors, delta):
+    n = len(amounts)
+    if n > 16:
+        return [p == 1 for p in priors] if sum(a if p == 1 else -a for a, p in zip(amounts, priors, strict=True)) == delta else None
+    best = None
+    for mask in range(1 << n):
+        on = [mask >> k & 1 for k in range(n)]
+        if n and sum(a if b else -a for a, b in zip(amounts, on, strict=True)) == delta:
+            score = sum(0 if p == 0 else 1 if (p == 1) == bool(b) else -1 for p, b in zip(priors, on, strict=True))
+            if best is None or score > best[0]:
+                best = (score, [bool(b) for b in on])
+    return best and best[1]
+
+
+def test_solver_by_brute_force_on_all_lengths(spark):
+    r = random.Random(6)
+    rows = []
+    for n in [*range(1, 13), *range(1, 13), 14, 16, 17, 20]:
+        amounts = [r.choice([r.randrange(1, 40), 5, 5, 0]) for _ in range(n)]
+        priors = [r.choice([-1, 0, 1]) for _ in range(n)]
+        held = sum(a if p == 1 else -a for a, p in zip(amounts, priors, strict=True))
+        rows.append((amounts, priors, r.choice([held, sum(a * r.choice([1, -1]) for a in amounts), 1])))
+    df = spark.createDataFrame([(*row, k) for k, row in enumerate(rows)], "amounts array<long>, priors array<int>, delta_c long, k int")
+    found = [s.signs for s in segments.solve(df).orderBy("k").collect()]
+    assert found == [plain_signs(*row) for row in rows]
+
+
+def test_signs_of_long_segments_are_the_priors(spark):
+    rows = [(1, k, 100, 1 if k % 3 == 0 else -1, None) for k in range(1, 40)] + [(2, k, 100, 0, 700 if k == 3 else None) for k in range(1, 30)]
+    heads = spark.createDataFrame([(1, 0, -1300), (2, 1000, 5)], "statement_id long, opening_c long, closing_c long")
+    got = segments.sign_rows(spark.createDataFrame(rows, "statement_id long, seq int, amount_c long, prior int, balance_c long"), heads).collect()
+    assert {(r.statement_id, r.solved, r.credit == (r.prior == 1)) for r in got if r.statement_id == 1} == {(1, True, True)}
+    assert {(r.segment, r.solved, r.credit) for r in got if r.statement_id == 2} == {(0, True, False), (1, False, False)}
+
+
 def test_visual_lines_join_the_first_line_in_reach(spark):
     items = [(1, 1, k, s, x, y, 10.0) for k, (s, x, y) in enumerate([("b", 50.0, 100.0), ("a", 10.0, 102.0), ("c", 90.0, 98.0), ("d", 10.0, 95.0), (" ", 1.0, 100.0)])]
     df = spark.createDataFrame(items, "statement_id long, page int, item_seq int, str string, x double, y double, width double")
