@@ -138,13 +138,16 @@ def in_period(period: Column, month: Column, day: Column, buffer: int = 10) -> C
     return F.when(period["crosses_year"], after | before).otherwise(after & before)
 
 
+PERIOD_YEAR, ANY_YEAR = r"(?i)statement\s+(?:from|period)[^\n]*?(20\d{2})", r"\b(20\d{2})\b"
+
+
 def fallback_year(text: Column) -> Column:
-    return _int(F.regexp_extract(text, r"\b(20\d{2})\b", 1))
+    return _int(F.regexp_extract(text, ANY_YEAR, 1))
 
 
 def period_year(text: Column) -> Column:
     """The year on a statement-period line, else the first year found."""
-    return F.coalesce(_int(F.regexp_extract(text, r"(?i)statement\s+(?:from|period)[^\n]*?(20\d{2})", 1)), fallback_year(text))
+    return F.coalesce(_int(F.regexp_extract(text, PERIOD_YEAR, 1)), fallback_year(text))
 
 
 def find_date(line: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,28 +25,74 @@ def split_lines(docs: DataFrame, key: str, body: str) -> DataFrame:
     return docs.select(key, F.posexplode(kept).alias("at", "line")).select(key, (F.col("at") + 1).alias("line_no"), "line")
 
 
-def whole_text(lines: DataFrame) -> DataFrame:
-    """statement_id, text: the lines joined in order."""
-    each = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("statement_id").agg(F.array_join(F.transform(each, lambda x: x["line"]), "\n").alias("text"))
+#: Lines behind a line among which a wording that begins in it may end, and characters of them past the next line.
+AHEAD_LINES, AHEAD_CHARS = 24, 120
+
+#: Tells whether a text has a pattern.
+Has = Callable[[str], Column]
+
+
+def has_in(body: Column) -> Has:
+    low = F.lower(body)
+    return low.rlike
+
 
+def has_mark(pattern: str) -> Column:
+    """Whether a statement has a pattern, of the columns of `marks`."""
+    return F.col(mark_of(pattern))
+
+
+def mark_of(pattern: str) -> str:
+    return f"mark_{zlib.crc32(pattern.encode()):08x}"
+
+
+def with_ahead(lines: DataFrame) -> DataFrame:
+    """ahead: each line and what stands behind it, as far as a wording that begins in the line can reach."""
+    order = Window.partitionBy("statement_id").orderBy("line_no")
+    further = F.left(F.concat_ws("\n", *[F.lead("line", k).over(order) for k in range(2, AHEAD_LINES + 1)]), F.lit(AHEAD_CHARS))
+    return lines.withColumn("ahead", F.concat_ws("\n", "line", F.lead("line", 1).over(order), F.nullif(further, F.lit(""))))
 
-def hits(body: Column, patterns: tuple[str, ...]) -> Column:
+
+def marks(lines: DataFrame, patterns: tuple[str, ...], firsts: dict[str, tuple[str, Callable[[Column], Column]]] | None = None) -> DataFrame:
+    """statement_id, a flag for each pattern that some of its lines has (see has_mark), and firsts: what is read at a
+    pattern's first place in the statement, as {name: (pattern, reader)}.
+
+    No text is joined: only patterns that take white space can go on in the next lines, and those look a bounded way ahead.
+    A first place counts in the line in which it begins.
+    """
+    firsts = firsts or {}
+    rows = with_ahead(lines.select("statement_id", "line_no", "line"))
+    low = {False: F.lower("line"), True: F.lower("ahead")}
+    flags = {mark_of(p): low[r"\s" in p].rlike(p) for p in patterns}
+    places = {}
+    for name, (pattern, reader) in firsts.items():
+        at = F.regexp_instr("ahead", F.lit(pattern))
+        places[name] = F.when((at > 0) & (at <= F.length("line")), F.struct(reader(F.col("ahead")).alias("found")))
+    rows = rows.select("statement_id", "line_no", *[c.alias(n) for n, c in (flags | places).items()])
+    return rows.groupBy("statement_id").agg(
+        *[F.bool_or(n).alias(n) for n in flags], *[F.min_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("line_no")))["found"].alias(n) for n in places]
+    )
+
+
+def hits(has: Has, patterns: tuple[str, ...]) -> Column:
     """How many of the patterns a text has."""
-    return reduce(lambda a, b: a + b, [body.rlike(p).cast("int") for p in patterns])
+    return reduce(lambda a, b: a + b, [has(p).cast("int") for p in patterns])
 
 
-def statement_kind(body: Column) -> Column:
-    low = F.lower(body)
-    card = low.rlike(P.CARD_STRONG) | (hits(low, P.CARD_WEAK) >= 2)
-    return F.when(card, "credit-card").when(low.rlike(P.BANK_WORDS), "bank-account").otherwise("unknown")
+KIND_PATTERNS = (P.CARD_STRONG, *P.CARD_WEAK, P.BANK_WORDS)
+FAMILY_PATTERNS = (*P.CARD_FAMILY, *P.BANK_FAMILY, "withdrawals?", "deposits?")
+PROFILE_PATTERNS = tuple(p for *_, matchers in P.PROFILES for p in matchers)
+
 
+def statement_kind(has: Has) -> Column:
+    card = has(P.CARD_STRONG) | (hits(has, P.CARD_WEAK) >= 2)
+    return F.when(card, "credit-card").when(has(P.BANK_WORDS), "bank-account").otherwise("unknown")
 
-def layout_family(body: Column) -> Column:
+
+def layout_family(has: Has) -> Column:
     """The layout by its signals; withdrawals beside deposits make a bank table at once."""
-    low = F.lower(body)
-    card, bank = hits(low, P.CARD_FAMILY), hits(low, P.BANK_FAMILY)
-    table_words = low.rlike("withdrawals?") & low.rlike("deposits?")
+    card, bank = hits(has, P.CARD_FAMILY), hits(has, P.BANK_FAMILY)
+    table_words = has("withdrawals?") & has("deposits?")
     return (
         F.when(table_words | ((bank >= 2) & (bank >= card)), "bank-account-table")
         .when(card >= 2, "credit-card-table")
@@ -53,13 +101,13 @@ def layout_family(body: Column) -> Column:
     )
 
 
-def best_profile(texts: DataFrame) -> DataFrame:
-    """statement_id, profile, hits, confidence: the profile of the text's kind with most matchers; the first wins ties."""
-    kind = statement_kind(F.col("text"))
+def best_profile(statements: DataFrame, has: Has) -> DataFrame:
+    """statement_id, profile, hits, confidence: the profile of the statement's kind with most matchers; the first wins ties."""
+    kind = statement_kind(has)
     scored = F.array(
-        *[F.struct(F.lit(k).alias("pos"), F.lit(name).alias("name"), F.lit(of).alias("kind"), hits(F.col("text"), marks).alias("hits")) for k, (name, of, marks) in enumerate(P.PROFILES)]
+        *[F.struct(F.lit(k).alias("pos"), F.lit(name).alias("name"), F.lit(of).alias("kind"), hits(has, matchers).alias("hits")) for k, (name, of, matchers) in enumerate(P.PROFILES)]
     )
-    rows = texts.select("statement_id", kind.alias("kind"), scored.alias("p"))
+    rows = statements.select("statement_id", kind.alias("kind"), scored.alias("p"))
     mine = F.filter("p", lambda p: (F.col("kind") == "unknown") | (p["kind"] == F.col("kind")))
     best = F.array_max(F.transform(mine, lambda p: F.struct(p["hits"].alias("hits"), (-p["pos"]).alias("pos"), p["name"].alias("name"))))
     rows = rows.withColumn("best", best)
@@ -369,23 +417,23 @@ FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos)
 GROUP BY doc_id""",
     ),
     "statement_kind": (
-        lambda s, d: whole_text(_sheets(s, d)).select("statement_id", statement_kind(F.col("text")).alias("kind")),
+        lambda s, d: marks(_sheets(s, d), KIND_PATTERNS).select("statement_id", statement_kind(has_mark).alias("kind")),
         sql(*LINES_ALL, SHEETS, TEXTS.replace("FROM lines", "FROM sheets"), select=f"SELECT statement_id, {KIND} AS kind FROM txt"),
     ),
     "document_kind": (
-        lambda s, d: table(s, d, "documents").groupBy(statement_kind(F.col("text")).alias("kind"), layout_family(F.col("text")).alias("family")).agg(F.count(F.lit(1)).alias("n")),
+        lambda s, d: table(s, d, "documents").groupBy(statement_kind(has_in(F.col("text"))).alias("kind"), layout_family(has_in(F.col("text"))).alias("family")).agg(F.count(F.lit(1)).alias("n")),
         f"""SELECT {KIND} AS kind, CASE WHEN ({m('withdrawals?', 'lower(text)')} AND {m('deposits?', 'lower(text)')}) OR ({count_sql('lower(text)', P.BANK_FAMILY)} >= 2 AND {count_sql('lower(text)', P.BANK_FAMILY)} >= {count_sql('lower(text)', P.CARD_FAMILY)}) THEN 'bank-account-table'
  WHEN {count_sql('lower(text)', P.CARD_FAMILY)} >= 2 THEN 'credit-card-table' WHEN {count_sql('lower(text)', P.BANK_FAMILY)} >= 1 THEN 'bank-account-table' ELSE 'unknown' END AS family, count(*) AS n FROM documents GROUP BY ALL""",
     ),
     "layout_family": (
-        lambda s, d: whole_text(_sheets(s, d)).select("statement_id", layout_family(F.col("text")).alias("family")),
+        lambda s, d: marks(_sheets(s, d), FAMILY_PATTERNS).select("statement_id", layout_family(has_mark).alias("family")),
         sql(*LINES_ALL, SHEETS, TEXTS.replace("FROM lines", "FROM sheets"), select=f"""
 , sc AS (SELECT statement_id, lower(text) AS low, {count_sql('lower(text)', P.CARD_FAMILY)} AS card, {count_sql('lower(text)', P.BANK_FAMILY)} AS bank FROM txt)
 SELECT statement_id, CASE WHEN ({m('withdrawals?', 'low')} AND {m('deposits?', 'low')}) OR (bank >= 2 AND bank >= card) THEN 'bank-account-table'
   WHEN card >= 2 THEN 'credit-card-table' WHEN bank >= 1 THEN 'bank-account-table' ELSE 'unknown' END AS family FROM sc"""),
     ),
     "profile_rank": (
-        lambda s, d: best_profile(whole_text(_sheets(s, d))),
+        lambda s, d: best_profile(marks(_sheets(s, d), KIND_PATTERNS + PROFILE_PATTERNS), has_mark),
         sql(*LINES_ALL, SHEETS, TEXTS.replace("FROM lines", "FROM sheets"), select=f"""
 , k AS (SELECT *, {KIND} AS kind FROM txt), p AS ("""
             + " UNION ALL ".join(f"SELECT statement_id, kind, {pos} AS pos, '{name}' AS name, '{of}' AS of, {count_sql('text', marks)} AS hits FROM k" for pos, (name, of, marks) in enumerate(P.PROFILES))

@@ -34,15 +34,19 @@ def _rows(df: DataFrame, number: int, name: str, source: str, mode: str) -> Data
 
 def facts_of(body: DataFrame) -> DataFrame:
     """Per statement: kind, signals, year and period, from its lines."""
-    whole = lines.whole_text(body)
-    t = F.col("text")
-    low = F.lower(t)
-    card = lines.hits(low, P.CARD_FAMILY) > 0
-    bank = (lines.hits(low, P.BANK_FAMILY) > 0) | (low.rlike("withdrawals?") & low.rlike("deposits?"))
-    return whole.select(
-        "statement_id", lines.statement_kind(t).alias("kind"), lines.layout_family(t).alias("family"), card.alias("looks_card"), bank.alias("looks_bank"),
-        t.rlike(P.SECTIONED).alias("sectioned"), dates.period_year(t).alias("year"), dates.statement_period(t).alias("period"),
-        F.regexp_extract(t, PERIOD_LINE, 0).alias("period_text"),
+    patterns = tuple(dict.fromkeys((*lines.KIND_PATTERNS, *lines.FAMILY_PATTERNS, P.SECTIONED)))
+    firsts = {
+        "period_year": (dates.PERIOD_YEAR, lambda t: F.regexp_extract(t, dates.PERIOD_YEAR, 1).cast("int")),
+        "any_year": (dates.ANY_YEAR, dates.fallback_year),
+        "period": (dates.NAMED_RANGE, dates.statement_period),
+        "period_text": (PERIOD_LINE, lambda t: F.regexp_extract(t, PERIOD_LINE, 0)),
+    }
+    has = lines.has_mark
+    card = lines.hits(has, P.CARD_FAMILY) > 0
+    bank = (lines.hits(has, P.BANK_FAMILY) > 0) | (has("withdrawals?") & has("deposits?"))
+    return lines.marks(body, patterns, firsts).select(
+        "statement_id", lines.statement_kind(has).alias("kind"), lines.layout_family(has).alias("family"), card.alias("looks_card"), bank.alias("looks_bank"),
+        has(P.SECTIONED).alias("sectioned"), F.coalesce("period_year", "any_year").alias("year"), "period", F.coalesce("period_text", F.lit("")).alias("period_text"),
     )
 
 

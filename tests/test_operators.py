@@ -2,9 +2,13 @@
 
 import json
 import random
+import re
 
 import pytest
+from ledgerweave.functions import dates
+from ledgerweave.functions import patterns as P
 from ledgerweave.operators import builders, layout, ledger, segments, statements
+from ledgerweave.operators import lines as ll
 from ledgerweave.plans.statement import parse_statements
 from ledgerweave.sources import sinks
 from pyspark.sql import functions as F
@@ -192,3 +196,19 @@ def test_adoption_takes_only_safe_candidates(spark):
     df = spark.createDataFrame([(*p, *q, k, dropped) for k, (p, q, dropped, _) in enumerate(cases)], schema)
     found = df.orderBy("k").select(statements.adoption("p", "q", F.col("dropped")).alias("a")).collect()
     assert [tuple(r.a) for r in found] == [want for *_, want in cases]
+
+
+def test_marks_of_a_statement_are_those_of_its_whole_text(spark):
+    """Wordings that go on over the ends of lines, and the first period, as one regex over the joined text finds them."""
+    parts = ["transactions", "of", "(", "continued)", "amount", "($)", "statement", "period to 2031", "statement from A 2029", "JAN", "3", "to", "FEB 9, 2027", "new", "balance", "visa", "x" * 130, "1999", "cheque", "/ debit", "credit card"]
+    r = random.Random(8)
+    texts = {k: [r.choice(parts) for _ in range(r.choice([1, 3, 8, 30]))] for k in range(60)}
+    texts[60] = ["transactions", *"abcdefghijklmnopqrs", "(continued)"]
+    body = spark.createDataFrame([(k, n, t) for k, ts in texts.items() for n, t in enumerate(ts)], "statement_id long, line_no int, line string").repartition(3)
+    patterns = ll.KIND_PATTERNS + ll.FAMILY_PATTERNS + ll.PROFILE_PATTERNS + (P.SECTIONED,)
+    firsts = {"year": (dates.PERIOD_YEAR, lambda t: F.regexp_extract(t, dates.PERIOD_YEAR, 1)), "named": (dates.NAMED_RANGE, lambda t: F.regexp_extract(t, dates.NAMED_RANGE, 0))}
+    for row in ll.marks(body, patterns, firsts).collect():
+        whole = "\n".join(texts[row.statement_id])
+        assert [row[ll.mark_of(p)] for p in patterns] == [bool(re.search(p, whole.lower())) for p in patterns]
+        year, named = re.search(dates.PERIOD_YEAR, whole), re.search(dates.NAMED_RANGE, whole)
+        assert (row.year, row.named) == (year and year[1], named and named[0]), whole
