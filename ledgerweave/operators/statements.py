@@ -395,7 +395,8 @@ def section_tokens(labels: Column) -> Column:
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text_lines(transactions(spark, sf_dir)).groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    first = F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no")) <= 30
+    rows = text_lines(transactions(spark, sf_dir)).withColumn("first", first).where("first").groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return rows.select("statement_id", F.array_join(section_tokens(F.col("l.line")), ",").alias("sections"))
 
 
