@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, connected_components, discard, slices, text_mark, with_package, without_rows, written
@@ -31,10 +31,8 @@ SEED = 20240229
 SKETCH_BITS = 1024
 #: Word hashes that a Python worker remembers.
 MEMO_WORDS = 200_000
-#: A bucket in which more pairs than this would be compared is split on further sub-keys.
-SPLIT_PAIRS = 2_000_000
-#: Times that such a bucket is split at most.
-MOST_SPLITS = 3
+#: Where more pairs than this would be compared in a bucket, its members are compared by their rarest shingles instead.
+BUCKET_PAIRS = 2_000_000
 #: Shingles multiplied at once, so that a block stays in a core's cache.
 BLOCK = 1024
 
@@ -55,18 +53,6 @@ def bands(percent: int) -> tuple[int, int]:
     return groups, rows
 
 
-def splits(percent: int) -> int:
-    """How often a bucket may be split on a further shared sub-key.
-
-    After k splits a pair must share 2 + k sub-keys of all; the most k, up to MOST_SPLITS, for which a pair at the
-    threshold shares fewer with probability under MISS.
-    """
-    groups, rows = bands(percent)
-    alike = (percent / 100) ** rows
-    fewer = lambda n: sum(math.comb(2 * groups, k) * alike**k * (1 - alike) ** (2 * groups - k) for k in range(min(n, 2 * groups + 1)))
-    return max([k for k in range(MOST_SPLITS + 1) if k == 0 or fewer(2 + k) <= MISS])
-
-
 GROUPS, ROWS = bands(PERCENT)
 
 
@@ -180,11 +166,11 @@ def shared_sub_keys(classes: DataFrame, groups: int) -> DataFrame:
 
 
 def table_keys(lists: DataFrame, groups: int) -> DataFrame:
-    """(key, i, j, rank, cls) of the tables' keys that a class can share with another: pairs of sub-keys i and j that are both shared."""
+    """(key, rank, cls) of the tables' keys that a class can share with another: pairs of sub-keys that are both shared."""
     one = F.filter("s", lambda x: x["at"] < groups)
     two = F.filter("s", lambda x: x["at"] >= groups)
     both = lists.select("rank", F.explode(one).alias("a"), two.alias("two")).select("rank", "a", F.explode("two").alias("b"))
-    return both.select(F.xxhash64("a.at", "a.value", "b.at", "b.value").alias("key"), F.col("a.at").alias("i"), F.col("b.at").alias("j"), "rank", "rank.cls")
+    return both.select(F.xxhash64("a.at", "a.value", "b.at", "b.value").alias("key"), "rank", "rank.cls")
 
 
 def likely(a: str, b: str, percent: int):
@@ -202,10 +188,8 @@ def likely(a: str, b: str, percent: int):
     return (small * 100 >= large * percent) & (bits <= F.least(most, usual))
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough. Sets are made of one row of each class."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cls, shingles): the full shingle sets of the classes in ids, from one row of each, as a written table; rows may repeat."""
     wanted = classes.select("cls", F.col("best.id").alias("rep"), F.col("best.mark").alias("rep_mark")).join(ids, "cls", "left_semi")
     wanted = written(wanted, "wanted")
     text, small = with_mark(docs), broadcast_if_small(wanted)
@@ -226,6 +210,14 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["cls", "shingles"])
 
     held = written(text.mapInArrow(sets, "cls long, shingles binary"), "sets")
+    discard(wanted)
+    return held
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are similar enough. Sets are made of one row of each class."""
+    pairs = written(pairs, "pairs")
+    held = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     once = held.dropDuplicates(["cls"])
     both = pairs.join(once.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(once.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
@@ -240,38 +232,65 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = written(both.mapInArrow(compare, "a long, b long"), "links")
-    discard(pairs, wanted, held)
+    discard(pairs, held)
     return links
 
 
-def cross_pairs(member: DataFrame, lists: DataFrame, groups: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of likely classes of different parts that meet in a bucket; member: key, i, j, last, cls, part, n, sketch.
+def sides(p: str) -> list:
+    return [F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in ("cls", "part", "n", *SKETCH)]
 
-    Members of a bucket's lowest part are compared with those of the others only. Where that would still be many pairs,
-    the bucket is split on a further sub-key that the pair must share: one behind i or j, and behind the last one taken,
-    so a pair takes its shared sub-keys in one order and is in every split of the bucket of its first two.
+
+def rare_pairs(docs: DataFrame, classes: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of likely classes of different parts among the members (cls, part, n, sketch), by their rarest shingles.
+
+    In one order of all the members' shingles, from the rarest on, sets that are similar enough share one of their first
+    n - ceil(n * percent / 100) + 1, so no pair is missed, whatever the members have in common.
     """
-    side = lambda p: [F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in ("cls", "part", "n", *SKETCH)]
-    found = []
-    for depth in range(splits(percent) + 1):
-        sizes = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
-        sizes = sizes.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("c").alias("all"), F.min_by("c", "part").alias("own"))
-        sizes = sizes.where("low < high").select("key", "low", ((F.col("all") - F.col("own")) * F.col("all")).alias("work"))
-        sizes = written(sizes, "mixed")
-        member = written(member.join(sizes, "key"), "members")
-        cold = F.lit(True) if depth == splits(percent) else F.col("work") <= SPLIT_PAIRS
-        other = member.where(cold & (F.col("part") != F.col("low"))).select("key", *side("a"))
-        every = member.where(cold).select("key", "low", *side("b"))
-        once = (F.col("b_part") == F.col("low")) | (F.col("a") < F.col("b"))
-        cross = other.join(every, (other["key"] == every["key"]) & (F.col("a_part") != F.col("b_part")) & once & likely("a", "b", percent))
-        found.append(written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross"))
-        hot = member.where(~cold)
-        if depth == splits(percent) or hot.isEmpty():
-            break
-        further = F.filter("s", lambda x: (x["at"] > F.col("last")) & (x["at"] > F.when(x["at"] < groups, F.col("i")).otherwise(F.col("j"))))
-        grown = hot.drop("low", "work").join(lists.select("cls", "s"), "cls").withColumn("x", F.explode(further))
-        member = grown.withColumns({"key": F.xxhash64("key", "x.at", "x.value"), "last": F.col("x.at")}).drop("s", "x")
-    return reduce(DataFrame.unionByName, found).distinct()
+    held = sets_of(docs, classes, member.select("cls"))
+
+    def each(batches):
+        for batch in slices(batches, 64):
+            sets = [np.frombuffer(v, np.int64) for v in batch.column(1).to_pylist()]
+            cls = np.repeat(batch.column(0).to_numpy(), [len(v) for v in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets))], ["cls", "x"])
+
+    single = written(held.dropDuplicates(["cls"]).mapInArrow(each, "cls long, x long"), "shingles")
+    often = single.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("cls").orderBy("often", "x")
+    first = single.join(often, "x").withColumn("at", F.row_number().over(order)).join(member.select("cls", "part", "n"), "cls")
+    first = first.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("x", "cls", "part", "n")
+    first = written(first, "rarest")
+    one, two = (first.select("x", *[F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in ("cls", "part", "n")]) for p in "ab")
+    sized = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    pairs = one.join(two, "x").where((F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & sized).select("a", "b").distinct()
+    facts = lambda p: member.select(*sides(p))
+    out = written(pairs.join(facts("a"), "a").join(facts("b"), "b").where(likely("a", "b", percent)).select("a", "b"), "rare")
+    discard(held, single, first)
+    return out
+
+
+def cross_pairs(docs: DataFrame, classes: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of likely classes of different parts that meet in a bucket; member: key, cls, part, n, sketch.
+
+    Members of a bucket's lowest part are compared with those of the others only. The members of buckets where that would
+    still be many pairs are compared by their rarest shingles, which misses none of those pairs.
+    """
+    sizes = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("c").alias("all"), F.min_by("c", "part").alias("own"))
+    sizes = sizes.where("low < high").select("key", "low", ((F.col("all") - F.col("own")) * F.col("all") > BUCKET_PAIRS).alias("many"))
+    sizes = written(sizes, "mixed")
+    member = written(member.join(sizes, "key"), "members")
+    few = member.where("not many")
+    other = few.where(F.col("part") != F.col("low")).select("key", *sides("a"))
+    every = few.select("key", "low", *sides("b"))
+    once = (F.col("b_part") == F.col("low")) | (F.col("a") < F.col("b"))
+    cross = other.join(every, (other["key"] == every["key"]) & (F.col("a_part") != F.col("b_part")) & once & likely("a", "b", percent))
+    found = written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    many = member.where("many")
+    if not many.isEmpty():
+        many = written(many.select("cls", "part", "n", *SKETCH).distinct(), "many")
+        found = found.unionByName(rare_pairs(docs, classes, many, percent)).distinct()
+    return found
 
 
 def near_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -300,8 +319,8 @@ def near_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]
     links = verified(docs, classes, star, percent)
     parts = connected_components(links)
     member = buckets.join(parts.withColumnRenamed("vertex", "cls"), "cls", "left")
-    member = member.select("key", "i", "j", F.lit(-1).alias("last"), "cls", F.coalesce("component", "cls").alias("part")).join(facts, "cls")
-    cross = cross_pairs(member, lists, groups, percent)
+    member = member.select("key", "cls", F.coalesce("component", "cls").alias("part")).join(facts, "cls")
+    cross = cross_pairs(docs, classes, member, percent)
     cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     parts = connected_components(links.unionByName(verified(docs, classes, cross, percent))).withColumnRenamed("vertex", "cls")
     parts = written(classes.select("set_hi", "set_lo", "cls", "best", "size").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "parts")
@@ -319,8 +338,9 @@ def near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     Rows with equal shingle sets form a class, which one row of it represents; only classes are compared. In a table's
     bucket all are first compared with the likeliest original; the links found are contracted, and then only members of different
     components are compared with each other, so that no link between components is lost and a bucket of copies makes as
-    many pairs as it has members. Buckets of many unlike members are split on further sub-keys. Sketches and sizes rule
-    out unlike pairs inside the joins, before the full sets confirm the rest.
+    many pairs as it has members. Members of buckets with many unlike ones are compared by their rarest shingles, which finds
+    the same pairs and those between such buckets. Sketches and sizes rule out unlike pairs inside the joins, before the
+    full sets confirm the rest.
 
     Defined cases: null and empty texts and such without words have an empty set and are their own component; a text of
     fewer than five words is one shingle; equal rows link; rows of one doc_id with different texts are documents of their

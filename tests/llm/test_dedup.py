@@ -131,7 +131,7 @@ def test_near_chains_and_groups(spark):
 
 
 @pytest.mark.parametrize("percent", [85, 80])
-def test_near_hot_buckets_are_split(spark, monkeypatch, percent):
+def test_near_hot_buckets_are_compared_by_rare_shingles(spark, monkeypatch, percent):
     """Many documents share half of their shingles, and so buckets, without being alike; some have a near copy."""
     r = random.Random(8)
     common = words(90, 1)
@@ -142,18 +142,25 @@ def test_near_hot_buckets_are_split(spark, monkeypatch, percent):
         if k % 3 == 0:
             own[r.randrange(70)] = "edited"
             rows.append((1000 + k, f"{common} {' '.join(own)}"))
-    monkeypatch.setattr(near_dedup, "SPLIT_PAIRS", 5)
+    monkeypatch.setattr(near_dedup, "BUCKET_PAIRS", 5)
     calls = []
-    plain = near_dedup.cross_pairs
-    monkeypatch.setattr(near_dedup, "cross_pairs", lambda *a: calls.append(plain(*a)) or calls[-1])
+    plain = near_dedup.rare_pairs
+    monkeypatch.setattr(near_dedup, "rare_pairs", lambda *a: calls.append(plain(*a)) or calls[-1])
     got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
     assert got == {i: least for i, _, least in smallest_ids(rows, percent)[0]}
     assert len(set(got.values())) == 120 and calls
 
 
-def test_splits_keep_the_chance_of_a_miss():
-    assert near_dedup.splits(85) == near_dedup.splits(80) == 3
-    assert near_dedup.splits(100) == 0  # two sub-keys in all
+@pytest.mark.parametrize("limit", [-1, 3, 10**9])
+def test_links_do_not_depend_on_how_buckets_are_compared(spark, monkeypatch, limit):
+    """A passage that many share fills buckets with unlike texts; near copies among them link whatever the limit of a bucket."""
+    passage = words(60, 4)
+    rows = [(k, f"{words(8 + k % 30, 300 + k)} {passage}") for k in range(60)]
+    rows += [(100 + k, t.replace("alpha", "omega", 1)) for k, t in rows[:30]] + [(200, passage), (201, passage + " x")]
+    monkeypatch.setattr(near_dedup, "BUCKET_PAIRS", limit)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 80).collect()}
+    assert got == {i: least for i, _, least in smallest_ids(rows, 80)[0]}
+    assert len(set(got.values())) > 5
 
 
 def test_parity_sketch_never_exceeds_the_difference():
