@@ -66,18 +66,15 @@ def structured(items: DataFrame) -> DataFrame:
 def with_lines(items: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """line_y: the height of the line an item joins, which is the first line made whose first item lies within the tolerance.
 
-    Which line that is depends on the items before, so it is a fold over a page's items in order.
+    A page's heights are folded in order into those that open a line. An item's line is then the first of these in its
+    reach: it opened one itself where none was made before, and lines made later stand behind.
     """
-
-    def step(lines: list[float], row: dict) -> tuple[list[float], dict]:
-        y = next((v for v in lines if abs(v - row["y"]) <= tolerance), None)
-        if y is None:
-            lines.append(row["y"])
-            y = row["y"]
-        return lines, {"line_y": y}
-
-    keyed = structured(items).withColumn("page_key", F.concat_ws(":", "statement_id", "page"))
-    return fold(keyed, "page_key", ["item_seq"], lambda r: [], step, "line_y double").drop("page_key")
+    rows = structured(items)
+    page = rows.groupBy("statement_id", "page").agg(F.array_sort(F.collect_list(F.struct("item_seq", *[c for c in rows.columns if c not in ("statement_id", "page", "item_seq")]))).alias("i"))
+    near = lambda line, y: F.abs(line - y) <= tolerance
+    opened = F.aggregate("i", F.array().cast("array<double>"), lambda lines, i: F.when(F.exists(lines, lambda line: near(line, i["y"])), lines).otherwise(F.array_append(lines, i["y"])))
+    each = page.withColumn("opened", opened).select("statement_id", "page", "opened", F.explode("i").alias("i")).select("statement_id", "page", "opened", "i.*")
+    return each.withColumn("line_y", F.element_at(F.filter("opened", lambda line: near(line, F.col("y"))), 1)).drop("opened").select(*rows.columns, "line_y")
 
 
 def visual_lines(items: DataFrame) -> DataFrame:
@@ -88,60 +85,84 @@ def visual_lines(items: DataFrame) -> DataFrame:
     return rows.withColumn("line_no", F.row_number().over(order))
 
 
-def header_meaning(label: str) -> str | None:
-    """The meaning of a header text; a currency or a colon at its end doesn't matter."""
-    low = re.sub(r"\s+", " ", label.lower()).strip()
+def header_match(label: str) -> tuple[str | None, bool]:
+    """(the meaning of a header text, whether it shows only without what stands at its end: a currency or a colon)."""
+    raw = low = re.sub(r"\s+", " ", label.lower()).strip()
     for _ in range(3):
         low = CURRENCY_TAIL.sub("", low).strip()
-    return next((name for name, pattern in HEADERS if re.fullmatch(pattern, low)), None)
+    name, pattern = next(((n, p) for n, p in HEADERS if re.fullmatch(p, low)), (None, ""))
+    return name, name is not None and low != raw and not re.fullmatch(pattern, raw)
 
 
-def header_columns(lines: DataFrame) -> DataFrame:
-    """Lines that head a table, with columns (meaning, center) by x; one column per meaning.
+def header_meaning(label: str) -> str | None:
+    return header_match(label)[0]
+
+
+ANCHORS, VALUES = ("date", "description"), ("amount", "debit", "credit", "balance")
+
 
-    Up to four neighbouring items are read together, the most first. A header has a date or description and a value column.
-    A header may be stacked on two lines of a page: where a line and the next have headings each, and both together more
-    than either, the lower line heads the table with the headings of both.
+def has_any(columns: str, names: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(F.col(columns)["meaning"], F.array(*map(F.lit, names)))
+
+
+def headings(lines: DataFrame) -> DataFrame:
+    """Lines with a heading's word: the columns (meaning, center) that they head by x, one per meaning, how many headings
+    show only without a currency or colon (relaxed), and whether a line is the lower (stacked) or upper one of a header on
+    two lines, the columns of which are both.
+
+    Up to four neighbouring items are read together, the most first. Two lines of a page are one header where each has
+    headings and both together more than either.
     """
     item = pa.struct([("center", pa.float64()), ("meaning", pa.string())])
 
-    def columns_of(items: list[dict]) -> list[dict]:
-        found, at = {}, 0
+    def columns_of(items: list[dict]) -> tuple[list[dict], int]:
+        found, at, relaxed = {}, 0, 0
         while at < len(items):
             took = 1
             for n in range(min(MAX_HEADER_ITEMS, len(items) - at), 0, -1):
                 part = items[at : at + n]
-                meaning = header_meaning(" ".join(i["str"] for i in part))
+                meaning, bare = header_match(" ".join(i["str"] for i in part))
+                relaxed += bare
                 if meaning and meaning not in found:
                     found[meaning] = (part[0]["x"] + part[-1]["x"] + (part[-1]["width"] or 0)) / 2
                     took = n
                     break
             at += took
-        return [{"center": c, "meaning": m} for m, c in sorted(found.items(), key=lambda f: f[1])]
+        return [{"center": c, "meaning": m} for m, c in sorted(found.items(), key=lambda f: f[1])], relaxed
 
     def run(batches):
         for batch in batches:
-            made = [[columns_of(i or []) for i in column.to_pylist()] for column in batch.columns[2:4]]
-            both = [columns_of(sorted([*a, *b], key=lambda i: i["x"])) if a and one and two else [] for a, b, one, two in zip(*[c.to_pylist() for c in batch.columns[2:4]], *made, strict=True)]
+            read = [[columns_of(i or []) for i in column.to_pylist()] for column in batch.columns[2:4]]
+            made = [[columns for columns, _ in each] for each in read]
+            both = [columns_of(sorted([*a, *b], key=lambda i: i["x"]))[0] if a and one and two else [] for a, b, one, two in zip(*[c.to_pylist() for c in batch.columns[2:4]], *made, strict=True)]
             columns = [pa.array(m, pa.list_(item)) for m in (*made, both)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["statement_id", "line_no", "above", "columns", "both"])
+            relaxed = pa.array([n for _, n in read[1]], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, relaxed], ["statement_id", "line_no", "above", "columns", "both", "relaxed"])
 
     word = F.lower("text").rlike(HEADING)
     order = Window.partitionBy("statement_id", "page").orderBy("line_no")
     before = F.when(F.lag(word).over(order), F.lag("items").over(order))
     likely = lines.select("statement_id", "line_no", before.alias("above"), "items", word.alias("word")).where("word").drop("word")
     kind = "array<struct<center:double,meaning:string>>"
-    out = likely.mapInArrow(run, f"statement_id long, line_no int, above {kind}, columns {kind}, both {kind}")
-    has = lambda c, *names: F.arrays_overlap(F.col(c)["meaning"], F.array(*map(F.lit, names)))
-    heads = lambda c: (F.size(c) >= 2) & has(c, "date", "description") & has(c, "amount", "debit", "credit", "balance")
+    out = likely.mapInArrow(run, f"statement_id long, line_no int, above {kind}, columns {kind}, both {kind}, relaxed int")
     order = Window.partitionBy("statement_id").orderBy("line_no")
-    stacked = heads("both") & (F.size("both") > F.size("columns")) & (F.size("both") > F.size("above"))
+    stacked = is_header("both") & (F.size("both") > F.size("columns")) & (F.size("both") > F.size("above"))
     out = out.withColumn("stacked", F.coalesce(stacked, F.lit(False)))
     # the lower line of a pair heads the table, and a line already taken as a lower one is no upper one
     out = out.withColumn("stacked", F.col("stacked") & ~((F.lag("line_no").over(order) == F.col("line_no") - 1) & F.coalesce(F.lag("stacked").over(order), F.lit(False))))
     upper = (F.lead("line_no").over(order) == F.col("line_no") + 1) & F.lead("stacked").over(order)
-    out = out.withColumn("upper", F.coalesce(upper, F.lit(False)))
-    return out.where(F.col("stacked") | (~F.col("upper") & heads("columns"))).select("statement_id", "line_no", F.when(F.col("stacked"), F.col("both")).otherwise(F.col("columns")).alias("columns"))
+    return out.withColumn("upper", F.coalesce(upper, F.lit(False))).drop("above")
+
+
+def is_header(columns: str) -> Column:
+    """A header has a date or description and a value column."""
+    return (F.size(columns) >= 2) & has_any(columns, ANCHORS) & has_any(columns, VALUES)
+
+
+def header_columns(lines: DataFrame) -> DataFrame:
+    """Lines that head a table, with columns (meaning, center) by x; of a header on two lines the lower one."""
+    out = headings(lines)
+    return out.where(F.col("stacked") | (~F.col("upper") & is_header("columns"))).select("statement_id", "line_no", F.when(F.col("stacked"), F.col("both")).otherwise(F.col("columns")).alias("columns"))
 
 
 def kind_of(meanings: Column) -> Column:
@@ -404,7 +425,8 @@ def _headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stitch(tables: DataFrame) -> DataFrame:
-    """reason a table doesn't continue the one before it (null: it does) and the group it belongs to.
+    """reason a table doesn't continue the one before it (null: it does), whether it does so for all but its optional columns
+    only (relaxed), and the group it belongs to.
 
     tables: statement_id, pos, page, kind, columns array of (meaning, center), barrier, opening (text between them).
     """
@@ -431,7 +453,7 @@ def stitch(tables: DataFrame) -> DataFrame:
         .when(F.col("barrier"), "hard-stop")
         .when((F.col("kind") == "bank-account") & F.col("opening"), "new-account")
     )
-    t = t.withColumn("reason", reason)
+    t = t.withColumn("reason", reason).withColumn("relaxed", F.col("reason").isNull() & ~strict)
     return t.withColumn("group", F.sum(F.col("reason").isNotNull().cast("int")).over(order)).withColumn("reason", F.nullif("reason", F.lit("first")))
 
 

@@ -5,7 +5,7 @@ They compete with the text readings: a reading is keyed by statement and cand_no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import materialised
@@ -45,8 +45,8 @@ def tables_of(visual: DataFrame) -> tuple[DataFrame, DataFrame]:
     # what lies between a table's end and the next header begins with a stop line, which is a barrier
     barrier = F.coalesce(F.lag("stopped").over(Window.partitionBy("statement_id").orderBy("region")), F.lit(False))
     joined = layout.stitch(tables.select("statement_id", F.col("region").alias("pos"), "page", "kind", "columns", barrier.alias("barrier"), "opening"))
-    tables = tables.select("statement_id", "region", "line_no", "kind", "columns", "end").join(joined.select("statement_id", F.col("pos").alias("region"), "reason", "group"), ["statement_id", "region"])
-    bare = headless(visual, heads).withColumns({"reason": F.lit(None).cast("string"), "group": F.lit(1).cast("long")})
+    tables = tables.select("statement_id", "region", "line_no", "kind", "columns", "end").join(joined.select("statement_id", F.col("pos").alias("region"), "reason", "relaxed", "group", F.lit(True).alias("headed")), ["statement_id", "region"])
+    bare = headless(visual, heads).withColumns({"reason": F.lit(None).cast("string"), "relaxed": F.lit(False), "group": F.lit(1).cast("long"), "headed": F.lit(False)})
     tables = materialised(tables.unionByName(bare.select(tables.columns)), "tables")
     below = visual.join(marked.where("not heads and not stopped").select("statement_id", "line_no", "region"), ["statement_id", "line_no"])
     spans = bare.select("statement_id", "line_no", "end")
@@ -139,3 +139,38 @@ def placed_readings(visual: DataFrame, known: DataFrame) -> tuple[DataFrame, Dat
     member = every.join(runs.select("statement_id", "group"), ["statement_id", "group"]).select(*keys, (F.col("group") + RUN_BASE).cast("int").alias("cand_no"))
     own = rows.withColumn("cand_no", (F.col("region") + TABLE_BASE).cast("int"))
     return own.unionByName(rows.join(member, keys).select(own.columns)), balances
+
+
+COUNTERS = (
+    "visual_lines", "most_items", "heading_lines", "most_meanings", "anchor_only", "value_only", "tables", "relaxed_headings", "stacked_headers", "headless_tables", "runs", "run_tables", "rejected", "relaxed_joins",
+)
+
+
+def probe(visual: DataFrame, tables: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Why tables were found or not: counters of each statement, and reasons (a map of how often a table went on no longer).
+
+    visual: lines of `visual_lines`, tables: of `tables_of`. Numbers only, no text. An observation gets the sums over all
+    statements (the largest for most_items and most_meanings) while the result is written, without another scan.
+    """
+    c = F.col
+    key = ["statement_id"]
+    words = layout.headings(visual)
+    anchor, value = layout.has_any("columns", layout.ANCHORS), layout.has_any("columns", layout.VALUES)
+    found = words.groupBy(*key).agg(
+        F.count_if(F.size("columns") > 0).alias("heading_lines"), F.max(F.size("columns")).alias("most_meanings"), F.count_if(anchor & ~value).alias("anchor_only"), F.count_if(value & ~anchor).alias("value_only"),
+        F.sum(F.when(~c("stacked"), c("relaxed")).otherwise(0)).alias("relaxed_headings"), F.count_if("stacked").alias("stacked_headers"),
+    )
+    groups = tables.groupBy(*key, "group").agg(F.count(F.lit(1)).alias("n"), F.count_if("headed").alias("headed"), F.count_if(~c("headed")).alias("bare"), F.count_if(c("reason").isNotNull()).alias("no"), F.count_if("relaxed").alias("relaxed"))
+    runs = groups.groupBy(*key).agg(
+        F.sum("headed").alias("tables"), F.sum("bare").alias("headless_tables"), F.count_if(c("n") > 1).alias("runs"), F.sum(F.when(c("n") > 1, c("n")).otherwise(0)).alias("run_tables"),
+        F.sum("no").alias("rejected"), F.sum("relaxed").alias("relaxed_joins"),
+    )
+    why = tables.where("reason is not null").groupBy(*key, "reason").agg(F.count(F.lit(1)).alias("n"))
+    why = why.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons"))  # five reasons
+    out = visual.groupBy(*key).agg(F.count(F.lit(1)).alias("visual_lines"), F.max(F.size("items")).alias("most_items"))
+    out = out.join(found, key, "left").join(runs, key, "left").join(why, key, "left")
+    out = out.select(*key, *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in COUNTERS], F.coalesce("reasons", F.create_map().cast("map<string,bigint>")).alias("reasons"))
+    if observation is None:
+        return out
+    whole = [(F.max if name.startswith("most_") else F.sum)(name).alias(name) for name in COUNTERS]
+    return materialised(out.observe(observation, *whole), "probe")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -214,7 +214,31 @@ def _page_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(ends, ["statement_id", "cand_no"]).select("statement_id", run.alias("is_run"), (F.col("cand_no") - base).cast("long").alias("number"), "kind", "n_rows", "opening_c", "closing_c")
 
 
+def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the positioned pages, from an observed run."""
+    _, items = placed_pages(spark, sf_dir)
+    visual = materialised(layout.visual_lines(items), "visual")
+    found, _ = tables.tables_of(visual)
+    seen = Observation("headers")
+    out = tables.probe(visual, found, seen)
+    every = F.create_map(*[x for name in tables.COUNTERS for x in (F.lit(name), F.lit(seen.get[name] or 0).cast("long"))])
+    return out.select("statement_id", *tables.COUNTERS, F.to_json("reasons").alias("reasons"), every["visual_lines"].alias("all_lines"), every["tables"].alias("all_tables"))
+
+
 QUERIES = {
+    "header_probe": (
+        _probe,
+        sql(TX_SQL, select="""
+, p AS (SELECT *, statement_id % 4 AS shape, (seq - 1) // 22 + 1 AS page FROM tx WHERE amount_c > 0),
+s AS (SELECT statement_id, shape, max(page) AS pages, count(*) AS n, count(*) FILTER (WHERE seq % 5 = 0) AS wraps, count(*) FILTER (WHERE seq % 7 = 3) AS details FROM p GROUP BY ALL),
+c AS (SELECT statement_id, CASE shape WHEN 0 THEN n + wraps + details + 3 + 3 * pages WHEN 1 THEN n + wraps + details + 2 + pages WHEN 2 THEN n + 7 ELSE n + 1 END AS visual_lines,
+  CASE shape WHEN 0 THEN 5 ELSE 4 END AS most_items, CASE shape WHEN 2 THEN 3 WHEN 3 THEN 0 ELSE pages END AS heading_lines, CASE shape WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 0 END AS most_meanings,
+  CASE shape WHEN 2 THEN 1 ELSE 0 END AS anchor_only, CASE shape WHEN 2 THEN 1 ELSE 0 END AS value_only, CASE shape WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE pages END AS tables,
+  CASE shape WHEN 0 THEN pages ELSE 0 END AS relaxed_headings, CASE shape WHEN 2 THEN 1 ELSE 0 END AS stacked_headers, CASE shape WHEN 3 THEN 1 ELSE 0 END AS headless_tables, CASE WHEN shape < 2 AND pages > 1 THEN 1 ELSE 0 END AS runs,
+  CASE WHEN shape < 2 AND pages > 1 THEN pages ELSE 0 END AS run_tables, CASE shape WHEN 2 THEN 1 ELSE 0 END AS rejected, CASE shape WHEN 1 THEN pages - 1 ELSE 0 END AS relaxed_joins,
+  CASE shape WHEN 2 THEN '{"kind-mismatch":1}' ELSE '{}' END AS reasons FROM s)
+SELECT *, CAST(sum(visual_lines) OVER () AS BIGINT) AS all_lines, CAST(sum(tables) OVER () AS BIGINT) AS all_tables FROM c"""),
+    ),
     "parse_placed_rows": (
         _page_rows,
         sql(TX_SQL, PAGES_SQL, select="SELECT * FROM pages"),

@@ -81,7 +81,7 @@ def placed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         line(2, cell(some(shape == 0, F.lit("Printed 28/01")), 20.0)),
         line(3, *head(("Date", 20.0, (shape == 2) & first), ("Description", 110.0, (shape == 2) & first))),
         line(
-            4, *head(("Date", 20.0, shape < 2), ("Description", 90.0, shape == 0), ("Withdrawals", 330.0, shape == 0), ("Deposits", 420.0, shape == 0), ("Balance", 510.0, shape == 0)),
+            4, *head(("Date", 20.0, shape < 2), ("Description", 90.0, shape == 0), ("Withdrawals", 330.0, shape == 0), ("Deposits (CAD)", 420.0, shape == 0), ("Balance", 510.0, shape == 0)),
             *head(("Description", 100.0, shape == 1), ("Category", 270.0, (shape == 1) & (c("page") % 2 == 1)), ("Amount ($)", 460.0, shape == 1)),
             *head(("Amount ($)", 400.0, (shape == 2) & first), ("Balance", 510.0, (shape == 2) & first)),
         ),
