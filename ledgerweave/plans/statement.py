@@ -179,7 +179,7 @@ PLACED = {
 def _parse_placed(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         body, items = _placed(spark, sf_dir, *PLACED[name])
-        found, rows = parse_statements(body.withColumn("line", F.when(F.col("line").rlike("(?i)balance \\$"), F.col("line")).otherwise("")), items)
+        found, rows = parse_statements(body, items)
         ends = rows.groupBy("statement_id").agg(F.min("description").alias("first_words"), F.min("date").alias("first_date"))
         kept = found.select("statement_id", F.col("mode"), "status", "n_rows", "total_credits_c", "total_debits_c", "difference_c")
         return kept.join(ends, "statement_id")
