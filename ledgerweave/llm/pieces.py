@@ -268,7 +268,9 @@ def encode_pieces(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids"
     through the normalisation's alignment; decoded is the text of the ids; spans_sha256 is the hash of all begins, then
     all ends, as little-endian 64-bit numbers.
 
-    Defined cases: null and empty texts have no ids, no spans and the empty decoded text; other columns are ignored.
+    Defined cases: null and empty texts have no ids, no spans and the empty decoded text; very long texts are encoded unit by
+    unit; rows that repeat a doc_id or a text are encoded each for itself; an empty table gives an empty result; other
+    columns are ignored.
     """
     with_package(docs.sparkSession)
     kinds = [OUTPUTS[name] for name in outputs]

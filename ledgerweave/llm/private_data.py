@@ -363,6 +363,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of the texts replaced by its kind in brackets, and n_chars (where it is a column) counted anew.
 
     Candidates are found twice, once to learn from and once to replace, so that no text is shuffled.
+
+    Defined cases: a null text stays null and an empty one empty; very long texts are read whole; every row is redacted by
+    itself, repeated ones alike; without any candidate in the table all rows stay as they are; an empty table stays empty;
+    all other columns, whatever their names, are passed on.
     """
     found = written(with_candidates(docs), "candidates")
     model = docs.sparkSession.sparkContext.broadcast(fit_classifier(found))

@@ -242,7 +242,12 @@ def held_out_third() -> Column:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows predicted 0, each judged by its own text; all columns stay as they are."""
+    """docs without the rows predicted 0, each judged by its own text; all columns stay as they are.
+
+    Defined cases: null and empty texts are judged by zero features; very long texts are read whole; rows that repeat a
+    doc_id are dropped each by its own text, and rows repeated as a whole all or none; a null doc_id is an id like any other;
+    without usable labels, or in an empty table, all rows stay.
+    """
     bad = score_quality(docs, labels, held_out_third(), marks=True).where("predicted = 0")
     return without_rows(docs, bad.select("doc_id", "mark", F.lit(False).alias("once")).distinct())
 
