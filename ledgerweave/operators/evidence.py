@@ -208,7 +208,22 @@ _PAGES = f"""
 pgs AS (SELECT statement_id, page, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) FILTER (WHERE len({_MONEY_SQL}) > 0) AS ml, count(*) FILTER (WHERE shape IN ({_shape_list(lambda s: '{d}' in s or 'APR' in s)})) AS dl FROM lines GROUP BY statement_id, page),
 roles AS (SELECT statement_id, page, CASE WHEN length(trim(text)) < {BLANK_CHARS} THEN 'blank' WHEN (ml >= 2 AND dl >= 1) OR ({m(P.PAGE_HEADER, 'text')} AND ml >= 1) THEN 'transactions' WHEN {m(ANCHOR_PAGE, 'text')} THEN 'anchor' ELSE 'other' END AS role FROM pgs)"""
 
+def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of rows whose number's bits say which warnings and issues they have; one warning comes twice, one issue is a warning too."""
+    n = F.col("event_id")
+    bit = lambda k, text: F.when(F.shiftright(n, k).bitwiseAND(F.lit(1)) == 1, text)
+    some = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    reasons = review_reasons(some(bit(0, "Missing date."), bit(1, "Missing amount."), bit(2, "Missing date.")), some(bit(3, "Not balanced."), bit(4, "Missing date.")), n % 3)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(reasons, "|").alias("reasons"))
+
+
 QUERIES = {
+    "review_reasons": (
+        _review,
+        """WITH b AS (SELECT event_id, event_id & 1 = 1 AS b0, event_id & 2 = 2 AS b1, event_id & 4 = 4 AS b2, event_id & 8 = 8 AS b3, event_id & 16 = 16 AS b4 FROM events)
+SELECT event_id, array_to_string(list_filter([CASE WHEN b0 THEN 'Missing date.' END, CASE WHEN b1 THEN 'Missing amount.' END, CASE WHEN b2 AND NOT b0 THEN 'Missing date.' END, CASE WHEN b3 THEN 'Not balanced.' END,
+  CASE WHEN b4 AND NOT b0 AND NOT b2 THEN 'Missing date.' END, CASE WHEN event_id % 3 > 0 THEN (event_id % 3) || ' low-confidence rows' END], lambda x: x IS NOT NULL), '|') AS reasons FROM b""",
+    ),
     "page_roles": (_roles, sql(TX_SQL, LINES_SQL, _PAGES, select="SELECT statement_id, page, role FROM roles")),
     "evidence_plan": (
         lambda s, d: plan_pages(_roles(s, d)).select("statement_id", "shown", "n_shown", "skipped", "complete_percent", "coverage"),
