@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .conftest import awkward_rows, words
 from .test_models import brute_spans
 from .test_tokens import ODD, check_packing, library
+from .test_vectors import check_whitened
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, mark long, once boolean, component long"
 
@@ -176,3 +177,9 @@ def test_piece_digests(spark, folder):
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         want.append((k, len(ids), sha(",".join(map(str, ids))), sha(plain.decode(ids))))
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == Counter(want)
+
+
+def test_whitened_rows(spark, folder):
+    _, rows = run(spark, folder, "op11_embedding_whitening")
+    stored = spark.read.parquet(f"{folder[0]}/embeddings.parquet").collect()
+    check_whitened(rows, [(r.vec_id, r.embedding, r.label) for r in stored])
