@@ -129,7 +129,8 @@ def bank_entries(lines: DataFrame) -> DataFrame:
         made = flush_fee(s, before) if posted and line["leads"] and s["fee"] is not None else []
         if values and not posted:
             s["fee"] = (s["fee"] or 0) + (line["fee_c"] or 0)
-            s["text"] = " ".join(x for x in (s["text"], line["head"]) if x)
+            piece = line["tail"] if line["leads"] else line["line"].strip()  # with its rates, by which a formula is known as one
+            s["text"] = " ".join(x for x in (s["text"], piece) if x)
             return made
         if not posted:
             piece = line["tail"] if line["date"] else line["line"].strip() if s["text"] else ""
