@@ -11,17 +11,17 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, with_package, written
+from .common import broadcast_if_small, slices, with_package, written
 from .tokens import packed_ids, word_ids
 
 LIMIT = 2048
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = 0
-#: Rows that share a length are numbered in this many groups, so that one frequent length is no single task.
-SALTS = 64
+#: Rows that share a length are numbered in groups of about this many, so that one frequent length is no single task.
+GROUP_ROWS = 50_000
 NNLS_STEPS = 150
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -206,20 +206,26 @@ def slots_of(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.nd
 def place(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """pieces (a written table with doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    A piece's rank among those of its length is its number in a salted group plus the sizes of the groups before.
+    A piece's rank among those of its length is its number in a salted group plus the sizes of the groups before; a
+    length has as many groups as its pieces need. Pieces of the whole limit, which long documents have most of, fill a
+    sequence each and need no rank: their sequences are numbered downwards from -1 where they are read.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    sizes = written(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    full = pieces.where(F.col("length") == limit).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < limit)
     histogram = np.zeros(limit + 1, dtype=np.int64)
-    for row in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row for each length
+    for row in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most one row for each length
         histogram[row["length"]] = row["n"]
     keys, firsts, offsets, _ = slots_of(plan_sequences(histogram, limit))
     plan = spark.sparkContext.broadcast((keys, firsts, offsets))
-    before = F.sum("n").over(_window("length", "salt").rowsBetween(-(SALTS + 1), -1))
+    salts = F.element_at(F.lit((histogram // GROUP_ROWS + 1).tolist()), F.col("length").cast("int") + 1)
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
+    sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(_window("length", "salt").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     numbered = salted.withColumn("number", F.row_number().over(_window(("length", "salt"), ("doc_id", "piece", "ids_crc32"))))
-    ranked = numbered.join(F.broadcast(sizes), ["length", "salt"])  # at most limit x SALTS rows
+    groups = int((histogram[histogram > 0] // GROUP_ROWS + 1).sum())
+    ranked = numbered.join(broadcast_if_small(sizes, groups), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number") - 1).alias("rank"))
 
     def assign(batches):
@@ -233,12 +239,10 @@ def place(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(assign, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(assign, PIECES + ", sequence_id long, offset long").unionByName(full)
 
 
 def _window(partition, order):
-    from pyspark.sql import Window
-
     many = lambda x: (x,) if isinstance(x, str) else x
     return Window.partitionBy(*many(partition)).orderBy(*many(order))
 

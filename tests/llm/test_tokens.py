@@ -230,8 +230,12 @@ def check_packing(rows, limit):
     return len(by_sequence)
 
 
-def test_packing(docs, no_docs):
+@pytest.mark.parametrize("group", [packing.GROUP_ROWS, 2])
+def test_packing(docs, no_docs, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP_ROWS", group)
     rows = packing.pack(docs).collect()
+    full = [r for r in rows if r.length == packing.LIMIT]
+    assert full and all(r.sequence_id < 0 and r.offset == 0 for r in full)
     check_packing(rows, packing.LIMIT)
     found = sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str)
     want = []
