@@ -20,8 +20,9 @@ from .tokens import packed_ids, word_ids
 LIMIT = 2048
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = 0
-#: Rows that share a length are numbered in groups of about this many, so that one frequent length is no single task.
-GROUP_ROWS = 50_000
+#: Rows that share a length are numbered in up to this many groups, and a further one for each GROUP_ROWS of them, so that one
+#: frequent length is no single task, however many rows it has.
+GROUPS, GROUP_ROWS = 64, 50_000
 NNLS_STEPS = 150
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -203,6 +204,11 @@ def slots_of(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.nd
     return np.asarray(keys, np.int64), np.asarray(firsts, np.int64), np.asarray(offsets, np.int64), np.asarray([sequence], np.int64)
 
 
+def groups_of(count):
+    """In how many groups so many rows of one length are numbered."""
+    return count // GROUP_ROWS + np.clip(count // GROUPS, 1, GROUPS)
+
+
 def place(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """pieces (a written table with doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
@@ -218,13 +224,13 @@ def place(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         histogram[row["length"]] = row["n"]
     keys, firsts, offsets, _ = slots_of(plan_sequences(histogram, limit))
     plan = spark.sparkContext.broadcast((keys, firsts, offsets))
-    salts = F.element_at(F.lit((histogram // GROUP_ROWS + 1).tolist()), F.col("length").cast("int") + 1)
+    salts = F.element_at(F.lit(groups_of(histogram).tolist()), F.col("length").cast("int") + 1)
     salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(_window("length", "salt").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     numbered = salted.withColumn("number", F.row_number().over(_window(("length", "salt"), ("doc_id", "piece", "ids_crc32"))))
-    groups = int((histogram[histogram > 0] // GROUP_ROWS + 1).sum())
+    groups = int(groups_of(histogram[histogram > 0]).sum())
     ranked = numbered.join(broadcast_if_small(sizes, groups), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number") - 1).alias("rank"))
 
