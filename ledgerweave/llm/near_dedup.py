@@ -33,6 +33,11 @@ SKETCH_BITS = 1024
 MEMO_WORDS = 200_000
 #: Where more pairs than this would be compared in a bucket, its members are compared by their rarest shingles instead.
 BUCKET_PAIRS = 2_000_000
+#: Where more pairs than this are left between a bucket's parts, all its members are compared with some of them, in turns: with
+#: FEWEST_PIVOTS, then twice as many each time, MOST_PIVOTS at most.
+CROWD_PAIRS, FEWEST_PIVOTS, MOST_PIVOTS = 10_000, 4, 32
+#: A bucket gets another turn if the last one left it at most this share of its pairs.
+WORTHWHILE = 0.9
 #: Shingles multiplied at once, so that a block stays in a core's cache.
 BLOCK = 1024
 
@@ -269,6 +274,67 @@ def rare_pairs(docs: DataFrame, classes: DataFrame, member: DataFrame, percent:
     return out
 
 
+def pairs_left(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, pairs) of each bucket: its members times those outside its largest part. parts: vertex, component."""
+    sizes = with_parts(buckets, parts).groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+    return sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("own")).select("key", (F.col("all") * (F.col("all") - F.col("own"))).alias("pairs"))
+
+
+def with_parts(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, cls and part of each member: its component, or itself where it has none."""
+    member = buckets.join(parts.withColumnRenamed("vertex", "cls"), "cls", "left")
+    return member.select("key", "cls", F.coalesce("component", "cls").alias("part"))
+
+
+def pivot_pairs(member: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of likely classes of different parts, one of which is a pivot of their bucket in this turn.
+
+    member: key, cls, part, n, sketch. Pivots are the first in orders of all classes, so a crowd that meets in many tables
+    has few of them, and its pairs are as many as its members times a few.
+    """
+    many = min(FEWEST_PIVOTS << turn, MOST_PIVOTS)
+    firsts = [F.min(F.struct(F.xxhash64("cls", F.lit(MOST_PIVOTS * turn + k)).alias("at"), "cls"))["cls"] for k in range(many)]
+    pivots = member.groupBy("key").agg(F.array_distinct(F.array(*firsts)).alias("cls")).select("key", F.explode("cls").alias("cls"))
+    pivots = written(member.join(broadcast_if_small(pivots), ["key", "cls"], "left_semi").select("key", *sides("a")), "pivots")
+    every = member.select("key", *sides("b"))
+    near = every.join(broadcast_if_small(pivots), (every["key"] == pivots["key"]) & (F.col("a_part") != F.col("b_part")) & likely("a", "b", percent))
+    found = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pivoted")
+    discard(pivots)
+    return found
+
+
+def contracted(docs: DataFrame, classes: DataFrame, buckets: DataFrame, star: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, parts, compared): the links among the pairs of star and of the pivots' turns, their components, all those pairs.
+
+    One member need not be similar enough to most of a large group of near copies, whose others would then be compared in
+    pairs. So buckets with many pairs left between their parts take turns: all their members are compared with a few
+    pivots and links are contracted, for as long as that takes away a good share of a bucket's pairs.
+    """
+    compared = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = verified(docs, classes, star, percent)
+    facts = classes.select("cls", "n", *SKETCH)
+    before, turn = None, 0
+    while True:
+        parts = connected_components(links)
+        left = pairs_left(buckets, parts).where(F.col("pairs") > CROWD_PAIRS)
+        if before is not None:
+            was = before.select("key", F.col("pairs").alias("was"))
+            left = left.join(was, "key").where(F.col("pairs") <= WORTHWHILE * F.col("was")).drop("was")
+        left = written(left, "left")
+        if left.isEmpty():
+            return links, parts, compared
+        crowd = buckets.join(broadcast_if_small(left.select("key")), "key", "left_semi")
+        crowd = written(with_parts(crowd, parts).join(facts, "cls"), "crowd")
+        near = pivot_pairs(crowd, turn, percent)
+        near = written(near.join(compared, ["a", "b"], "left_anti"), "turn")
+        more = verified(docs, classes, near, percent)
+        discard(crowd, before)
+        if more.isEmpty():
+            return links, parts, compared.unionByName(near)
+        links, compared = links.unionByName(more), compared.unionByName(near)
+        before, turn = left, turn + 1
+
+
 def cross_pairs(docs: DataFrame, classes: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of likely classes of different parts that meet in a bucket; member: key, cls, part, n, sketch.
 
@@ -316,12 +382,9 @@ def near_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]
     named = lambda p: facts.select(*[F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in facts.columns])
     star = buckets.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     star = written(star.join(named("a"), "a").join(named("b"), "b").where(likely("a", "b", percent)).select("a", "b"), "star")
-    links = verified(docs, classes, star, percent)
-    parts = connected_components(links)
-    member = buckets.join(parts.withColumnRenamed("vertex", "cls"), "cls", "left")
-    member = member.select("key", "cls", F.coalesce("component", "cls").alias("part")).join(facts, "cls")
-    cross = cross_pairs(docs, classes, member, percent)
-    cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links, parts, compared = contracted(docs, classes, buckets, star, percent)
+    cross = cross_pairs(docs, classes, with_parts(buckets, parts).join(facts, "cls"), percent)
+    cross = cross.join(compared, ["a", "b"], "left_anti")
     parts = connected_components(links.unionByName(verified(docs, classes, cross, percent))).withColumnRenamed("vertex", "cls")
     parts = written(classes.select("set_hi", "set_lo", "cls", "best", "size").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "parts")
     least = parts.groupBy("component").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
@@ -336,9 +399,9 @@ def near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; texts link from a similarity of percent / 100.
 
     Rows with equal shingle sets form a class, which one row of it represents; only classes are compared. In a table's
-    bucket all are first compared with the likeliest original; the links found are contracted, and then only members of different
-    components are compared with each other, so that no link between components is lost and a bucket of copies makes as
-    many pairs as it has members. Members of buckets with many unlike ones are compared by their rarest shingles, which finds
+    bucket all are first compared with the likeliest original, in crowded ones then with a few pivots in turns; the links found
+    are contracted, and then only members of different components are compared with each other, so that no link between
+    components is lost and a bucket of copies makes few pairs for each of its members. Members of buckets with many unlike ones are compared by their rarest shingles, which finds
     the same pairs and those between such buckets. Sketches and sizes rule out unlike pairs inside the joins, before the
     full sets confirm the rest.
 

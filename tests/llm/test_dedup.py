@@ -163,6 +163,25 @@ def test_links_do_not_depend_on_how_buckets_are_compared(spark, monkeypatch, lim
     assert len(set(got.values())) > 5
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_copies_of_an_absent_text_are_contracted_by_pivots(spark, monkeypatch, percent):
+    """Few of a group are similar enough to its first rows, most to one another: they must not be compared in pairs."""
+    r, base = random.Random(8), words(150, 9).split()
+    rows = []
+    for k in range(150):
+        own = list(base)
+        for at in r.sample(range(150), (3 if percent == 80 else 2) if k < 20 else 1):
+            own[at] = f"edit{r.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, words(100, 700 + k)) for k in range(20)]
+    monkeypatch.setattr(near_dedup, "CROWD_PAIRS", 300, raising=False)
+    made, plain = [], near_dedup.cross_pairs
+    monkeypatch.setattr(near_dedup, "cross_pairs", lambda *a: made.append(plain(*a)) or made[-1])
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert got == {i: least for i, _, least in smallest_ids(rows, percent)[0]}
+    assert made[0].count() < 5 * len(rows)
+
+
 def test_parity_sketch_never_exceeds_the_difference():
     hashes, seeds = near_dedup.WordHashes(), near_dedup.seeds(2 * near_dedup.GROUPS * near_dedup.ROWS)
     for k in range(20):
