@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from ledgerweave.llm import packing, pieces, token_counts, transducer
+from ledgerweave.llm import packing, pieces, token_counts, tokens, transducer
 from ledgerweave.llm.tokens import library, packed_ids, word_ids
 
 from .conftest import awkward_rows, words
@@ -41,6 +41,21 @@ def test_counts_and_ids_equal_the_library():
         assert np.frombuffer(packed_ids(t.encode().split(), memo), "<u4").tolist() == library(name).encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_full_memo_keeps_what_its_texts_need(monkeypatch):
+    """Words of a batch are looked up in few calls even where the memo is shortened for them, never one by one."""
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 40)
+    memo, missed = tokens.WordIds(token_counts.VOCABULARY), []
+    plain = tokens.WordIds.__missing__
+    monkeypatch.setattr(tokens.WordIds, "__missing__", lambda self, word: missed.append(word) or plain(self, word))
+    for lo in range(0, 60, 10):
+        text = [f"word{k}".encode() for k in (*range(lo, lo + 20), 0, 1)]
+        memo.fill([text])
+        got = np.frombuffer(packed_ids(text, memo), "<u4").tolist()
+        assert got == library(token_counts.VOCABULARY).encode(b" ".join(text).decode(), add_special_tokens=False).ids
+        assert len(memo) <= 40
+    assert not missed
+
+
 def test_counts_of_all_code_points():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     found = [f"aB{c}Cd1 {c} x{c}" for c in points[:0x20000:3] + points[0x20000::97]]
