@@ -262,14 +262,12 @@ def rare_pairs(docs: DataFrame, classes: DataFrame, member: DataFrame, percent:
     single = written(held.dropDuplicates(["cls"]).mapInArrow(each, "cls long, x long"), "shingles")
     often = single.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("cls").orderBy("often", "x")
-    first = single.join(often, "x").withColumn("at", F.row_number().over(order)).join(member.select("cls", "part", "n"), "cls")
-    first = first.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("x", "cls", "part", "n")
+    first = single.join(often, "x").withColumn("at", F.row_number().over(order)).join(member, "cls")
+    first = first.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("x", "cls", "part", "n", *SKETCH)
     first = written(first, "rarest")
-    one, two = (first.select("x", *[F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in ("cls", "part", "n")]) for p in "ab")
-    sized = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    pairs = one.join(two, "x").where((F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & sized).select("a", "b").distinct()
-    facts = lambda p: member.select(*sides(p))
-    out = written(pairs.join(facts("a"), "a").join(facts("b"), "b").where(likely("a", "b", percent)).select("a", "b"), "rare")
+    one, two = (first.select("x", *sides(p)) for p in "ab")
+    near = one.join(two, (one["x"] == two["x"]) & (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & likely("a", "b", percent))
+    out = written(near.select("a", "b").distinct(), "rare")
     discard(held, single, first)
     return out
 
@@ -303,6 +301,16 @@ def pivot_pairs(member: DataFrame, turn: int, percent: int) -> DataFrame:
     return found
 
 
+def best_centers(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class b that isn't first in all its buckets and, of their first classes, that which it meets in most tables.
+
+    One pair for each class at most, however many buckets it is in; of centers met as often the likeliest original counts.
+    """
+    met = buckets.where("cls <> center").groupBy("cls", "center").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    best = met.groupBy("cls").agg(F.min(F.struct((-F.col("n")).alias("n"), "first")).alias("best"))
+    return best.select(F.col("best.first.cls").alias("a"), F.col("cls").alias("b"))
+
+
 def contracted(docs: DataFrame, classes: DataFrame, buckets: DataFrame, star: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, parts, compared): the links among the pairs of star and of the pivots' turns, their components, all those pairs.
 
@@ -375,12 +383,12 @@ def near_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]
     lists = shared_sub_keys(classes, groups)
     keys = written(table_keys(lists, groups), "keys")
     heads = keys.groupBy("key").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = heads.select("key", F.col("first.cls").alias("center"))
+    heads = heads.select("key", "first", F.col("first.cls").alias("center"))
     buckets = written(keys.drop("rank").join(heads, "key"), "buckets")
     discard(keys)
     facts = classes.select("cls", "n", *SKETCH)
     named = lambda p: facts.select(*[F.col(c).alias(p if c == "cls" else f"{p}_{c}") for c in facts.columns])
-    star = buckets.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
+    star = best_centers(buckets)
     star = written(star.join(named("a"), "a").join(named("b"), "b").where(likely("a", "b", percent)).select("a", "b"), "star")
     links, parts, compared = contracted(docs, classes, buckets, star, percent)
     cross = cross_pairs(docs, classes, with_parts(buckets, parts).join(facts, "cls"), percent)
@@ -398,10 +406,11 @@ def near_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]
 def near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; texts link from a similarity of percent / 100.
 
-    Rows with equal shingle sets form a class, which one row of it represents; only classes are compared. In a table's
-    bucket all are first compared with the likeliest original, in crowded ones then with a few pivots in turns; the links found
-    are contracted, and then only members of different components are compared with each other, so that no link between
-    components is lost and a bucket of copies makes few pairs for each of its members. Members of buckets with many unlike ones are compared by their rarest shingles, which finds
+    Rows with equal shingle sets form a class, which one row of it represents; only classes are compared. Each
+    is first compared with one class, of the likeliest originals of its tables' buckets that which it meets most often, in
+    crowded buckets then with a few pivots in turns; the links found are contracted, and then only members of different
+    components are compared with each other, so that no link between components is lost and a bucket of copies makes few
+    pairs for each of its members. Members of buckets with many unlike ones are compared by their rarest shingles, which finds
     the same pairs and those between such buckets. Sketches and sizes rule out unlike pairs inside the joins, before the
     full sets confirm the rest.
 

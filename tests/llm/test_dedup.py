@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from ledgerweave.llm import embeddings, exact_dedup, near_dedup, sharding
 from ledgerweave.llm.common import connected_components
+from pyspark.sql import functions as F
 
 from .conftest import awkward_rows, words
 
@@ -182,6 +183,23 @@ def test_near_copies_of_an_absent_text_are_contracted_by_pivots(spark, monkeypat
     assert made[0].count() < 5 * len(rows)
 
 
+def test_each_class_is_first_compared_with_one_center(spark, monkeypatch):
+    """A passage that takes up most of many texts puts each of them into buckets of many first classes."""
+    rows = [(1, 9, 5), (2, 9, 5), (3, 9, 5), (4, 9, 3), (5, 9, 3), (1, 3, 3), (2, 5, 5), (6, 7, 3), (7, 7, 5)]
+    table = spark.createDataFrame(rows, "key long, cls long, center long").withColumn("first", F.struct((-F.col("center")).alias("size"), F.col("center").alias("cls")))
+    assert {tuple(r) for r in near_dedup.best_centers(table).collect()} == {(5, 9), (5, 7)}
+    passage = words(40, 4).split()
+    rows = [(k, f"{' '.join(words(6 + k % 9, 300 + k).split())} {' '.join(passage[k % 7 :])}") for k in range(150)]
+    rows += [(1000 + k, f"{t} more") for k, t in rows[:40]]
+    stars, facts, plain = [], [], near_dedup.best_centers
+    monkeypatch.setattr(near_dedup, "best_centers", lambda x: (facts.append(x.where("cls <> center").select("cls", "center").distinct().count()), stars.append(plain(x)), stars[-1])[-1])
+    counts, contract = [], near_dedup.contracted
+    monkeypatch.setattr(near_dedup, "contracted", lambda *a: (counts.append(stars[0].count()), contract(*a))[-1])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {i: least for i, _, least in smallest_ids(rows)[0]}
+    assert counts[0] < len(rows) < facts[0]
+
+
 def test_parity_sketch_never_exceeds_the_difference():
     hashes, seeds = near_dedup.WordHashes(), near_dedup.seeds(2 * near_dedup.GROUPS * near_dedup.ROWS)
     for k in range(20):
