@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +19,8 @@ CALL_WORDS = 4096
 LETTER, MARK, DIGIT, OTHER = 1, 2, 3, 9
 KINDS = np.full(256, OTHER, dtype=np.uint8)
 KINDS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = LETTER
-KINDS[[*b".,!?*$%&#;:|+-_()=/@\"[]{}~^>"]] = MARK
+MARKS = b".,!?*$%&#;:|+-_()=/@\"[]{}~^>"
+KINDS[[*MARKS]] = MARK
 KINDS[[*b"0123456789"]] = DIGIT
 # Two-byte letters from U+00C0 to U+00FF; the multiplication and division signs among them are not letters.
 KINDS[0xC3] = LETTER
@@ -54,6 +56,7 @@ class WordIds(dict):
 
     def __init__(self, name: str):
         self.name = name
+        self.model = library(name).model
         self.ends = np.zeros(library(name).get_vocab_size(), dtype=bool)
         self.ends[[i for piece, i in library(name).get_vocab().items() if piece.endswith("</w>")]] = True
 
@@ -72,8 +75,10 @@ class WordIds(dict):
     def fill(self, texts: list[list[bytes]]) -> None:
         """Look up the unknown words of many texts, given as their words, in few library calls.
 
-        Many plain words go to the library as one text; each piece of a word ends with the one token that ends a piece,
-        so the ids fall apart into words by counting such tokens. Other words go one by one.
+        The library lower-cases words and splits them between letters and marks. So letters of ASCII are one piece that
+        nothing else changes: they go to its model once for all their cases and marks at the end. Many other plain words
+        go to the library as one text; each piece of a word ends with the one token that ends a piece, so the ids fall
+        apart into words by counting such tokens. Other words go one by one.
         """
         wanted = set()
         for text in texts:
@@ -82,7 +87,7 @@ class WordIds(dict):
         if len(self) + len(unknown) > MEMO_WORDS:
             self.shorten()
             unknown = wanted.difference(self)  # words of these texts that have just gone are looked up again with the others
-        words, rest = list(unknown), []
+        words, rest = self.fill_letters(unknown), []
         for lo in range(0, len(words), CALL_WORDS):
             part = words[lo : lo + CALL_WORDS]
             pieces, sure = piece_counts(b" ".join(part), len(part))
@@ -108,6 +113,27 @@ class WordIds(dict):
                 self[word] = np.asarray(enc.ids, dtype="<u4").tobytes()
 
 
+    def fill_letters(self, unknown: set[bytes]) -> list[bytes]:
+        """Look up the words of ASCII letters with or without marks at their end; the others are returned."""
+        others, cores, tails = [], {}, {b"": b""}
+        for word in unknown:
+            core = word.rstrip(MARKS)
+            if not core.isalpha():
+                others.append(word)
+                continue
+            low = core.lower()
+            ids = self.get(low) or cores.get(low)
+            if ids is None:
+                found = [token.id for token in self.model.tokenize(low.decode())]
+                ids = cores[low] = struct.pack(f"<{len(found)}I", *found)
+            tail = word[len(core) :]
+            if tail not in tails:
+                found = library(self.name).encode(tail.decode(), add_special_tokens=False).ids
+                tails[tail] = struct.pack(f"<{len(found)}I", *found)
+            self[word] = ids + tails[tail]
+        return others
+
+
 @functools.lru_cache(maxsize=4)
 def word_ids(name: str) -> WordIds:
     return WordIds(name)

@@ -56,6 +56,18 @@ def test_a_full_memo_keeps_what_its_texts_need(monkeypatch):
     assert not missed
 
 
+def test_letters_are_encoded_once_for_all_their_cases_and_marks(monkeypatch):
+    memo, given = tokens.WordIds(token_counts.VOCABULARY), []
+    class Model:
+        tokenize = staticmethod(lambda word, plain=memo.model.tokenize: given.append(word) or plain(word))
+    memo.model = Model
+    text = [f"{w}{tail}".encode() for k in range(30) for w in (f"Kor{'abcde'[k % 5]}n{'xyz' * (k % 3)}", f"KOR{'ABCDE'[k % 5]}n") for tail in ("", ",", "...", "?!", ">", "$$$", "-", "é", "7.", "'s")]
+    memo.fill([text])
+    for word in text:
+        assert np.frombuffer(memo[word], "<u4").tolist() == library(token_counts.VOCABULARY).encode(word.decode(), add_special_tokens=False).ids, word
+    assert given and len(given) == len(set(given)) and set(given) == {w.decode().lower() for w in text if w.isalpha()}
+
+
 def test_counts_of_all_code_points():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     found = [f"aB{c}Cd1 {c} x{c}" for c in points[:0x20000:3] + points[0x20000::97]]
