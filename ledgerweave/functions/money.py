@@ -63,10 +63,10 @@ def _digits_to_cents(digits: Column, decimals: Column) -> Column:
 
 
 def scan_money(text: Column, require_dollar: bool = False) -> Column:
-    """Array of the amounts in a line, in order, as struct(cents, text, dollar).
+    """Array of the amounts in a line, in order, as struct(cents, text, dollar, negative).
 
     An amount needs a dollar sign, two decimals or a thousands comma; percentages and parts of longer digit runs are none.
-    Negative by parentheses or by a minus on either side. One pass marks each match with its groups, which are then cut out.
+    Negative by parentheses or by a minus on either side, which a zero shows too. One pass marks each match with its groups, which are then cut out.
     """
     marked = F.regexp_replace(F.translate(text, "\x01\x02", "  "), AMOUNT, "\x01" + "\x02".join(f"${k}" for k in range(10)) + "\x01")
     parts = F.filter(F.split(marked, "\x01"), lambda p: F.contains(p, F.lit("\x02")))
@@ -79,9 +79,9 @@ def scan_money(text: Column, require_dollar: bool = False) -> Column:
     def value(g: Column) -> Column:
         amount = _digits_to_cents(g[5], g[6])
         negative = ((g[1] != "") & (g[9] != "")) | (g[2] != "") | (g[8] != "")
-        return F.struct(F.when(negative, -amount).otherwise(amount).alias("cents"), g[0].alias("text"), (g[3] != "").alias("dollar"))
+        return F.struct(F.when(negative, -amount).otherwise(amount).alias("cents"), g[0].alias("text"), (g[3] != "").alias("dollar"), negative.alias("negative"))
 
-    none = F.array().cast("array<struct<cents:bigint,text:string,dollar:boolean>>")
+    none = F.array().cast("array<struct<cents:bigint,text:string,dollar:boolean,negative:boolean>>")
     return F.when(text.rlike("[0-9]"), F.transform(F.filter(groups, money), value)).when(text.isNotNull(), none)
 
 
@@ -95,10 +95,10 @@ def last_of(values: Column) -> Column:
 
 
 def inline_dollar(text: Column) -> Column:
-    """Cents of the last dollar amount of a line; a minus before it or a closing parenthesis makes it negative."""
+    """struct(cents, negative) of the last dollar amount of a line; a minus before it or a closing parenthesis makes it negative."""
     at = lambda k: last_of(F.regexp_extract_all(text, F.lit(DOLLAR_AMOUNT), F.lit(k)))
-    value = _digits_to_cents(at(2), at(3))
-    return F.when((at(1) != "") | (at(4) != ""), -value).otherwise(value)
+    value, negative = _digits_to_cents(at(2), at(3)), (at(1) != "") | (at(4) != "")
+    return F.when(value.isNotNull(), F.struct(F.when(negative, -value).otherwise(value).alias("cents"), negative.alias("negative")))
 
 
 def amount_line(line: Column) -> Column:
@@ -106,16 +106,22 @@ def amount_line(line: Column) -> Column:
     t = F.trim(line)
     at = lambda k: F.regexp_extract(t, AMOUNT_LINE, k)
     value = _digits_to_cents(at(3), at(4))
-    negative = (at(1) != "") | (at(5) != "") | t.rlike(r"^\(.*\)$")
-    return F.when(t.rlike(AMOUNT_LINE) & ((at(2) != "") | (at(4) != "")), F.when(negative, -value).otherwise(value))
+    return F.when(t.rlike(AMOUNT_LINE) & ((at(2) != "") | (at(4) != "")), F.when(minus_line(line), -value).otherwise(value))
+
+
+def minus_line(line: Column) -> Column:
+    """Whether the amount of such a line has a minus or parentheses."""
+    t = F.trim(line)
+    at = lambda k: F.regexp_extract(t, AMOUNT_LINE, k)
+    return (at(1) != "") | (at(5) != "") | t.rlike(r"^\(.*\)$")
 
 
 def card_amount(rest: Column) -> Column:
     """struct(cents, credit): the dollar amount of a card line's rest, else its last amount; credit if negative or before CR."""
     dollar, last = inline_dollar(rest), last_of(scan_money(rest))
     tail = F.split_part(rest, last["text"], F.lit(-1))
-    plain = F.struct(last["cents"].alias("cents"), ((last["cents"] < 0) | tail.rlike(r"(?i)\bcr\b")).alias("credit"))
-    return F.when(dollar.isNotNull(), F.struct(dollar.alias("cents"), (dollar < 0).alias("credit"))).when(last.isNotNull(), plain)
+    plain = F.struct(last["cents"].alias("cents"), (last["negative"] | tail.rlike(r"(?i)\bcr\b")).alias("credit"))
+    return F.when(dollar.isNotNull(), F.struct(dollar["cents"].alias("cents"), dollar["negative"].alias("credit"))).when(last.isNotNull(), plain)
 
 
 # Fixed value: a clause of a fee formula, such as "14 Drs @ 1.25": count, side, rate.

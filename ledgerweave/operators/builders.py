@@ -192,6 +192,7 @@ def card_lines(lines: DataFrame) -> DataFrame:
             "has_money": F.size(money.scan_money(line)) > 0,
             "inline": money.card_amount(rest),
             "alone_c": money.amount_line(line),
+            "alone_minus": money.minus_line(line),
             "plain": text.strip_references(line),
             "near": F.max("remittance_near").over(order.rowsBetween(-3, 3)),
             "next_dated": F.coalesce(F.lead("a_month").over(order).isNotNull(), F.lit(False)),
@@ -231,14 +232,14 @@ def card_entries(lines: DataFrame, use_sections: bool = False) -> DataFrame:
         block, s["open"] = s["open"], None
         if block is None:
             return []
-        amount = block["amount"] if block["amount"] is not None else block["fx_amount"]
+        amount, minus = block["amount"] if block["amount"] is not None else block["fx_amount"]
         if amount is None:
             return []
         description = " ".join(block["parts"])
         worded = sum(c.isascii() and c.isalpha() for c in description) >= 3
         if not worded and block["near"]:
             return []
-        credit = amount < 0 or block["credit"] or (use_sections and block["section"])
+        credit = minus or (use_sections and block["section"])
         return [{"statement_id": block["id"], "line_no": block["at"], "date": block["date"], "description": description, "amount_c": abs(amount), "credit": credit, "foreign": block["fx"]}]
 
     def step(s: dict, line: dict) -> list[dict]:
@@ -252,9 +253,9 @@ def card_entries(lines: DataFrame, use_sections: bool = False) -> DataFrame:
                 if line["foreign"]:
                     block["fx"] = True
                 elif line["alone_c"] is not None and block["fx"]:
-                    block["fx_amount"] = line["alone_c"]
+                    block["fx_amount"] = (line["alone_c"], line["alone_minus"])
                 elif line["alone_c"] is not None:
-                    block["amount"] = line["alone_c"]
+                    block["amount"] = (line["alone_c"], line["alone_minus"])
                     return close(s)
                 elif line["reference"]:
                     block["reference"] = True
@@ -293,7 +294,7 @@ def card_entries(lines: DataFrame, use_sections: bool = False) -> DataFrame:
         inline = line["inline"]
         s["open"] = {
             "id": line["statement_id"], "at": line["line_no"], "date": iso(when["a_month"], when["a_day"], when["row_year"]), "parts": [line["head"]] if line["head"] else [],
-            "amount": inline["cents"] if inline else None, "credit": bool(inline and inline["credit"]), "section": s["credit"], "near": line["near"], "fx": False, "fx_amount": None, "reference": False,
+            "amount": (inline["cents"], inline["credit"]) if inline else None, "section": s["credit"], "near": line["near"], "fx": False, "fx_amount": (None, False), "reference": False,
         }
         return made + close(s) if inline else made
 

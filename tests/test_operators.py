@@ -47,6 +47,16 @@ def test_card_rows_with_split_dates_sidebar_and_slip(spark):
     ]
 
 
+def test_card_rows_of_zero_keep_the_side_of_their_sign(spark):
+    body = lines(
+        spark, "Transaction date Posting date Activity description", "APR 22 APR 24 CORNER SHOP -$0.00", "APR 23 APR 24 CORNER SHOP", "7451234567890123", "-$0.00", "APR 25 APR 25 CORNER SHOP 0.00 CR", "APR 26 APR 26 CORNER SHOP $0.00",
+        "APR 26 APR 27 ABROAD", "12.00 USD @ 1.357", "(0.00)", "TIME TO PAY",
+    ).withColumn("period", F.lit(None).cast("struct<start_ord:int,end_ord:int,crosses_year:boolean,start_month:int,end_month:int,start_year:int,end_year:int>"))
+    assert [(r.date[5:], r.debit_c, r.credit_c) for r in builders.card_rows(body).orderBy("line_no").collect()] == [
+        ("04-22", None, 0), ("04-23", None, 0), ("04-25", None, 0), ("04-26", 0, None), ("04-26", None, 0),
+    ]
+
+
 def test_solver_ties_take_the_lowest_mask_and_long_segments_the_priors(spark):
     rows = [([100, 100], [0, 0], 0), ([100, 100], [1, -1], 0), ([100], [0], 7), ([1] * 17, [1] * 17, 17), ([], [], 0)]
     df = spark.createDataFrame(rows, "amounts array<long>, priors array<int>, delta_c long")
