@@ -215,7 +215,7 @@ def with_cell_money(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     def read(new: str, cell: str) -> Column:
         found = F.col(f"last_{new}")
         behind = F.split_part(F.col(cell), found["text"], F.lit(-1))
-        return F.when(found.isNotNull(), F.struct(F.abs(found["cents"]).alias("cents"), ((found["cents"] < 0) | behind.rlike(r"(?i)\bcr\b")).alias("negative")))
+        return F.when(found.isNotNull(), F.struct(F.abs(found["cents"]).alias("cents"), (found["negative"] | behind.rlike(r"(?i)\bcr\b")).alias("negative")))
 
     return rows.withColumns({new: read(new, cell) for new, cell in columns.items()}).drop(*last)
 
@@ -243,7 +243,8 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     was built yet), else to the row above. Furniture and summaries are passed over and end such wording; details of foreign
     amounts and reference numbers are left out, as are amounts outside the money columns. Single amounts are credits by
     sign or CR, on bank tables by a rise of the balance (the opening balance first), on card tables by payment wording.
-    A fee formula's total replaces its rate. Bank rows take the last date; card rows need a date or wording of their own.
+    A zero amount is a row only with a date or a balance, and never as a fee or interest item; where its balance doesn't move,
+    it takes the side that the table's rows of the same wording have by theirs. A fee formula's total replaces its rate. Bank rows take the last date; card rows need a date or wording of their own.
     A card row's category is its cell, else a spend category at the end of its wording (an ambiguous one only where the table
     has a category column). facts are given by statement, or by statement and region.
     """
@@ -295,9 +296,11 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     by_balance = ~card & F.col("b").isNotNull() & F.col("before_c").isNotNull()
     credit = F.when(by_balance, F.col("b.cents") > F.col("before_c")).otherwise(F.col("a.negative") | (card & F.col("head").rlike(P.TABLE_CREDIT)))
     sides = (~card & F.coalesce("d", "c").isNotNull()) | F.col("a").isNull()
+    still = by_balance & ~sides & (F.col("a.cents") == 0) & (F.col("b.cents") == F.col("before_c"))
+    moved = F.when(by_balance & ~sides & ~still, F.when(credit, 1).otherwise(-1))
     debit_c = F.when(sides, F.when(~card | F.col("d").isNotNull(), F.col("d.cents"))).when(~credit, F.col("a.cents"))
     credit_c = F.when(sides, F.when(~card | F.col("d").isNull(), F.col("c.cents"))).when(credit, F.col("a.cents"))
-    rows = rows.withColumns({"debit_c": debit_c, "credit_c": credit_c})
+    rows = rows.withColumns({"debit_c": debit_c, "credit_c": credit_c, "still": F.coalesce(still, F.lit(False)), "moved": moved})
     size = F.greatest(F.coalesce("debit_c", F.lit(0)), F.coalesce("credit_c", F.lit(0)))
     rates = F.transform(F.regexp_extract_all(line, F.lit(money.FEE_CLAUSE), F.lit(2)), lambda r: money.cents(r.try_cast("double")))
     fee = ~card & F.coalesce(F.col("fee_c") > 0, F.lit(False))
@@ -305,18 +308,23 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     plain = text.strip_fee_formula(F.col("head"))
     rows = rows.withColumns(
         {
-            "debit_c": F.when(fixed, F.col("fee_c")).otherwise(money.normalize_money(F.col("debit_c"))),
-            "credit_c": F.when(~fixed, money.normalize_money(F.col("credit_c"))),
+            "debit_c": F.when(fixed, F.col("fee_c")).when(money.has_amount(F.col("debit_c")) | ~money.has_amount(F.col("credit_c")), F.col("debit_c")),
+            "credit_c": F.when(~fixed & (money.has_amount(F.col("credit_c")) | F.col("debit_c").isNull()), F.col("credit_c")),
             "head": F.when(fee & (plain != ""), plain).otherwise(F.col("head")),
         }
     )
-    rows = rows.withColumn("built", F.col("posts") & F.coalesce("debit_c", "credit_c").isNotNull())
+    amount = F.coalesce("debit_c", "credit_c")
+    shown = (F.col("own").isNotNull() | F.col("ahead_date").isNotNull() | F.col("b").isNotNull()) & ~F.col("head").rlike(P.FEE_ITEM)
+    rows = rows.withColumn("built", F.col("posts") & amount.isNotNull() & ((amount != 0) | shown))
     rows = rows.withColumn("row", F.sum(F.col("built").cast("int")).over(upto))
     wraps = loose & ~F.col("open") & F.col("built_before") & (F.col("words") != "") & F.col("own").isNull() & ~stray
     # so are the lines that go on with a row's wording
     rows = materialised(rows.withColumn("wrap", F.when(wraps, F.col("words"))), "built")
     behind = rows.where("wrap is not null").groupBy("statement_id", "region", "row").agg(F.array_sort(F.collect_list(F.struct("line_no", "wrap")))["wrap"].alias("behind"))
     rows = rows.where("built").join(behind, ["statement_id", "region", "row"], "left")
+    alike = F.sum("moved").over(Window.partitionBy("statement_id", "region", "head"))
+    rises = F.coalesce(F.col("still") & (alike > 0), F.lit(False))
+    rows = rows.withColumns({"debit_c": F.when(~rises, F.col("debit_c")), "credit_c": F.when(rises, F.col("debit_c")).otherwise(F.col("credit_c"))})
     rows = rows.withColumn("described", text.clean_description(F.concat_ws(" ", F.nullif("head", F.lit("")), F.coalesce("behind", F.array().cast("array<string>")))))
     described = F.col("described")
     sure = F.lit(0.92) - F.when(F.col("day") == "", 0.1).otherwise(0.0) - F.when(described == "", 0.2).otherwise(0.0)

@@ -57,6 +57,40 @@ def test_card_rows_of_zero_keep_the_side_of_their_sign(spark):
     ]
 
 
+ITEM = "statement_id long, page int, item_seq int, str string, x double, y double, width double"
+
+
+def placed(spark, places, *rows):
+    """Items of rows of texts at the given places; None leaves a place out."""
+    cells = [(1, 1, 10 * k + i, t, x, 700.0 - 14 * k, len(t) * 5.0) for k, row in enumerate(rows) for i, (t, x) in enumerate(zip(row, places, strict=False)) if t]
+    return spark.createDataFrame(cells, ITEM)
+
+
+def test_zero_amounts_with_a_date_or_balance_are_rows(spark):
+    bank = placed(
+        spark, (20.0, 110.0, 330.0, 420.0, 510.0), ("Date", "Description", "Withdrawals", "Deposits", "Balance"), ("2024-01-02", "Shop", "5.00", None, "95.00"), ("2024-01-03", "Voucher", "0.00", None, None),
+        (None, "Bonus", None, "0.00", "95.00"), (None, "Nothing", "0.00", None, None), (None, "for free", None, None, None), ("2024-01-05", "Account fee", "0.00", None, None), ("2024-01-06", "Gift", "0.00", "7.00", "102.00"),
+    )
+    got = layout.coordinate_rows(bank).orderBy("seq").collect()
+    assert [(r.date, r.description, r.debit_c, r.credit_c, r.balance_c) for r in got] == [
+        ("2024-01-02", "Shop", 500, None, 9500), ("2024-01-03", "Voucher", 0, None, None), ("2024-01-03", "Bonus for free", None, 0, 9500), ("2024-01-06", "Gift", None, 700, 10200),
+    ]
+    card = placed(
+        spark, (20.0, 110.0, 400.0), ("Date", "Description", "Amount ($)"), ("2024-01-02", "Shop", "5.00"), ("2024-01-03", "Voucher", "-0.00"), ("2024-01-04", "Voucher", "0.00 CR"), ("2024-01-04", "Voucher", "0.00"),
+        ("2024-01-29", "Interest Charge on Cash Advances", "0.00"),
+    )
+    assert [(r.debit_c, r.credit_c) for r in layout.coordinate_rows(card).orderBy("seq").collect()] == [(500, None), (None, 0), (None, 0), (0, None)]
+
+
+def test_a_zero_amount_takes_the_side_of_its_wording(spark):
+    items = placed(
+        spark, (20.0, 120.0, 330.0, 500.0), ("2024-01-02", "Salary", "5.00", "105.00"), ("2024-01-03", "Salary", "0.00", "105.00"), ("2024-01-04", "Shop", "2.00", "103.00"), ("2024-01-05", "Shop", "0.00", "103.00"),
+        ("2024-01-06", "Other", "0.00", "103.00"), ("2024-01-07", "Salary", "1.00", "104.00"),
+    )
+    got = layout.headerless_rows(items, spark.createDataFrame([(1, 10000)], "statement_id long, opening_c long")).orderBy("seq").collect()
+    assert [(r.description, r.debit_c, r.credit_c) for r in got] == [("Salary", None, 500), ("Salary", None, 0), ("Shop", 200, None), ("Shop", 0, None), ("Other", 0, None), ("Salary", None, 100)]
+
+
 def test_solver_ties_take_the_lowest_mask_and_long_segments_the_priors(spark):
     rows = [([100, 100], [0, 0], 0), ([100, 100], [1, -1], 0), ([100], [0], 7), ([1] * 17, [1] * 17, 17), ([], [], 0)]
     df = spark.createDataFrame(rows, "amounts array<long>, priors array<int>, delta_c long")
