@@ -173,5 +173,8 @@ def find_date(line: Column) -> Column:
             lambda t: F.struct(F.position(t, line).alias("at"), F.lit(order).alias("order"), t.alias("token")),
         )
 
-    every = F.concat(*[hits(k, p) for k, p in enumerate(DATE_PATTERNS)])
-    return F.array_min(every)["token"]
+    # most lines begin with such a token or hold no digit; a pattern is tried only where what it needs is in the line
+    front, none = rf"^\s*({DATE_PATTERNS[0]})", F.array().cast("array<struct<at:int,order:int,token:string>>")
+    needs = [r"\d[/-]\d", r"\d[/-]\d", rf"(?i){'|'.join(MONTHS)}", rf"(?i){'|'.join(MONTHS)}"]
+    every = F.concat(*[F.when(line.rlike(needs[k]), hits(k, p)).otherwise(none) for k, p in enumerate(DATE_PATTERNS)])
+    return F.when(line.rlike(front), F.regexp_extract(line, front, 1)).when(line.rlike("[0-9]"), F.array_min(every)["token"])

@@ -82,7 +82,7 @@ def scan_money(text: Column, require_dollar: bool = False) -> Column:
         return F.struct(F.when(negative, -amount).otherwise(amount).alias("cents"), g[0].alias("text"), (g[3] != "").alias("dollar"), negative.alias("negative"))
 
     none = F.array().cast("array<struct<cents:bigint,text:string,dollar:boolean,negative:boolean>>")
-    return F.when(text.rlike("[0-9]"), F.transform(F.filter(groups, money), value)).when(text.isNotNull(), none)
+    return F.when(text.rlike("[0-9]") & text.rlike("[$.,]"), F.transform(F.filter(groups, money), value)).when(text.isNotNull(), none)
 
 
 def money_values(text: Column, require_dollar: bool = False) -> Column:
@@ -98,7 +98,7 @@ def inline_dollar(text: Column) -> Column:
     """struct(cents, negative) of the last dollar amount of a line; a minus before it or a closing parenthesis makes it negative."""
     at = lambda k: last_of(F.regexp_extract_all(text, F.lit(DOLLAR_AMOUNT), F.lit(k)))
     value, negative = _digits_to_cents(at(2), at(3)), (at(1) != "") | (at(4) != "")
-    return F.when(value.isNotNull(), F.struct(F.when(negative, -value).otherwise(value).alias("cents"), negative.alias("negative")))
+    return F.when(F.contains(text, F.lit("$")) & value.isNotNull(), F.struct(F.when(negative, -value).otherwise(value).alias("cents"), negative.alias("negative")))
 
 
 def amount_line(line: Column) -> Column:
@@ -134,7 +134,7 @@ def fee_total(text: Column) -> Column:
     rates = F.regexp_extract_all(text, F.lit(FEE_CLAUSE), F.lit(2))
     each = F.zip_with(counts, rates, lambda n, r: n.try_cast("long") * cents(r.try_cast("double")))
     total = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    return F.when(F.size(rates) > 0, total)
+    return F.when(F.contains(text, F.lit("@")) & (F.size(rates) > 0), total)
 
 
 def estimate_cost(input_tokens: Column, output_tokens: Column, input_price: Column, output_price: Column) -> Column:

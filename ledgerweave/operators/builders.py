@@ -16,9 +16,9 @@ from pyspark.sql.types import StructType
 
 from ..functions import dates, money, text
 from ..functions import patterns as P
-from ..session import materialised
+from ..session import growing, materialised
 from ..sources.derived import CREDIT_TYPES, TX_SQL, sql, transactions
-from .lines import balance_line, bank_balances, bank_classes, card_balances, card_classes, card_section
+from .lines import bank_balances, bank_classes, card_balances, card_classes, card_section, scanned
 from .segments import sign_rows
 
 #: Rows dated in or after this year are misread. Fixed value.
@@ -53,27 +53,20 @@ def walk(lines: DataFrame, order: str, start: Callable, step: Callable, finish:
 def bank_lines(lines: DataFrame) -> DataFrame:
     """What the bank walk needs to know of each line."""
     line = F.col("line")
-    token = dates.find_date(line)
-    scan = money.scan_money(line)
-    flagged = lines.withColumns({"token": token, "scan": scan, "fee_c": money.fee_total(line), **bank_classes(line)})
+    flagged = scanned(lines).withColumns({"fee_c": money.fee_total(line), **bank_classes(line)})
     first = F.try_element_at("scan", F.lit(1))["text"]
     end = F.when(F.col("token").isNotNull(), F.position("token", line) + F.length("token")).otherwise(1)
     at = F.when(F.size("scan") > 0, F.position(first, line)).otherwise(F.length(line) + 1)
     leads = F.col("token").isNotNull() & (F.position("token", line) < at)
     begin = F.when(leads, end).otherwise(1)
-    return flagged.withColumns(
-        {
-            "date": dates.normalize_date(F.col("token"), F.col("year")),
-            "leads": leads,
-            "head": text.clean_space(F.substr(line, begin, F.greatest(F.lit(0), at - begin))),
-            "tail": text.clean_space(F.substr(line, end, F.length(line))),
-            "rates": F.transform(F.regexp_extract_all(line, F.lit(money.FEE_CLAUSE), F.lit(2)), lambda r: money.cents(r.try_cast("double"))),
-            "values": F.col("scan.cents"),
-            "balance": balance_line(line).isNotNull(),
-            "recovered": text.recover_description(line, F.col("token")),
-            "has_start": F.max(F.col("starts")).over(Window.partitionBy("statement_id")),
-        }
-    ).drop("scan")
+    rows = flagged.withColumn("head", text.clean_space(F.substr(line, begin, F.greatest(F.lit(0), at - begin))))
+    rates = F.transform(F.regexp_extract_all(line, F.lit(money.FEE_CLAUSE), F.lit(2)), lambda r: money.cents(r.try_cast("double")))
+    return rows.select(
+        "statement_id", "line_no", "line", *[c for c in ("opening_c",) if c in lines.columns], "starts", "stops", "summary_row", "itemized", "ignored", "fee_c", "head",
+        dates.normalize_date(F.col("token"), F.col("year")).alias("date"), leads.alias("leads"), F.when(F.col("token").isNotNull(), text.clean_space(F.substr(line, end, F.length(line)))).alias("tail"),
+        F.when(F.col("fee_c").isNotNull(), rates).alias("rates"), F.col("scan.cents").alias("values"), F.col("b").isNotNull().alias("balance"),
+        F.when(F.col("head") == "", text.recover_description(line, F.col("token"))).alias("recovered"), F.max(F.col("starts")).over(Window.partitionBy("statement_id")).alias("has_start"),
+    )
 
 
 ENTRY = "statement_id long, line_no int, date string, description string, amount_c long, balance_c long, fee boolean"
@@ -151,14 +144,14 @@ def bank_entries(lines: DataFrame) -> DataFrame:
     return walk(bank_lines(lines), "line_no", start, step, lambda s: flush_fee(s, s["date"]), ENTRY)
 
 
-def bank_rows(lines: DataFrame) -> DataFrame:
-    """Signed rows of bank statements (lines: statement_id, line_no, line, year): the balances decide the sides."""
-    ends = bank_balances(lines).select("statement_id", "opening_c", "closing_c")
-    entries = bank_entries(lines.join(ends.select("statement_id", "opening_c"), "statement_id", "left"))
+def bank_rows(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Signed rows of bank statements (lines: statement_id, line_no, line, year): the balances (ends, where they are known) decide the sides."""
+    ends = (bank_balances(lines) if ends is None else ends).select("statement_id", "opening_c", "closing_c")
+    entries = bank_entries(lines.join(growing(ends.select("statement_id", "opening_c")), "statement_id", "left"))
     low = F.lower("description")
     prior = F.when(F.col("fee"), -1).when(low.rlike(P.BANK_CREDIT_PRIOR), 1).when(low.rlike(P.BANK_DEBIT_PRIOR), -1).otherwise(0)
     entries = entries.withColumns({"seq": F.row_number().over(Window.partitionBy("statement_id").orderBy("line_no", F.desc("fee"))), "prior": prior})
-    signed = sign_rows(entries, ends)
+    signed = sign_rows(materialised(entries, "posted"), ends)  # read more than once, and a walk behind it
     clean = text.clean_description(F.when(F.col("fee"), F.coalesce(F.nullif(text.strip_fee_formula(F.col("description")), F.lit("")), F.col("description"))).otherwise(F.col("description")))
     return signed.select(
         "statement_id", "seq", "line_no", "date", clean.alias("description"),
@@ -182,14 +175,14 @@ def card_lines(lines: DataFrame) -> DataFrame:
     """What the card walk needs to know of each line, its neighbours included."""
     line = F.col("line")
     order = Window.partitionBy("statement_id").orderBy("line_no")
-    rows = lines.withColumns({**card_classes(line), **leading(line, "a")}).withColumns(leading(F.col("a_rest"), "b"))
+    rows = scanned(lines).withColumns({**card_classes(line), **leading(line, "a")}).withColumns(leading(F.col("a_rest"), "b"))
     rest = F.trim(F.coalesce("b_rest", "a_rest", F.lit("")))
     rows = rows.withColumns(
         {
             "rest": rest,
             "double": F.col("b_month").isNotNull(),
             "section": card_section(line),
-            "has_money": F.size(money.scan_money(line)) > 0,
+            "has_money": F.size("scan") > 0,
             "inline": money.card_amount(rest),
             "alone_c": money.amount_line(line),
             "alone_minus": money.minus_line(line),
@@ -211,15 +204,21 @@ def card_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumns({"start_ahead": F.coalesce(next_start < F.coalesce(next_stop, F.lit(1 << 30)), F.lit(False)), "inside": inside, "head": text.strip_references(head), "row_year": dates.row_year(period, F.col("a_month"), F.col("year"))})
 
 
-CARD = "statement_id long, line_no int, date string, description string, amount_c long, credit boolean, foreign boolean"
+CARD = "statement_id long, line_no int, date string, description string, amount_c long, credit boolean, section boolean, foreign boolean"
+# What the card walk reads of a line.
+CARD_LINE = (
+    "statement_id", "line_no", "soft_stop", "hard_stop", "ignored", "foreign", "reference", "header", "spend_report", "summary_label", "section", "has_money", "alone_c", "alone_minus", "plain", "near", "next_dated", "start_ahead",
+    "a_month", "a_day", "row_year", "double", "rest", "inside", "inline", "head",
+)
 
 
-def card_entries(lines: DataFrame, use_sections: bool = False) -> DataFrame:
+def card_entries(lines: DataFrame) -> DataFrame:
     """Posted rows of card statements, by a walk that finds a start line (two dates, or one inside a section), its amount on
     that line or on one of the following, and the end of the block.
 
     Hard stops end a statement; a total balance does so only without a start ahead. Dates outside the period, summary and
-    remittance lines make no rows, nor do amounts without wording near a remittance slip.
+    remittance lines make no rows, nor do amounts without wording near a remittance slip. credit is what a row's own sign
+    says, section whether it stands in one of credits.
     """
 
     def start(line: dict) -> dict:
@@ -239,8 +238,7 @@ def card_entries(lines: DataFrame, use_sections: bool = False) -> DataFrame:
         worded = sum(c.isascii() and c.isalpha() for c in description) >= 3
         if not worded and block["near"]:
             return []
-        credit = minus or (use_sections and block["section"])
-        return [{"statement_id": block["id"], "line_no": block["at"], "date": block["date"], "description": description, "amount_c": abs(amount), "credit": credit, "foreign": block["fx"]}]
+        return [{"statement_id": block["id"], "line_no": block["at"], "date": block["date"], "description": description, "amount_c": abs(amount), "credit": minus, "section": block["section"], "foreign": block["fx"]}]
 
     def step(s: dict, line: dict) -> list[dict]:
         if s["done"]:
@@ -298,14 +296,18 @@ def card_entries(lines: DataFrame, use_sections: bool = False) -> DataFrame:
         }
         return made + close(s) if inline else made
 
-    return walk(card_lines(lines), "line_no", start, step, close, CARD)
+    return walk(card_lines(lines).select(*CARD_LINE), "line_no", start, step, close, CARD)
 
 
 def card_rows(lines: DataFrame, use_sections: bool = False) -> DataFrame:
     """Signed rows of card statements (lines: statement_id, line_no, line, year, period)."""
-    rows = card_entries(lines, use_sections)
+    return card_signed(card_entries(lines), use_sections)
+
+
+def card_signed(rows: DataFrame, use_sections: bool = False) -> DataFrame:
+    """Signed rows of entries; sections count as signs where they are used."""
     description = text.clean_description(F.col("description"))
-    credit = F.col("credit") | text.card_credit_phrase(description)
+    credit = F.col("credit") | (F.col("section") & F.lit(use_sections)) | text.card_credit_phrase(description)
     lost = F.when(F.col("foreign"), 5).otherwise(0) + F.when(description == "", 20).otherwise(0) + F.when(F.col("date").rlike(r"^\d{4}-"), 0).otherwise(10)
     return rows.select(
         "statement_id", "line_no", "date", description.alias("description"), F.when(~credit, F.col("amount_c")).alias("debit_c"), F.when(credit, F.col("amount_c")).alias("credit_c"), ((92 - lost) / 100).alias("confidence")
@@ -361,7 +363,7 @@ def card_statement(tx: DataFrame) -> DataFrame:
     foot = ends.select("statement_id", F.lit(1 << 40).cast("long").alias("k"), F.posexplode(F.array(F.lit("Time to pay"), F.lit("JAN 30 JAN 30 Not a row $5.00"))).alias("sub", "line"))
     lines = _stacked(head.unionByName(rows).unionByName(foot))
     period = lines.where("line_no = 1").select("statement_id", dates.statement_period(F.col("line")).alias("period"))
-    return lines.join(period, "statement_id")
+    return lines.join(growing(period), "statement_id")
 
 
 def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
 from ..functions import patterns as P
-from ..session import materialised
+from ..session import growing, materialised
 from ..sources.derived import TX_SQL, sql, transactions
 from .builders import amount_text
 from .ledger import fold
@@ -182,7 +182,7 @@ def bounds(columns: DataFrame, keys: list[str]) -> DataFrame:
 def marked_regions(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Lines with their region's number (0 before the first header), whether they head it, and whether a stop came before or on them."""
     order = Window.partitionBy("statement_id").orderBy("line_no")
-    marked = lines.join(headers.select("statement_id", "line_no", F.lit(True).alias("heads")), ["statement_id", "line_no"], "left")
+    marked = lines.join(growing(headers.select("statement_id", "line_no", F.lit(True).alias("heads"))), ["statement_id", "line_no"], "left")
     marked = marked.withColumn("heads", F.coalesce("heads", F.lit(False)))
     marked = marked.withColumn("region", F.coalesce(F.sum(F.col("heads").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     within = Window.partitionBy("statement_id", "region").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -197,14 +197,21 @@ def regions(lines: DataFrame, headers: DataFrame) -> DataFrame:
 def cells(lines: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per line with its text and the text of each meaning: an item belongs to the column its center falls into.
 
-    A range join within (statement_id, region). columns: statement_id, region, kind, meaning, center.
+    The ranges of a region's few columns are joined to its lines, which hold their items. columns: statement_id, region, kind, meaning, center.
     """
-    items = lines.select("statement_id", "region", "line_no", "text", F.explode("items").alias("i")).select("*", (F.col("i.x") + F.coalesce("i.width", F.lit(0.0)) / 2).alias("c"))
-    b = bounds(columns, ["statement_id", "region"])
-    inside = items.join(b, ["statement_id", "region"]).where("c >= lo and c < hi")
-    keys = ["statement_id", "region", "kind", "line_no", "text"]
-    each = inside.groupBy(*keys, "meaning").agg(text.clean_space(F.array_join(F.array_sort(F.collect_list(F.struct("i.x", "i.item_seq", "i.str"))).getField("str"), " ")).alias("cell"))
-    return each.groupBy(*keys).pivot("meaning", [m for m, _ in HEADERS]).agg(F.first("cell"))
+    names = [m for m, _ in HEADERS]
+    b = bounds(columns, ["statement_id", "region"]).groupBy("statement_id", "region", "kind")
+    b = b.agg(*[F.max(F.when(F.col("meaning") == m, F.struct("lo", "hi"))).alias(f"at_{m}") for m in names])
+    rows = lines.select("statement_id", "region", "line_no", "text", "items").join(growing(b), ["statement_id", "region"])
+
+    def held(m: str) -> Column:
+        center = lambda i: i["x"] + F.coalesce(i["width"], F.lit(0.0)) / 2
+        found = F.filter("items", lambda i: (center(i) >= F.col(f"at_{m}.lo")) & (center(i) < F.col(f"at_{m}.hi")))
+        return F.when(F.col(f"at_{m}").isNotNull(), found)
+
+    rows = rows.withColumns({f"in_{m}": held(m) for m in names})
+    cell = lambda m: F.when(F.size(f"in_{m}") > 0, text.clean_space(F.array_join(F.col(f"in_{m}")["str"], " ")))
+    return rows.select("statement_id", "region", "kind", "line_no", "text", *[cell(m).alias(m) for m in names])
 
 
 def with_cell_money(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -224,11 +231,13 @@ def with_cell_date(rows: DataFrame, cell: str, new: str) -> DataFrame:
     """new: the first date of a cell: a whole date, else a date in it, else its first day and month in the statement's order
     and year (year, context and day_first are columns of rows)."""
     raw, year, context = F.col(cell), F.col("year"), F.col("context")
-    rows = rows.withColumns({"token": dates.find_date(raw), "pair": F.nullif(F.regexp_extract(raw, r"\b(\d{1,2}[/-]\d{1,2})\b", 1), F.lit(""))})
+    rows = rows.withColumn("full", dates.normalize_date(raw, year))
+    part = F.col("full").isNull()  # most cells are a whole date
+    rows = rows.withColumns({"token": F.when(part, dates.find_date(raw)), "pair": F.when(part, F.nullif(F.regexp_extract(raw, r"\b(\d{1,2}[/-]\d{1,2})\b", 1), F.lit("")))})
     known = context.isNotNull() | F.col("day_first").isNotNull()
     order = F.coalesce("day_first", context["day_first"], F.lit(False))
     bare = F.when(known, dates.resolve_day_month(F.col("pair"), context, order, year)).otherwise(dates.day_month_date(F.col("pair"), year))
-    return rows.withColumn(new, F.coalesce(dates.normalize_date(raw, year), dates.normalize_date(F.col("token"), year), bare)).drop("token", "pair")
+    return rows.withColumn(new, F.coalesce("full", dates.normalize_date(F.col("token"), year), bare)).drop("full", "token", "pair")
 
 
 #: What is known of a statement beside its positioned items.
@@ -249,19 +258,19 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     has a category column). facts are given by statement, or by statement and region.
     """
     known = grid.sparkSession.createDataFrame([], FACTS) if facts is None else facts
-    rows = grid.join(known, ["statement_id", *(["region"] if "region" in known.columns else [])], "left")
+    rows = grid.join(growing(known), ["statement_id", *(["region"] if "region" in known.columns else [])], "left")
     flat = Window.partitionBy("statement_id", "region").orderBy("line_no")
     upto, before = flat.rowsBetween(Window.unboundedPreceding, 0), flat.rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy("statement_id", "region", "group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     card, line = F.col("kind") == "credit-card", F.col("text")
     rows = with_cell_date(with_cell_money(rows, {"d": "debit", "c": "credit", "a": "amount", "b": "balance"}), "date", "own")
-    classes = line_classes(line)
+    classes, none = line_classes(line), F.coalesce("d", "c", "a").isNull()  # lines with an amount need no more
     rows = rows.withColumns(
         {
             "ignored": classes["ignored"],
-            "detail": classes["foreign"] | classes["reference"],
+            "detail": none & (classes["foreign"] | classes["reference"]),
             "words": F.coalesce("description", F.lit("")),
-            "money": F.size(money.scan_money(line)) > 0,
+            "money": none & (F.size(money.scan_money(line)) > 0),
             "fee_c": money.fee_total(line),
         }
     )
@@ -284,7 +293,7 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("wording").isNotNull(), F.struct("line_no", "wording"))))["wording"].alias("ahead"),
         F.max_by("dated", F.when(F.col("dated").isNotNull(), F.col("line_no"))).alias("ahead_date"), F.lit(True).alias("has"),
     )
-    rows = rows.join(gathered, [*keys, "has"], "left").withColumn("ahead", F.coalesce("ahead", F.array().cast("array<string>")))
+    rows = rows.join(growing(gathered), [*keys, "has"], "left").withColumn("ahead", F.coalesce("ahead", F.array().cast("array<string>")))
     alone = F.col("own").isNull() & F.col("ahead_date").isNull() & (F.size("ahead") == 0)
     rows = rows.withColumn("posts", F.col("has") & ~(card & alone))
     carried = F.last(F.when(F.col("posts"), F.col("own")), ignorenulls=True).over(before)
@@ -321,7 +330,7 @@ def region_rows(grid: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     # so are the lines that go on with a row's wording
     rows = materialised(rows.withColumn("wrap", F.when(wraps, F.col("words"))), "built")
     behind = rows.where("wrap is not null").groupBy("statement_id", "region", "row").agg(F.array_sort(F.collect_list(F.struct("line_no", "wrap")))["wrap"].alias("behind"))
-    rows = rows.where("built").join(behind, ["statement_id", "region", "row"], "left")
+    rows = rows.where("built").join(growing(behind), ["statement_id", "region", "row"], "left")
     alike = F.sum("moved").over(Window.partitionBy("statement_id", "region", "head"))
     rises = F.coalesce(F.col("still") & (alike > 0), F.lit(False))
     rows = rows.withColumns({"debit_c": F.when(~rises, F.col("debit_c")), "credit_c": F.when(rises, F.col("debit_c")).otherwise(F.col("credit_c"))})
@@ -392,7 +401,7 @@ def headerless_columns(lines: DataFrame) -> DataFrame:
     like = transaction_like(lines)
     size = like.groupBy("statement_id").agg(F.count(F.lit(1)).alias("lines_n"), F.min("line_no").alias("first"), F.max("line_no").alias("last")).where(F.col("lines_n") >= LEAST_LINES)
     key = F.col("statement_id").alias("key")
-    zone = lambda v: cluster(v).select(F.col("key").alias("statement_id"), "n", (F.col("total") / F.col("n")).alias("center")).join(size, "statement_id")
+    zone = lambda v: cluster(v).select(F.col("key").alias("statement_id"), "n", (F.col("total") / F.col("n")).alias("center")).join(growing(size), "statement_id")
     amounts = zone(like.select(key, F.explode("amounts").alias("value"))).where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("lines_n") * MONEY_SHARE)))
     rank = F.row_number().over(Window.partitionBy("statement_id").orderBy("center"))
     amounts = amounts.withColumns({"rank": rank, "zones": F.count(F.lit(1)).over(Window.partitionBy("statement_id"))}).where(F.col("zones") <= MOST_ZONES)
@@ -401,8 +410,8 @@ def headerless_columns(lines: DataFrame) -> DataFrame:
     days = zone(like.where("dated is not null").select(key, F.col("dated").alias("value"))).where(F.col("n") >= F.col("lines_n") * DATE_SHARE)
     days = days.groupBy("statement_id").agg(F.min("center").alias("center"))
     start = money_columns.groupBy("statement_id", "first", "last").agg(F.min("center").alias("money"))
-    words = start.join(days, "statement_id", "left").select("statement_id", F.lit("description").alias("meaning"), F.coalesce((F.col("center") + F.col("money")) / 2, F.col("money") / 2).alias("center"), "first", "last")
-    dated = start.join(days, "statement_id").select("statement_id", F.lit("date").alias("meaning"), "center", "first", "last")
+    words = start.join(growing(days), "statement_id", "left").select("statement_id", F.lit("description").alias("meaning"), F.coalesce((F.col("center") + F.col("money")) / 2, F.col("money") / 2).alias("center"), "first", "last")
+    dated = start.join(growing(days), "statement_id").select("statement_id", F.lit("date").alias("meaning"), "center", "first", "last")
     return money_columns.unionByName(words).unionByName(dated)
 
 
@@ -412,7 +421,7 @@ def headerless_rows(items: DataFrame, openings: DataFrame) -> DataFrame:
     lines = materialised(visual_lines(items), "visual")
     found = materialised(headerless_columns(lines), "columns")
     span = found.select("statement_id", "first", "last").distinct()
-    body = lines.join(span, "statement_id").where("line_no between first and last").withColumn("region", F.lit(1).cast("long"))
+    body = lines.join(growing(span), "statement_id").where("line_no between first and last").withColumn("region", F.lit(1).cast("long"))
     balance = F.max(F.col("meaning") == "balance").over(Window.partitionBy("statement_id"))
     kind = F.when(balance, "bank-account").otherwise("credit-card").alias("kind")
     columns = found.select("statement_id", F.lit(1).cast("long").alias("region"), kind, "meaning", "center")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
 from ..functions import patterns as P
-from ..session import table
+from ..session import growing, table
 from ..sources.derived import LINES_SQL, SHAPES, TX_SQL, sql, text_lines, transactions
 
 #: Lines handed on as evidence for a statement. Fixed value.
@@ -53,9 +53,9 @@ def with_ahead(lines: DataFrame) -> DataFrame:
     return lines.withColumn("ahead", F.concat_ws("\n", "line", F.lead("line", 1).over(order), F.nullif(further, F.lit(""))))
 
 
-def marks(lines: DataFrame, patterns: tuple[str, ...], firsts: dict[str, tuple[str, Callable[[Column], Column]]] | None = None) -> DataFrame:
+def marks(lines: DataFrame, patterns: tuple[str, ...], firsts: dict[str, tuple] | None = None) -> DataFrame:
     """statement_id, a flag for each pattern that some of its lines has (see has_mark), and firsts: what is read at a
-    pattern's first place in the statement, as {name: (pattern, reader)}.
+    pattern's first place in the statement, as {name: (pattern, reader, *words)}; where words are given, each match has one.
 
     No text is joined: only patterns that take white space can go on in the next lines, and those look a bounded way ahead.
     A first place counts in the line in which it begins.
@@ -65,8 +65,10 @@ def marks(lines: DataFrame, patterns: tuple[str, ...], firsts: dict[str, tuple[s
     low = {False: F.lower("line"), True: F.lower("ahead")}
     flags = {mark_of(p): low[r"\s" in p].rlike(p) for p in patterns}
     places = {}
-    for name, (pattern, reader) in firsts.items():
+    for name, (pattern, reader, *words) in firsts.items():
         at = F.regexp_instr("ahead", F.lit(pattern))
+        if words:
+            at = F.when(text.any_of(low[True], words), at).otherwise(0)
         places[name] = F.when((at > 0) & (at <= F.length("line")), F.struct(reader(F.col("ahead")).alias("found")))
     rows = rows.select("statement_id", "line_no", *[c.alias(n) for n, c in (flags | places).items()])
     return rows.groupBy("statement_id").agg(
@@ -176,14 +178,22 @@ def bank_classes(line: Column) -> dict[str, Column]:
     }
 
 
-def balance_line(line: Column) -> Column:
+def balance_line(line: Column, scan: Column | None = None) -> Column:
     """struct(kind, cents) of an opening or closing balance line: its last amount; opening wins. Null otherwise."""
     low = F.lower(line)
     opening, closing = low.rlike(P.OPENING_LABEL), low.rlike(P.CLOSING_LABEL)
-    last = money.last_of(money.money_values(line))
+    last = money.last_of(money.scan_money(line) if scan is None else scan)["cents"]
     return F.when((opening | closing) & last.isNotNull(), F.struct(F.when(opening, "opening").otherwise("closing").alias("kind"), last.alias("cents")))
 
 
+def scanned(lines: DataFrame) -> DataFrame:
+    """lines with what several readings need of each: its date token, its amounts (scan) and its balance (b), unless they are there."""
+    line = F.col("line")
+    new = {"token": dates.find_date(line), "scan": money.scan_money(line)}
+    lines = lines.withColumns({n: c for n, c in new.items() if n not in lines.columns})
+    return lines if "b" in lines.columns else lines.withColumn("b", balance_line(line, F.col("scan")))
+
+
 def labelled(lines: DataFrame, name: str, pattern: str, but: str | None = None) -> DataFrame:
     """statement_id, name: the amount of the first labelled line that has one.
 
@@ -212,7 +222,8 @@ def ladder(lines: DataFrame, ladders: dict[str, list[tuple[str, str | None]]], k
     }
     hit = reduce(lambda x, y: x | y, [F.col(f) for f in flags])
     rows = lines.withColumns(flags).withColumn("hit", hit)
-    rows = rows.withColumns({"scan": F.when(F.col("hit"), money.scan_money(line)), "alone": money.amount_line(line)})
+    scan = F.col("scan") if "scan" in lines.columns else money.scan_money(line)
+    rows = rows.withColumns({"scan": F.when(F.col("hit"), scan), "alone": money.amount_line(line)})
     own = F.coalesce(money.last_of(F.filter("scan", lambda m: m["dollar"]))["cents"], money.last_of(F.col("scan"))["cents"])
     rows = rows.withColumn("found", F.when(F.col("hit"), F.coalesce(own, F.lead("alone", 1).over(order), F.lead("alone", 2).over(order))))
     aggregates = [F.min_by("found", F.when(F.col(f) & F.col("found").isNotNull(), F.col("line_no"))).alias(f) for f in flags]
@@ -246,12 +257,12 @@ def card_balances(lines: DataFrame) -> DataFrame:
 
 def bank_balances(lines: DataFrame) -> DataFrame:
     """opening_c (first), closing_c (last), sum_credits_c, sum_debits_c of bank statements."""
-    marked = lines.withColumn("b", balance_line(F.col("line")))
+    marked = scanned(lines)
     ends = marked.groupBy("statement_id").agg(
         F.min_by("b.cents", F.when(F.col("b.kind") == "opening", F.col("line_no"))).alias("opening_c"),
         F.max_by("b.cents", F.when(F.col("b.kind") == "closing", F.col("line_no"))).alias("closing_c"),
     )
-    return ends.join(bank_totals(lines), "statement_id")
+    return ends.join(growing(bank_totals(lines)), "statement_id")
 
 
 def interest_and_fees(lines: DataFrame) -> DataFrame:
@@ -268,10 +279,10 @@ def scope_block(lines: DataFrame) -> DataFrame:
     Blocks start at opening balances. A block is chosen if the next best has at most a quarter of its transaction lines.
     """
     order = Window.partitionBy("statement_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.size(money.money_values(F.col("line")))
-    rows = lines.withColumns(
-        {"block": F.sum(F.col("line").rlike(P.ANCHOR).cast("int")).over(order), "tx": ((n >= 2) | ((n >= 1) & dates.find_date(F.col("line")).isNotNull())).cast("int")}
-    )
+    rows = lines.withColumn("block", F.sum(F.col("line").rlike(P.ANCHOR).cast("int")).over(order))
+    rows = scanned(rows.withColumn("several", F.max("block").over(Window.partitionBy("statement_id")) >= 2))
+    n = F.size("scan")
+    rows = rows.withColumn("tx", F.when(F.col("several"), ((n >= 2) | ((n >= 1) & F.col("token").isNotNull())).cast("int")).otherwise(0))
     counts = rows.where("block > 0").groupBy("statement_id", "block").agg(F.sum("tx").alias("tx"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("statement_id").orderBy(F.desc("tx"), "block")))
     top = ranked.groupBy("statement_id").agg(
@@ -281,7 +292,7 @@ def scope_block(lines: DataFrame) -> DataFrame:
         F.max("block").alias("blocks"),
     )
     top = top.where("blocks >= 2 and first > 0 and second * 4 <= first").select("statement_id", "chosen")
-    out = rows.join(top, "statement_id", "left")
+    out = rows.join(growing(top), "statement_id", "left")
     return out.where("chosen is null or block = chosen").withColumn("scoped", F.col("chosen").isNotNull())
 
 
@@ -292,13 +303,12 @@ def parse_line(rows: DataFrame) -> DataFrame:
     wording decides, then debit is assumed with less confidence.
     """
     line = F.trim("line")
-    rows = rows.withColumns({"token": dates.find_date(line), "m": money.scan_money(line), "b": balance_line(line)})
+    rows = scanned(rows).withColumnRenamed("scan", "m")
     rows = rows.where(F.col("token").isNotNull() & (F.size("m") > 0) & F.col("b").isNull())
     date = dates.normalize_date(F.col("token"), F.col("year") if "year" in rows.columns else None)
     end = F.position(F.col("token"), line) + F.length("token")
     after = F.substr(line, end, F.length(line))
-    first_after = F.size(money.scan_money(after))
-    head = F.when(first_after > 0, F.split_part(after, F.element_at(money.scan_money(after), 1)["text"], F.lit(1))).otherwise(after)
+    head = F.coalesce(F.split_part(after, F.try_element_at(money.scan_money(after), F.lit(1))["text"], F.lit(1)), after)
     several = F.size("m") >= 2
     amount = F.when(several, F.element_at("m", -2)["cents"]).otherwise(F.element_at("m", 1)["cents"])
     direction = F.when(amount < 0, "debit").otherwise(text.direction_from_words(line))

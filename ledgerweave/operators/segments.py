@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import growing
 from ..sources.derived import TX_SQL, sql, transactions
 
 #: Longest segment whose signs are all tried. Fixed value.
@@ -69,16 +70,16 @@ def sign_rows(rows: DataFrame, heads: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"), F.sum(as_worded).alias("worded_c"), F.max_by("balance_c", "seq").alias("end_c")
     )
     order = Window.partitionBy("statement_id").orderBy("segment")
-    segs = segs.join(heads.select("statement_id", "opening_c", "closing_c"), "statement_id", "left")
+    segs = segs.join(growing(heads.select("statement_id", "opening_c", "closing_c")), "statement_id", "left")
     start = F.when(F.col("segment") == 0, F.col("opening_c")).otherwise(F.lag("end_c").over(order))
     segs = segs.withColumn("delta_c", F.coalesce("end_c", "closing_c") - start)
     few = F.col("n") <= MOST_SIGNS
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     segs = segs.withColumns({"amounts": F.when(few, F.col("items.amount_c")).otherwise(empty("bigint")), "priors": F.when(few, F.col("items.prior")).otherwise(empty("int"))})
     solved = solve(segs).withColumn("solved", F.coalesce(F.when(few, F.col("signs").isNotNull()).otherwise(F.col("worded_c") == F.col("delta_c")), F.lit(False)))
-    flat = marked.join(solved.select("statement_id", "segment", "signs", "solved"), ["statement_id", "segment"])
+    flat = marked.join(growing(solved.select("statement_id", "segment", "signs", "solved")), ["statement_id", "segment"])
     credit = F.coalesce(F.get("signs", F.col("at") - 1), F.col("prior") == 1)
-    return rows.join(flat.select("statement_id", "seq", "segment", credit.alias("credit"), "solved"), ["statement_id", "seq"])
+    return flat.select(*[flat[c] for c in rows.columns], "segment", credit.alias("credit"), "solved")
 
 
 def _printed(tx: DataFrame) -> DataFrame:

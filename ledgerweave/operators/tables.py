@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import materialised
+from ..session import growing, materialised
 from . import layout, lines, statements
 from .evidence import day_first
 
@@ -21,7 +21,7 @@ NEW_ACCOUNT, NOT_NEW = r"(?i)\b(opening|beginning) balance\b", r"(?i)balance for
 
 def headless(visual: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(table, columns) of statements without any header, in the form of headed ones; the header stands above the first line."""
-    rest = visual.join(heads.select("statement_id").distinct(), "statement_id", "left_anti")
+    rest = visual.join(growing(heads.select("statement_id").distinct()), "statement_id", "left_anti")
     found = materialised(layout.headerless_columns(rest), "columns")
     balance = F.bool_or(F.col("meaning") == "balance")
     kind = F.when(balance, "bank-account").otherwise("credit-card")
@@ -39,25 +39,25 @@ def tables_of(visual: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.min(F.when(F.col("stopped"), F.col("line_no"))), F.max("line_no") + 1).alias("end"), F.bool_or("stopped").alias("stopped"), F.min_by("page", "line_no").alias("page"),
     )
     near = heads.select("statement_id", "region", F.explode(F.sequence("line_no", F.col("line_no") + ACCOUNT_LINES - 1)).alias("line_no"))
-    fresh = near.join(visual.where(F.col("text").rlike(NEW_ACCOUNT) & ~F.col("text").rlike(NOT_NEW)).select("statement_id", "line_no"), ["statement_id", "line_no"])
+    fresh = near.join(growing(visual.where(F.col("text").rlike(NEW_ACCOUNT) & ~F.col("text").rlike(NOT_NEW)).select("statement_id", "line_no")), ["statement_id", "line_no"])
     fresh = fresh.select("statement_id", "region", F.lit(True).alias("opening")).distinct()
-    tables = heads.join(ends, ["statement_id", "region"]).join(fresh, ["statement_id", "region"], "left").withColumn("opening", F.coalesce("opening", F.lit(False)))
+    tables = heads.join(growing(ends), ["statement_id", "region"]).join(growing(fresh), ["statement_id", "region"], "left").withColumn("opening", F.coalesce("opening", F.lit(False)))
     # what lies between a table's end and the next header begins with a stop line, which is a barrier
     barrier = F.coalesce(F.lag("stopped").over(Window.partitionBy("statement_id").orderBy("region")), F.lit(False))
     joined = layout.stitch(tables.select("statement_id", F.col("region").alias("pos"), "page", "kind", "columns", barrier.alias("barrier"), "opening"))
-    tables = tables.select("statement_id", "region", "line_no", "kind", "columns", "end").join(joined.select("statement_id", F.col("pos").alias("region"), "reason", "relaxed", "group", F.lit(True).alias("headed")), ["statement_id", "region"])
+    tables = tables.select("statement_id", "region", "line_no", "kind", "columns", "end").join(growing(joined.select("statement_id", F.col("pos").alias("region"), "reason", "relaxed", "group", F.lit(True).alias("headed"))), ["statement_id", "region"])
     bare = headless(visual, heads).withColumns({"reason": F.lit(None).cast("string"), "relaxed": F.lit(False), "group": F.lit(1).cast("long"), "headed": F.lit(False)})
     tables = materialised(tables.unionByName(bare.select(tables.columns)), "tables")
-    below = visual.join(marked.where("not heads and not stopped").select("statement_id", "line_no", "region"), ["statement_id", "line_no"])
+    below = visual.join(growing(marked.where("not heads and not stopped").select("statement_id", "line_no", "region")), ["statement_id", "line_no"])
     spans = bare.select("statement_id", "line_no", "end")
-    plain = visual.join(spans.select("statement_id", F.col("line_no").alias("first"), "end"), "statement_id").where("line_no > first and line_no < end").drop("first", "end")
+    plain = visual.join(growing(spans.select("statement_id", F.col("line_no").alias("first"), "end")), "statement_id").where("line_no > first and line_no < end").drop("first", "end")
     return tables, below.unionByName(plain.withColumn("region", F.lit(1).cast("long")))
 
 
 def above(visual: DataFrame, tables: DataFrame, n: int) -> DataFrame:
     """statement_id, region, line_no, text of the n lines above each header."""
     near = tables.select("statement_id", "region", F.explode(F.sequence(F.col("line_no") - n, F.col("line_no") - 1)).alias("line_no"))
-    return near.join(visual.select("statement_id", "line_no", "text"), ["statement_id", "line_no"])
+    return near.join(growing(visual.select("statement_id", "line_no", "text")), ["statement_id", "line_no"])
 
 
 def region_facts(visual: DataFrame, tables: DataFrame, body: DataFrame, known: DataFrame) -> DataFrame:
@@ -67,10 +67,10 @@ def region_facts(visual: DataFrame, tables: DataFrame, body: DataFrame, known: D
     the period's order, else what the table's own dates prove. known: statement_id, year, context.
     """
     keys = ["statement_id", "region"]
-    head = tables.select(*keys, "line_no").join(visual.select("statement_id", "line_no", "text"), ["statement_id", "line_no"])
+    head = tables.select(*keys, "line_no").join(growing(visual.select("statement_id", "line_no", "text")), ["statement_id", "line_no"])
     inner = body.select(*keys, "line_no", "text").unionByName(head.select(*keys, "line_no", "text"))
     texts = materialised(inner.unionByName(above(visual, tables, TEXT_LINES).select(*keys, "line_no", "text")).withColumn("b", lines.balance_line(F.col("text"))), "texts")
-    placed = texts.where("b is not null").join(tables.select(*keys, F.col("line_no").alias("head")), keys)
+    placed = texts.where("b is not null").join(growing(tables.select(*keys, F.col("line_no").alias("head"))), keys)
     opens, inside = F.col("b.kind") == "opening", F.col("line_no") >= F.col("head")
     near = ~inside & (F.col("line_no") >= F.col("head") - BALANCE_LINES)
     ends = placed.groupBy(*keys).agg(
@@ -80,8 +80,8 @@ def region_facts(visual: DataFrame, tables: DataFrame, body: DataFrame, known: D
     votes = day_first(texts, keys, "text").withColumnRenamed("day_first", "proved")
     totals = lines.bank_totals(texts.withColumnRenamed("text", "line"), tuple(keys))
     has = F.exists("columns", lambda c: c["meaning"] == "category")
-    out = tables.select(*keys, "kind", has.alias("category_column")).join(known.select("statement_id", "year", "context"), "statement_id", "left")
-    out = out.join(ends, keys, "left").join(votes, keys, "left").join(totals, keys, "left")
+    out = tables.select(*keys, "kind", has.alias("category_column")).join(growing(known.select("statement_id", "year", "context")), "statement_id", "left")
+    out = out.join(growing(ends), keys, "left").join(growing(votes), keys, "left").join(growing(totals), keys, "left")
     return out.select(
         *keys, "kind", "year", "context", F.coalesce(F.col("context.day_first"), F.col("proved"), F.lit(False)).alias("day_first"), "category_column",
         F.coalesce("own_c", "above_c").alias("opening_c"), "closing_c", "sum_credits_c", "sum_debits_c",
@@ -92,7 +92,7 @@ def run_totals(visual: DataFrame, runs: DataFrame) -> DataFrame:
     """statement_id, group, sum_credits_c, sum_debits_c over the lines of each run (statement_id, group, line_no, end), those above its header included."""
     order = Window.partitionBy("statement_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     starts = runs.select("statement_id", "line_no", "group", "end")
-    within = visual.select("statement_id", "line_no", "text").join(starts, ["statement_id", "line_no"], "left")
+    within = visual.select("statement_id", "line_no", "text").join(growing(starts), ["statement_id", "line_no"], "left")
     within = within.withColumns({"group": F.last("group", ignorenulls=True).over(order), "end": F.last("end", ignorenulls=True).over(order)}).where("line_no < end")
     over = above(visual, runs.withColumnRenamed("group", "region"), TEXT_LINES).withColumnRenamed("region", "group")
     texts = within.select("statement_id", "group", "line_no", "text").unionByName(over.select("statement_id", "group", "line_no", "text"))
@@ -113,9 +113,9 @@ def placed_readings(visual: DataFrame, known: DataFrame) -> tuple[DataFrame, Dat
     keys = ["statement_id", "region"]
     built = rows.groupBy(*keys).agg(F.max_by("balance_c", F.when(F.col("balance_c").isNotNull(), F.col("seq"))).alias("last_c"))
     sole = F.count(F.lit(1)).over(Window.partitionBy("statement_id")) == 1
-    every = tables.select(*keys, "line_no", "end", "group", sole.alias("sole")).join(facts, keys).join(built, keys)
+    every = tables.select(*keys, "line_no", "end", "group", sole.alias("sole")).join(growing(facts), keys).join(growing(built), keys)
     every = materialised(every, "readings")
-    seen = visual.select("statement_id", "line_no", F.col("text").alias("line")).join(every.where("kind = 'credit-card'").select("statement_id").distinct(), "statement_id", "left_semi")
+    seen = visual.select("statement_id", "line_no", F.col("text").alias("line")).join(growing(every.where("kind = 'credit-card'").select("statement_id").distinct()), "statement_id", "left_semi")
     card = lines.card_balances(seen)
     card = card.withColumn("opening_c", statements.open_close(F.col("opening_c"), F.col("closing_c"), F.col("sum_credits_c"), F.col("sum_debits_c")))
     one = every.select(
@@ -128,17 +128,17 @@ def placed_readings(visual: DataFrame, known: DataFrame) -> tuple[DataFrame, Dat
     ).where("n > 1")
     runs = materialised(runs, "runs")
     totals = run_totals(visual, runs.where("kind = 'bank-account'"))
-    many = runs.join(totals, ["statement_id", "group"], "left").select(
+    many = runs.join(growing(totals), ["statement_id", "group"], "left").select(
         "statement_id", (F.col("group") + RUN_BASE).cast("int").alias("cand_no"), "kind", "opening_c", F.coalesce("printed_c", "last_c").alias("closing_c"), "sum_credits_c", "sum_debits_c",
     )
     balances = one.unionByName(many)
     names = ("opening_c", "closing_c", "sum_credits_c", "sum_debits_c")
     whole = card.select("statement_id", *[F.col(c).alias(f"card_{c}") for c in names])
     pick = lambda c: F.when(F.col("kind") == "credit-card", F.col(f"card_{c}")).otherwise(F.col(c)).alias(c)
-    balances = balances.join(whole, "statement_id", "left").select("statement_id", "cand_no", *map(pick, names))
-    member = every.join(runs.select("statement_id", "group"), ["statement_id", "group"]).select(*keys, (F.col("group") + RUN_BASE).cast("int").alias("cand_no"))
+    balances = balances.join(growing(whole), "statement_id", "left").select("statement_id", "cand_no", *map(pick, names))
+    member = every.join(growing(runs.select("statement_id", "group")), ["statement_id", "group"]).select(*keys, (F.col("group") + RUN_BASE).cast("int").alias("cand_no"))
     own = rows.withColumn("cand_no", (F.col("region") + TABLE_BASE).cast("int"))
-    return own.unionByName(rows.join(member, keys).select(own.columns)), balances
+    return own.unionByName(rows.join(growing(member), keys).select(own.columns)), balances
 
 
 COUNTERS = (
@@ -168,7 +168,7 @@ def probe(visual: DataFrame, tables: DataFrame, observation: Observation | None
     why = tables.where("reason is not null").groupBy(*key, "reason").agg(F.count(F.lit(1)).alias("n"))
     why = why.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons"))  # five reasons
     out = visual.groupBy(*key).agg(F.count(F.lit(1)).alias("visual_lines"), F.max(F.size("items")).alias("most_items"))
-    out = out.join(found, key, "left").join(runs, key, "left").join(why, key, "left")
+    out = out.join(growing(found), key, "left").join(growing(runs), key, "left").join(growing(why), key, "left")
     out = out.select(*key, *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in COUNTERS], F.coalesce("reasons", F.create_map().cast("map<string,bigint>")).alias("reasons"))
     if observation is None:
         return out

@@ -11,7 +11,7 @@ from ..functions import dates, text
 from ..functions import patterns as P
 from ..operators import builders, layout, lines, statements, tables
 from ..operators.transactions import carry_forward
-from ..session import materialised
+from ..session import growing, materialised
 from ..sources.derived import TX_SQL, sql, transactions
 from ..sources.pages import PAGES_SQL, placed_pages
 
@@ -36,10 +36,10 @@ def facts_of(body: DataFrame) -> DataFrame:
     """Per statement: kind, signals, year and period, from its lines."""
     patterns = tuple(dict.fromkeys((*lines.KIND_PATTERNS, *lines.FAMILY_PATTERNS, P.SECTIONED)))
     firsts = {
-        "period_year": (dates.PERIOD_YEAR, lambda t: F.regexp_extract(t, dates.PERIOD_YEAR, 1).cast("int")),
+        "period_year": (dates.PERIOD_YEAR, lambda t: F.regexp_extract(t, dates.PERIOD_YEAR, 1).cast("int"), "statement"),
         "any_year": (dates.ANY_YEAR, dates.fallback_year),
         "period": (dates.NAMED_RANGE, dates.statement_period),
-        "period_text": (PERIOD_LINE, lambda t: F.regexp_extract(t, PERIOD_LINE, 0)),
+        "period_text": (PERIOD_LINE, lambda t: F.regexp_extract(t, PERIOD_LINE, 0), "statement", "period"),
     }
     has = lines.has_mark
     card = lines.hits(has, P.CARD_FAMILY) > 0
@@ -52,18 +52,19 @@ def facts_of(body: DataFrame) -> DataFrame:
 
 def candidates(body: DataFrame, facts: DataFrame, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of all readings, balances of all readings). Only statements with a layout's signals are read that way."""
-    full = materialised(body.join(facts, "statement_id"), "lines")  # every reading scans it
+    full = materialised(lines.scanned(body.join(growing(facts), "statement_id")), "lines")  # every reading scans it
     card, bank = full.where("looks_card"), full.where("looks_bank")
-    card_ends, bank_ends = lines.card_balances(card), lines.bank_balances(bank)
-    scoped = lines.scope_block(bank.select("statement_id", "line_no", "line", "year")).where("scoped").select("statement_id", "line_no", "line", "year")
-    plain = bank.select("statement_id", "line_no", "line", "year")
-    fallback = lines.parse_line(full.select("statement_id", "line_no", "line", "year"))
+    all_ends = materialised(lines.bank_balances(full), "ends")
+    card_ends, bank_ends = lines.card_balances(card), all_ends.join(growing(facts.where("looks_bank").select("statement_id")), "statement_id")
+    of = ("statement_id", "line_no", "line", "year", "token", "scan", "b")
+    scoped = materialised(lines.scope_block(bank.select(*of)).where("scoped").select(*of), "scoped")
+    entries = materialised(builders.card_entries(card.select(*of, "period")), "entries")  # two readings
     readings = [
-        (builders.card_rows(card.select("statement_id", "line_no", "line", "year", "period")), 1, "credit-card-simple", "text-parser", "credit-card", card_ends),
-        (builders.card_rows(card.select("statement_id", "line_no", "line", "year", "period"), True), 2, "credit-card-sectioned", "text-parser", "credit-card", card_ends),
-        (builders.bank_rows(plain), 3, "bank-account", "text-parser", "bank-account", bank_ends),
+        (builders.card_signed(entries), 1, "credit-card-simple", "text-parser", "credit-card", card_ends),
+        (builders.card_signed(entries, True), 2, "credit-card-sectioned", "text-parser", "credit-card", card_ends),
+        (builders.bank_rows(bank.select(*of), bank_ends), 3, "bank-account", "text-parser", "bank-account", bank_ends),
         (builders.bank_rows(scoped), 4, "bank-account", "text-parser", "bank-account", lines.bank_balances(scoped)),
-        (fallback, 5, "fallback", "fallback", "bank-account", lines.bank_balances(full).select("statement_id", "opening_c", "closing_c", F.lit(None).cast("long").alias("sum_credits_c"), F.lit(None).cast("long").alias("sum_debits_c"))),
+        (lines.parse_line(full.select(*of)), 5, "fallback", "fallback", "bank-account", all_ends.select("statement_id", "opening_c", "closing_c", F.lit(None).cast("long").alias("sum_credits_c"), F.lit(None).cast("long").alias("sum_debits_c"))),
     ]
     rows = reduce(DataFrame.unionByName, [_rows(*r[:5]) for r in readings])
     ends = reduce(DataFrame.unionByName, [r[5].withColumn("cand_no", F.lit(r[1])) for r in readings])
@@ -75,7 +76,7 @@ def candidates(body: DataFrame, facts: DataFrame, items: DataFrame | None = None
         rows, ends = placed.unionByName(rows), balances.unionByName(ends.select(balances.columns))
     rows = materialised(rows, "readings")
     last = rows.where("cand_no in (3, 4)").groupBy("statement_id", "cand_no").agg(F.max_by("balance_c", F.when(F.col("balance_c").isNotNull(), F.col("seq"))).alias("last_c"))
-    ends = ends.join(last, ["statement_id", "cand_no"], "left")
+    ends = ends.join(growing(last), ["statement_id", "cand_no"], "left")
     return rows, ends.withColumn("closing_c", F.coalesce("closing_c", "last_c")).drop("last_c")
 
 
@@ -89,8 +90,8 @@ def described(rows: DataFrame, declared: DataFrame) -> DataFrame:
     plain = text.split_category(F.col("description"))
     rows = rows.withColumn("plain", F.when(card & bare, plain))
     proof = rows.where(card).groupBy("statement_id").agg(F.count_if(~bare | (F.col("plain.category") != "")).alias("proofs"))
-    context = proof.join(declared, "statement_id", "left").select("statement_id", ((F.col("proofs") >= 2) | F.coalesce("declared", F.lit(False))).alias("context"))
-    rows = rows.join(context, "statement_id", "left")
+    context = proof.join(growing(declared), "statement_id", "left").select("statement_id", ((F.col("proofs") >= 2) | F.coalesce("declared", F.lit(False))).alias("context"))
+    rows = rows.join(growing(context), "statement_id", "left")
     wide = text.split_category(F.col("description"), F.lit(True))
     split = F.when(card & bare, F.when(F.col("context"), wide).otherwise(F.col("plain")))
     rows = rows.withColumn("split", split)
@@ -112,16 +113,16 @@ def parse_statements(body: DataFrame, items: DataFrame | None = None) -> tuple[D
         F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("credit_c"), F.lit(0)).alias("total_credits_c"), F.coalesce(F.sum("debit_c"), F.lit(0)).alias("total_debits_c"),
         F.count_if((F.trim("date") == "") | (F.trim("description") == "") | (F.col("debit_c").isNull() & F.col("credit_c").isNull())).alias("junk"), F.count_if(F.col("confidence") < statements.LOW_CONFIDENCE).alias("low_confidence"),
     )
-    scored = statements.score(sums.join(ends, ["statement_id", "cand_no"]).join(facts.select("statement_id", "sectioned"), "statement_id"))
+    scored = statements.score(sums.join(growing(ends), ["statement_id", "cand_no"]).join(growing(facts.select("statement_id", "sectioned")), "statement_id"))
     best = statements.pick(scored)
-    kept = rows.join(best.select("statement_id", "cand_no"), ["statement_id", "cand_no"])
+    kept = rows.join(growing(best.select("statement_id", "cand_no")), ["statement_id", "cand_no"])
     bank = carry_forward(kept.where("mode = 'bank-account'")).drop("inherited")
     kept = bank.unionByName(kept.where("mode <> 'bank-account'"))
     final = described(kept, lines.category_context(body).withColumnRenamed("category_column", "declared"))
     final = final.select("statement_id", "seq", "date", "description", "category", "debit_c", "credit_c", "balance_c", "confidence", F.lit(None).cast("string").alias("warning"))
     row_facts = statements.row_facts(final)
     heads = best.select("statement_id", "name", "mode", "opening_c", "closing_c", "sum_credits_c", "sum_debits_c", "score", (F.col("source") == "fallback").alias("fallback"))
-    return statements.validate(heads.join(row_facts, "statement_id")), final
+    return statements.validate(heads.join(growing(row_facts), "statement_id")), final
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +161,7 @@ def _placed(spark: SparkSession, sf_dir: str, kind: str, columns: tuple[str, ...
         F.struct((F.col("rows_n") + 3).cast("int").alias("n"), F.concat(F.lit(f"{names[1]} $"), builders.amount_text(owed)).alias("str"), F.lit(20.0).alias("x"), F.lit(0).alias("k")),
     )
     frame = first.select("statement_id", F.explode(ends).alias("e")).select("statement_id", "e.n", F.struct("e.str", "e.x", "e.k").alias("i"))
-    every = body.select("statement_id", "n", "i").unionByName(frame)
+    every = materialised(body.select("statement_id", "n", "i").unionByName(frame), "printed")
     page = F.floor((F.col("n") - 1) / 45 + 1).cast("int")
     y = (F.lit(780.0) - 14 * ((F.col("n") - 1) % 45)).cast("double")
     items = every.select("statement_id", page.alias("page"), (F.col("n") * 10 + F.col("i.k")).cast("int").alias("item_seq"), "i.str", "i.x", y.alias("y"), (F.length("i.str") * 5.0).cast("double").alias("width"))
@@ -182,7 +183,7 @@ def _parse_placed(name: str):
         found, rows = parse_statements(body, items)
         ends = rows.groupBy("statement_id").agg(F.min("description").alias("first_words"), F.min("date").alias("first_date"))
         kept = found.select("statement_id", F.col("mode"), "status", "n_rows", "total_credits_c", "total_debits_c", "difference_c")
-        return kept.join(ends, "statement_id")
+        return kept.join(growing(ends), "statement_id")
 
     return run
 
@@ -211,7 +212,7 @@ def _page_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = rows.groupBy("statement_id", "cand_no", "kind").agg(F.count(F.lit(1)).alias("n_rows"))
     run = F.col("cand_no") >= tables.RUN_BASE
     base = F.when(run, tables.RUN_BASE).otherwise(tables.TABLE_BASE)
-    return counts.join(ends, ["statement_id", "cand_no"]).select("statement_id", run.alias("is_run"), (F.col("cand_no") - base).cast("long").alias("number"), "kind", "n_rows", "opening_c", "closing_c")
+    return counts.join(growing(ends), ["statement_id", "cand_no"]).select("statement_id", run.alias("is_run"), (F.col("cand_no") - base).cast("long").alias("number"), "kind", "n_rows", "opening_c", "closing_c")
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,11 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df, which grows with the input, for a join: by a shuffle, as ten megabytes of it on disk may be hundreds in the driver's memory."""
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete written tables that no unfinished plan reads any more; other DataFrames are left alone."""
     for df in tables:

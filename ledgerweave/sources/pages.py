@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.builders import amount_text
+from ..session import materialised
 from .derived import transactions
 
 ROWS_A_PAGE, PITCH, TOP = 22, 8.0, 790.0
@@ -98,7 +99,7 @@ def placed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     every = every.where(F.size("l.cells") > 0)
     height = F.row_number().over(Window.partitionBy("statement_id", "page").orderBy("pos", "l.sub"))
     number = F.row_number().over(Window.partitionBy("statement_id").orderBy("page", "pos", "l.sub"))
-    every = every.select("statement_id", "page", number.alias("line_no"), (F.lit(TOP) - height * PITCH).alias("y"), "l.cells")
+    every = materialised(every.select("statement_id", "page", number.alias("line_no"), (F.lit(TOP) - height * PITCH).alias("y"), "l.cells"), "printed")
     text = every.select("statement_id", "line_no", F.array_join("cells.str", " ").alias("line"))
     items = every.select("statement_id", "page", "line_no", "y", F.posexplode("cells").alias("k", "i"))
     return text, items.select("statement_id", "page", (c("line_no") * 10 + c("k")).cast("int").alias("item_seq"), "i.str", "i.x", "y", (F.length("i.str") * 5.0).cast("double").alias("width"))

@@ -7,7 +7,7 @@ import re
 import pytest
 from ledgerweave.functions import dates
 from ledgerweave.functions import patterns as P
-from ledgerweave.operators import builders, layout, ledger, segments, statements
+from ledgerweave.operators import builders, layout, ledger, segments, statements, tables
 from ledgerweave.operators import lines as ll
 from ledgerweave.plans.statement import parse_statements
 from ledgerweave.sources import sinks
@@ -91,6 +91,22 @@ def test_a_zero_amount_takes_the_side_of_its_wording(spark):
     assert [(r.description, r.debit_c, r.credit_c) for r in got] == [("Salary", None, 500), ("Salary", None, 0), ("Shop", 200, None), ("Shop", 0, None), ("Other", 0, None), ("Salary", None, 100)]
 
 
+def test_a_parse_walks_the_lines_of_cards_once(spark, monkeypatch):
+    seen, walk = [], builders.walk
+    monkeypatch.setattr(builders, "walk", lambda *args: seen.append(args[-1]) or walk(*args))
+    body = lines(spark, "Transaction date Posting date Activity description", "Previous balance $10.00", "New balance $12.00", "APR 22 APR 24 CORNER SHOP $2.00").drop("year")
+    assert parse_statements(body)[0].first()["n_rows"] == 1
+    assert seen.count(builders.CARD) == 1
+
+
+def test_placed_readings_broadcast_no_growing_table(spark):
+    items = placed(spark, (20.0, 110.0, 400.0), ("Date", "Description", "Amount ($)"), ("2024-01-02", "Shop", "5.00"), ("2024-01-03", "Other", "7.00"))
+    known = spark.createDataFrame([(1, 2024, None)], f"statement_id long, year int, context {layout.CONTEXT}")
+    rows, balances = tables.placed_readings(layout.visual_lines(items), known)
+    assert rows.count() == 2 and balances.count() == 1
+    assert not [df for df in (rows.join(balances.hint("merge"), ["statement_id", "cand_no"]), balances) if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
+
+
 def test_solver_ties_take_the_lowest_mask_and_long_segments_the_priors(spark):
     rows = [([100, 100], [0, 0], 0), ([100, 100], [1, -1], 0), ([100], [0], 7), ([1] * 17, [1] * 17, 17), ([], [], 0)]
     df = spark.createDataFrame(rows, "amounts array<long>, priors array<int>, delta_c long")
